@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from loomwork.session import cut_lineage, ensure_checkpoint_dir
 from loomwork.sources import table
 
-__all__ = ["LOWER", "byte_rows", "cut_lineage", "ensure_checkpoint_dir", "map_arrow", "remainder", "table"]
+__all__ = ["LOWER", "byte_rows", "cut_lineage", "ensure_checkpoint_dir", "map_arrow", "remainder", "small", "stored", "table"]
 
 #: Byte table that lower-cases A-Z alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -37,3 +38,20 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | d
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
     return df.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again: smaller than a checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of at most three longs that may be broadcast; beyond it, joins shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised frame of short keys, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= limit else keys

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwork.llm import media, simhash
+from loomwork.llm import decontaminate, media, simhash, substring
 from loomwork.llm.common import table
 
 
@@ -14,6 +15,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.size("items").cast("long").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", items, decontaminate.items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_media(table(spark, sf_dir, "documents"))
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -21,6 +32,8 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_substring": op3_substring,
+    "op5_decontaminate": op5_decontaminate,
     "op6_media": op6_media,
 }
 ORACLES: dict[str, str] = {}
