@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, media, simhash, substring
+from loomwork.llm import decontaminate, media, packing, simhash, substring
 from loomwork.llm.common import table
 
 
@@ -30,10 +30,15 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_substring": op3_substring,
     "op5_decontaminate": op5_decontaminate,
     "op6_media": op6_media,
+    "op7_packing": op7_packing,
 }
 ORACLES: dict[str, str] = {}
