@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from loomwork.session import cut_lineage, ensure_checkpoint_dir
 from loomwork.sources import table
 
-__all__ = ["LOWER", "byte_rows", "cut_lineage", "ensure_checkpoint_dir", "map_arrow", "remainder", "small", "stored", "table"]
+__all__ = ["LOWER", "byte_rows", "cut_lineage", "ensure_checkpoint_dir", "map_arrow", "remainder", "small", "stored", "table", "vector_sum"]
 
 #: Byte table that lower-cases A-Z alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,3 +56,33 @@ BROADCAST_ROWS = 2_000_000
 def small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised frame of short keys, marked for broadcast if its counted rows are few enough."""
     return F.broadcast(keys) if keys.count() <= limit else keys
+
+
+#: Vectors that may meet in the driver.
+DRIVER_VECTORS = 16
+
+
+def vector_sum(df: DataFrame, key_type: str = "string", fan_in: int = 32) -> dict:
+    """Sums, by key, of rows (key, vector of float64 or int64 as bytes, dtype) in a tree of ``fan_in``; few meet in the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kinds: dict = {}
+        for batch in batches:
+            for key, vector, kind in zip(*(batch.column(c).to_pylist() for c in ("key", "vector", "kind")), strict=True):
+                part = np.frombuffer(vector, kind)
+                kinds[key] = kind
+                sums[key] = sums[key] + part if key in sums else part
+        if sums:
+            yield pa.RecordBatch.from_pydict({"key": list(sums), "vector": [v.tobytes() for v in sums.values()], "kind": [kinds[k] for k in sums]})
+
+    schema = f"key {key_type}, vector binary, kind string"
+    parts = df.rdd.getNumPartitions()
+    while parts > DRIVER_VECTORS:
+        parts = -(-parts // fan_in)
+        df = df.repartition(parts).mapInArrow(add, schema)
+    total: dict = {}
+    for row in df.toLocalIterator():
+        part = np.frombuffer(bytes(row.vector), row.kind)
+        total[row.key] = total[row.key] + part if row.key in total else part
+    return total

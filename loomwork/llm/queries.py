@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, media, packing, simhash, substring
-from loomwork.llm.common import table
+from loomwork.llm import decontaminate, language, media, packing, simhash, substring, toxicity
+from loomwork.llm.common import remainder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.size("items").cast("long").alias("n_items")
@@ -34,11 +41,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, remainder("doc_id", 3) != 1)
+    return language.identify(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_substring": op3_substring,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
