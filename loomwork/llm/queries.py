@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, language, media, packing, simhash, substring, toxicity
+from loomwork.llm import decontaminate, hmm, language, media, packing, simhash, substring, toxicity
 from loomwork.llm.common import remainder, table
 
 
@@ -47,6 +47,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = remainder("doc_id", 7) != 2
+    scored = hmm.score(docs, hmm.train(docs, training), training)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_substring": op3_substring,
@@ -55,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op9_language": op9_language,
+    "op10_hmm": op10_hmm,
 }
 ORACLES: dict[str, str] = {}

@@ -74,7 +74,7 @@ class _Bags:
 INIT = 0.01
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, dim: int = 8, epochs: int = 6, size: int = 64, rate: float = 0.3, gain: float = 20.0, seed: int = 1) -> Model:
+def fit(texts: list[bytes | None], labels: np.ndarray, dim: int = 8, epochs: int = 6, size: int = 64, rate: float = 1.0, gain: float = 20.0, seed: int = 1) -> Model:
     """Joint training by Adagrad on mini-batches. With one class only, every score is that class's share."""
     labels = np.asarray(labels, int)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
