@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, hmm, language, media, packing, simhash, substring, toxicity
+from loomwork.llm import decontaminate, hmm, language, media, packing, quality, simhash, substring, toxicity, warc
 from loomwork.llm.common import remainder, table
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -41,6 +45,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    length = F.octet_length("record").cast("long").alias("record_bytes")
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", length, F.sha2("record", 256).alias("record_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, remainder("doc_id", 3) != 1)
@@ -56,11 +66,13 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_substring": op3_substring,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_hmm": op10_hmm,
 }

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, byte_rows, cut_lineage, map_arrow
+from loomwork.llm.common import LOWER, byte_rows, cut_lineage, map_arrow, small, stored
 
 #: Members of an anchor that one task compares with its homes; larger anchors are dealt over several.
 TILE = 4096
@@ -225,3 +225,69 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     of_print = cut_lineage(distinct.join(roots, "node", "left").select(F.col("fp").alias("of"), F.coalesce("root", "node").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(of_print, F.col("fp") == F.col("of")).select(id_col, hexed, "component_id")
+
+
+def shingle_set(text: bytes | None, width: int) -> frozenset[int]:
+    """Hashes of the distinct shingles; a shorter text is one shingle, no words none."""
+    words = text.translate(LOWER).split() if text else []
+    return frozenset(xxhash.xxh64_intdigest(b" ".join(words[k : k + width])) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def similarity(a: frozenset[int], b: frozenset[int]) -> float:
+    """Jaccard similarity; two empty sets are equal."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _alike(pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """(d, rep) of the pairs whose texts ``t`` and ``rt`` are at least that similar."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, last, known = [], None, frozenset()
+        for rep, text, other in zip(batch.column("rep").to_pylist(), byte_rows(batch.column("t")), byte_rows(batch.column("rt")), strict=True):
+            if rep != last:
+                last, known = rep, shingle_set(other, width)
+            keep.append(similarity(shingle_set(text, width), known) >= least)
+        return batch.select(["d", "rep"]).filter(pa.array(keep))
+
+    return map_arrow(pairs.select("d", "rep", "t", "rt"), work, "d long, rep long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 7, least: float = 0.8, rounds: int = 3) -> DataFrame:
+    """The rows without near copies: all columns as they are, one row left of each group.
+
+    Groups come from fingerprints; a row goes only if its text is equal, or at least ``least`` similar in
+    shingles, to the row that stays. What is unlike the first row of its group forms a group of its own, for
+    ``rounds`` rounds; after them the unlike rows stay. Rows with a null id stay, and of rows with equal
+    ids one stays. An empty table gives an empty result.
+    """
+    groups = near_duplicate_components(docs, id_col, text_col, width, threshold)
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null")
+    ids = groups.select(F.col(id_col).cast("long").alias("d"), F.col("component_id").alias("c")).where("d is not null")
+    twice = not ids.groupBy("d").count().where("count > 1").isEmpty()
+    ids = ids.distinct()
+    large = ids.groupBy("c").count().where("count > 1").select("c")
+    members = stored(ids.join(large, "c"), "groups")
+    if members.isEmpty():
+        return docs.dropDuplicates([id_col]) if twice else docs
+    texts = rows.join(small(members.select("d")), "d", "left_semi").dropDuplicates(["d"])
+    digests = texts.select("d", F.md5(F.coalesce("t", F.lit("")).cast("binary")).alias("m"))
+    members = stored(members.join(digests, "d"), "digests")
+    gone: DataFrame | None = None
+    for _ in range(rounds):
+        first = members.groupBy("c").agg(F.min_by(F.struct("d", "m"), "d").alias("r")).select("c", F.col("r.d").alias("rep"), F.col("r.m").alias("rm"))
+        pairs = stored(members.join(stored(first, "first"), "c").where("d > rep"), "pairs")
+        equal = pairs.where("m = rm").select("d", "rep")
+        unequal = pairs.where("m <> rm").select("d", "rep")
+        needed = stored(unequal.select("d").union(unequal.select("rep")).distinct(), "needed")
+        found = texts.join(small(needed), "d", "left_semi")
+        with_text = unequal.join(found, "d").join(found.select(F.col("d").alias("rep"), F.col("t").alias("rt")), "rep")
+        now = stored(equal.union(_alike(with_text, width, least)).select("d"), "near")
+        gone = now if gone is None else gone.union(now)
+        rest = pairs.join(now, "d", "left_anti").select("d", "c", "m")
+        members = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select("d", "c", "m"), "rest")
+        if members.isEmpty():
+            break
+    kept = docs.join(small(stored(gone, "gone")).withColumnRenamed("d", "__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    if not twice:
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
