@@ -1 +1,163 @@
-"""functions."""
+"""Column functions: coercion, missing values, lookups, text and identifiers."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: What counts as uninformative, as a generic identifier, and as true.
+UNINFORMATIVE = ("", "nan", "none", "null", "unclear", "unmapped", "not assessed")
+GENERIC_IDS = ("", "unknown", "none", "null", "missing", "n/a", "na", "unspecified", "unavailable", "not_applicable", "not available")
+TRUE_WORDS = ("true", "1", "yes", "y")
+#: Least scores of the priority labels.
+HIGH, MEDIUM, LOW = 0.70, 0.45, 0.10
+_WHITE = r"^\s+|\s+$"
+
+
+def strip(c: Column) -> Column:
+    """All white space off both ends."""
+    return F.regexp_replace(c, _WHITE, "")
+
+
+def safe_str(c: Column) -> Column:
+    text = strip(c.cast("string"))
+    return F.coalesce(F.when(F.lower(text) == "nan", F.lit("")).otherwise(text), F.lit(""))
+
+
+def safe_double(c: Column, default: float = 0.0) -> Column:
+    """A finite or infinite number, or the default for null, NaN and what is no number."""
+    value = c.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(value), value), F.lit(default))
+
+
+def safe_bool(c: Column) -> Column:
+    return F.coalesce(F.lower(strip(c.cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+
+
+def clip01(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def normalize_symbol(c: Column) -> Column:
+    return F.upper(safe_str(c))
+
+
+def is_missing(c: Column, words: Sequence[str] = UNINFORMATIVE) -> Column:
+    return c.isNull() | F.lower(strip(c.cast("string"))).isin(*words)
+
+
+def usable_id(c: Column) -> Column:
+    """The stripped identifier, or null if it says nothing."""
+    return F.when(~is_missing(c, GENERIC_IDS), strip(c.cast("string")))
+
+
+def lookup(c: Column, table: Mapping[str, float], default: float) -> Column:
+    """Exact match first, then regardless of case, else the default."""
+    if not table:
+        return F.lit(default)
+    pairs = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    lower: dict[str, float] = {}
+    for k, v in table.items():
+        lower.setdefault(k.lower(), v)
+    return F.coalesce(F.try_element_at(pairs(dict(table)), c), F.try_element_at(pairs(lower), F.lower(c)), F.lit(default))
+
+
+def priority_label(score: Column) -> Column:
+    known = ~F.isnan(score)
+    return F.when(known & (score >= HIGH), "high").when(known & (score >= MEDIUM), "medium").when(known & (score > LOW), "low").otherwise("not prioritized")
+
+
+def pipe_list(c: Column, separator: str = r"\|") -> Column:
+    """Trimmed, non-blank parts."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), strip), lambda x: x != "")
+
+
+def collapse_spaces(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"\s+", " "))
+
+
+def phrase(c: Column) -> Column:
+    """A quoted search phrase: white space collapsed, backslashes and quotes escaped."""
+    text = collapse_spaces(c)
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def and_query(*columns: Column) -> Column:
+    return F.concat_ws(" AND ", *(F.when(strip(c) != "", phrase(c)) for c in columns))
+
+
+def matched_markers(c: Column, markers: Sequence[str]) -> Column:
+    """Markers that the lower-cased text contains."""
+    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower(c), m))
+
+
+def clauses(c: Column) -> Column:
+    return F.filter(F.transform(F.split(c, r"[.!?;]+"), strip), lambda x: x != "")
+
+
+def unnegated_markers(c: Column, markers: Sequence[str], negations: Sequence[str]) -> Column:
+    """Markers in clauses that hold no negation."""
+    plain = F.filter(clauses(F.lower(c)), lambda x: ~reduce(lambda a, b: a | b, (F.contains(x, F.lit(n)) for n in negations)))
+    return F.array_distinct(F.flatten(F.transform(plain, lambda x: F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(x, m)))))
+
+
+def quote_at(source: Column, start: Column, end: Column) -> Column:
+    return F.substring(source, start + 1, end - start)
+
+
+def content_id(prefix: str, json: Column) -> Column:
+    return F.concat(F.lit(prefix + "_"), F.sha2(json, 256))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """Compact JSON with sorted keys and explicit nulls."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def parse_label(c: Column) -> tuple[Column, Column, Column]:
+    """(symbol, number, state) of labels such as ``ABC (12)``."""
+    whole, alone = r"^([A-Za-z][A-Za-z0-9-]*) \(([1-9][0-9]*)\)$", r"^[A-Za-z][A-Za-z0-9-]*$"
+    full, only = F.coalesce(c.rlike(whole), F.lit(False)), F.coalesce(c.rlike(alone), F.lit(False))
+    symbol = F.when(full, F.regexp_extract(c, whole, 1)).when(only, c)
+    number = F.when(full, F.regexp_extract(c, whole, 2))
+    return symbol, number, F.when(full, "resolved").when(only, "unresolved_format").otherwise("malformed")
+
+
+def identity(symbol: Column, number: Column) -> Column:
+    return F.concat(F.lit("symbol:"), symbol, F.lit("|entrez:"), number)
+
+
+def escape_html(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def escape_markdown(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\`*_{}\[\]()#+\-!|<>])", r"\\$1")
+
+
+def redact_paths(c: Column, put: str = "[path]") -> Column:
+    return F.regexp_replace(c, r"(?:/(?:home|root|tmp|Users|mnt)/[^\s\"']*)|(?:[A-Za-z]:\\[^\s\"']*)", put)
+
+
+def safe_release_path(c: Column) -> Column:
+    """Relative, without ``..`` and without a scheme."""
+    return F.coalesce(c.rlike(r"^[^/\\:][^\\:]*$") & ~c.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
+
+
+def criterion(observed: Column, op: Column, bound: Column) -> Column:
+    met = F.when(op == ">=", observed >= bound).when(op == "<=", observed <= bound).when(op == "==", observed == bound)
+    return F.when(observed.isNull(), "unavailable").when(met, "pass").otherwise("fail")
+
+
+def word_count(c: Column) -> Column:
+    text = strip(F.coalesce(c, F.lit("")))
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"\s+")))
+
+
+def first_usable(*columns: Column) -> Column:
+    return F.coalesce(*(usable_id(c) for c in columns))

@@ -1,11 +1,467 @@
-"""Registered queries of the triage analytics and their SQL equivalents."""
+"""Registered queries of the triage analytics and their SQL equivalents.
+
+Sums are exact decimals, so that results don't depend on partitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwork import functions as fn
+from loomwork.operators import evaluate, evidence, matrix, ontology, ranking, rules, scoring, universe
+from loomwork.sources import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "ranked_parts"
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return put
+
+
+# --- parts by revenue: baseline, score, ranks ---------------------------------------------------
+
+PARTS = """
+revenue AS (SELECT p.p_partkey, p.p_brand, p.p_type, p.p_size, p.p_retailprice,
+                   CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+                   CAST(COUNT(l.l_partkey) AS BIGINT) AS n_lines
+            FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY 1, 2, 3, 4, 5),
+scored AS (SELECT r.*, COALESCE(revenue, 0.0) / m.top AS score, p_retailprice / m.price AS baseline
+           FROM revenue r, (SELECT MAX(revenue) AS top, MAX(p_retailprice) AS price FROM revenue) m)
+"""
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with revenue, score (share of the largest revenue) and baseline (share of the largest price)."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue"), F.count("l_partkey").alias("n_lines"))
+    joined = table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice", "revenue", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
+    most = joined.agg(F.max("revenue").alias("top"), F.max("p_retailprice").alias("price"))
+    return joined.join(F.broadcast(most)).select(*joined.columns, (F.coalesce("revenue", F.lit(0.0)) / F.col("top")).alias("score"), (F.col("p_retailprice") / F.col("price")).alias("baseline"))
+
+
+LABEL = "CASE WHEN score >= 0.70 THEN 'high' WHEN score >= 0.45 THEN 'medium' WHEN score > 0.10 THEN 'low' ELSE 'not prioritized' END"
+RANKED = f"""
+ranked AS (SELECT p_partkey, score, baseline,
+       CASE WHEN n_lines > 0 THEN CAST(RANK() OVER (ORDER BY CASE WHEN n_lines > 0 THEN baseline END DESC NULLS LAST) AS BIGINT) END AS baseline_rank,
+       CAST(ROW_NUMBER() OVER (ORDER BY score DESC NULLS LAST, baseline DESC NULLS LAST, p_partkey) AS BIGINT) AS rank,
+       {LABEL} AS priority FROM scored)
+"""
+
+
+@register(f"WITH {PARTS}, {RANKED} SELECT *, baseline_rank - rank AS rank_shift FROM ranked")
+def ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking.intent_ranking(parts(spark, sf_dir), "score", "baseline", F.col("n_lines") > 0, "p_partkey")
+    return ranked.select("p_partkey", "score", "baseline", "baseline_rank", "rank", "priority", "rank_shift")
+
+
+@register(f"WITH {PARTS}, {RANKED} SELECT p_partkey, score, rank FROM ranked WHERE priority <> 'not prioritized' AND score > 0 ORDER BY rank, score DESC, p_partkey LIMIT 20")
+def priority_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_k(ranked_parts(spark, sf_dir), 20, key="p_partkey").select("p_partkey", "score", "rank")
+
+
+@register(f"""WITH {PARTS} SELECT p_partkey, CASE WHEN score IS NOT NULL THEN CASE WHEN COUNT(*) OVER () = 1 THEN 1.0 ELSE
+ 1.0 - ((RANK() OVER (ORDER BY p_retailprice DESC) + (COUNT(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0) - 1) / CAST(COUNT(*) OVER () - 1 AS DOUBLE) END END AS percentile FROM scored""")
+def midrank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.midrank_percentile(parts(spark, sf_dir), "p_retailprice").select("p_partkey", "percentile")
+
+
+@register(f"""WITH {PARTS},
+b AS (SELECT p_partkey, CAST(ROW_NUMBER() OVER (ORDER BY baseline DESC, p_partkey) AS BIGINT) AS base, CASE WHEN p_size > 10 THEN score END AS signal FROM scored),
+o AS (SELECT *, FLOOR((base - 1) / 50.0) AS band, signal IS NOT NULL AS ok FROM b),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY band, ok ORDER BY signal DESC NULLS LAST, base, p_partkey) AS ord, ROW_NUMBER() OVER (PARTITION BY band, ok ORDER BY base, p_partkey) AS slot FROM o)
+SELECT a.p_partkey, a.base AS baseline_rank, COALESCE(s.base, a.base) AS overlay_rank FROM r a LEFT JOIN r s ON a.ok AND s.ok AND a.band = s.band AND a.ord = s.slot""")
+def bounded_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking.unique_rank(parts(spark, sf_dir), "baseline", "baseline", "p_partkey", "baseline_rank")
+    signal = ranked.select("p_partkey", "baseline_rank", F.when(F.col("p_size") > 10, F.col("score")).alias("signal"))
+    return ranking.bounded_overlay(signal, "baseline_rank", "signal", "p_partkey", 50).select("p_partkey", "baseline_rank", "overlay_rank")
+
+
+@register("""SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders) WHERE place <= 3""")
+def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = ranking.top_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+    return best.select("o_custkey", "o_orderkey", "place")
+
+
+# --- ladders, lookups, audits --------------------------------------------------------------------
+
+@register("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 'urgent closed' WHEN o_orderpriority LIKE '1%' THEN 'urgent open' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'watch' ELSE 'routine' END AS role,
+ CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 'high' WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'medium' ELSE 'low' END AS role_confidence FROM orders""")
+def role_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = F.col("o_orderpriority").startswith("1")
+    steps = [
+        (urgent & (F.col("o_orderstatus") == "F"), {"role": "urgent closed", "role_confidence": "high"}),
+        (urgent, {"role": "urgent open", "role_confidence": "high"}),
+        (F.col("o_orderpriority").startswith("2") | (F.col("o_totalprice") > 300000), {"role": "watch", "role_confidence": "medium"}),
+    ]
+    return rules.apply_ladder(table(spark, sf_dir, "orders"), steps, {"role": "routine", "role_confidence": "low"}).select("o_orderkey", "role", "role_confidence")
+
+
+@register("""WITH axes AS (SELECT DISTINCT s.s_name AS symbol, n.n_regionkey AS ord, 'axis' || n.n_regionkey AS axis_id, r.r_name AS label, CASE WHEN n.n_regionkey < 2 THEN 'west' ELSE 'east' END AS role
+  FROM supplier s JOIN lineitem l ON l.l_suppkey = s.s_suppkey JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+  WHERE o.o_orderstatus = 'F' AND l.l_quantity >= 40 AND l.l_linenumber = 1),
+g AS (SELECT symbol, COUNT(*) AS n, STRING_AGG(axis_id, '; ' ORDER BY ord) AS ids, STRING_AGG(label, '; ' ORDER BY ord) AS labels, STRING_AGG(DISTINCT role, ' | ' ORDER BY role) AS roles FROM axes GROUP BY 1)
+SELECT s.s_suppkey, COALESCE(g.ids, 'unmapped') AS axis_ids, COALESCE(g.labels, 'unmapped') AS axis_labels, COALESCE(g.roles, '') AS axis_roles, CAST(COALESCE(n, 0) AS BIGINT) AS n_axes,
+ CASE WHEN n > 0 THEN LEAST(1.0::DOUBLE, 0.75::DOUBLE + 0.15::DOUBLE * (n - 1)) ELSE 0.0 END AS axis_score, CASE WHEN n >= 2 THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'low' END AS axis_confidence
+FROM supplier s LEFT JOIN g ON UPPER(TRIM(s.s_name)) = UPPER(g.symbol)""")
+def ontology_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    axes = (
+        t("lineitem").where("l_quantity >= 40 AND l_linenumber = 1").select("l_orderkey", "l_suppkey")
+        .join(t("orders").where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("l_suppkey", F.col("n_regionkey").alias("ord")).distinct()
+        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("region"), F.col("ord") == F.col("r_regionkey"))
+    )
+    members = axes.groupBy("ord", F.concat(F.lit("axis"), F.col("ord")).alias("axis_id"), F.col("r_name").alias("label"), F.when(F.col("ord") < 2, "west").otherwise("east").alias("role")).agg(F.collect_set("s_name").alias("members"))
+    found = ontology.annotate(t("supplier").select("s_suppkey", "s_name"), ontology.axis_index(members), "s_name")
+    return found.drop("s_name")
+
+
+@register("""WITH a AS (SELECT c.c_custkey, COUNT(o.o_orderkey) AS n, COUNT_IF(o.o_orderstatus = 'O') AS n_open, COUNT_IF(o.o_orderpriority LIKE '5%') AS n_low, MAX(c.c_acctbal) AS bal FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1),
+r AS (SELECT *, LIST_FILTER([CASE WHEN n = 0 THEN 'no orders' END, CASE WHEN bal < 0 THEN 'negative balance' END, CASE WHEN n_open > 5 THEN 'many open' END, CASE WHEN n > 0 AND n_low * 2 > n THEN 'mostly low priority' END, CASE WHEN n = 0 AND bal < 0 THEN 'negative balance' END], lambda x: x IS NOT NULL) AS against FROM a)
+SELECT c_custkey, ARRAY_TO_STRING(CASE WHEN n = 0 AND bal < 0 THEN ['no orders', 'negative balance'] ELSE against END, ' | ') AS evidence_against,
+ LEAST(1.0::DOUBLE, LEAST(0.4::DOUBLE, 0.08::DOUBLE * LEN(against)) + CASE WHEN bal < -500 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN n = 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) AS contradiction FROM r""")
+def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_if(F.col("o_orderpriority").startswith("5")).alias("n_low"))
+    joined = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").na.fill(0, ["n", "n_open", "n_low"])
+    none, minus = F.col("n") == 0, F.col("c_acctbal") < 0
+    against = rules.collect_reasons((none, "no orders"), (minus, "negative balance"), (F.col("n_open") > 5, "many open"), ((F.col("n") > 0) & (F.col("n_low") * 2 > F.col("n")), "mostly low priority"), (none & minus, "negative balance"))
+    score = F.least(F.lit(0.4), F.lit(0.08) * F.size("against")) + F.when(F.col("c_acctbal") < -500, 0.25).otherwise(0.0) + F.when(none, 0.15).otherwise(0.0)
+    return joined.withColumn("against", against).select("c_custkey", rules.join_unique(F.col("against")).alias("evidence_against"), F.least(F.lit(1.0), score).alias("contradiction"))
+
+
+@register("""WITH x AS (SELECT d.doc_id, CASE WHEN LOWER(TRIM(d.text)) IN ('', 'nan', 'none', 'null', 'unclear', 'unmapped', 'not assessed') THEN 0 ELSE 1 END + CASE WHEN d.lang IS NULL THEN 0 ELSE 1 END + CASE WHEN l.quality IS NULL THEN 0 ELSE 1 END + CASE WHEN l.toxic IS NULL THEN 0 ELSE 1 END AS n,
+  CONCAT_WS(' | ', CASE WHEN l.quality IS NULL THEN 'quality' END, CASE WHEN l.toxic IS NULL THEN 'toxic' END) AS missing FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT doc_id, n / 4.0::DOUBLE AS completeness, missing, CASE WHEN n = 4 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM x""")
+def completeness_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    fields = ["text", "lang", "quality", "toxic"]
+    n = sum((F.when(fn.is_missing(F.col(f)), 0).otherwise(1) for f in fields), F.lit(0))
+    missing = rules.collect_reasons(*((fn.is_missing(F.col(f)), f) for f in fields))
+    level = F.when(F.col("n") == 4, "high").when(F.col("n") >= 2, "medium").otherwise("low")
+    return joined.withColumn("n", n).select("doc_id", (F.col("n") / F.lit(4.0)).alias("completeness"), F.concat_ws(" | ", missing).alias("missing"), level.alias("confidence"))
+
+
+# --- profiles and scenarios -----------------------------------------------------------------------
+
+PROFILES = [
+    scoring.Profile("volume", {"baseline": 0.15, "axis": 0.20, "role": 0.20, "modality": 0.20, "confidence": 0.10, "balance": 0.10, "novelty": 0.05}, roles={"home": 1.0, "abroad": 0.4}, confidences={"high": 1.0, "medium": 0.6, "low": 0.2}, modalities={"fit": {"high": 1.0, "low": 0.25}}, poor=-0.45, contradiction=-0.25, unmapped=-0.20),
+    scoring.Profile("balance", {"baseline": 0.20, "axis": 0.10, "role": 0.25, "modality": 0.25, "confidence": 0.10, "balance": 0.10, "novelty": 0.0}, roles={"home": 0.5, "abroad": 0.9}, confidences={"high": 1.0, "medium": 0.6, "low": 0.2}, modalities={"fit": {"high": 0.3, "low": 0.8}}, poor=-0.25, contradiction=-0.15, unmapped=-0.05),
+]
+FEATURES_SQL = """
+f AS (SELECT s.s_suppkey, COALESCE(t.n, 0) / CAST(MAX(t.n) OVER () AS DOUBLE) AS baseline, GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, s.s_acctbal / 10000.0::DOUBLE)) AS axis_score,
+ CASE WHEN s.s_nationkey < 10 THEN 'home' ELSE 'abroad' END AS role, CASE WHEN s.s_acctbal > 5000 THEN 'high' WHEN s.s_acctbal > 0 THEN 'medium' ELSE 'low' END AS confidence,
+ CASE WHEN COALESCE(t.n, 0) > 600 THEN 'high' ELSE 'low' END AS fit, CASE WHEN s.s_acctbal < 0 THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS contradiction, s.s_acctbal < -500 AS poor
+ FROM supplier s LEFT JOIN (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY 1) t ON t.l_suppkey = s.s_suppkey)
+"""
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with the columns a profile scores."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    joined = table(spark, sf_dir, "supplier").join(counts, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    most = counts.agg(F.max("n").cast("double").alias("top"))
+    n = F.coalesce("n", F.lit(0))
+    return joined.join(F.broadcast(most)).select(
+        "s_suppkey", (n / F.col("top")).alias("baseline"), fn.clip01(F.col("s_acctbal") / F.lit(10000.0)).alias("axis_score"),
+        F.when(F.col("s_nationkey") < 10, "home").otherwise("abroad").alias("role"), F.when(F.col("s_acctbal") > 5000, "high").when(F.col("s_acctbal") > 0, "medium").otherwise("low").alias("confidence"),
+        F.when(n > 600, "high").otherwise("low").alias("fit"), F.when(F.col("s_acctbal") < 0, 0.7).otherwise(0.2).alias("contradiction"), (F.col("s_acctbal") < -500).alias("poor_target"),
+    )
+
+
+def _case(column: str, levels: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in levels.items()) + " ELSE 0.0::DOUBLE END"
+
+
+def _score_sql(p: scoring.Profile, weights: dict[str, float] | None = None) -> str:
+    w = weights or p.weights
+    fit = f"((1.0::DOUBLE * {_case('fit', p.modalities['fit'])}) / 1.0::DOUBLE)"
+    terms = {"baseline": "baseline", "axis": "axis_score", "role": _case("role", p.roles), "modality": fit, "confidence": _case("confidence", p.confidences), "balance": "(1.0::DOUBLE - contradiction)", "novelty": "0.5::DOUBLE"}
+    total = " + ".join(f"{w[c]!r}::DOUBLE * {terms[c]}" for c in scoring.COMPONENTS)
+    fine = f"(CASE WHEN poor THEN {p.poor!r}::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contradiction >= 0.6 THEN {p.contradiction!r}::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, ({total}) + {fine}))"
+
+
+@register(f"WITH {FEATURES_SQL} SELECT s_suppkey, " + ", ".join(f"{_score_sql(p)} AS {p.name}_score" for p in PROFILES) + " FROM f")
+def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = features(spark, sf_dir)
+    for p in PROFILES:
+        df = scoring.score(df, p, keep_parts=False)
+    return df.select("s_suppkey", *(f"{p.name}_score" for p in PROFILES))
+
+
+FACTORS = {"down": 0.8, "up": 1.2}
+SCENARIOS = [("volume|none|base", PROFILES[0]), *((f"{p}|{w}|{d}", q) for p, w, d, q in scoring.scenarios(PROFILES[:1], FACTORS))]
+SCENARIO_SQL = " UNION ALL ".join(f"SELECT '{name}' AS scenario, s_suppkey, baseline, {_score_sql(PROFILES[0], dict(q.weights))} AS score FROM f" for name, q in SCENARIOS)
+SCENARIO_RANKS = f"""{FEATURES_SQL}, s AS ({SCENARIO_SQL}),
+k AS (SELECT scenario, s_suppkey, CAST(ROW_NUMBER() OVER (PARTITION BY scenario ORDER BY score DESC NULLS LAST, baseline DESC NULLS LAST, s_suppkey) AS BIGINT) AS rank FROM s),
+j AS (SELECT a.scenario, a.s_suppkey, b.rank AS base_rank, a.rank FROM k a JOIN k b ON b.s_suppkey = a.s_suppkey AND b.scenario = 'volume|none|base' WHERE a.scenario <> 'volume|none|base')"""
+
+
+def scenario_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_long(features(spark, sf_dir), SCENARIOS, "s_suppkey").withColumnRenamed("case", "scenario")
+    ranked = ranking.unique_rank(scored, "score", "baseline", "s_suppkey", by=["scenario"])
+    base = ranked.where(F.col("scenario") == SCENARIOS[0][0]).select("s_suppkey", F.col("rank").alias("base_rank"))
+    return ranked.where(F.col("scenario") != SCENARIOS[0][0]).join(base, "s_suppkey").select("scenario", "s_suppkey", "base_rank", "rank")
+
+
+@register(f"WITH {SCENARIO_RANKS} SELECT * FROM j")
+def sensitivity_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenario_ranks(spark, sf_dir)
+
+
+_STABLE = """SELECT scenario, COUNT(*) AS n, (COUNT(*)::DOUBLE * SUM(base_rank * rank)::DOUBLE - SUM(base_rank)::DOUBLE * SUM(rank)::DOUBLE) / NULLIF(SQRT((COUNT(*)::DOUBLE * SUM(base_rank * base_rank)::DOUBLE - SUM(base_rank)::DOUBLE * SUM(base_rank)::DOUBLE) * (COUNT(*)::DOUBLE * SUM(rank * rank)::DOUBLE - SUM(rank)::DOUBLE * SUM(rank)::DOUBLE)), 0) AS spearman,
+ AVG(ABS(base_rank - rank)) AS mean_change, MAX(ABS(base_rank - rank)) AS max_change, COUNT_IF(base_rank <= 10 AND rank <= 10)::DOUBLE / COUNT_IF(base_rank <= 10 OR rank <= 10) AS jaccard_10, COUNT_IF(base_rank <= 10 AND rank <= 10)::DOUBLE / COUNT_IF(base_rank <= 10) AS retention_10 FROM j GROUP BY 1"""
+
+
+@register(f"WITH {SCENARIO_RANKS} {_STABLE}")
+def sensitivity_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_stability(scenario_ranks(spark, sf_dir), ["scenario"], "base_rank", "rank", [10])
+
+
+@register(f"""WITH {SCENARIO_RANKS}, t AS ({_STABLE}), u AS (SELECT SPLIT_PART(scenario, '|', 2) AS weight, * FROM t)
+SELECT weight, COUNT(*) AS n_scenarios, MIN(spearman) AS min_spearman, MAX(max_change) AS max_change, MIN(jaccard_10) AS min_jaccard_10, MIN(retention_10) AS min_retention_10, ARG_MIN(scenario, (spearman, scenario)) AS worst_scenario FROM u GROUP BY 1""")
+def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sensitivity_stability(spark, sf_dir).withColumn("weight", F.split_part("scenario", F.lit("|"), F.lit(2)))
+    return rows.groupBy("weight").agg(F.count(F.lit(1)).alias("n_scenarios"), F.min("spearman").alias("min_spearman"), F.max("max_change").alias("max_change"), F.min("jaccard_10").alias("min_jaccard_10"), F.min("retention_10").alias("min_retention_10"), F.min_by("scenario", F.struct("spearman", "scenario")).alias("worst_scenario"))
+
+
+@register(f"""WITH {SCENARIO_RANKS} SELECT s_suppkey, MIN(base_rank) AS base_rank, MIN(rank) AS min_rank, MAX(rank) AS max_rank, AVG(rank) AS mean_rank, AVG(ABS(rank - base_rank)) AS mean_change, AVG(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS top10_rate FROM j GROUP BY 1""")
+def sensitivity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scenario_ranks(spark, sf_dir)
+    return rows.groupBy("s_suppkey").agg(F.min("base_rank").alias("base_rank"), F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"), F.avg("rank").alias("mean_rank"), F.avg(F.abs(F.col("rank") - F.col("base_rank"))).alias("mean_change"), F.avg(F.when(F.col("rank") <= 10, 1.0).otherwise(0.0)).alias("top10_rate"))
+
+
+@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, {_score_sql(PROFILES[0])} AS a, {_score_sql(PROFILES[1])} AS b, s_suppkey % 7 <> 0 AS ok FROM f)
+SELECT s_suppkey, CASE WHEN NOT ok THEN '__missing_prediction__' WHEN GREATEST(a, b) <= 0.1 THEN 'none' WHEN a = GREATEST(a, b) THEN 'volume' ELSE 'balance' END AS intent, CASE WHEN ok THEN GREATEST(a, b) ELSE 0.0 END AS intent_score FROM s""")
+def primary_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weighted_scores(spark, sf_dir)
+    intent, value = evaluate.primary_intent({p.name: F.col(f"{p.name}_score") for p in PROFILES}, F.col("s_suppkey") % 7 != 0)
+    return scored.select("s_suppkey", intent.alias("intent"), value.alias("intent_score"))
+
+
+# --- universes -----------------------------------------------------------------------------------
+
+@register("""WITH base AS (SELECT UPPER(TRIM(c_name)) AS symbol, c_acctbal AS score FROM customer WHERE c_custkey % 3 = 0)
+SELECT symbol, score, TRUE AS has_evidence, 'association' AS source FROM base UNION ALL
+SELECT DISTINCT UPPER(TRIM(c_name)), 0.0, FALSE, 'required_symbol' FROM customer JOIN orders ON o_custkey = c_custkey WHERE UPPER(TRIM(c_name)) NOT IN (SELECT symbol FROM base)""")
+def universe_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    base = customers.where("c_custkey % 3 = 0").select(fn.normalize_symbol(F.col("c_name")).alias("symbol"), F.col("c_acctbal").alias("score"))
+    required = customers.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_name")
+    return universe.augment(base, required, "symbol", "score")
+
+
+@register("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 5000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 2000)
+SELECT (SELECT COUNT(*) FROM a) AS n_customers, (SELECT COUNT(*) FROM b) AS n_suppliers, (SELECT COUNT(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS n_both, (SELECT COUNT(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS n_only_customers, (SELECT COUNT(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)) AS n_only_suppliers""")
+def universe_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 2000").select(F.col("s_nationkey").alias("k"))
+    return universe.overlap(a, b, "k", ("customers", "suppliers"))
+
+
+@register("""WITH r AS (SELECT o_orderkey AS id, ' ' || LOWER(c_name) || ' ' AS request FROM orders JOIN customer ON c_custkey = o_custkey * 2),
+l AS (SELECT UPPER(c_name) AS k, c_mktsegment AS label FROM customer WHERE c_custkey % 4 <> 0 UNION SELECT UPPER(c_name), 'OTHER' FROM customer WHERE c_custkey % 10 = 0),
+g AS (SELECT k, COUNT(DISTINCT label) AS n, MIN(label) AS label FROM l GROUP BY 1)
+SELECT id, CASE WHEN n = 1 THEN g.label END AS label, CASE WHEN COALESCE(n, 0) = 0 THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN ROW_NUMBER() OVER (PARTITION BY UPPER(TRIM(request)) ORDER BY id, request) > 1 THEN 'duplicate' ELSE 'resolved' END AS state FROM r LEFT JOIN g ON UPPER(TRIM(r.request)) = g.k""")
+def request_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    requests = table(spark, sf_dir, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey") * 2).select(F.col("o_orderkey").alias("id"), F.concat(F.lit(" "), F.lower("c_name"), F.lit(" ")).alias("request"))
+    name = F.upper("c_name").alias("k")
+    labels = customers.where("c_custkey % 4 <> 0").select(name, F.col("c_mktsegment").alias("label_found")).union(customers.where("c_custkey % 10 = 0").select(name, F.lit("OTHER")))
+    return universe.resolve(requests, labels, "request", "k", "label_found").select("id", "label", "state")
+
+
+@register("""SELECT COALESCE(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS in_right FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O') a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'N') b ON a.k = b.k""")
+def id_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"))
+    right = table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("k"))
+    return universe.reconcile(left, right, "k")
+
+
+# --- evaluation ------------------------------------------------------------------------------------
+
+@register("""WITH d AS (SELECT x.quality FROM (VALUES ('0'), ('1')) x(quality)), c AS (SELECT CAST(quality AS VARCHAR) AS quality, COUNT_IF(toxic = 0) AS predicted_0, COUNT_IF(toxic = 1) AS predicted_1 FROM labels GROUP BY 1)
+SELECT d.quality, CAST(COALESCE(predicted_0, 0) AS BIGINT) AS predicted_0, CAST(COALESCE(predicted_1, 0) AS BIGINT) AS predicted_1 FROM d LEFT JOIN c ON d.quality = c.quality""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion_matrix(table(spark, sf_dir, "labels"), "quality", "toxic", ["0", "1"])
+
+
+_PREDICTED = "p AS (SELECT CAST(l.quality AS VARCHAR) AS e, CASE WHEN d.n_chars < 300 OR d.lang = 'es' THEN '0' ELSE '1' END AS p FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+
+
+@register(f"""WITH {_PREDICTED}, x AS (SELECT e AS label FROM p UNION SELECT p FROM p),
+c AS (SELECT x.label, (SELECT COUNT(*) FROM p WHERE e = x.label) AS a, (SELECT COUNT(*) FROM p WHERE p.p = x.label) AS f, (SELECT COUNT(*) FROM p WHERE e = x.label AND p.p = x.label) AS t FROM x)
+SELECT SUM(t)::DOUBLE / SUM(a)::DOUBLE AS accuracy, LIST_REDUCE(LIST_PREPEND(0.0::DOUBLE, LIST(CASE WHEN f = 0 THEN 0.0 ELSE t::DOUBLE / f END ORDER BY label)), lambda u, v: u + v) / COUNT(*) AS macro_precision, LIST_REDUCE(LIST_PREPEND(0.0::DOUBLE, LIST(CASE WHEN a = 0 THEN 0.0 ELSE t::DOUBLE / a END ORDER BY label)), lambda u, v: u + v) / COUNT(*) AS macro_recall, LIST_REDUCE(LIST_PREPEND(0.0::DOUBLE, LIST(CASE WHEN a + f = 0 THEN 0.0 ELSE 2.0::DOUBLE * t / (a + f)::DOUBLE END ORDER BY label)), lambda u, v: u + v) / COUNT(*) AS macro_f1 FROM c""")
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    said = F.when((F.col("n_chars") < 300) | (F.col("lang") == "es"), "0").otherwise("1")
+    return evaluate.classification_metrics(joined.select(F.col("quality").cast("string").alias("e"), said.alias("p")), "e", "p")
+
+
+@register("""WITH r AS (SELECT d.lang, l.quality = 0 AS pos, ROW_NUMBER() OVER (PARTITION BY d.lang ORDER BY d.n_chars, d.doc_id) AS k FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+h AS (SELECT *, SUM(CASE WHEN pos THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY k) AS hits FROM r)
+SELECT lang, COUNT(*) AS n, CAST(COUNT_IF(pos) AS BIGINT) AS n_positive, LIST_REDUCE(LIST_PREPEND(0.0::DOUBLE, LIST(hits::DOUBLE / k::DOUBLE ORDER BY k) FILTER (pos)), lambda u, v: u + v) / COUNT_IF(pos)::DOUBLE AS average_precision, 1.0::DOUBLE / MIN(k) FILTER (pos) AS reciprocal_rank, MEDIAN(k) FILTER (pos) AS median_rank,
+ COUNT_IF(pos AND k <= 10)::DOUBLE / COUNT_IF(pos)::DOUBLE AS recall_10, COUNT_IF(pos AND k <= 10)::DOUBLE / LEAST(10, COUNT(*))::DOUBLE AS precision_10 FROM h GROUP BY 1""")
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    order = joined.withColumn("rank", F.struct("n_chars", "doc_id"))
+    return evaluate.ranking_metrics(order, "rank", F.col("quality") == 0, ["lang"], [10])
+
+
+@register()
+def enrichment_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    by = joined.groupBy("source").agg(F.count(F.lit(1)).alias("drawn"), F.count_if(F.col("toxic") == 1).alias("hits"))
+    total = by.agg(F.sum("drawn").alias("population"), F.sum("hits").alias("positives"), F.count(F.lit(1)).alias("tests"))
+    tail = evaluate.hypergeometric_tail(by.join(F.broadcast(total)), "population", "positives", "drawn", "hits")
+    return tail.withColumn("adjusted", evaluate.bonferroni(F.col("p_value"), F.col("tests"))).drop("tests")
+
+
+# --- matrices and groups ----------------------------------------------------------------------------
+
+@register("""SELECT event_type, COUNT(value) AS n, CAST(COUNT_IF(value IS NULL) AS BIGINT) AS n_missing, MIN(value) AS least, MAX(value) AS most, ROUND(QUANTILE_CONT(value, 0.25), 6) AS q1, ROUND(QUANTILE_CONT(value, 0.5), 6) AS median, ROUND(QUANTILE_CONT(value, 0.75), 6) AS q3, ROUND(QUANTILE_CONT(value, 0.75) - QUANTILE_CONT(value, 0.25), 6) AS iqr, COUNT_IF(value >= 50)::DOUBLE / COUNT(value)::DOUBLE AS fraction_0 FROM events GROUP BY 1""")
+def group_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matrix.summarize(table(spark, sf_dir, "events"), ["event_type"], "value", [50.0])
+    return found.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "iqr")})
+
+
+@register("""SELECT c_nationkey, COUNT(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS n_in, COUNT(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END) AS n_out, MEDIAN(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS median_in, MEDIAN(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END) AS median_out,
+ CASE WHEN COUNT(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) >= 2 AND COUNT(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END) >= 2 THEN MEDIAN(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) - MEDIAN(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END) END AS difference FROM customer GROUP BY 1""")
+def context_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.contrast(table(spark, sf_dir, "customer"), ["c_nationkey"], F.col("c_mktsegment") == "BUILDING", "c_acctbal", 2, 2)
+
+
+@register("""WITH m AS (SELECT c_nationkey, MEDIAN(c_acctbal) AS median, COUNT(c_acctbal) AS n FROM customer GROUP BY 1 HAVING COUNT(c_acctbal) >= 2)
+SELECT *, 100.0::DOUBLE * (RANK() OVER (ORDER BY median) - 1 + (COUNT(*) OVER (PARTITION BY median) - 1) / 2.0::DOUBLE) / GREATEST(1, COUNT(*) OVER () - 1) AS position FROM m""")
+def lineage_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.position(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 2)
+
+
+@register("""SELECT id, label, AVG(CAST(value AS DECIMAL(18,2)))::DOUBLE AS mean, COUNT(value) AS n FROM (SELECT l_returnflag AS id, UNNEST(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS label, UNNEST([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem) GROUP BY 1, 2""".replace("AVG(CAST(value AS DECIMAL(18,2)))::DOUBLE", "SUM(CAST(value AS DECIMAL(18,2)))::DOUBLE / COUNT(value)::DOUBLE"))
+def matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("id"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    cells = matrix.to_long(lines, "id")
+    return cells.groupBy("id", "label").agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("value").cast("double")).alias("mean"), F.count("value").alias("n"))
+
+
+@register(r"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '1' || p_brand WHEN p_partkey % 3 = 0 THEN REPLACE(p_brand, '#', '') ELSE REPLACE(p_brand, '#', '') || ' (' || p_partkey || ')' END AS label FROM part),
+y AS (SELECT *, REGEXP_MATCHES(label, '^[A-Za-z][A-Za-z0-9-]* \([1-9][0-9]*\)$') AS ok, REGEXP_MATCHES(label, '^[A-Za-z][A-Za-z0-9-]*$') AS alone FROM x)
+SELECT p_partkey, CASE WHEN ok THEN REGEXP_EXTRACT(label, '^([A-Za-z][A-Za-z0-9-]*) ', 1) WHEN alone THEN label END AS symbol, CASE WHEN ok THEN REGEXP_EXTRACT(label, '\(([0-9]+)\)$', 1) END AS number, CASE WHEN ok THEN 'resolved' WHEN alone THEN 'unresolved_format' ELSE 'malformed' END AS state FROM y""")
+def label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
+    label = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("1"), F.col("p_brand"))).when(F.col("p_partkey") % 3 == 0, plain).otherwise(F.concat(plain, F.lit(" ("), F.col("p_partkey"), F.lit(")")))
+    symbol, number, state = fn.parse_label(F.col("label"))
+    return table(spark, sf_dir, "part").withColumn("label", label).select("p_partkey", symbol.alias("symbol"), number.alias("number"), state.alias("state"))
+
+
+# --- evidence, text, states ----------------------------------------------------------------------------
+
+@register("""SELECT n_nationkey, 'nation_' || SHA256('{"n_name":"' || n_name || '","n_regionkey":"' || n_regionkey || '"}') AS content_id FROM nation""")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.with_content_id(table(spark, sf_dir, "nation"), "nation", ["n_regionkey", "n_name"]).select("n_nationkey", "content_id")
+
+
+@register("""SELECT doc_id, MIN(doc_id) OVER (PARTITION BY text) AS first_key, COUNT(*) OVER (PARTITION BY text) AS n_same, doc_id > MIN(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents""")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return evidence.exact_duplicates(docs, "digest", "doc_id").drop("digest")
+
+
+@register("""WITH s AS (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0), i AS (SELECT CASE WHEN doc_id % 5 = 0 THEN doc_id - doc_id % 2 ELSE doc_id END AS k, text FROM documents WHERE doc_id % 2 = 1 OR doc_id % 6 = 0)
+SELECT i.k, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.text = i.text) OR ROW_NUMBER() OVER (PARTITION BY i.text ORDER BY i.k) > 1 THEN 'duplicate' WHEN EXISTS (SELECT 1 FROM s WHERE s.doc_id = i.k) THEN 'rejected_mutation' ELSE 'new' END AS outcome FROM i""")
+def append_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.md5("text").alias("body"))
+    store = docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "k")
+    key = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") - F.col("doc_id") % 2).otherwise(F.col("doc_id")).alias("k")
+    incoming = docs.where("doc_id % 2 = 1 OR doc_id % 6 = 0").select(key, "digest", "body")
+    return evidence.classify_append(incoming, store, "k", "digest", "body").select("k", "outcome")
+
+
+@register("""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations), e AS (SELECT id, parent FROM t WHERE parent IN (SELECT id FROM t)),
+w AS (SELECT id AS node, id AS root FROM (SELECT parent AS id FROM e EXCEPT SELECT id FROM e) UNION SELECT e.id, w.root FROM e JOIN w ON e.parent = w.node) SELECT node, root FROM w""")
+def lineage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("child"), F.col("turn"))
+    edges = turns.where("turn > 0").select("child", (F.col("child") - 1).alias("parent"))
+    known = edges.join(turns.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+    return evidence.lineage_roots(known)
+
+
+@register("""SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT CASE WHEN TRIM(event_type) <> '' THEN event_type END) AS n_event_type, COUNT(DISTINCT CASE WHEN TRIM(props) <> '' THEN props END) AS n_props FROM events GROUP BY 1""")
+def card_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.card_metrics(table(spark, sf_dir, "events"), ["user_id"], ["event_type", "props"])
+
+
+@register("""WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT UNNEST(['click', 'purchase', 'error', 'signup', 'view', 'refund']) AS event_type)
+SELECT u.user_id, s.event_type, COUNT(e.event_id) AS n FROM u CROSS JOIN s LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = s.event_type GROUP BY 1, 2""")
+def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return evidence.state_coverage(events, events.select("user_id").distinct(), ["click", "purchase", "error", "signup", "view", "refund"], "event_type")
+
+
+@register("""SELECT user_id, event_type, COUNT(DISTINCT props) AS n_values, COUNT(*) AS n FROM events GROUP BY 1, 2 HAVING COUNT(DISTINCT props) > 1""")
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.contradictions(table(spark, sf_dir, "events"), ["user_id", "event_type"], "props")
+
+
+@register("""SELECT event_id, 'k' AS factor, JSON_EXTRACT_STRING(props, '$.k') AS value, CASE WHEN JSON_EXTRACT_STRING(props, '$.k') IS NULL THEN 'not_available' ELSE 'observed' END AS availability FROM events""")
+def eav_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").select("event_id", F.lit("k").alias("factor"), value.alias("value"), F.when(value.isNull(), "not_available").otherwise("observed").alias("availability"))
+
+
+@register("""WITH c AS (SELECT item_id, item_id * 3 AS doc_id, CASE WHEN item_id % 2 = 0 THEN SUBSTR(text, 1, 12) ELSE (SELECT SUBSTR(d.text, 5, 20) FROM documents d WHERE d.doc_id = b.item_id * 3) END AS quote FROM benchmark b)
+SELECT c.item_id, CASE WHEN COALESCE(TRIM(c.quote), '') = '' THEN 'missing_quote' WHEN d.doc_id IS NULL THEN 'missing_document' WHEN COALESCE(TRIM(d.text), '') = '' THEN 'empty_document' WHEN NOT CONTAINS(d.text, c.quote) THEN 'quote_not_literal' ELSE 'verified' END AS verification FROM c LEFT JOIN documents d ON d.doc_id = c.doc_id""")
+def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("doc_id"), F.substring("text", 5, 20).alias("own"))
+    claims = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") * 3).alias("doc_id"), "text").join(own, "doc_id", "left")
+    quote = F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 12)).otherwise(F.col("own"))
+    return evidence.verify_citations(claims.select("item_id", "doc_id", quote.alias("quote")), docs, "doc_id", "quote", "text").select("item_id", "verification")
+
+
+MARKERS, NEGATIONS = ["the", "tion", "license", "password"], ["not ", "no "]
+
+
+@register("""SELECT conv_id, turn, ARRAY_TO_STRING(LIST_FILTER(['the', 'tion', 'license', 'password'], lambda m: CONTAINS(LOWER(text), m)), ',') AS markers FROM conversations""")
+def claim_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(fn.matched_markers(F.col("text"), MARKERS), ",").alias("markers"))
+
+
+@register("""SELECT user_id, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT event_id) FILTER (event_type = 'purchase')), ',') AS for_ids, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT event_id) FILTER (event_type = 'error')), ',') AS against_ids FROM events GROUP BY 1 HAVING COUNT_IF(event_type = 'purchase') > 0 AND COUNT_IF(event_type = 'error') > 0""")
+def stance_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.conflicting_pairs(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id", ("purchase", "error"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("user_id", joined("for_ids"), joined("against_ids"))
+
+
+@register("""SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source IN ('src0', 'src2') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def selector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("source").isin("src0", "src2"))
+    return docs.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id", "lang", "source")
+
+
+@register("""WITH m AS (SELECT COUNT(*)::DOUBLE AS n, AVG(quality) AS good, MIN(doc_id)::DOUBLE AS least FROM labels), c AS (SELECT 'count' AS criterion, n AS observed, '>=' AS op, 100.0 AS bound FROM m UNION ALL SELECT 'good', good, '>=', 0.99 FROM m UNION ALL SELECT 'least', NULLIF(least, least), '==', 0.0 FROM m)
+SELECT criterion, CASE WHEN observed IS NULL THEN 'unavailable' WHEN (op = '>=' AND observed >= bound) OR (op = '==' AND observed = bound) THEN 'pass' ELSE 'fail' END AS state FROM c""")
+def gate_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("quality").alias("good"), F.lit(None).cast("double").alias("least"))
+    row = lambda name, op, bound: F.struct(F.lit(name[0]).alias("criterion"), F.col(name[1]).alias("observed"), F.lit(op).alias("op"), F.lit(bound).alias("bound"))
+    rows = m.select(F.inline(F.array(row(("count", "n"), ">=", 100.0), row(("good", "good"), ">=", 0.99), row(("least", "least"), "==", 0.0))))
+    return rows.select("criterion", fn.criterion(F.col("observed"), F.col("op"), F.col("bound")).alias("state"))
+
+
+@register("""SELECT axis, COUNT(*) AS n, MEDIAN(p_retailprice) AS median_price FROM (SELECT UNNEST(LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(p_type, ' '), lambda x: TRIM(x)), lambda x: x <> '')) AS axis, p_retailprice FROM part) GROUP BY 1""")
+def axis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exploded = table(spark, sf_dir, "part").select(F.explode(fn.pipe_list(F.col("p_type"), " ")).alias("axis"), "p_retailprice")
+    return exploded.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.median("p_retailprice").alias("median_price"))
