@@ -100,7 +100,7 @@ def select(lists: list[list[bytes]], width: int) -> dict[str, np.ndarray]:
     return out | {"left": left.view(np.int64), "right": right.view(np.int64), "has_left": has_left, "has_right": has_right}
 
 
-def _in_groups(texts: list[bytes | None], limit: int = 1 << 21):
+def _in_groups(texts: list[bytes | None], limit: int = 1 << 19):
     """(first row, word lists) of neighbouring rows with about ``limit`` words at most."""
     lists: list[list[bytes]] = []
     first = words = 0
