@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, hmm, language, media, packing, quality, simhash, substring, toxicity, warc
+from loomwork.llm import decontaminate, hmm, language, media, oracles, packing, quality, simhash, substring, toxicity, warc
 from loomwork.llm.common import remainder, table
 
 
@@ -76,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_hmm": op10_hmm,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring": oracles.SUBSTRING,
+    "op5_decontaminate": oracles.DECONTAMINATE,
+}

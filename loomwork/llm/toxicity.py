@@ -22,7 +22,7 @@ from loomwork.llm.decontaminate import words
 #: Lengths of n-grams in bytes, their buckets, and the bound of the sample: labelled rows of each class.
 LENGTHS, BUCKETS, MOST = (3, 4, 5), 1 << 19, 1500
 #: Documents of the sample that an n-gram must occur in; mini-batches of training at least.
-SEEN, STEPS = 2, 600
+SEEN, STEPS = 2, 900
 #: Words of the extracts of clean documents: any part of a clean document is clean too.
 EXTRACTS = (1, 1, 4, 8, 16, 64)
 #: Words whose numbers a task keeps.
