@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import LOWER, byte_rows, cut_lineage, map_arrow, small, stored
@@ -27,11 +27,22 @@ TILE = 4096
 PAIRS = 1 << 21
 
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash over ``width``-word shingles of a UTF-8 text, repeats included; 0 without words or for null."""
+#: Odd constants that turn a shingle's hash into that of another plane.
+PLANES = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(8))
+
+
+def _mix(x: np.ndarray, constant: int) -> np.ndarray:
+    x = (x ^ np.uint64(constant)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprints_of(text: bytes | None, width: int = 4, seed: int = 42, planes: int = 1) -> list[int]:
+    """SimHashes over ``width``-word shingles of a UTF-8 text, repeats included; 0 without words or for null.
+    The first is over the shingles' XXH64; further planes are independent ones, over mixed hashes."""
     words = text.translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return [0] * planes
     joined = b" ".join(words)
     if len(words) <= width:
         shingles = [joined]
@@ -41,22 +52,35 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
         starts = ends - lengths
         shingles = [joined[a:b] for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8), bitorder="little")
-        counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    out = []
+    for plane in range(planes):
+        own = _mix(hashes, PLANES[plane]) if plane else hashes
+        counts = np.zeros(64, np.int64)
+        for k in range(0, len(own), 1 << 16):
+            bits = np.unpackbits(own[k : k + (1 << 16)].view(np.uint8), bitorder="little")
+            counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(own), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
+    return fingerprints_of(text, width, seed)[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """One row per document: its id and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, planes: int = 1) -> DataFrame:
+    """One row per document: its id and ``fp``, ``fp1``, ...: the fingerprints as signed longs."""
+    names = _names(planes)
 
     def work(batch: pa.RecordBatch) -> dict:
-        prints = np.fromiter((fingerprint(x, width, seed) for x in byte_rows(batch.column(1))), np.uint64, batch.num_rows)
-        return {id_col: batch.column(0), "fp": pa.array(prints.view(np.int64))}
+        prints = np.array([fingerprints_of(x, width, seed, planes) for x in byte_rows(batch.column(1))], np.uint64).reshape(-1, planes)
+        return {id_col: batch.column(0)} | {n: pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k, n in enumerate(names)}
 
     source = docs.select(F.col(id_col), F.col(text_col))
-    return map_arrow(source, work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return map_arrow(source, work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+
+
+def _names(planes: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, planes))]
 
 
 def _blocks(threshold: int) -> list[tuple[int, int, int]]:
@@ -146,16 +170,24 @@ def _links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, home: np.ndarr
     return forest(a, b) if len(a) else (a, b)
 
 
-def links(distinct: DataFrame, threshold: int = 4, tile: int = TILE) -> DataFrame:
-    """Columns ``a`` > ``b``: a forest, anchor by anchor, of the links between the rows (fp, node)."""
+def links(distinct: DataFrame, threshold: int = 4, tile: int = TILE, planes: int = 1) -> DataFrame:
+    """Columns ``a`` > ``b``: a forest, anchor by anchor, of the links between the rows (fp, ..., node).
 
-    def spread(batch: pa.RecordBatch) -> dict:
-        prints = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        rows, keys, homes = anchors(prints, threshold)
-        order = pa.array(rows)
-        return {"anchor": pa.array(keys), "fp": batch.column("fp").take(order), "node": batch.column("node").take(order), "home": pa.array(homes)}
+    With several planes, two rows link if they do in one of them.
+    """
+    names = _names(planes)
 
-    spreaded = map_arrow(distinct.select("fp", "node"), spread, "anchor long, fp long, node long, home boolean")
+    def spread(batch: pa.RecordBatch) -> dict:
+        parts: dict[str, list] = {"anchor": [], "fp": [], "node": [], "home": []}
+        node = batch.column("node").to_numpy(zero_copy_only=False)
+        for plane, name in enumerate(names):
+            prints = batch.column(name).to_numpy(zero_copy_only=False)
+            rows, keys, homes = anchors(prints.view(np.uint64), threshold)
+            for column, values in zip(parts.values(), (keys | np.int64(plane << 60), prints[rows], node[rows], homes), strict=True):
+                column.append(values)
+        return {n: pa.array(np.concatenate(v)) for n, v in parts.items()}
+
+    spreaded = map_arrow(distinct.select(*names, "node"), spread, "anchor long, fp long, node long, home boolean")
     hot = cut_lineage(spreaded.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > tile))
     if hot.isEmpty():
         dealt = spreaded.withColumn("tile", F.lit(0))
@@ -211,20 +243,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: int = 4, seed: int = 42, planes: int = 1) -> DataFrame:
     """One row per input row: ``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
-    The component is the smallest id reachable through links of at most ``threshold`` differing bits.
+    With ``planes`` above 1, further independent fingerprints link documents too. The component is the smallest id reachable through links of at most ``threshold`` differing bits.
     Null or blank texts have fingerprint zero and link like any other. Repeated rows give repeated
     results. Rows with a null id take the component of the fingerprint they share with other rows, and
     null if there is none. An empty table gives an empty result. Other columns are not looked at.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col, width, seed))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("node")))
-    roots = components(links(distinct.where("node is not null"), threshold))
-    of_print = cut_lineage(distinct.join(roots, "node", "left").select(F.col("fp").alias("of"), F.coalesce("root", "node").alias("component_id")))
+    names = _names(planes)
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, width, seed, planes))
+    distinct = cut_lineage(prints.groupBy(*names).agg(F.min(id_col).cast("long").alias("node")))
+    roots = components(links(distinct.where("node is not null"), threshold, planes=planes))
+    of_print = cut_lineage(distinct.join(roots, "node", "left").select(*(F.col(n).alias(f"of_{n}") for n in names), F.coalesce("root", "node").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(of_print, F.col("fp") == F.col("of")).select(id_col, hexed, "component_id")
+    same = [F.col(n) == F.col(f"of_{n}") for n in names]
+    return prints.join(of_print, same).select(id_col, hexed, "component_id")
 
 
 def shingle_set(text: bytes | None, width: int) -> frozenset[int]:
@@ -252,19 +286,31 @@ def _alike(pairs: DataFrame, width: int, least: float) -> DataFrame:
     return map_arrow(pairs.select("d", "rep", "t", "rt"), work, "d long, rep long")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 7, least: float = 0.8, rounds: int = 3) -> DataFrame:
+def _majority(fp: str) -> Column:
+    """The bits that most fingerprints of a group have."""
+    n = F.count(F.lit(1))
+    bits = [F.when(F.sum(F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(1).cast("long"))) * 2 > n, F.lit(((1 << k) ^ (1 << 63)) - (1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)]
+    while len(bits) > 1:
+        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
+    return bits[0]
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 7, planes: int = 4, least: float = 0.8, rounds: int = 3) -> DataFrame:
     """The rows without near copies: all columns as they are, one row left of each group.
 
-    Groups come from fingerprints; a row goes only if its text is equal, or at least ``least`` similar in
-    shingles, to the row that stays. What is unlike the first row of its group forms a group of its own, for
-    ``rounds`` rounds; after them the unlike rows stay. Rows with a null id stay, and of rows with equal
-    ids one stays. An empty table gives an empty result.
+    Groups come from fingerprints. A group's centre is the row whose fingerprint is nearest to the majority
+    of the group's bits; the rows whose texts equal the centre's, or are at least ``least`` similar in
+    shingles, are one class with it, and the smallest id of the class stays. What is unlike the centre forms a
+    group of its own, for ``rounds`` rounds; rows still unlike stay. Rows with a null id stay, and of rows
+    with equal ids one stays. An empty table gives an empty result.
     """
-    groups = near_duplicate_components(docs, id_col, text_col, width, threshold)
+    groups = near_duplicate_components(docs, id_col, text_col, width, threshold, planes=planes)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null")
-    ids = groups.select(F.col(id_col).cast("long").alias("d"), F.col("component_id").alias("c")).where("d is not null")
+    fp = F.conv("fingerprint", 16, -10).cast("long").alias("fp")
+    ids = groups.select(F.col(id_col).cast("long").alias("d"), F.col("component_id").alias("c"), fp).where("d is not null")
+    ids = stored(ids, "components")
     twice = not ids.groupBy("d").count().where("count > 1").isEmpty()
-    ids = ids.distinct()
+    ids = ids.dropDuplicates(["d"])
     large = ids.groupBy("c").count().where("count > 1").select("c")
     members = stored(ids.join(large, "c"), "groups")
     if members.isEmpty():
@@ -274,17 +320,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stored(members.join(digests, "d"), "digests")
     gone: DataFrame | None = None
     for _ in range(rounds):
-        first = members.groupBy("c").agg(F.min_by(F.struct("d", "m"), "d").alias("r")).select("c", F.col("r.d").alias("rep"), F.col("r.m").alias("rm"))
-        pairs = stored(members.join(stored(first, "first"), "c").where("d > rep"), "pairs")
+        major = stored(members.groupBy("c").agg(_majority("fp").alias("major")), "majority")
+        away = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
+        centre = members.join(major, "c").groupBy("c").agg(F.min_by(F.struct("d", "m"), F.struct(away, "d")).alias("r")).select("c", F.col("r.d").alias("rep"), F.col("r.m").alias("rm"))
+        centre = stored(centre, "centres")
+        pairs = stored(members.join(centre, "c").where("d <> rep"), "pairs")
         equal = pairs.where("m = rm").select("d", "rep")
         unequal = pairs.where("m <> rm").select("d", "rep")
         needed = stored(unequal.select("d").union(unequal.select("rep")).distinct(), "needed")
         found = texts.join(small(needed), "d", "left_semi")
         with_text = unequal.join(found, "d").join(found.select(F.col("d").alias("rep"), F.col("t").alias("rt")), "rep")
-        now = stored(equal.union(_alike(with_text, width, least)).select("d"), "near")
+        alike = stored(equal.union(_alike(with_text, width, least)), "alike")
+        first = stored(alike.groupBy("rep").agg(F.min("d").alias("least")).select("rep", F.least("rep", "least").alias("stays")), "stays")
+        both = alike.unionByName(first.select(F.col("rep").alias("d"), "rep"))
+        now = both.join(first, "rep").where("d <> stays").select("d")
         gone = now if gone is None else gone.union(now)
-        rest = pairs.join(now, "d", "left_anti").select("d", "c", "m")
-        members = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select("d", "c", "m"), "rest")
+        rest = pairs.join(alike.select("d"), "d", "left_anti").select("d", "c", "fp", "m")
+        members = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select("d", "c", "fp", "m"), "rest")
         if members.isEmpty():
             break
     kept = docs.join(small(stored(gone, "gone")).withColumnRenamed("d", "__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

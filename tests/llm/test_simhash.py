@@ -64,6 +64,15 @@ def test_chains_and_tiles(spark):
         assert {d: roots.get(d, d) for d in want} == want
 
 
+def test_planes_link_if_one_does(spark):
+    rng = random.Random(12)
+    rows = [(rng.getrandbits(63), rng.getrandbits(63), k) for k in range(60)]
+    rows += [(rows[k][0] ^ 5, rng.getrandbits(63), 60 + k) for k in range(10)] + [(rng.getrandbits(63), rows[k][1] ^ 9, 70 + k) for k in range(5, 12)]
+    df = spark.createDataFrame(rows, "fp long, fp1 long, node long").repartition(3)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, 4, planes=2)).collect()}
+    assert roots == {60 + k: k for k in range(10)} | {70 + k: k for k in range(5, 12)}
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(0)
     for threshold in (1, 2, 4, 5, 7):
