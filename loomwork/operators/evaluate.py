@@ -80,3 +80,34 @@ def _tail(n: int, k: int, d: int, x: int) -> float | None:
 
 def bonferroni(p: Column, tests: Column) -> Column:
     return F.least(F.lit(1.0), p * tests)
+
+
+def compare_intents(df: DataFrame, expected: str, scores: dict[str, Column]) -> DataFrame:
+    """Score of the expected intent, the best other one, their margin, and whether the expected is ahead."""
+    table = F.create_map(*(x for name, c in scores.items() for x in (F.lit(name), c)))
+    own = F.try_element_at(table, F.col(expected))
+    others = F.array_max(F.map_values(F.map_filter(table, lambda k, _: k != F.col(expected))))
+    with_scores = df.withColumns({"expected_score": own, "best_other": others})
+    margin = F.col("expected_score") - F.col("best_other")
+    return with_scores.withColumns({"margin": margin, "is_top": F.coalesce(margin > 0, F.lit(False))})
+
+
+def intent_metrics(df: DataFrame, expected: str, predicted: str, rank: str, available: str, ks: Sequence[int] = (10,)) -> DataFrame:
+    """Coverage, accuracy and hits among the first k, for each expected intent."""
+    n = F.count(F.lit(1)).cast("double")
+    hit = lambda k: F.count_if(F.coalesce(F.col(rank) <= k, F.lit(False)))
+    correct = F.count_if(F.col(predicted) == F.col(expected))
+    out = [F.count(F.lit(1)).alias("n"), F.count_if(available).alias("n_covered"), correct.alias("n_correct"), (correct / n).alias("accuracy"), F.min(rank).alias("best_rank")]
+    for k in ks:
+        out += [hit(k).alias(f"hits_{k}"), (hit(k) / n).alias(f"recall_{k}")]
+    return df.groupBy(expected).agg(*out)
+
+
+def union_of_tops(tops: Sequence[DataFrame], key: str, place: str) -> DataFrame:
+    """Keys of several ordered top lists, in the order in which they first appear, with that order."""
+    marked = None
+    for k, top in enumerate(tops):
+        part = top.select(key, F.struct(F.lit(k).alias("list"), F.col(place).alias("place")).alias("seen"))
+        marked = part if marked is None else marked.unionByName(part)
+    first = marked.groupBy(key).agg(F.min("seen").alias("seen"))
+    return first.select(key, F.row_number().over(Window.orderBy("seen", key)).cast("long").alias("position"))

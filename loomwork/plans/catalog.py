@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork import functions as fn
-from loomwork.operators import evaluate, evidence, matrix, ontology, ranking, rules, scoring, universe
+from loomwork.operators import claims, evaluate, evidence, feasibility, matrix, ontology, ranking, rules, scoring, universe
 from loomwork.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,3 +465,71 @@ def gate_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 def axis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     exploded = table(spark, sf_dir, "part").select(F.explode(fn.pipe_list(F.col("p_type"), " ")).alias("axis"), "p_retailprice")
     return exploded.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.median("p_retailprice").alias("median_price"))
+
+
+# --- benchmark of intents, unions of tops, feasibility, audits ----------------------------------------
+
+_SPEC = f"""{FEATURES_SQL}, s AS (SELECT s_suppkey, baseline, {_score_sql(PROFILES[0])} AS a, {_score_sql(PROFILES[1])} AS b FROM f),
+k AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY a DESC NULLS LAST, baseline DESC NULLS LAST, s_suppkey) AS BIGINT) AS rank FROM s),
+spec AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 1000000 ELSE s_suppkey END AS target, CASE WHEN s_nationkey % 2 = 0 THEN 'volume' ELSE 'balance' END AS expected FROM supplier WHERE s_suppkey % 3 <> 0),
+j AS (SELECT spec.target, spec.expected, k.s_suppkey IS NOT NULL AS available, k.rank, CASE WHEN expected = 'volume' THEN a ELSE b END AS expected_score, CASE WHEN expected = 'volume' THEN b ELSE a END AS best_other,
+ CASE WHEN k.s_suppkey IS NULL THEN '__missing_prediction__' WHEN GREATEST(a, b) <= 0.1 THEN 'none' WHEN a = GREATEST(a, b) THEN 'volume' ELSE 'balance' END AS predicted FROM spec LEFT JOIN k ON k.s_suppkey = spec.target)
+"""
+
+
+def intent_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weighted_scores(spark, sf_dir).join(features(spark, sf_dir).select("s_suppkey", "baseline"), "s_suppkey")
+    ranked = ranking.unique_rank(scored, "volume_score", "baseline", "s_suppkey").withColumn("available", F.lit(True))
+    target = F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey") * 1000000).otherwise(F.col("s_suppkey")).alias("target")
+    spec = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(target, F.when(F.col("s_nationkey") % 2 == 0, "volume").otherwise("balance").alias("expected"))
+    joined = spec.join(ranked, F.col("target") == F.col("s_suppkey"), "left").withColumn("available", F.coalesce("available", F.lit(False)))
+    scores = {p.name: F.col(f"{p.name}_score") for p in PROFILES}
+    intent, _ = evaluate.primary_intent(scores, F.col("available"))
+    return evaluate.compare_intents(joined.withColumn("predicted", intent), "expected", scores)
+
+
+@register(f"WITH {_SPEC} SELECT target, expected, available, predicted, rank, expected_score, best_other, expected_score - best_other AS margin, COALESCE(expected_score - best_other > 0, FALSE) AS is_top FROM j")
+def benchmark_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent_benchmark(spark, sf_dir).select("target", "expected", "available", "predicted", "rank", "expected_score", "best_other", "margin", "is_top")
+
+
+@register(f"WITH {_SPEC} SELECT expected, COUNT(*) AS n, CAST(COUNT_IF(available) AS BIGINT) AS n_covered, CAST(COUNT_IF(predicted = expected) AS BIGINT) AS n_correct, COUNT_IF(predicted = expected)::DOUBLE / COUNT(*)::DOUBLE AS accuracy, MIN(rank) AS best_rank, CAST(COUNT_IF(COALESCE(rank <= 10, FALSE)) AS BIGINT) AS hits_10, COUNT_IF(COALESCE(rank <= 10, FALSE))::DOUBLE / COUNT(*)::DOUBLE AS recall_10 FROM j GROUP BY 1")
+def intent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.intent_metrics(intent_benchmark(spark, sf_dir), "expected", "predicted", "rank", "available")
+
+
+@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, baseline, {_score_sql(PROFILES[0])} AS a, {_score_sql(PROFILES[1])} AS b FROM f),
+t AS (SELECT s_suppkey, 0 AS list, place FROM (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY a DESC, baseline DESC, s_suppkey) AS place FROM s) WHERE place <= 10 UNION ALL SELECT s_suppkey, 1, place FROM (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY b DESC, baseline DESC, s_suppkey) AS place FROM s) WHERE place <= 10),
+m AS (SELECT s_suppkey, MIN(list * 1000 + place) AS seen FROM t GROUP BY 1) SELECT s_suppkey, CAST(ROW_NUMBER() OVER (ORDER BY seen, s_suppkey) AS BIGINT) AS position FROM m""")
+def top_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weighted_scores(spark, sf_dir).join(features(spark, sf_dir).select("s_suppkey", "baseline"), "s_suppkey")
+    tops = [ranking.top_per_group(scored, [], [F.desc(f"{p.name}_score"), F.desc("baseline"), F.asc("s_suppkey")], 10) for p in PROFILES]
+    return evaluate.union_of_tops(tops, "s_suppkey", "place")
+
+
+@register("""WITH o AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'small_molecule' ELSE 'antibody' END AS modality, event_type AS factor, value > 250 AS v FROM events WHERE event_type <> 'view'),
+c AS (SELECT *, MIN(v) OVER (PARTITION BY user_id, modality, factor) <> MAX(v) OVER (PARTITION BY user_id, modality, factor) AS conflict FROM o)
+SELECT user_id, modality, COUNT(*) AS n_observed, CAST(COUNT_IF(conflict) AS BIGINT) AS n_conflicting, CASE WHEN COUNT_IF(conflict) > 0 THEN 'conflicting' ELSE 'observed' END AS state FROM c GROUP BY 1, 2""")
+def feasibility_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").where("event_type <> 'view'")
+    entry = F.struct(F.col("event_type").alias("label"), F.when(F.col("event_id") % 2 == 0, "SM").otherwise("Antibody").alias("modality"), (F.col("value") > 250).alias("value"))
+    none = lambda t: F.lit(None).cast(t)
+    records = seen.groupBy("user_id").agg(F.collect_list(entry).alias("tractability")).select(
+        F.col("user_id").cast("string").alias("target"), none("array<struct<drug:struct<id:string,name:string>,phase:int,status:string>>").alias("knownDrugs"), "tractability", none("array<struct<event:string,datasource:string>>").alias("safetyLiabilities"))
+    found = feasibility.coverage(feasibility.observations(records)).where("dimension = 'tractability'")
+    return found.select(F.col("target").cast("long").alias("user_id"), "modality", "n_observed", "n_conflicting", "state")
+
+
+@register("""WITH a AS (SELECT source, CONTAINS(LOWER(text), 'password') AS bad, CONTAINS(LOWER(text), 'license') AS doubt FROM documents)
+SELECT source, CASE WHEN BOOL_OR(bad) THEN 'block' WHEN BOOL_OR(doubt) THEN 'review' ELSE 'pass' END AS decision FROM a GROUP BY 1""")
+def claim_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    audited = claims.audit(docs, {"secret": ("blocker", ["password"]), "legal": ("warning", ["license"])}, "text")
+    return claims.roll_up(audited, docs, "source")
+
+
+@register("""SELECT p.p_partkey, COALESCE(CASE WHEN p.p_size <= 10 THEN 'small' WHEN p.p_size <= 20 THEN 'early' END, 'unclear') AS role FROM part p""")
+def rule_table_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = spark.range(1, 11).select(F.col("id").cast("int").alias("p_size"), F.lit(1).alias("priority"), F.lit("small").alias("role"))
+    wide = spark.range(1, 21).select(F.col("id").cast("int").alias("p_size"), F.lit(2).alias("priority"), F.lit("early").alias("role"))
+    return rules.rule_table(table(spark, sf_dir, "part"), low.unionByName(wide), "p_size", ["role"], {"role": "unclear"}).select("p_partkey", "role")
