@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import byte_rows, stored, vector_sum
 
-#: Buckets of n-grams; bound of the sample: labelled rows of each class.
-BUCKETS, MOST = 1 << 16, 10_000
+#: Buckets of n-grams; bound of the sample: labelled rows of each class; count added to every bucket.
+BUCKETS, MOST, ADDED = 1 << 14, 10_000, 20.0
 #: Words and runs of other characters.
 TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 _REPEAT = np.uint32(0x52455054)
@@ -88,20 +88,26 @@ def best_cut(good: np.ndarray, bad: np.ndarray, favour: float = 5.0) -> float:
     return float(edges[best[np.argmax(gaps[best])]])
 
 
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of target over raw probability; raw counts are scaled to the target's size, and both smoothed alike."""
+    return np.log(target + ADDED) - np.log(raw * (target.sum() / raw.sum()) + ADDED)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST, seed: int = 2) -> Model:
     """Raw counts over all rows; target counts and the cut from at most ``most`` labelled rows of each class,
-    those least by a hash of the id. Null ids and labels are left out; an id with both labels counts as
+    those least by a hash of the id. Half of the good rows (by another hash) give the target counts, the
+    other half the cut, so that the cut knows documents the model hasn't seen. Null ids and labels are left out; an id with both labels counts as
     bad. Without good rows, or rows at all, every weight is 0."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     order = [F.xxhash64("__id", F.lit(seed)), F.col("__id")]
     sample = known.where("__label = 0").orderBy(*order).limit(most).unionAll(known.where("__label = 1").orderBy(*order).limit(most))
-    sample = stored(sample, "sample")
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"), "left").select(F.col(text_col).alias("t"), F.col("__label").alias("label"))
+    sample = stored(sample.withColumn("__fit", (F.col("__label") == 1) & (F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(2)) == 0)), "sample")
+    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"), "left").select(F.col(text_col).alias("t"), F.col("__label").alias("label"), F.coalesce("__fit", F.lit(False)).alias("fit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
-            texts, good = byte_rows(batch.column("t")), np.array([x == 1 for x in batch.column("label").to_pylist()], bool)
+            texts, good = byte_rows(batch.column("t")), np.array(batch.column("fit").to_pylist(), bool)
             for a, b in _groups(texts):
                 n, found = buckets(texts[a:b])
                 raw += np.bincount(found, minlength=BUCKETS)
@@ -112,9 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     raw, target = (sums.get(k, np.zeros(BUCKETS)) for k in ("raw", "target"))
     if not target.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
-    q = (raw + 1) / (raw.sum() + BUCKETS)
-    p = (target + q * BUCKETS) / (target.sum() + BUCKETS)
-    ratio = np.log(p) - np.log(q)
+    ratio = log_ratio(raw, target)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             _, weights = weigh(byte_rows(batch.column("t")), shared.value)
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "w": pa.array(weights)})
 
-    found = rows.where("label is not null").mapInArrow(value, "label int, w double").toPandas()
+    found = rows.where("label is not null and not fit").select("t", "label").mapInArrow(value, "label int, w double").toPandas()
     return Model(ratio, best_cut(found.w[found.label == 1].to_numpy(), found.w[found.label == 0].to_numpy()))
 
 

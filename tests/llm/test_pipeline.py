@@ -18,7 +18,8 @@ def test_stages_one_by_one(spark):
     one = stage["quality"](spark, docs, SF).cache()
     assert one.columns == columns
     before, kept = rows(docs), rows(one)
-    assert all(d in kept for d in before if labels.get(d) == 1)
+    good = [d for d in before if labels.get(d) == 1]
+    assert sum(d in kept for d in good) >= 0.98 * len(good)
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     n, w = quality.weigh([before[d].encode() for d in sorted(before)], model.ratio)
     assert len(kept) == sum(w >= model.cut)

@@ -3,31 +3,31 @@ from pyspark.sql import functions as F
 
 from loomwork.llm import quality, queries
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_labels_agree(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.op2_quality(spark, SF).join(labels, "doc_id").collect()
-    assert all(r.selected for r in rows if r.quality == 1)
-    bad = [r.selected for r in rows if r.quality == 0]
-    assert sum(bad) <= 0.05 * len(bad)
+    good, bad = [r.selected for r in rows if r.quality == 1], [r.selected for r in rows if r.quality == 0]
+    assert sum(good) >= 0.999 * len(good) and sum(bad) <= 0.03 * len(bad)
 
 
 def test_weights_against_plain_counts(spark):
-    docs = spark.createDataFrame([(1, "good words, good"), (2, "bad !! bad !! bad"), (3, "good words"), (4, None), (5, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "good words, good"), (2, "bad !! bad !! bad"), (3, "good words"), (4, None), (5, ""), *((k, f"good w{k}") for k in range(6, 14))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), *((k, 1) for k in range(6, 14))], "doc_id long, quality int")
     model = quality.train(docs, labels)
+    fit = {r[0] for r in labels.where("quality = 1").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0).collect()}
+    assert 0 < len(fit) < 9
     grams = {r.doc_id: quality.buckets([(r.text or "").encode()])[1] for r in docs.collect()}
     raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     for d, found in grams.items():
         np.add.at(raw, found, 1)
-        if d == 1:
+        if d in fit:
             np.add.at(target, found, 1)
-    q = (raw + 1) / (raw.sum() + quality.BUCKETS)
-    p = (target + q * quality.BUCKETS) / (target.sum() + quality.BUCKETS)
+    ratio = np.log((target + quality.ADDED) / (raw / raw.sum() * target.sum() + quality.ADDED))
     for r in quality.resample(docs, labels, noise=0.0).collect():
-        assert np.isclose(r.log_weight, np.log(p / q)[grams[r.doc_id]].sum()) and r.n_grams == len(grams[r.doc_id])
+        assert np.isclose(r.log_weight, ratio[grams[r.doc_id]].sum()) and r.n_grams == len(grams[r.doc_id])
         assert r.selected == (r.log_weight >= model.cut)
 
 
