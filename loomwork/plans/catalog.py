@@ -488,9 +488,9 @@ def intent_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare_intents(joined.withColumn("predicted", intent), "expected", scores)
 
 
-@register(f"WITH {_SPEC} SELECT target, expected, available, predicted, rank, expected_score, best_other, expected_score - best_other AS margin, COALESCE(expected_score - best_other > 0, FALSE) AS is_top FROM j")
+@register(f"WITH {_SPEC} SELECT target, expected, available, predicted, CAST(rank AS DOUBLE) AS rank, expected_score, best_other, expected_score - best_other AS margin, COALESCE(expected_score - best_other > 0, FALSE) AS is_top FROM j")
 def benchmark_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intent_benchmark(spark, sf_dir).select("target", "expected", "available", "predicted", "rank", "expected_score", "best_other", "margin", "is_top")
+    return intent_benchmark(spark, sf_dir).select("target", "expected", "available", "predicted", F.col("rank").cast("double").alias("rank"), "expected_score", "best_other", "margin", "is_top")
 
 
 @register(f"WITH {_SPEC} SELECT expected, COUNT(*) AS n, CAST(COUNT_IF(available) AS BIGINT) AS n_covered, CAST(COUNT_IF(predicted = expected) AS BIGINT) AS n_correct, COUNT_IF(predicted = expected)::DOUBLE / COUNT(*)::DOUBLE AS accuracy, MIN(rank) AS best_rank, CAST(COUNT_IF(COALESCE(rank <= 10, FALSE)) AS BIGINT) AS hits_10, COUNT_IF(COALESCE(rank <= 10, FALSE))::DOUBLE / COUNT(*)::DOUBLE AS recall_10 FROM j GROUP BY 1")
