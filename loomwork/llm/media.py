@@ -145,13 +145,19 @@ def _track(data: bytes, t: dict) -> Track:
     version = data[t[b"mdhd"][0]]
     timescale, duration = struct.unpack_from(">IQ" if version else ">II", data, t[b"mdhd"][0] + (20 if version else 12))
     fixed, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
+    if fixed * n > len(data):
+        raise ValueError("more samples than bytes")
     sizes = np.full(n, fixed, np.int64) if fixed else words(b"stsz", 12, n)
     wide = b"co64" in t
     kind = b"co64" if wide else b"stco"
     chunks = words(kind, 8, int(words(kind, 4, 1)[0]), ">u8" if wide else ">u4")
     runs = words(b"stsc", 8, 3 * int(words(b"stsc", 4, 1)[0])).reshape(-1, 3)
     per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1])) if len(runs) else np.empty(0, np.int64)
+    if len(per) != len(chunks) or (len(per) and (per.min() < 0 or per.max() > len(data))) or per.sum() > len(data):
+        raise ValueError("damaged sample to chunk table")
     of = np.repeat(np.arange(len(chunks)), per)[:n]
+    if len(of) < n or (len(of) and (chunks.max() > len(data) or chunks.min() < 0)):
+        raise ValueError("samples outside of the file")
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per) - per
     offsets = chunks[of] + before - before[np.minimum(first[of], max(n - 1, 0))] if n else np.empty(0, np.int64)
