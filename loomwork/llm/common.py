@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomwork.session import cut_lineage, ensure_checkpoint_dir
 from loomwork.sources import table
 
-__all__ = ["LOWER", "byte_rows", "cut_lineage", "ensure_checkpoint_dir", "map_arrow", "remainder", "small", "stored", "table", "vector_sum"]
+__all__ = ["LOWER", "arrow_map", "byte_rows", "cut_lineage", "ensure_checkpoint_dir", "map_arrow", "remainder", "small", "stored", "table", "vector_sum"]
 
 #: Byte table that lower-cases A-Z alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -29,6 +29,18 @@ def byte_rows(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Most bytes of a batch that goes to a Python task; texts are long, and a task holds several copies of a batch.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` in small batches; a session that has set the size of batches itself keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, "67108864b") == "67108864b":
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch; a dict of columns becomes a batch."""
 
@@ -38,7 +50,7 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | d
                 out = work(batch)
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -80,7 +92,7 @@ def vector_sum(df: DataFrame, key_type: str = "string", fan_in: int = 32) -> dic
     parts = df.rdd.getNumPartitions()
     while parts > DRIVER_VECTORS:
         parts = -(-parts // fan_in)
-        df = df.repartition(parts).mapInArrow(add, schema)
+        df = arrow_map(df.repartition(parts), add, schema)
     total: dict = {}
     for row in df.toLocalIterator():
         part = np.frombuffer(bytes(row.vector), row.kind)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, byte_rows, stored
+from loomwork.llm.common import LOWER, arrow_map, byte_rows, stored
 from loomwork.llm.fmindex import FMIndex
 
 #: Byte table: A-Z in lower case, other bytes outside words as spaces.
@@ -155,7 +155,7 @@ def _pass(rows: DataFrame, text_col: str, items: list, width: int, shard: int) -
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, "__n_words", "__n_hit", "__items", "__spans"])
 
     fields = ", ".join(f"__{f}" for f in _FIELDS.split(", "))
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + fields)
+    return arrow_map(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + fields)
 
 
 def _annotated(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, shard: int, block: int) -> DataFrame:
@@ -225,4 +225,4 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             arrays[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return found.mapInArrow(run, docs.schema)
+    return arrow_map(found, run, docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, byte_rows, stored, vector_sum
+from loomwork.llm.common import LOWER, arrow_map, byte_rows, stored, vector_sum
 
 #: Word classes, hidden states, rounds over the sample and over all documents, documents of the sample.
 CLASSES, STATES, WARM, ROUNDS, SAMPLE = 8192, 8, 12, 2, 400
@@ -141,7 +141,7 @@ def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarr
     return np.concatenate([start, (move * model.move).ravel(), emit.ravel()])
 
 
-def _groups(texts: list[bytes | None], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[bytes | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     first = held = 0
     for k, t in enumerate(texts):
         held += len(t) if t else 0
@@ -184,7 +184,7 @@ def _round(source: DataFrame, model: Model) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"key": ["counts"], "vector": [total.tobytes()], "kind": ["float64"]})
 
-    return vector_sum(source.mapInArrow(count, "key string, vector binary, kind string"))["counts"]
+    return vector_sum(arrow_map(source, count, "key string, vector binary, kind string"))["counts"]
 
 
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import byte_rows, map_arrow, vector_sum
+from loomwork.llm.common import arrow_map, byte_rows, map_arrow, vector_sum
 
 #: Buckets of trigrams, share of the common distribution in each language's, rounds of estimation.
 BUCKETS, COMMON, ROUNDS = 1 << 15, 0.02, 8
@@ -80,7 +80,7 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
         if sums:
             yield pa.RecordBatch.from_pydict({"key": list(sums), "vector": [v.astype(np.int64).tobytes() for v in sums.values()], "kind": ["int64"] * len(sums)})
 
-    counts = vector_sum(rows.mapInArrow(count, "key string, vector binary, kind string"))
+    counts = vector_sum(arrow_map(rows, count, "key string, vector binary, kind string"))
     languages = sorted(counts)
     if not languages:
         return Model([], np.empty((BUCKETS, 0)))

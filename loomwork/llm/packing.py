@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomwork.llm.common import arrow_map
+
 #: Tokens of a sequence, id put behind each document, cost of a cut at a sentence end and inside a sentence.
 SIZE, END_ID, SENTENCE, INSIDE = 2048, 1, 4.0, 48.0
 #: Tokens between possible cuts inside a long sentence; tokens planned at once.
@@ -192,4 +194,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             yield batch_of(rows)
 
     schema = f"`{id_col}` {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]) + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), run, schema)

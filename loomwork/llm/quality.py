@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import byte_rows, stored, vector_sum
+from loomwork.llm.common import arrow_map, byte_rows, stored, vector_sum
 
 #: Buckets of n-grams; bound of the sample: labelled rows of each class; count added to every bucket.
 BUCKETS, MOST, ADDED = 1 << 14, 10_000, 20.0
@@ -50,7 +50,7 @@ class Model:
     cut: float  # least log weight of what counts towards k
 
 
-def _groups(texts: list[bytes | None], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     first = held = 0
     for k, t in enumerate(texts):
         held += len(t) if t else 0
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 target += np.bincount(found[np.repeat(good[a:b], n)], minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"key": ["raw", "target"], "vector": [raw.tobytes(), target.tobytes()], "kind": ["float64"] * 2})
 
-    sums = vector_sum(rows.mapInArrow(count, "key string, vector binary, kind string"))
+    sums = vector_sum(arrow_map(rows, count, "key string, vector binary, kind string"))
     raw, target = (sums.get(k, np.zeros(BUCKETS)) for k in ("raw", "target"))
     if not target.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             _, weights = weigh(byte_rows(batch.column("t")), shared.value)
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "w": pa.array(weights)})
 
-    found = rows.where("label is not null and not fit").select("t", "label").mapInArrow(value, "label int, w double").toPandas()
+    found = arrow_map(rows.where("label is not null and not fit").select("t", "label"), value, "label int, w double").toPandas()
     return Model(ratio, best_cut(found.w[found.label == 1].to_numpy(), found.w[found.label == 0].to_numpy()))
 
 
@@ -141,7 +141,7 @@ def keyed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(weights)], names=[*names, "__n", "__weight"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    weighed = docs.mapInArrow(run, f"{fields}, __n long, __weight double")
+    weighed = arrow_map(docs, run, f"{fields}, __n long, __weight double")
     return weighed.withColumn("__key", F.col("__weight") + noise * gumbel(id_col, seed))
 
 

@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, byte_rows, cut_lineage, map_arrow, small, stored
+from loomwork.llm.common import LOWER, arrow_map, byte_rows, cut_lineage, map_arrow, small, stored
 
 #: Members of an anchor that one task compares with its homes; larger anchors are dealt over several.
 TILE = 4096
 #: Pairs held in memory at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 #: Odd constants that turn a shingle's hash into that of another plane.
@@ -219,7 +219,7 @@ def links(distinct: DataFrame, threshold: int = 4, tile: int = TILE, planes: int
         if rest is not None:
             yield found(*rest)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return arrow_map(dealt, compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
