@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import priority_label
+from loomwork.session import cut_lineage
 
 
 def competition_rank(df: DataFrame, score: str, available: Column, name: str = "baseline_rank", by: Sequence[str] = ()) -> DataFrame:
@@ -23,6 +24,23 @@ def unique_rank(df: DataFrame, score: str, baseline: str, key: str, name: str =
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1..n over a whole large table without one task that sees all rows.
+
+    Rows are range-partitioned and sorted; each partition counts its own, and the counts before it (a row for
+    each partition) are added. The sorted rows are written to the checkpoint folder, so that places are
+    fixed. ``order`` must tell all rows apart.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return joined.withColumn(name, F.col("__before") + inside + 1).select(*df.columns, name)
+
+
 def rank_shift(df: DataFrame, baseline_rank: str = "baseline_rank", rank: str = "rank", name: str = "rank_shift") -> DataFrame:
     return df.withColumn(name, F.col(baseline_rank) - F.col(rank))
 

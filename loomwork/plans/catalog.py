@@ -93,6 +93,12 @@ def top_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("o_custkey", "o_orderkey", "place")
 
 
+@register("""SELECT l_orderkey, l_linenumber, CAST(ROW_NUMBER() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS rank FROM lineitem""")
+def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranking.global_row_number(lines, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).drop("l_extendedprice")
+
+
 # --- ladders, lookups, audits --------------------------------------------------------------------
 
 @register("""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 'urgent closed' WHEN o_orderpriority LIKE '1%' THEN 'urgent open' WHEN o_orderpriority LIKE '2%' OR o_totalprice > 300000 THEN 'watch' ELSE 'routine' END AS role,

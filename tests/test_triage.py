@@ -44,6 +44,13 @@ def test_ranks_and_shift(spark):
     assert got == {"BEST": (2, 1, 1), "HIGH": (1, 2, -1), "LOW": (3, 3, 0), "Z": (None, 4, None)}
 
 
+def test_global_row_number(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.lit("x").alias("rank_of")).repartition(5)
+    got = ranking.global_row_number(df, [F.desc("v")]).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: -r.v)] == list(range(1, 5001))
+    assert ranking.global_row_number(df.limit(0), [F.asc("v")]).count() == 0
+
+
 def test_midrank(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 1.0), ("d", None)], "k string, v double")
     assert {r.k: r.percentile for r in ranking.midrank_percentile(df, "v").collect()} == {"a": 1.0, "b": 0.25, "c": 0.25, "d": None}
