@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, arrow_map, byte_rows, cut_lineage, map_arrow, small, stored
+from loomwork.llm.common import BROADCAST_ROWS, LOWER, arrow_map, byte_rows, cut_lineage, map_arrow, small, stored
 
 #: Members of an anchor that one task compares with its homes; larger anchors are dealt over several.
 TILE = 4096
@@ -251,14 +251,19 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     results. Rows with a null id take the component of the fingerprint they share with other rows, and
     null if there is none. An empty table gives an empty result. Other columns are not looked at.
     """
-    names = _names(planes)
     prints = cut_lineage(fingerprints(docs, id_col, text_col, width, seed, planes))
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return _with_components(prints, id_col, threshold, planes).select(id_col, hexed, "component_id")
+
+
+def _with_components(prints: DataFrame, id_col: str, threshold: int, planes: int) -> DataFrame:
+    """The rows (id, fp, ...) with ``component_id``, the smallest id of the component, null if no row of it has an id."""
+    names = _names(planes)
     distinct = cut_lineage(prints.groupBy(*names).agg(F.min(id_col).cast("long").alias("node")))
     roots = components(links(distinct.where("node is not null"), threshold, planes=planes))
     of_print = cut_lineage(distinct.join(roots, "node", "left").select(*(F.col(n).alias(f"of_{n}") for n in names), F.coalesce("root", "node").alias("component_id")))
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     same = [F.col(n) == F.col(f"of_{n}") for n in names]
-    return prints.join(of_print, same).select(id_col, hexed, "component_id")
+    return prints.join(of_print, same).select(*prints.columns, "component_id")
 
 
 def shingle_set(text: bytes | None, width: int) -> frozenset[int]:
@@ -272,8 +277,18 @@ def similarity(a: frozenset[int], b: frozenset[int]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+#: Most centres of a component in one round; each is compared with all that is left of the component.
+CENTRES = 64
+
+
+def _digest(text: Column) -> list[Column]:
+    """A text's MD5 as two longs ``m1`` and ``m2``; null is the empty text."""
+    md5 = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return [F.conv(F.substring(md5, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "m1"), (17, "m2"))]
+
+
 def _alike(pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """(d, rep) of the pairs whose texts ``t`` and ``rt`` are at least that similar."""
+    """(k, rep) of the pairs whose texts ``t`` and ``rt`` are at least that similar."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, last, known = [], None, frozenset()
@@ -281,65 +296,69 @@ def _alike(pairs: DataFrame, width: int, least: float) -> DataFrame:
             if rep != last:
                 last, known = rep, shingle_set(other, width)
             keep.append(similarity(shingle_set(text, width), known) >= least)
-        return batch.select(["d", "rep"]).filter(pa.array(keep))
+        return batch.select(["k", "rep"]).filter(pa.array(keep))
 
-    return map_arrow(pairs.select("d", "rep", "t", "rt"), work, "d long, rep long")
+    return map_arrow(pairs.select("k", "rep", "t", "rt"), work, "k long, rep long")
 
 
-def _majority(fp: str) -> Column:
-    """The bits that most fingerprints of a group have."""
-    n = F.count(F.lit(1))
-    bits = [F.when(F.sum(F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(1).cast("long"))) * 2 > n, F.lit(((1 << k) ^ (1 << 63)) - (1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)]
+def _majority(fp: str, n: str) -> Column:
+    """The bits that most fingerprints of a group have, each counted ``n`` times."""
+    bits = [F.when(F.sum(F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(1).cast("long")) * F.col(n)) * 2 > F.sum(n), F.lit(((1 << k) ^ (1 << 63)) - (1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)]
     while len(bits) > 1:
         bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
     return bits[0]
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 7, planes: int = 4, least: float = 0.8, rounds: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 7, planes: int = 4, least: float = 0.8) -> DataFrame:
     """The rows without near copies: all columns as they are, one row left of each group.
 
-    Groups come from fingerprints. A group's centre is the row whose fingerprint is nearest to the majority
-    of the group's bits; the rows whose texts equal the centre's, or are at least ``least`` similar in
-    shingles, are one class with it, and the smallest id of the class stays. What is unlike the centre forms a
-    group of its own, for ``rounds`` rounds; rows still unlike stay. Rows with a null id stay, and of rows
-    with equal ids one stays. An empty table gives an empty result.
+    Of equal texts the smallest id stays. Groups of the texts left come from fingerprints. A group's centre is
+    the text whose fingerprint is nearest to the majority of the group's bits; the texts at least ``least``
+    similar to it in shingles are one class with it, and the smallest id of the class stays. What is unlike the
+    centre is a group of its own, until none has two texts; from round to round twice as many centres
+    are taken at once, up to ``CENTRES``. Rows with a null id stay, and of rows with equal ids one stays: of
+    different texts under one id, one that isn't a near copy. An empty table gives an empty result.
     """
-    groups = near_duplicate_components(docs, id_col, text_col, width, threshold, planes=planes)
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null")
-    fp = F.conv("fingerprint", 16, -10).cast("long").alias("fp")
-    ids = groups.select(F.col(id_col).cast("long").alias("d"), F.col("component_id").alias("c"), fp).where("d is not null")
-    ids = stored(ids, "components")
-    twice = not ids.groupBy("d").count().where("count > 1").isEmpty()
-    ids = ids.dropDuplicates(["d"])
-    large = ids.groupBy("c").count().where("count > 1").select("c")
-    members = stored(ids.join(large, "c"), "groups")
-    if members.isEmpty():
-        return docs.dropDuplicates([id_col]) if twice else docs
-    texts = rows.join(small(members.select("d")), "d", "left_semi").dropDuplicates(["d"])
-    digests = texts.select("d", F.md5(F.coalesce("t", F.lit("")).cast("binary")).alias("m"))
-    members = stored(members.join(digests, "d"), "digests")
-    gone: DataFrame | None = None
-    for _ in range(rounds):
-        major = stored(members.groupBy("c").agg(_majority("fp").alias("major")), "majority")
-        away = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
-        centre = members.join(major, "c").groupBy("c").agg(F.min_by(F.struct("d", "m"), F.struct(away, "d")).alias("r")).select("c", F.col("r.d").alias("rep"), F.col("r.m").alias("rm"))
-        centre = stored(centre, "centres")
-        pairs = stored(members.join(centre, "c").where("d <> rep"), "pairs")
-        equal = pairs.where("m = rm").select("d", "rep")
-        unequal = pairs.where("m <> rm").select("d", "rep")
-        needed = stored(unequal.select("d").union(unequal.select("rep")).distinct(), "needed")
-        found = texts.join(small(needed), "d", "left_semi")
-        with_text = unequal.join(found, "d").join(found.select(F.col("d").alias("rep"), F.col("t").alias("rt")), "rep")
-        alike = stored(equal.union(_alike(with_text, width, least)), "alike")
-        first = stored(alike.groupBy("rep").agg(F.min("d").alias("least")).select("rep", F.least("rep", "least").alias("stays")), "stays")
-        both = alike.unionByName(first.select(F.col("rep").alias("d"), "rep"))
-        now = both.join(first, "rep").where("d <> stays").select("d")
-        gone = now if gone is None else gone.union(now)
-        rest = pairs.join(alike.select("d"), "d", "left_anti").select("d", "c", "fp", "m")
-        members = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select("d", "c", "fp", "m"), "rest")
-        if members.isEmpty():
-            break
-    kept = docs.join(small(stored(gone, "gone")).withColumnRenamed("d", "__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    names = _names(planes)
+    d = F.col(id_col).cast("long")
+    rows = docs.select(d.alias("d"), F.col(text_col).alias("t")).where("d is not null").select("d", *_digest(F.col("t")), "t")
+    prints = fingerprints(rows.select(F.struct("d", "m1", "m2").alias("i"), "t"), "i", "t", width, planes=planes)
+    prints = stored(prints.select("i.*", *names), "prints")
+    twice = not prints.groupBy("d").count().where("count > 1").isEmpty()
+    texts = prints.groupBy("m1", "m2", *names).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n"))
+    texts = stored(texts.withColumn("k", F.monotonically_increasing_id()), "texts")
+    copied = small(stored(texts.where("n > 1").select("m1", "m2", F.col("d").alias("stays")), "copied"))
+    gone = prints.join(copied, ["m1", "m2"]).where("d > stays").select("d", "m1", "m2")
+
+    grouped = stored(_with_components(texts.select("k", *names), "k", threshold, planes).select("k", F.col("component_id").alias("c")), "components")
+    large = grouped.groupBy("c").count().where("count > 1").select("c")
+    members = stored(grouped.join(large, "c").join(texts.select("k", "d", "n", "fp", "m1", "m2"), "k"), "groups")
+    found = rows.join(small(members.select("k", "d", "m1", "m2"), BROADCAST_ROWS * 3 // 4), ["d", "m1", "m2"]).select("k", "t")
+    found = stored(found.dropDuplicates(["k"]) if twice else found, "members")
+    centres = 1
+    while not members.isEmpty():
+        major = stored(members.groupBy("c").agg(_majority("fp", "n").alias("major")), "majority")
+        order = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("major"))).alias("away"), "d", "k")
+        part = F.pmod(F.xxhash64("k"), F.lit(centres))
+        first = stored(members.join(major, "c").groupBy("c", part.alias("part")).agg(F.min(order).alias("at")).select("c", "at", F.col("at.k").alias("rep")), "centres")
+        pairs = stored(members.join(first.select("c", "rep"), "c").where("k <> rep").select("k", "rep"), "pairs")
+        with_text = pairs.join(found, "k").join(found.select(F.col("k").alias("rep"), F.col("t").alias("rt")), "rep")
+        alike = stored(_alike(with_text, width, least), "alike")
+        # a centre like one before it in the order isn't one
+        ranks = first.select("rep", "at")
+        like = alike.join(ranks, "rep").join(first.select(F.col("rep").alias("k"), F.col("at").alias("own")), "k").where("own > at").select(F.col("k").alias("rep")).distinct()
+        valid = stored(ranks.join(like, "rep", "left_anti"), "valid")
+        taken = alike.join(valid, "rep").groupBy("k").agg(F.min("at").alias("at")).select("k", F.col("at.k").alias("rep"))
+        taken = stored(taken.union(valid.select(F.col("rep").alias("k"), "rep")), "taken")
+        classes = stored(taken.join(members, "k").select("k", "rep", "d", "m1", "m2"), "classes")
+        stays = classes.groupBy("rep").agg(F.min(F.struct("d", "k")).alias("stays"))
+        gone = gone.union(stored(classes.join(stored(stays, "stays"), "rep").where("k <> stays.k").select("d", "m1", "m2"), "near"))
+        rest = stored(members.join(taken.select("k"), "k", "left_anti"), "rest")
+        members = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select(*members.columns), "left")
+        centres = min(CENTRES, centres * 2)
+    gone = small(stored(gone.distinct(), "gone")).select(*(F.col(x).alias(f"__{x}") for x in ("d", "m1", "m2")))
+    m1, m2 = _digest(F.col(text_col))
+    kept = docs.join(gone, (d == F.col("__d")) & (m1 == F.col("__m1")) & (m2 == F.col("__m2")), "left_anti")
     if not twice:
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

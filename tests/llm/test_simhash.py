@@ -109,3 +109,16 @@ def test_one_of_each(spark):
     kept = simhash.one_of_each(docs).collect()
     assert sorted((r.doc_id for r in kept), key=str) == sorted([1, 4, 5, None, 8], key=str) and kept[0].c is not None
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_ten_classes_in_one_component(spark):
+    """Equal halves give all texts nearly one fingerprint; their other halves make ten classes."""
+    rng = random.Random(4)
+    same = " ".join(["the page of the site says"] * 200)
+    tails = [[f"w{rng.randint(0, 9999)}" for _ in range(150)] for _ in range(10)]
+    near = lambda t: " ".join([*t[:75], "changed", *t[76:]])
+    rows = [(same + " " + (near(t) if copy == 3 else " ".join(t)), k) for copy in range(6) for k, t in enumerate(tails)]
+    docs = spark.createDataFrame([(d, t, k) for d, (t, k) in enumerate(rows)], "doc_id long, text string, c long").repartition(3)
+    assert len({r.component_id for r in simhash.near_duplicate_components(docs, width=5, threshold=7, planes=4).collect()}) == 1
+    kept = simhash.one_of_each(docs).collect()
+    assert sorted((r.doc_id, r.c) for r in kept) == [(k, k) for k in range(10)]
