@@ -185,7 +185,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h")))).alias("x")
     halves = alive.select("key", "d", "tk", "pos", "far", "near", sides).where("x.h is not null").select("key", "d", "tk", "pos", "far", "near", "x.side", "x.h")
     again = stored(_repeated(halves, "key", "side", "h").select("key", "side", "h"), "half")
-    found = stored(halves.join(again, ["key", "side", "h"]).groupBy("d", "tk").agg(F.collect_list(F.struct("pos", "far", "near", "side")).alias("found")), "found")
+    found = stored(halves.join(again, ["key", "side", "h"]).groupBy("d", "tk").agg(F.collect_set(F.struct("pos", "far", "near", "side")).alias("found")), "found")
     wanted = rows.join(small(found.select("d", "tk")), ["d", "tk"], "left_semi").dropDuplicates(["d", "tk"])
     windows = stored(_windows(wanted.join(found, ["d", "tk"]), width), "windows")
     again = stored(_repeated(windows.select("k1", "k2", "d"), "k1", "k2"), "full")

@@ -69,3 +69,14 @@ def test_cut_words():
     import numpy as np
 
     assert substring.cut_words(b" a b\n c d ", np.array([False, True, False, True])) == b" a c "
+
+
+def test_repeated_rows_hold_each_window_once(spark, monkeypatch):
+    kept, write = {}, substring.stored
+    monkeypatch.setattr(substring, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    passage = " ".join(f"p{k * k % 997}" for k in range(120))
+    rows = [(1, f"{passage} ends here")] + [(2, f"here begins {passage}")] * 40
+    _, hits = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = [r.found for r in kept["found"].collect()]
+    assert len(found) == 2 and all(len(x) == len(set(map(tuple, x))) for x in found)
+    assert [(r.d, sorted(r.starts)) for r in hits.collect()] == [(2, list(range(2, 73)))]
