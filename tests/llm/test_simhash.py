@@ -122,3 +122,14 @@ def test_ten_classes_in_one_component(spark):
     assert len({r.component_id for r in simhash.near_duplicate_components(docs, width=5, threshold=7, planes=4).collect()}) == 1
     kept = simhash.one_of_each(docs).collect()
     assert sorted((r.doc_id, r.c) for r in kept) == [(k, k) for k in range(10)]
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    long, other, third = text(400), text(300), text(200)
+    near = long.replace(long.split()[200], "changed", 1)
+    alone = spark.createDataFrame([(None, other), (None, third), (1, long), (1, long)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(alone).collect()) == sorted([("None", other), ("None", third), ("1", long)])
+    shared = spark.createDataFrame([(1, long), (2, near), (2, other), (3, third), (3, third)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(shared).collect()) == [(1, long), (2, other), (3, third)]
