@@ -7,23 +7,23 @@ located by sampled suffix positions, and their spans are merged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, arrow_map, byte_rows, stored
+from loomwork.llm.common import LOWER, arrow_map, byte_rows, map_arrow, stored
 from loomwork.llm.fmindex import FMIndex
 
 #: Byte table: A-Z in lower case, other bytes outside words as spaces.
 WORDS = bytes(LOWER[b] if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Text bytes of a shard; bytes of test items searched in one pass.
-SHARD, BLOCK = 12 << 20, 8 << 20
+SHARD, BLOCK = 4 << 20, 4 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -114,15 +114,21 @@ def scan_shard(texts: list[bytes | None], phrases: Phrases) -> Found:
     return Found(n_words, n_hit, spans, items)
 
 
-def _shards(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
-    first = held = 0
-    for k, text in enumerate(texts):
-        held += len(text) if text else 0
-        if held >= size:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def _shards(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows put together until their texts have ``size`` bytes; a longer text ends its shard."""
+    held, n = [], 0
+    for batch in batches:
+        first = 0
+        for k, length in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 1):
+            n += length
+            if n >= size:
+                held.append(batch.slice(first, k - first))
+                yield pa.concat_batches(held)
+                held, n, first = [], 0, k
+        if first < batch.num_rows:
+            held.append(batch.slice(first))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
@@ -139,31 +145,42 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 _FIELDS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
 
 
-def _pass(rows: DataFrame, text_col: str, items: list, width: int, shard: int) -> DataFrame:
-    """The rows with the four result columns; the text stays."""
+def _pass(rows: DataFrame, text_col: str, items: list, width: int, shard: int, cut: bool = False) -> DataFrame:
+    """The rows with the four result columns, the text as it is; or, with ``cut``, the rows with their spans cut out."""
     shared = rows.sparkSession.sparkContext.broadcast(Phrases.of(items, width))
     at, names = rows.columns.index(text_col), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = byte_rows(batch.column(at))
-            for a, b in _shards(texts, shard):
-                found = scan_shard(texts[a:b], shared.value)
-                part = batch.slice(a, b - a)
-                spans = pa.array([[{"start": x, "stop": y} for x, y in s] for s in found.spans], _SPANS)
-                new = [pa.array(found.n_words, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array(found.items, pa.list_(pa.string())), spans]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, "__n_words", "__n_hit", "__items", "__spans"])
-
+        for part in _shards(batches, at, shard):
+            texts = byte_rows(part.column(at))
+            found = scan_shard(texts, shared.value)
+            if cut:
+                yield _cut(part, at, texts, found.spans)
+                continue
+            spans = pa.array([[{"start": x, "stop": y} for x, y in s] for s in found.spans], _SPANS)
+            new = [pa.array(found.n_words, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array(found.items, pa.list_(pa.string())), spans]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, "__n_words", "__n_hit", "__items", "__spans"])
+
+    if cut:
+        return arrow_map(rows, run, rows.schema)
     fields = ", ".join(f"__{f}" for f in _FIELDS.split(", "))
     return arrow_map(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + fields)
 
 
-def _annotated(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, shard: int, block: int) -> DataFrame:
+def _cut(batch: pa.RecordBatch, at: int, texts: list[bytes | None], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The rows with those word ranges cut out of their texts."""
+    arrays = list(batch.columns)
+    arrays[at] = pa.array([cut_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+
+def _annotated(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, shard: int, block: int, cut: bool = False) -> DataFrame:
+    """The rows with the result columns; with ``cut``, the rows without the spans."""
     blocks = _item_blocks(benchmark, item_col, item_text_col, block)
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        return _pass(docs, text_col, first, width, shard)
+        return _pass(docs, text_col, first, width, shard, cut)
     # more items than one pass holds: a pass for each block, put together by row
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     slim = rows.select("__row", F.col(text_col))
@@ -179,7 +196,16 @@ def _annotated(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: s
     )
     by_row = union.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"), merged.alias("__spans"))
     hits = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"])
-    return rows.join(by_row.withColumn("__n_hit", hits), "__row").drop("__row")
+    found = rows.join(by_row.withColumn("__n_hit", hits), "__row").drop("__row")
+    if not cut:
+        return found
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[(s["start"], s["stop"]) for s in row] for row in batch.column(len(names)).to_pylist()]
+        return _cut(batch.select(names), at, byte_rows(batch.column(at)), spans)
+
+    return map_arrow(found.select(*names, "__spans"), run, docs.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -213,16 +239,8 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """The rows with occurrences of test phrases cut out of the text, all other columns as they are."""
-    columns = docs.columns
-    at = columns.index(text_col)
-    found = _annotated(docs, benchmark, text_col, item_col, item_text_col, width, shard, block).select(*columns, "__spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [cut_spans(t, [(s["start"], s["stop"]) for s in spans]) if spans else t for t, spans in zip(byte_rows(batch.column(at)), batch.column(len(columns)).to_pylist(), strict=True)]
-            arrays = [batch.column(k) for k in range(len(columns))]
-            arrays[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+    """The rows with occurrences of test phrases cut out of the text, all other columns as they are.
 
-    return arrow_map(found, run, docs.schema)
+    Texts that are null stay null, and texts of which nothing is left become empty.
+    """
+    return _annotated(docs, benchmark, text_col, item_col, item_text_col, width, shard, block, cut=True)

@@ -4,8 +4,11 @@ Hidden states emit word classes (the last bytes of a word, hashed; the end of a
 own), and a class emits its words by their add-one frequency. Baum-Welch counts are summed over partitions;
 the scaled forward recursion gives the exact likelihood of a text.
 
-Word counts follow the corpus: documents are dealt into blocks, each block asks once for every distinct word
-it holds, words meet by ranges of their hashes, and the sums return to the blocks that asked.
+A long text is cut into pieces. The product of the transfer matrices of each piece carries the recursions
+from one to the next exactly, so that memory doesn't grow with a text and pieces are computed side by side.
+
+Word counts follow the corpus: documents are dealt into blocks, a block asks once for every distinct word it
+holds, and the requests of a word are summed by a window over its hash.
 """
 
 from __future__ import annotations
@@ -16,17 +19,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import LOWER, arrow_map, byte_rows, stored, vector_sum
-
-#: Word classes, hidden states, rounds over the sample and over all documents, documents of the sample.
-CLASSES, STATES, WARM, ROUNDS, SAMPLE = 8192, 8, 12, 2, 400
-#: Text bytes of a block, and blocks at least.
-BLOCK, BLOCKS = 16 << 20, 64
-#: Cells (documents x steps) of a batch of the recursions.
-CELLS = 1 << 17
+from loomwork.llm.common import LOWER, arrow_map, byte_rows, small, stored, vector_sum
+
+#: Word classes and hidden states.
+CLASSES, STATES = 8192, 8
+#: First model: rounds over a sample of so many documents of at most so many bytes.
+WARM, SAMPLE, LONGEST = 12, 400, 1 << 16
+#: Rounds over all documents go on while the log-likelihood of a token gains more than ``GAIN``, at most ``ROUNDS``.
+GAIN, ROUNDS = 0.02, 12
+#: Text bytes of a block, blocks at least, and equal rows from which on they are scored once.
+BLOCK, BLOCKS, REPEATED = 16 << 20, 64, 1000
+#: Cells (pieces x steps) of a batch of the recursions, and steps of a piece.
+CELLS, PIECE = 1 << 18, 4096
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _LOWER = np.frombuffer(LOWER, np.uint8)
 
@@ -78,211 +85,285 @@ def _split(counts: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.
     return counts[:a], counts[a:b].reshape(states, states), counts[b:].reshape(CLASSES + 1, states)
 
 
-def _batches(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Documents of similar length, longest first, about CELLS cells together."""
-    order = np.argsort(-lengths, kind="stable")
+def _batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of similar size, longest first, about CELLS cells together."""
+    order = np.argsort(-sizes, kind="stable")
     k = 0
     while k < len(order):
-        n = max(1, CELLS // int(lengths[order[k]]))
+        n = max(1, CELLS // max(1, int(sizes[order[k]])))
         yield order[k : k + n]
         k += n
 
 
-def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool = False):
-    """Natural log-likelihoods; with ``keep``, yields what the backward pass needs instead."""
-    first = np.cumsum(lengths) - lengths
-    out = np.zeros(len(lengths))
-
-    def run(rows: np.ndarray):
-        size, begin = lengths[rows], first[rows]
-        steps = int(size[0])
-        live = np.searchsorted(-size, -np.arange(steps), "left")  # documents longer than each step
-        value, past, scales = np.zeros(len(rows)), [], []
-        now = None
-        for t in range(steps):
-            n = live[t]
-            seen = model.emit[symbols[begin[:n] + t]]
-            now = seen * (model.start if now is None else now[:n] @ model.move)
-            scale = now.sum(axis=1)
-            now = now / scale[:, None]
-            value[:n] += np.log(scale)
-            if keep:
-                past.append(now)
-                scales.append(scale)
-        return value, past, scales, live, begin
-
-    if keep:
-        return (run(rows) for rows in _batches(lengths))
-    for rows in _batches(lengths):
-        out[rows] = run(rows)[0]
+@dataclass
+class _Swept:
+    """Forward recursion over rows sorted longest first; a row for each state, and the cells step by step."""
+
+    live: np.ndarray  # rows of each step
+    starts: np.ndarray  # first cell of each step
+    place: np.ndarray  # symbol of each cell
+    alpha: np.ndarray
+    scale: np.ndarray
+    value: np.ndarray  # log-likelihood of each row
+    last: np.ndarray  # last cell of each row
+
+
+def _sweep(model: Model, begin: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, expect: np.ndarray) -> _Swept:
+    """``expect``: the distribution of states (states x rows) before the first symbol of each row is seen."""
+    steps = int(sizes[0])
+    live = np.searchsorted(-sizes, -np.arange(steps), "left")
+    ends = np.cumsum(live)
+    starts = ends - live
+    row = np.arange(ends[-1]) - np.repeat(starts, live)
+    place = symbols[begin[row] + np.repeat(np.arange(steps), live)]
+    alpha, scale = model.emit.T[:, place], np.empty(len(place))
+    move = np.ascontiguousarray(model.move.T)
+    for a, n in zip(starts.tolist(), live.tolist(), strict=True):
+        cell, total = alpha[:, a : a + n], scale[a : a + n]
+        cell *= expect[:, :n]
+        np.add.reduce(cell, axis=0, out=total)
+        cell /= total
+        expect = move @ cell
+    value = np.bincount(row, np.log(scale), len(sizes))
+    return _Swept(live, starts, place, alpha, scale, value, starts[sizes - 1] + np.arange(len(sizes)))
+
+
+@dataclass
+class _Pieces:
+    """Pieces of texts: text, first symbol, size, whether it begins its text, and what the rest of the text
+    says: the states before it, and the weights of the states at its end."""
+
+    of: np.ndarray
+    begin: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    value: np.ndarray  # log-likelihoods of the long texts, which come with the transfers
+
+
+def _cut(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> _Pieces:
+    states = len(model.start)
+    count = -(-lengths // PIECE)
+    of = np.repeat(np.arange(len(lengths)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (np.cumsum(lengths) - lengths)[of] + number * PIECE
+    sizes = np.minimum(lengths[of] - number * PIECE, PIECE)
+    out = _Pieces(of, begin, sizes, number == 0, np.ones((len(of), states)), np.ones((len(of), states)), np.zeros(len(lengths)))
+    long = np.flatnonzero(count[of] > 1)
+    if not len(long):
+        return out
+    # each later piece is swept from every state: the rows of its transfer matrix, and their logarithmic scales
+    ends, scales = np.zeros((len(of), states, states)), np.zeros((len(of), states))
+    rows = np.repeat(long, np.where(out.first[long], 1, states))
+    state = np.concatenate([[0] if f else np.arange(states) for f in out.first[long]])
+    expect = np.where(out.first[rows][:, None], model.start, model.move[state])
+    for chosen in _batches(sizes[rows]):
+        piece = rows[chosen]
+        swept = _sweep(model, begin[piece], sizes[piece], symbols, expect[chosen].T)
+        ends[piece, state[chosen]], scales[piece, state[chosen]] = swept.alpha[:, swept.last].T, swept.value
+    top = scales.max(axis=1)
+    transfer = np.exp(scales - top[:, None])[:, :, None] * ends
+    for k in long.tolist():
+        if out.first[k]:
+            out.value[of[k]] = scales[k, 0]
+            now = ends[k, 0]
+        else:
+            out.before[k] = now
+            now = now @ transfer[k]
+            out.value[of[k]] += top[k] + np.log(now.sum())
+            now = now / now.sum()
+    for k in long[::-1].tolist():
+        if not out.first[k]:  # weights of the states before this piece
+            weight = transfer[k] @ out.after[k]
+            out.after[k - 1] = weight / (out.before[k] @ weight)
     return out
 
 
-def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of starts, moves and emissions, flat."""
+def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Natural log-likelihoods of texts that follow each other in ``symbols``."""
+    cut = _cut(model, lengths, symbols)
+    out = cut.value
+    whole = np.flatnonzero(lengths[cut.of] <= PIECE)
+    for chosen in _batches(cut.sizes[whole]):
+        rows = whole[chosen]
+        out[cut.of[rows]] = _sweep(model, cut.begin[rows], cut.sizes[rows], symbols, np.repeat(model.start[:, None], len(rows), axis=1)).value
+    return out
+
+
+def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions, flat; and the log-likelihood of all texts."""
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES + 1, states))
-    for _, past, scales, live, begin in forward(model, lengths, symbols, keep=True):
-        steps = len(past)
-        after = np.ones((int(live[-1]), states))
-        shares, places = [past[-1] * after], [symbols[begin[: live[-1]] + steps - 1]]
-        for t in range(steps - 2, -1, -1):
-            n, m = live[t], live[t + 1]
-            ahead = model.emit[symbols[begin[:m] + t + 1]] * after[:m] / scales[t + 1][:, None]
-            move += past[t][:m].T @ ahead
-            after = np.ones((n, states))
-            after[:m] = ahead @ model.move.T
-            shares.append(past[t] * after)
-            places.append(symbols[begin[:n] + t])
-        start += shares[-1].sum(axis=0)
-        share, place = np.concatenate(shares), np.concatenate(places)
+    cut = _cut(model, lengths, symbols)
+    value = 0.0
+    for rows in _batches(cut.sizes):
+        first, before, weights = cut.first[rows], cut.before[rows].T, cut.after[rows].T
+        expect = np.where(first, model.start[:, None], model.move.T @ before)
+        swept = _sweep(model, cut.begin[rows], cut.sizes[rows], symbols, expect)
+        value += float(swept.value.sum())
+        weights = weights / (swept.alpha[:, swept.last] * weights).sum(axis=0)
+        seen = model.emit.T[:, swept.place]
+        seen /= swept.scale
+        ahead = None
+        for a, n in zip(swept.starts[::-1].tolist(), swept.live[::-1].tolist(), strict=True):
+            cell, m = swept.alpha[:, a : a + n], 0 if ahead is None else ahead.shape[1]
+            after = weights[:, :n].copy()
+            if m:
+                move += cell[:, :m] @ ahead.T
+                after[:, :m] = model.move @ ahead
+            ahead = seen[:, a : a + n]
+            ahead *= after
+            cell *= after  # the share of each state
+        start += swept.alpha[:, : len(rows)][:, first].sum(axis=1)
+        move += before[:, ~first] @ ahead[:, ~first].T
         for s in range(states):
-            emit[:, s] += np.bincount(place, share[:, s], CLASSES + 1)
-    return np.concatenate([start, (move * model.move).ravel(), emit.ravel()])
-
-
-def _groups(texts: list[bytes | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    first = held = 0
-    for k, t in enumerate(texts):
-        held += len(t) if t else 0
-        if held >= limit:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, sample: int = SAMPLE, warm: int = WARM, rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """A first model from a bounded sample, then ``rounds`` of Baum-Welch over all rows that ``where`` admits."""
-    rows = docs.where(where)
-    order = F.struct(F.xxhash64(id_col, F.lit(seed)).alias("h"), F.col(id_col).cast("string").alias("i"))
-    some = rows.select(F.col(id_col).alias("__id"), order.alias("o")).distinct().orderBy("o").limit(sample).select("__id")
-    picked = rows.join(F.broadcast(some), F.col(id_col).eqNullSafe(F.col("__id"))).select(F.col(text_col).cast("binary").alias("t"))
+            emit[:, s] += np.bincount(swept.place, swept.alpha[s], CLASSES + 1)
+    return np.concatenate([start, (move * model.move).ravel(), emit.ravel()]), value
+
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[list[bytes | None]]:
+    """Texts of neighbouring rows, about ``limit`` bytes together: the more texts, the less a step costs each."""
+    held, n = [], 0
+    for batch in batches:
+        for text in batch.column("t").to_pylist():
+            held.append(text)
+            n += len(text) if text else 0
+            if n >= limit:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, sample: int = SAMPLE, warm: int = WARM, rounds: int = ROUNDS, gain: float = GAIN, seed: int = 5) -> Model:
+    """Baum-Welch over all rows that ``where`` admits, until a token gains at most ``gain``, ``rounds`` times at most.
+
+    It begins with ``warm`` rounds over ``sample`` rows, least by a hash, of at most ``LONGEST`` bytes each. Without rows
+    the model is a rough one.
+    """
+    source = docs.where(where).select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"))
+    short = source.where(F.coalesce(F.octet_length("t"), F.lit(0)) <= LONGEST).orderBy("h", "t").limit(sample)
     model = Model.rough(states, seed)
-    texts = sorted(bytes(r.t or b"") for r in picked.toLocalIterator())
-    if not texts:
-        return model
-    lengths, symbols = classes(texts)
-    for _ in range(warm):
-        model = Model.of(expected(model, lengths, symbols), states)
-    source = rows.select(F.col(text_col).alias("t"))
+    if texts := [bytes(r.t or b"") for r in short.collect()]:
+        lengths, symbols = classes(texts)
+        for _ in range(warm):
+            model = Model.of(expected(model, lengths, symbols)[0], states)
+    last = None
     for _ in range(rounds):
-        model = Model.of(_round(source, model), states)
+        sums = _round(source.select("t"), model)
+        if not sums:
+            break
+        value, tokens = sums["value"]
+        model = Model.of(sums["counts"], states)
+        if last is not None and value - last <= gain * tokens:
+            break
+        last = value
     return model
 
 
-def _round(source: DataFrame, model: Model) -> np.ndarray:
+def _round(source: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """``counts`` of Baum-Welch, and ``value``: the log-likelihood and the number of tokens. Nothing without rows."""
     shared = source.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            texts = byte_rows(batch.column("t"))
-            for a, b in _groups(texts):
-                part = expected(shared.value, *classes(texts[a:b]))
-                total = part if total is None else total + part
+        total, value = None, np.zeros(2)
+        for texts in _groups(batches):
+            lengths, symbols = classes(texts)
+            part, likely = expected(shared.value, lengths, symbols)
+            total = part if total is None else total + part
+            value += likely, lengths.sum()
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"key": ["counts"], "vector": [total.tobytes()], "kind": ["float64"]})
+            yield pa.RecordBatch.from_pydict({"key": ["counts", "value"], "vector": [total.tobytes(), value.tobytes()], "kind": ["float64"] * 2})
 
-    return vector_sum(arrow_map(source, count, "key string, vector binary, kind string"))["counts"]
+    found = vector_sum(arrow_map(source, count, "key string, vector binary, kind string"))
+    shared.unpersist()
+    return found
 
 
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(words of each text, hash of every word)."""
-    lists = [t.translate(LOWER).split() if t else [] for t in texts]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return n, np.fromiter((xxhash.xxh64_intdigest(w) for ws in lists for w in ws), np.uint64, int(n.sum()))
+    sizes, parts = [], []
+    for t in texts:
+        words = t.translate(LOWER).split() if t else []
+        sizes.append(len(words))
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    return np.array(sizes, np.int64), np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
-def _block_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, hashes, lengths and symbols with ends, class of every word) of a block."""
+def _ask(table: pa.Table) -> pa.Table:
+    """The distinct words of a block: their place in it, hash, class, and count in training rows."""
+    texts = byte_rows(table.column("t").combine_chunks())
     n, hashes = _words(texts)
-    lengths, symbols = classes(texts)
-    return n, hashes, lengths, symbols, symbols[symbols < CLASSES]
-
-
-_ASK = "block long, part long, hashes binary, classes binary, counts binary"
-
-
-def _ask(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        texts = byte_rows(table.column("t").combine_chunks())
-        n, hashes, _, _, kinds = _block_words(texts)
-        known = np.repeat(np.array(table.column("train").to_pylist(), bool), n)
-        own, at = np.unique(hashes, return_index=True)
-        seen, counts = np.unique(hashes[known], return_counts=True)
-        all_counts = np.zeros(len(own), np.int64)
-        all_counts[np.searchsorted(own, seen)] = counts
-        kinds = kinds[at].astype("<u2")
-        edges = np.searchsorted(own, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))
-        bounds = [0, *edges.tolist(), len(own)]
-        rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "part": pa.array([r[0] for r in rows], pa.int64())} | {name: pa.array([v[a:b].tobytes() for _, a, b in rows], pa.binary()) for name, v in (("hashes", own), ("classes", kinds), ("counts", all_counts.astype("<i4")))})
-
-    return run
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Sums of a range of hashes, back to the blocks that asked; block -1 has the sums of each class."""
-    column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    hashes, kinds, counts = column("hashes", np.uint64), column("classes", "<u2"), column("counts", "<i4")
-    every, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
-    kind = np.concatenate(kinds)[first].astype(np.int64)
-    sums = np.r_[np.bincount(kind, total, CLASSES), np.bincount(kind, total > 0, CLASSES)].astype(np.int64)
-    back, at = [], 0
-    for h in hashes:
-        back.append(total[where[at : at + len(h)]].astype("<i8").tobytes())
-        at += len(h)
-    part = table.column("part")[0].as_py()
-    return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "part": pa.array([part] * (len(hashes) + 1), pa.int64()), "counts": pa.array([*back, sums.tobytes()], pa.binary())})
+    _, symbols = classes(texts)
+    own, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    times = np.where(table.column("train").to_numpy(), table.column("times").to_numpy(), 0)
+    seen = np.bincount(inverse, np.repeat(times, n), len(own))
+    kinds = symbols[symbols < CLASSES][at]
+    block = np.full(len(own), table.column("block")[0].as_py())
+    return pa.table({"block": pa.array(block, pa.int64()), "place": pa.array(np.arange(len(own)), pa.int32()), "hash": pa.array(own.view(np.int64)), "kind": pa.array(kinds, pa.int16()), "n": pa.array(seen.astype(np.int64))})
 
 
 def score(docs: DataFrame, model: Model, where: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """One row per input row: ``id_col``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Tokens are words and one end. ``base_score`` is the add-one unigram score and ``score`` the model's log10
-    probability; words are counted over all rows that ``where`` admits (``train``). A word that no such row
-    has shares the one place its class keeps for unknown words. Null texts are empty. Rows with a null id
-    are scored as any other. An empty table gives an empty result; without training rows N is 0.
+    probability; words are counted over all rows that ``where`` admits (``train``), by their 64-bit hashes. A word that no
+    such row has shares the one place its class keeps for unknown words. Null texts are empty. Rows with a null id
+    are scored as any other, and rows that repeat more than ``REPEATED`` times are counted in full but computed once. An empty
+    table gives an empty result; without training rows N is 0.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("t"), F.coalesce(where, F.lit(False)).alias("train"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"), F.coalesce(where, F.lit(False)).alias("train"))
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count_if("train")).first()
     count = max(blocks, -(-size // block))
-    parts = 1 << (count - 1).bit_length()
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(count)))
-    asked = dealt.groupBy("block").applyInArrow(_ask(parts), _ASK)
-    answers = stored(asked.groupBy("part").applyInArrow(_answer, "block long, part long, counts binary"), "answers")
-    sums = vector_sum(answers.where("block = -1").select(F.lit("sums").alias("key"), F.col("counts").alias("vector"), F.lit("int64").alias("kind")))
-    sums = sums.get("sums", np.zeros(2 * CLASSES, np.int64))
-    tokens, distinct = int(sums[:CLASSES].sum()) + ends, int(sums[CLASSES:].sum()) + (ends > 0)
-    shared = spark.sparkContext.broadcast((model, np.log(sums[:CLASSES] + sums[CLASSES:] + 1.0)))
+    content = F.xxhash64("__id", "t")
+    often = stored(rows.groupBy(content.alias("h")).count().where(F.col("count") > REPEATED).select("h"), "often")
+    repeated = not often.isEmpty()
+    if not repeated:
+        dealt = rows.withColumn("times", F.lit(1).cast("long"))
+    else:
+        marked = rows.withColumn("h", content)
+        once = marked.join(small(often), "h", "left_semi").groupBy("__id", "t", "train").agg(F.count(F.lit(1)).alias("times"))
+        dealt = marked.join(small(often), "h", "left_anti").drop("h").withColumn("times", F.lit(1).cast("long")).unionByName(once)
+    dealt = dealt.withColumn("block", F.pmod(content, F.lit(count)))
+    asked = dealt.groupBy("block").applyInArrow(_ask, "block long, place int, hash long, kind short, n long")
+    word = Window.partitionBy("hash")
+    summed = asked.select("block", "place", "kind", F.sum("n").over(word).alias("total"), (F.row_number().over(word.orderBy("block")) == 1).alias("first"))
+    answers = stored(summed, "answers")
+    sums = np.zeros((2, CLASSES), np.int64)
+    for r in answers.where("first").groupBy("kind").agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).collect():  # a row for each class
+        sums[:, r.kind] = r.n, r.v
+    tokens, distinct = int(sums[0].sum()) + ends, int(sums[1].sum()) + (ends > 0)
+    shared = spark.sparkContext.broadcast((model, np.log(sums[0] + sums[1] + 1.0)))
     floor = float(np.log10(tokens + distinct + 1))
-    id_name = "__id"
 
     def work(table: pa.Table, reply: pa.Table) -> pa.Table:
         model, places = shared.value
         if not table.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in zip(names, kinds_of(table), strict=True)})
-        n, hashes, lengths, symbols, kinds = _block_words(byte_rows(table.column("t").combine_chunks()))
-        own = np.unique(hashes)
-        order = np.argsort(np.array(reply.column("part").to_pylist(), np.int64))
-        blobs = reply.column("counts").to_pylist()
-        counts = np.frombuffer(b"".join(blobs[k] for k in order), "<i8")
-        found = counts[np.searchsorted(own, hashes)] if len(hashes) else np.empty(0, np.int64)
+        texts = byte_rows(table.column("t").combine_chunks())
+        n, hashes = _words(texts)
+        lengths, symbols = classes(texts)
+        own, inverse = np.unique(hashes, return_inverse=True)
+        if len(own) != reply.num_rows:
+            raise RuntimeError("the rows of a block have changed since its words were counted")
+        counts = np.empty(len(own), np.int64)
+        counts[reply.column("place").to_numpy()] = reply.column("total").to_numpy()
+        found = counts[inverse]
         bounds = np.r_[0, np.cumsum(n)]
         total = lambda values: np.diff(np.r_[0.0, np.cumsum(values)][bounds])
         up = np.log(found + 1.0)
         base = (total(up) + np.log(ends + 1.0)) / np.log(10) - lengths * floor
         known = total((found > 0).astype(float)).astype(np.int64) + (ends > 0)
-        value = (forward(model, lengths, symbols) + total(up - places[kinds])) / np.log(10)
-        return pa.table({id_name: table.column(id_name), "train": table.column("train"), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(n), tokens)), "base_score": pa.array(base), "score": pa.array(value)})
-
-    names = [id_name, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds_of = lambda t: [t.schema.field(id_name).type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    schema = f"{id_name} {docs.schema[id_col].dataType.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    left = dealt.withColumnRenamed(id_col, id_name).groupBy("block")
-    right = answers.where("block >= 0").groupBy("block")
-    return left.cogroup(right).applyInArrow(work, schema).withColumnRenamed(id_name, id_col)
+        value = (forward(model, lengths, symbols) + total(up - places[symbols[symbols < CLASSES]])) / np.log(10)
+        return pa.table({"__id": table.column("__id"), "train": table.column("train"), "times": table.column("times"), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(n), tokens)), "base_score": pa.array(base), "score": pa.array(value)})
+
+    names = ["__id", "train", "times", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds_of = lambda t: [t.schema.field("__id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = f"__id {docs.schema[id_col].dataType.simpleString()}, train boolean, times long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    left, right = dealt.groupBy("block"), answers.select("block", "place", "total").groupBy("block")
+    scored = left.cogroup(right).applyInArrow(work, schema)
+    if repeated:
+        scored = scored.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("__n")
+    return scored.drop("times").withColumnRenamed("__id", id_col)

@@ -21,6 +21,8 @@ from loomwork.llm.common import byte_rows, map_arrow
 
 #: Bytes of a frame, frames of a chunk, frames from one sync frame to the next, frames a second.
 FRAME, CHUNK, SYNC, RATE = 192, 64, 16, 48_000
+#: Sizes and offsets from here on take 64 bits.
+WIDE = 1 << 32
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -28,7 +30,7 @@ IDENTITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
-    return struct.pack(">I4s", len(body) + 8, kind) + body if len(body) + 8 < 1 << 32 else struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
+    return struct.pack(">I4s", len(body) + 8, kind) + body if len(body) + 8 < WIDE else struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
 
 
 def full(kind: bytes, *parts: bytes, version: int = 0, flags: int = 0) -> bytes:
@@ -48,7 +50,7 @@ def build(payload: bytes, frame: int = FRAME, chunk: int = CHUNK, sync: int = SY
     chunks = -(-samples // chunk)
     tail = samples - (chunks - 1) * chunk
     runs = [(1, chunk, 1)] if tail == chunk else ([(1, chunk, 1)] if chunks > 1 else []) + [(chunks, tail, 1)]
-    wide = len(payload) + (1 << 20) >= 1 << 32
+    wide = len(payload) + (1 << 20) >= WIDE
 
     def moov(base: int) -> bytes:
         offsets = [base + k * chunk * frame for k in range(chunks)]
@@ -71,7 +73,7 @@ def build(payload: bytes, frame: int = FRAME, chunk: int = CHUNK, sync: int = SY
         mvhd = full(b"mvhd", struct.pack(">QQIQiH", 0, 0, rate, duration, 0x10000, 256), bytes(10), IDENTITY, bytes(24), struct.pack(">I", 2), version=1)
         return box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
-    lead = 16 if len(payload) + 8 >= 1 << 32 else 8
+    lead = 16 if len(payload) + 8 >= WIDE else 8
     base = len(head) + len(moov(0)) + lead
     return b"".join([head, moov(base), box(b"mdat", payload)])
 
@@ -166,11 +168,12 @@ def _track(data: bytes, t: dict) -> Track:
     return Track(codec, timescale, duration, offsets, sizes, sync)
 
 
-def describe(track: Track, payload: bytes) -> str:
-    """Codec, time scale, duration, samples, keyframes and a checksum of their byte ranges."""
+def describe(track: Track, media: bytes) -> str:
+    """Codec, time scale, duration, samples, keyframes, and checksums of their byte ranges and of their bytes."""
     keys = track.keyframes()
     ranges = zlib.crc32(np.array(keys, "<u8").tobytes())
-    return f"codec={track.codec.strip()};timescale={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes={len(keys)};first={keys[0][0]}-{keys[0][1]};last={keys[-1][0]}-{keys[-1][1]};ranges={ranges:08x}"
+    frames = zlib.crc32(b"".join(media[a:b] for a, b in keys))
+    return f"codec={track.codec.strip()};timescale={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes={len(keys)};first={keys[0][0]}-{keys[0][1]};last={keys[-1][0]}-{keys[-1][1]};ranges={ranges:08x};frames={frames:08x}"
 
 
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, timescale long, duration long, keyframes array<struct<start:long,stop:long>>, feature string"
@@ -192,7 +195,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             media = build(pad(text))
             track = tracks(media)[0]
             back = track.payload(media)
-            row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), track.codec, track.timescale, track.duration, [{"start": a, "stop": b} for a, b in track.keyframes()], describe(track, back))
+            row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), track.codec, track.timescale, track.duration, [{"start": a, "stop": b} for a, b in track.keyframes()], describe(track, media))
             for name, value in zip(names, row, strict=True):
                 columns[name].append(value)
             columns["media"].append(media if keep_media else None)

@@ -161,6 +161,7 @@ class Packer:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, json_path: str | None = None, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most ``size`` tokens.
 
+    Cuts are the best within ``PLAN`` tokens ahead, not over a whole partition.
     A document is its ids and then ``end_id``; a null text is empty. Each id lies in exactly one piece.
     Sequences keep the input order of a partition, and ids are unique over partitions (the partition's
     number in the high bits). The last sequences of a partition have lengths that are powers of two. Repeated

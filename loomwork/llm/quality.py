@@ -97,12 +97,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Raw counts over all rows; target counts and the cut from at most ``most`` labelled rows of each class,
     those least by a hash of the id. Half of the good rows (by another hash) give the target counts, the
     other half the cut, so that the cut knows documents the model hasn't seen. Null ids and labels are left out; an id with both labels counts as
-    bad. Without good rows, or rows at all, every weight is 0."""
+    bad, and one with several texts has the least weight of these. Without good rows, or rows at all, every weight is 0."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     order = [F.xxhash64("__id", F.lit(seed)), F.col("__id")]
     sample = known.where("__label = 0").orderBy(*order).limit(most).unionAll(known.where("__label = 1").orderBy(*order).limit(most))
     sample = stored(sample.withColumn("__fit", (F.col("__label") == 1) & (F.pmod(F.xxhash64("__id", F.lit(seed + 1)), F.lit(2)) == 0)), "sample")
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"), "left").select(F.col(text_col).alias("t"), F.col("__label").alias("label"), F.coalesce("__fit", F.lit(False)).alias("fit"))
+    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"), "left").select(F.col(text_col).alias("t"), F.col("__id").alias("i"), F.col("__label").alias("label"), F.coalesce("__fit", F.lit(False)).alias("fit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -124,9 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, weights = weigh(byte_rows(batch.column("t")), shared.value)
-            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "w": pa.array(weights)})
+            yield pa.RecordBatch.from_pydict({"i": batch.column("i"), "label": batch.column("label"), "w": pa.array(weights)})
 
-    found = arrow_map(rows.where("label is not null and not fit").select("t", "label"), value, "label int, w double").toPandas()
+    weighed = arrow_map(rows.where("label is not null and not fit").select("t", "i", "label"), value, f"i {docs.schema[id_col].dataType.simpleString()}, label int, w double")
+    found = weighed.groupBy("i", "label").agg(F.min("w").alias("w")).toPandas()  # one row for each id of the sample
     return Model(ratio, best_cut(found.w[found.label == 1].to_numpy(), found.w[found.label == 0].to_numpy()))
 
 

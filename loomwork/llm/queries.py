@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontaminate, hmm, language, media, oracles, packing, quality, simhash, substring, toxicity, warc
-from loomwork.llm.common import remainder, table
+from loomwork.llm.common import remainder, small_batches, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,17 +65,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(run)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-    "op2_quality": op2_quality,
-    "op3_substring": op3_substring,
-    "op4_toxicity": op4_toxicity,
-    "op5_decontaminate": op5_decontaminate,
-    "op6_media": op6_media,
-    "op7_packing": op7_packing,
-    "op8_warc": op8_warc,
-    "op9_language": op9_language,
-    "op10_hmm": op10_hmm,
+    run.__name__: _query(run)
+    for run in (op1_simhash, op2_quality, op3_substring, op4_toxicity, op5_decontaminate, op6_media, op7_packing, op8_warc, op9_language, op10_hmm)
 }
 ORACLES: dict[str, str] = {
     "op3_substring": oracles.SUBSTRING,

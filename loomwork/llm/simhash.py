@@ -1,17 +1,22 @@
 """SimHash near-duplicate grouping with anchors of a covering code.
 
-Two fingerprints that differ in at most ``threshold`` bits differ in at most one bit of some block, once
-the 64 bits are cut into ``threshold // 2 + 1`` blocks. In each block the anchors are the words of a
-covering code: a perfect Hamming code (covering radius 1) on the first 2**m - 1 bits, times all values of
-the remaining bits. A fingerprint's *home* is its nearest anchor; it is also replicated to every anchor
-within covering radius plus the block's threshold. Whoever links to ``x`` is then found at the home of
-``x``. Only links survive an anchor, reduced to a forest, and never all pairs of a bucket.
+Fingerprints that differ in few bits differ in at most one bit of some *set* of bits. For a link within
+``threshold`` bits of one fingerprint the sets are blocks, or groups of blocks, of which one has at most one
+differing bit in any case (``exact_sets``). For a link over several fingerprints together they are so many
+sets of sampled bits that one has at most one differing bit almost surely (``sampled_sets``).
+
+In each set the anchors are the words of a covering code: a perfect Hamming code (covering radius 1) on the
+first 2**m - 1 bits, times all values of the remaining bits. A fingerprint's *home* is its nearest anchor;
+it is also replicated to every anchor within covering radius plus that one bit. Whoever links to ``x`` is
+then found at the home of ``x``. Only links survive an anchor, reduced to a forest, and never all pairs of
+a bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import BROADCAST_ROWS, LOWER, arrow_map, byte_rows, cut_lineage, map_arrow, small, stored
+from loomwork.llm.common import BROADCAST_ROWS, LOWER, arrow_map, byte_rows, cut_lineage, map_arrow, release, small, stored
 
-#: Members of an anchor that one task compares with its homes; larger anchors are dealt over several.
+#: Homes, and members, of an anchor that are compared at once; larger anchors are dealt in tiles of these.
 TILE = 4096
+#: Homes that an anchor may have on average before wider sets of bits take over.
+HOMES = 128
 #: Pairs held in memory at once.
 PAIRS = 1 << 19
 
@@ -83,31 +90,53 @@ def _names(planes: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, planes))]
 
 
-def _blocks(threshold: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, bits under the Hamming code) of each block."""
-    n = threshold // 2 + 1
-    out, at = [], 0
-    for k in range(n):
-        bits = (64 * (k + 1)) // n - at
-        code = 15 if bits >= 15 else 7 if bits >= 7 else 3
-        out.append((at, bits, code))
-        at += bits
-    return out
-
+def exact_sets(threshold: int, prints: int = 0) -> list[np.ndarray]:
+    """Sets of bits of which one has at most one of any ``threshold`` differing bits.
 
-def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, is home) for every anchor that each of the fingerprints is replicated to."""
+    Single blocks of threshold // 2 + 1 do. For many fingerprints the sets are groups of r blocks of
+    threshold + r - 1, whose least differing one has one such bit too: more replicas, but as many more anchors.
+    """
+    for r in count(1):
+        n = threshold // 2 + 1 if r == 1 else threshold + r - 1
+        edges = [64 * k // n for k in range(n + 1)]
+        sets = [np.concatenate([np.arange(edges[k], edges[k + 1]) for k in group]) for group in combinations(range(n), r)]
+        bits = min(map(len, sets))
+        if prints <= HOMES << max(0, bits - 4) or bits >= 40:
+            return sets
+
+
+def sampled_sets(planes: int, least: float, prints: int = 0, miss: float = 0.02) -> list[np.ndarray]:
+    """Sets of bits of several fingerprints, so many that two texts of similarity ``least`` differ in more than
+    one bit of every set with chance ``miss`` at most. Many fingerprints take wider sets, and more of them."""
+    differ = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+    width = 16
+    while prints > HOMES << (width - 4) and width < 40:
+        width += 4
+    hit = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+    need = max(1, math.ceil(math.log(miss) / math.log(1 - hit)))
+    rng, sets = np.random.default_rng(64), []
+    while len(sets) < need:
+        order = rng.permutation(64 * planes)
+        sets += [np.sort(order[k : k + width]) for k in range(0, len(order) - width + 1, width)]
+    return sets[:need]
+
+
+def anchors(prints: list[np.ndarray], sets: list[np.ndarray], near: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, is home) for every anchor that each row of fingerprints (a column for each plane) is replicated to."""
     rows, keys, homes = [], [], []
-    index = np.arange(len(prints), dtype=np.int64)
+    index = np.arange(len(prints[0]), dtype=np.int64)
 
-    def add(block: int, where: np.ndarray, key: np.ndarray, home: bool) -> None:
+    def add(number: int, where: np.ndarray, key: np.ndarray, home: bool) -> None:
         rows.append(index[where])
-        keys.append((np.int64(block) << np.int64(56)) | key[where])
+        keys.append((np.int64(number) << np.int64(44)) | key[where])
         homes.append(np.full(int(where.sum()), home))
 
-    for k, (shift, bits, code) in enumerate(_blocks(threshold)):
-        near = min(1, threshold // (threshold // 2 + 1))
-        part = ((prints >> np.uint64(shift)) & np.uint64((1 << min(bits, 55)) - 1)).astype(np.int64)
+    for k, bits in enumerate(sets):
+        bits = bits[:40]  # fewer bits still cover
+        code = 15 if len(bits) >= 15 else 7 if len(bits) >= 7 else 3
+        part = np.zeros(len(index), np.int64)
+        for i, bit in enumerate(bits.tolist()):
+            part |= (prints[bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(np.int64) << np.int64(i)
         syndrome = np.zeros(len(part), np.int64)
         for i in range(1, code + 1):
             syndrome ^= np.where((part >> (i - 1)) & 1, i, 0)
@@ -117,7 +146,7 @@ def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray,
         add(k, every, nearest, True)
         if not near:
             continue
-        for i in range(code, min(bits, 55)):  # one bit outside the code differs
+        for i in range(code, len(bits)):  # one bit outside the code differs
             add(k, every, nearest ^ (np.int64(1) << i), False)
         for i in range(1, code + 1):  # codewords at distance two: flip i and its partner
             partner = syndrome ^ i
@@ -146,23 +175,34 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links found at anchors; rows of an anchor stand together."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    group = np.repeat(np.arange(len(starts)), sizes)
-    mine = np.flatnonzero(home & (sizes[group] > 1))
+#: What a row is in its tile.
+_HOME, _MEMBER = 1, 2
+
+
+def _links(starts: np.ndarray, prints: list[np.ndarray], node: np.ndarray, role: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between homes and members of the groups of rows that begin at ``starts``."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(node)]))
+    member, home = np.flatnonzero(role & _MEMBER), np.flatnonzero(role & _HOME)
+    sizes = np.bincount(group[member], minlength=len(starts))
+    first = np.cumsum(sizes) - sizes
+    home = home[sizes[group[home]] > 0]
     a = b = np.empty(0, np.int64)
-    ends = np.cumsum(sizes[group[mine]])
+    ends = np.cumsum(sizes[group[home]])
     at = 0
-    while at < len(mine):
+    while at < len(home):
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
-        part = mine[at:to]
-        count = sizes[group[part]]
-        left = np.repeat(part, count)
-        right = np.repeat(starts[group[part]] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        close = (np.bitwise_count(prints[left] ^ prints[right]) <= threshold) & (node[left] != node[right])
+        part = home[at:to]
+        sized = sizes[group[part]]
+        left = np.repeat(part, sized)
+        right = member[np.repeat(first[group[part]] - np.cumsum(sized) + sized, sized) + np.arange(sized.sum())]
+        apart = np.zeros(len(left), np.uint16)
+        for k, plane in enumerate(prints):
+            if k > 1:  # two planes tell nearly all pairs apart
+                close = apart <= threshold
+                left, right, apart = left[close], right[close], apart[close]
+            apart = apart + np.bitwise_count(plane[left] ^ plane[right])
+        close = (apart <= threshold) & (node[left] != node[right])
         a, b = np.concatenate([a, node[left[close]]]), np.concatenate([b, node[right[close]]])
         if len(a) > PAIRS:
             a, b = forest(a, b)
@@ -170,54 +210,64 @@ def _links(key: np.ndarray, prints: np.ndarray, node: np.ndarray, home: np.ndarr
     return forest(a, b) if len(a) else (a, b)
 
 
-def links(distinct: DataFrame, threshold: int = 4, tile: int = TILE, planes: int = 1) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = 4, tile: int = TILE, planes: int = 1, least: float = 0.8) -> DataFrame:
     """Columns ``a`` > ``b``: a forest, anchor by anchor, of the links between the rows (fp, ..., node).
 
-    With several planes, two rows link if they do in one of them.
+    Rows link within ``threshold`` bits of all their fingerprints together. With one plane no link is missed;
+    with several, two texts of similarity ``least`` miss each other's anchors with a chance of 2 %.
+    An anchor with more than ``tile`` members is dealt in tiles of homes and members, so that no task holds it all.
     """
     names = _names(planes)
+    prints = distinct.count()
+    sets = exact_sets(threshold, prints) if planes == 1 else sampled_sets(planes, least, prints)
+    near = min(1, threshold)
 
-    def spread(batch: pa.RecordBatch) -> dict:
-        parts: dict[str, list] = {"anchor": [], "fp": [], "node": [], "home": []}
-        node = batch.column("node").to_numpy(zero_copy_only=False)
-        for plane, name in enumerate(names):
-            prints = batch.column(name).to_numpy(zero_copy_only=False)
-            rows, keys, homes = anchors(prints.view(np.uint64), threshold)
-            for column, values in zip(parts.values(), (keys | np.int64(plane << 60), prints[rows], node[rows], homes), strict=True):
-                column.append(values)
-        return {n: pa.array(np.concatenate(v)) for n, v in parts.items()}
-
-    spreaded = map_arrow(distinct.select(*names, "node"), spread, "anchor long, fp long, node long, home boolean")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):  # a row becomes dozens
+                part = batch.slice(at, 2000)
+                node = part.column("node").to_numpy(zero_copy_only=False)
+                columns = [part.column(n).to_numpy(zero_copy_only=False) for n in names]
+                rows, keys, homes = anchors([c.view(np.uint64) for c in columns], sets, near)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(keys), "node": pa.array(node[rows]), "home": pa.array(homes)} | {n: pa.array(c[rows]) for n, c in zip(names, columns, strict=True)})
+
+    spreaded = arrow_map(distinct.select(*names, "node"), spread, "anchor long, node long, home boolean, " + ", ".join(f"{n} long" for n in names))
     hot = cut_lineage(spreaded.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > tile))
+    home = F.when(F.col("home"), _HOME | _MEMBER).otherwise(_MEMBER)
     if hot.isEmpty():
-        dealt = spreaded.withColumn("tile", F.lit(0))
-    else:  # homes of a large anchor are split; each part sees all members
+        dealt = spreaded.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), home.alias("role"), "node", *names)
+    else:
         parts = F.ceil(F.coalesce(F.col("members"), F.lit(1)) / tile).cast("int")
-        joined = spreaded.join(hot, "anchor", "left").withColumn("parts", parts)
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
-        dealt = joined.withColumn("own", mine).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("tile") == F.col("own")))
-    dealt = dealt.select("anchor", "tile", "fp", "node", "home").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
+        placed = spreaded.join(hot, "anchor", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        placed = placed.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tiled = lambda i, j, role: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), role.alias("role"))
+        other = F.col("home") & (F.col("p") != F.col("own"))
+        as_member = tiled("p", "own", F.when(other, _MEMBER).otherwise(home))
+        cells = F.when(other, F.array(as_member, tiled("own", "p", F.lit(_HOME)))).otherwise(F.array(as_member))
+        dealt = placed.withColumn("cell", F.explode(cells)).select("anchor", "cell.*", "node", *names)
+    dealt = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def found(key, prints, node, home) -> pa.RecordBatch:
-            a, b = _links(key, prints.view(np.uint64), node, home, threshold)
+        def found(starts, place, node, role, *prints) -> pa.RecordBatch:
+            a, b = _links(starts, [p.view(np.uint64) for p in prints], node, role, threshold)
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, part, prints, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "tile", "fp", "node"))
-            now = [anchor * np.int64(31) + part, prints, node, batch.column("home").to_numpy(zero_copy_only=False).astype(bool)]
+            column = lambda n, batch=batch: batch.column(n).to_numpy(zero_copy_only=False)
+            now = [np.stack([column("anchor"), column("i"), column("j")], axis=1), column("node"), column("role"), *map(column, names)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            last = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])
-            rest = [x[last:].copy() for x in now]  # the last anchor may go on in the next batch
+            starts = np.flatnonzero(np.r_[True, (now[0][1:] != now[0][:-1]).any(axis=1)])
+            last = int(starts[-1])
+            rest = [x[last:].copy() for x in now]  # the last tile may go on in the next batch
             if last:
-                yield found(*(x[:last] for x in now))
+                yield found(starts[:-1], *(x[:last] for x in now))
         if rest is not None:
-            yield found(*rest)
+            yield found(np.zeros(1, np.int64), *rest)
 
     return arrow_map(dealt, compare, "a long, b long")
 
@@ -246,7 +296,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, threshold: int = 4, seed: int = 42, planes: int = 1) -> DataFrame:
     """One row per input row: ``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
-    With ``planes`` above 1, further independent fingerprints link documents too. The component is the smallest id reachable through links of at most ``threshold`` differing bits.
+    The component is the smallest id reachable through links of at most ``threshold`` differing bits; with ``planes``
+    above 1, of several independent fingerprints together (``links``).
     Null or blank texts have fingerprint zero and link like any other. Repeated rows give repeated
     results. Rows with a null id take the component of the fingerprint they share with other rows, and
     null if there is none. An empty table gives an empty result. Other columns are not looked at.
@@ -256,11 +307,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return _with_components(prints, id_col, threshold, planes).select(id_col, hexed, "component_id")
 
 
-def _with_components(prints: DataFrame, id_col: str, threshold: int, planes: int) -> DataFrame:
+def _with_components(prints: DataFrame, id_col: str, threshold: int, planes: int, least: float = 0.8) -> DataFrame:
     """The rows (id, fp, ...) with ``component_id``, the smallest id of the component, null if no row of it has an id."""
     names = _names(planes)
     distinct = cut_lineage(prints.groupBy(*names).agg(F.min(id_col).cast("long").alias("node")))
-    roots = components(links(distinct.where("node is not null"), threshold, planes=planes))
+    roots = components(links(distinct.where("node is not null"), threshold, planes=planes, least=least))
     of_print = cut_lineage(distinct.join(roots, "node", "left").select(*(F.col(n).alias(f"of_{n}") for n in names), F.coalesce("root", "node").alias("component_id")))
     same = [F.col(n) == F.col(f"of_{n}") for n in names]
     return prints.join(of_print, same).select(*prints.columns, "component_id")
@@ -309,56 +360,77 @@ def _majority(fp: str, n: str) -> Column:
     return bits[0]
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 7, planes: int = 4, least: float = 0.8) -> DataFrame:
+def _apart(members: DataFrame, found: DataFrame, centres: int, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """One round over groups (k, c, d, n, fp, m1, m2) with the texts ``found`` (k, t): the documents
+    (d, m1, m2) that go, and the groups that are left with two texts or more."""
+    major = stored(members.groupBy("c").agg(_majority("fp", "n").alias("major")), "majority")
+    order = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("major"))).alias("away"), "d", "k")
+    part = F.pmod(F.xxhash64("k"), F.lit(centres))
+    first = stored(members.join(major, "c").groupBy("c", part.alias("part")).agg(F.min(order).alias("at")).select("c", "at", F.col("at.k").alias("rep")), "centres")
+    pairs = stored(members.join(first.select("c", "rep"), "c").where("k <> rep").select("k", "rep"), "pairs")
+    with_text = pairs.join(found, "k").join(found.select(F.col("k").alias("rep"), F.col("t").alias("rt")), "rep")
+    alike = stored(_alike(with_text, width, least), "alike")
+    # a centre like one before it in the order isn't one
+    ranks = first.select("rep", "at")
+    like = alike.join(ranks, "rep").join(first.select(F.col("rep").alias("k"), F.col("at").alias("own")), "k").where("own > at").select(F.col("k").alias("rep")).distinct()
+    valid = stored(ranks.join(like, "rep", "left_anti"), "valid")
+    taken = alike.join(valid, "rep").groupBy("k").agg(F.min("at").alias("at")).select("k", F.col("at.k").alias("rep"))
+    taken = stored(taken.union(valid.select(F.col("rep").alias("k"), "rep")), "taken")
+    classes = stored(taken.join(members, "k").select("k", "rep", "d", "m1", "m2"), "classes")
+    stays = stored(classes.groupBy("rep").agg(F.min(F.struct("d", "k")).alias("stays")), "stays")
+    gone = stored(classes.join(stays, "rep").where("k <> stays.k").select("d", "m1", "m2"), "near")
+    rest = stored(members.join(taken.select("k"), "k", "left_anti"), "rest")
+    left = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select(*members.columns), "left")
+    release(major, first, pairs, alike, valid, taken, classes, stays, rest)
+    return gone, left
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 36, planes: int = 3, least: float = 0.8) -> DataFrame:
     """The rows without near copies: all columns as they are, one row left of each group.
 
-    Of equal texts the smallest id stays. Groups of the texts left come from fingerprints. A group's centre is
+    A document is an id with a text. Of equal texts the smallest id stays. Groups of the texts left come from
+    ``planes`` fingerprints that differ in at most ``threshold`` bits together. A group's centre is
     the text whose fingerprint is nearest to the majority of the group's bits; the texts at least ``least``
     similar to it in shingles are one class with it, and the smallest id of the class stays. What is unlike the
     centre is a group of its own, until none has two texts; from round to round twice as many centres
-    are taken at once, up to ``CENTRES``. Rows with a null id stay, and of rows with equal ids one stays: of
-    different texts under one id, one that isn't a near copy. An empty table gives an empty result.
+    are taken at once, up to ``CENTRES``. Different texts under one id are documents of their own; of rows with
+    equal id and text the least stays, in the order of their JSON. Null and empty texts are equal texts. Rows with a null id stay. An
+    empty table gives an empty result.
     """
     names = _names(planes)
     d = F.col(id_col).cast("long")
     rows = docs.select(d.alias("d"), F.col(text_col).alias("t")).where("d is not null").select("d", *_digest(F.col("t")), "t")
     prints = fingerprints(rows.select(F.struct("d", "m1", "m2").alias("i"), "t"), "i", "t", width, planes=planes)
     prints = stored(prints.select("i.*", *names), "prints")
-    twice = not prints.groupBy("d").count().where("count > 1").isEmpty()
+    again = stored(prints.groupBy("d", "m1", "m2").count().where("count > 1").select("d", "m1", "m2"), "again")
     texts = prints.groupBy("m1", "m2", *names).agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n"))
     texts = stored(texts.withColumn("k", F.monotonically_increasing_id()), "texts")
-    copied = small(stored(texts.where("n > 1").select("m1", "m2", F.col("d").alias("stays")), "copied"))
-    gone = prints.join(copied, ["m1", "m2"]).where("d > stays").select("d", "m1", "m2")
+    copied = stored(texts.where("n > 1").select("m1", "m2", F.col("d").alias("stays")), "copied")
+    parts = [stored(prints.join(small(copied), ["m1", "m2"]).where("d > stays").select("d", "m1", "m2"), "copies")]
 
-    grouped = stored(_with_components(texts.select("k", *names), "k", threshold, planes).select("k", F.col("component_id").alias("c")), "components")
+    grouped = stored(_with_components(texts.select("k", *names), "k", threshold, planes, least).select("k", F.col("component_id").alias("c")), "components")
     large = grouped.groupBy("c").count().where("count > 1").select("c")
     members = stored(grouped.join(large, "c").join(texts.select("k", "d", "n", "fp", "m1", "m2"), "k"), "groups")
+    release(copied, grouped)
     found = rows.join(small(members.select("k", "d", "m1", "m2"), BROADCAST_ROWS * 3 // 4), ["d", "m1", "m2"]).select("k", "t")
-    found = stored(found.dropDuplicates(["k"]) if twice else found, "members")
+    found = stored(found if again.isEmpty() else found.dropDuplicates(["k"]), "members")
     centres = 1
     while not members.isEmpty():
-        major = stored(members.groupBy("c").agg(_majority("fp", "n").alias("major")), "majority")
-        order = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("major"))).alias("away"), "d", "k")
-        part = F.pmod(F.xxhash64("k"), F.lit(centres))
-        first = stored(members.join(major, "c").groupBy("c", part.alias("part")).agg(F.min(order).alias("at")).select("c", "at", F.col("at.k").alias("rep")), "centres")
-        pairs = stored(members.join(first.select("c", "rep"), "c").where("k <> rep").select("k", "rep"), "pairs")
-        with_text = pairs.join(found, "k").join(found.select(F.col("k").alias("rep"), F.col("t").alias("rt")), "rep")
-        alike = stored(_alike(with_text, width, least), "alike")
-        # a centre like one before it in the order isn't one
-        ranks = first.select("rep", "at")
-        like = alike.join(ranks, "rep").join(first.select(F.col("rep").alias("k"), F.col("at").alias("own")), "k").where("own > at").select(F.col("k").alias("rep")).distinct()
-        valid = stored(ranks.join(like, "rep", "left_anti"), "valid")
-        taken = alike.join(valid, "rep").groupBy("k").agg(F.min("at").alias("at")).select("k", F.col("at.k").alias("rep"))
-        taken = stored(taken.union(valid.select(F.col("rep").alias("k"), "rep")), "taken")
-        classes = stored(taken.join(members, "k").select("k", "rep", "d", "m1", "m2"), "classes")
-        stays = classes.groupBy("rep").agg(F.min(F.struct("d", "k")).alias("stays"))
-        gone = gone.union(stored(classes.join(stored(stays, "stays"), "rep").where("k <> stays.k").select("d", "m1", "m2"), "near"))
-        rest = stored(members.join(taken.select("k"), "k", "left_anti"), "rest")
-        members = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select(*members.columns), "left")
-        centres = min(CENTRES, centres * 2)
-    gone = small(stored(gone.distinct(), "gone")).select(*(F.col(x).alias(f"__{x}") for x in ("d", "m1", "m2")))
-    m1, m2 = _digest(F.col(text_col))
-    kept = docs.join(gone, (d == F.col("__d")) & (m1 == F.col("__m1")) & (m2 == F.col("__m2")), "left_anti")
-    if not twice:
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+        near, left = _apart(members, found, centres, width, least)
+        parts.append(near)
+        release(members)
+        members, centres = left, min(CENTRES, centres * 2)
+    gone = parts[0]
+    for part in parts[1:]:
+        gone = gone.union(part)
+    gone = stored(gone.distinct(), "gone")
+    release(prints, texts, found, members, *parts)
+    own = dict(zip(("__m1", "__m2"), _digest(F.col(text_col)), strict=True)) | {"__d": d}
+    key = list(own)
+    named = lambda df: df.select(*(F.col(x.lstrip("_")).alias(x) for x in key))
+    kept = docs.withColumns(own).join(small(named(gone)), key, "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    repeated = named(again)
+    once = kept.join(small(repeated), key, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("__row"))
+    return kept.join(small(repeated), key, "left_anti").select(*docs.columns).unionByName(once.select("__row.*"))

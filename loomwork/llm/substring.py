@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import byte_rows, map_arrow, small, stored
+from loomwork.llm.common import byte_rows, map_arrow, release, small, stored
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BITS = 32  # low bits of an ordering key that hold a position
@@ -100,7 +100,7 @@ def select(lists: list[list[bytes]], width: int) -> dict[str, np.ndarray]:
     return out | {"left": left.view(np.int64), "right": right.view(np.int64), "has_left": has_left, "has_right": has_right}
 
 
-def _in_groups(texts: list[bytes | None], limit: int = 1 << 19):
+def _in_groups(texts: list[bytes | None], limit: int = 1 << 17):
     """(first row, word lists) of neighbouring rows with about ``limit`` words at most."""
     lists: list[list[bytes]] = []
     first = words = 0
@@ -177,20 +177,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     keys = stored(rows.select("d", "tk", F.md5(F.col("t").cast("binary")).alias("m")), "texts")
     first = stored(keys.groupBy("m").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most"), "copied")
     copies = stored(keys.join(first, "m").where("d > least").select("d", "tk").distinct(), "copies")
+    release(keys, first)
     base = rows.join(small(copies), ["d", "tk"], "left_anti")
 
     quarters = _quarters(base, width)
-    again = stored(_repeated(quarters.select("key", "d"), "key").select("key"), "quarter")
-    alive = stored(quarters.join(again, "key"), "alive")
+    quarter = stored(_repeated(quarters.select("key", "d"), "key").select("key"), "quarter")
+    alive = stored(quarters.join(quarter, "key"), "alive")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h")))).alias("x")
     halves = alive.select("key", "d", "tk", "pos", "far", "near", sides).where("x.h is not null").select("key", "d", "tk", "pos", "far", "near", "x.side", "x.h")
     again = stored(_repeated(halves, "key", "side", "h").select("key", "side", "h"), "half")
     found = stored(halves.join(again, ["key", "side", "h"]).groupBy("d", "tk").agg(F.collect_set(F.struct("pos", "far", "near", "side")).alias("found")), "found")
+    release(alive, again, quarter)
     wanted = rows.join(small(found.select("d", "tk")), ["d", "tk"], "left_semi").dropDuplicates(["d", "tk"])
     windows = stored(_windows(wanted.join(found, ["d", "tk"]), width), "windows")
     again = stored(_repeated(windows.select("k1", "k2", "d"), "k1", "k2"), "full")
     hit = windows.join(again, ["k1", "k2"]).where("d > least").groupBy("d", "tk").agg(F.collect_list("s").alias("starts"))
-    return copies, stored(hit, "repeats")
+    hit = stored(hit, "repeats")
+    release(found, windows, again)
+    return copies, hit
 
 
 def covered(n: int, starts: list[int] | None, width: int) -> np.ndarray:

@@ -21,6 +21,8 @@ from loomwork.llm.decontaminate import words
 
 #: Lengths of n-grams in bytes, their buckets, and the bound of the sample: labelled rows of each class.
 LENGTHS, BUCKETS, MOST = (3, 4, 5), 1 << 19, 1500
+#: Bytes of a text of the sample.
+LONGEST = 1 << 16
 #: Documents of the sample that an n-gram must occur in; mini-batches of training at least.
 SEEN, STEPS = 2, 900
 #: Words of the extracts of clean documents: any part of a clean document is clean too.
@@ -147,13 +149,15 @@ class _Numbers(dict):
 def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST, seed: int = 1) -> Model:
     """Fit on at most ``most`` labelled rows of each class, those least by a hash of the id; ``where`` admits labels.
 
-    Rows with a null id or label are left out; an id with both labels counts as toxic.
+    Rows with a null id or label are left out; an id with both labels counts as toxic. Of an id's texts the least is
+    taken, and texts of more than ``LONGEST`` bytes are not learned from.
     """
     known = labels.where(where & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     order = [F.xxhash64("__id", F.lit(seed)), F.col("__id")]
     sample = known.where("__label = 0").orderBy(*order).limit(most).unionAll(known.where("__label = 1").orderBy(*order).limit(most))
     rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"), "__label")
-    found = sorted(((r[0], bytes(r[1] or b""), r[2]) for r in rows.dropDuplicates(["__id"]).toLocalIterator()), key=lambda r: r[0])
+    short = rows.where(F.coalesce(F.octet_length("__text"), F.lit(0)) <= LONGEST)
+    found = sorted(((r[0], bytes(r[2] or b""), r[1]) for r in short.groupBy("__id", "__label").agg(F.min("__text")).collect()), key=lambda r: r[0])
     return fit([r[1] for r in found], np.array([r[2] for r in found], int), seed=seed)
 
 

@@ -22,11 +22,12 @@ from loomwork.llm.common import map_arrow
 VERSION = "WARC/1.1"
 #: Date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|html|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content isn't text, and elements that end a line.
+HIDDEN = {"script", "style", "template", "noscript"}
+BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "header", "footer", "nav", "title", "head", "body", "html", "blockquote", "pre"}
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"[^\s>]+")
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -53,9 +54,9 @@ def _plain(value: str) -> str:
 
 
 def response(page: str, url: str, body: bytes, date: str = NO_DATE, content_type: str = "text/html; charset=utf-8") -> bytes:
-    """A response record around an HTML body."""
+    """A response record around an HTML body; its id is fixed by page, URL and body."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-    headers = {"WARC-Record-ID": record_id("response", page, url), "WARC-Date": date, "WARC-Target-URI": url, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(body)}
+    headers = {"WARC-Record-ID": record_id("response", page, url, digest(body)), "WARC-Date": date, "WARC-Target-URI": url, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(body)}
     return record("response", headers, block)
 
 
@@ -82,9 +83,90 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def page_text(page: str) -> str:
-    """Visible text, a line for each block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+class _Search:
+    """Forward searches in a page that must not cost its length again and again: what was not found isn't sought again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.lower = page, page.lower() if page.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), page)
+        self.missing: set[str] = set()
+
+    def find(self, what: str, start: int) -> int:
+        if what in self.missing:
+            return -1
+        at = self.page.find(what, start)
+        if at < 0:
+            self.missing.add(what)
+        return at
+
+    def closing(self, name: str, start: int) -> tuple[int, int]:
+        """(begin, end) of the next closing tag of that name, or (-1, -1)."""
+        mark = "</" + name
+        while mark not in self.missing:
+            at = self.lower.find(mark, start)
+            if at < 0:
+                self.missing.add(mark)
+                break
+            end = at + len(mark)
+            while end < len(self.page) and self.page[end].isspace():
+                end += 1
+            if self.page[end : end + 1] == ">":
+                return at, end + 1
+            start = end
+        return -1, -1
+
+
+def scan(page: str) -> tuple[str, str | None, list[str]]:
+    """(text with its line breaks, title, links) of an HTML page, in one pass.
+
+    A tag ends at the next ``>``. Comments and the content of ``HIDDEN`` elements are left out; a hidden element that
+    isn't closed is a mere tag, a comment that isn't closed hides the rest of the page.
+    """
+    find = _Search(page)
+    out: list[str] = []
+    links: list[str] = []
+    title = None
+    at = 0
+    while (lt := page.find("<", at)) >= 0:
+        out.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = find.find("-->", lt + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if not (page[lt + 1 : lt + 2] in ("/", "!", "?") or (page[lt + 1 : lt + 2].isascii() and page[lt + 1 : lt + 2].isalpha())):
+            out.append("<")
+            at = lt + 1
+            continue
+        gt = find.find(">", lt + 1)
+        if gt < 0:
+            at = lt
+            break
+        at = gt + 1
+        tag = _NAME.match(page, lt + 1, gt)
+        name = tag[1].lower() if tag else ""
+        opening = page[lt + 1] != "/"
+        if name in HIDDEN and opening:
+            end = find.closing(name, at)[1]
+            if end >= 0:
+                out.append(" ")
+                at = end
+        elif name in BREAKS:
+            out.append("\n")
+            if name == "title" and opening and title is None:
+                end = find.closing(name, at)[0]
+                title = page[at:end] if end >= 0 else None
+        elif name == "a" and opening and (href := _HREF.search(page, lt, gt)):
+            mark, begin = page[href.end()], href.end()
+            end = find.find(mark, begin + 1) if mark in "\"'" else -1
+            value = page[begin + 1 : end] if end >= 0 else (found[0] if (found := _VALUE.match(page, begin, gt)) else None)
+            if value is not None:
+                links.append(html.unescape(value))
+    out.append(page[at:])
+    return "".join(out), title, links
+
+
+def tidy(text: str) -> str:
+    """Character references resolved, runs of white space made one, blank lines left out."""
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
 
 
@@ -94,12 +176,11 @@ def derive(data: bytes) -> list[tuple[str, str, str, str, str, str, bytes]]:
     head, _, payload = block.partition(b"\r\n\r\n")
     status, http = parse_headers(head)
     page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    links = [html.unescape(next(x for x in m.groups() if x is not None)) for m in _LINK.finditer(_HIDDEN.sub(" ", page))]
+    text, title, links = scan(page)
     origin = {k: source[k] for k in ("WARC-Target-URI", "WARC-Date") if k in source}
     linked = origin | {"WARC-Refers-To": source["WARC-Record-ID"]} | ({"WARC-Payload-Digest": source["WARC-Payload-Digest"]} if "WARC-Payload-Digest" in source else {})
-    envelope = {"Envelope": {"WARC-Header-Metadata": source, "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": {"Title": _SPACES.sub(" ", html.unescape(title[1])).strip() if title else None, "Links": links}}}}}
-    blocks = (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode()), ("conversion", "text/plain", page_text(page).encode()))
+    envelope = {"Envelope": {"WARC-Header-Metadata": source, "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": {"Title": _SPACES.sub(" ", html.unescape(title)).strip() if title is not None else None, "Links": links}}}}}
+    blocks = (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, separators=(",", ":")).encode()), ("conversion", "text/plain", tidy(text).encode()))
     out = []
     for kind, content_type, body in blocks:
         own = record_id(kind, source["WARC-Record-ID"])

@@ -62,12 +62,49 @@ def test_rounds_raise_likelihood():
     model, values = hmm.Model.rough(2), []
     for _ in range(8):
         values.append(hmm.forward(model, lengths, symbols).sum())
-        counts = hmm.expected(model, lengths, symbols)
+        counts, value = hmm.expected(model, lengths, symbols)
+        assert math.isclose(value, values[-1], rel_tol=1e-9)
         assert math.isclose(counts[4 + 2 :].sum(), lengths.sum())
         model = hmm.Model.of(counts, 2, pull=1e-3)
     assert values == sorted(values)
 
 
+def test_pieces_of_long_texts_are_exact(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 7, 23, 4, 40, 8, 3, 9])
+    symbols = rng.integers(0, 60, lengths.sum())
+    model = hmm.Model.rough(4)
+    counts, value = hmm.expected(model, lengths, symbols)
+    values = hmm.forward(model, lengths, symbols)
+    for piece, cells in ((4, 16), (1, 5), (8, 1000)):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        monkeypatch.setattr(hmm, "CELLS", cells)
+        assert np.allclose(hmm.forward(model, lengths, symbols), values, rtol=1e-9)
+        again, sum_again = hmm.expected(model, lengths, symbols)
+        assert np.allclose(again, counts, rtol=1e-7, atol=1e-9) and math.isclose(sum_again, value, rel_tol=1e-9)
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "REPEATED", 50)
+    rows = [(None, f"a{k} b c") for k in range(2000)] + [(5, "same text")] * 300 + [(5, None)] * 120 + [(7, "same text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = hmm.train(docs, F.lit(True), sample=10, warm=1, rounds=1)
+    got = hmm.score(docs, model, F.lit(True), blocks=8).collect()
+    n, want = base([(k, t) for k, (_, t) in enumerate(rows)], lambda d: True)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == sorted((a, b, round(c, 6)) for a, b, c in want.values())
+    assert {r.train_tokens for r in got} == {n} and sum(r.doc_id is None for r in got) == 2000
+
+
+def test_million_words():
+    words = np.random.default_rng(1).integers(0, 5000, 1_000_000)
+    text = " ".join(f"w{w}" for w in words).encode()
+    lengths, symbols = hmm.classes([text, b"short one"])
+    model = hmm.Model.rough()
+    counts, value = hmm.expected(model, lengths, symbols)
+    assert math.isclose(hmm.forward(model, lengths, symbols).sum(), value, rel_tol=1e-9)
+    assert math.isclose(counts[hmm.STATES + hmm.STATES**2 :].sum(), 1_000_004, rel_tol=1e-9)
+
+
 def test_edges(spark):
     rows = [(1, "A b\tb", 7), (2, None, 8), (3, "", 9), (None, "b c", 1), (1, "A b\tb", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")

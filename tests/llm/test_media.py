@@ -57,6 +57,23 @@ def test_damage_never_raises(data, at, noise):
         assert isinstance(track.sizes, np.ndarray)
 
 
+def test_wide_boxes(monkeypatch):
+    monkeypatch.setattr(media, "WIDE", 64)
+    payload = media.pad(bytes(range(256)) * 200)
+    stored = media.build(payload)
+    kinds = {p[-1] for p, _, _ in media.walk(stored)}
+    assert b"co64" in kinds and b"stco" not in kinds
+    (track,) = media.tracks(stored)
+    assert track.payload(stored) == payload
+    assert all(stored[a:b] == payload[k * 192 : (k + 1) * 192] for k, (a, b) in zip(track.sync.tolist(), track.keyframes(), strict=True))
+
+
+def test_feature_knows_the_content(spark):
+    rows = media.store_media(spark.createDataFrame([(1, "abc"), (2, "xyz"), (3, "abc")], "doc_id long, text string")).collect()
+    by = {r.doc_id: r.feature for r in rows}
+    assert by[1] == by[3] != by[2]
+
+
 def test_nested_paths():
     stored = media.build(b" " * 192)
     paths = [p for p, _, _ in media.walk(stored)]

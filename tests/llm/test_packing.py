@@ -3,11 +3,14 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomwork.llm import packing, queries
 
 SF = "/root/testdata/sf0.01"
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(docs, pieces, size=2048, most=0.03):
@@ -50,6 +53,22 @@ def test_edges(spark):
     assert all(len(r.ids) == r.length for r in kept)
 
 
+_PIECES = st.one_of(st.text(max_size=30), st.sampled_from(["\u3000\u2003 ", "\r\n\r\n", "\t \t", "don't I'LL we've", "1234567890 3.14", "\u0e01\u0e33", "\u4f60\u597d", "\U0001f469\u200d\U0001f4bb", "e\u0301", "\u0130\u017f", "\x00\x7f\x85", "<|endoftext|>"]), st.builds(lambda c, n: c * n, st.characters(exclude_categories=["Cs"]), st.integers(1, 80)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(_PIECES, max_size=8).map("".join))
+def test_ids_are_those_of_the_library(text):
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert encode.ids(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "c"), (1, "d"), (1, "d")], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    assert sorted(str(r.doc_id) for r in rows if r.start == 0) == ["1", "1", "None", "None"]
+
+
 def test_plan_is_least():
     rng = np.random.default_rng(2)
     for _ in range(30):

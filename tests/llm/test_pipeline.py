@@ -73,3 +73,27 @@ def test_stages_one_by_one(spark):
 def test_run_repeats(spark):
     digest = lambda df: hashlib.sha256(repr(sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32").collect())).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, SF)) == digest(corpus_pipeline.run(spark, SF))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, an empty table, and columns whose names the stages use themselves."""
+    text = " ".join(f"word{k}" for k in range(120))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, None, None, None), (None, text, None, None, None), (None, None, None, None, None), (3, None, "de", "b", 2), (4, "", "de", "b", 3), (5, "  ", None, "b", 3), (6, "only three words", "en", "a", 5)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {"d": 1, "t": "x", "k": 2, "m1": 3, "m2": 4, "fp": 5, "c": 6, "label": 7, "i": 8, "w": 9, "found": 10, "starts": 11, "tk": 12, "h": 13, "key": 14, "items": 15, "spans": 16, "score": 17}
+    spark.createDataFrame([(1, 1), (None, 0), (6, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "three words here"), (2, "only three words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from pyspark.sql import functions as F
+
+    full = spark.createDataFrame(rows, fields).withColumns({n: F.lit(v) for n, v in clash.items()})
+    for docs in (full, full.limit(0)):
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for name, run in corpus_pipeline.STAGES:
+            columns, out = docs.columns, run(spark, docs, str(tmp_path))
+            out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+            assert name == "packing" or docs.columns == columns
+            if name == "near_duplicates" and full.count():
+                assert docs.where(f"doc_id is not null and text = '{text}'").count() <= 1 and docs.where("doc_id is null").count() == out.where("doc_id is null").count()
+    assert docs.count() == 0

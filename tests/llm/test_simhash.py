@@ -64,13 +64,54 @@ def test_chains_and_tiles(spark):
         assert {d: roots.get(d, d) for d in want} == want
 
 
-def test_planes_link_if_one_does(spark):
+def test_planes_link_together(spark):
     rng = random.Random(12)
-    rows = [(rng.getrandbits(63), rng.getrandbits(63), k) for k in range(60)]
-    rows += [(rows[k][0] ^ 5, rng.getrandbits(63), 60 + k) for k in range(10)] + [(rng.getrandbits(63), rows[k][1] ^ 9, 70 + k) for k in range(5, 12)]
-    df = spark.createDataFrame(rows, "fp long, fp1 long, node long").repartition(3)
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, 4, planes=2)).collect()}
-    assert roots == {60 + k: k for k in range(10)} | {70 + k: k for k in range(5, 12)}
+    flip = lambda p, n: p ^ sum(1 << b for b in rng.sample(range(63), n))
+    rows = [(rng.getrandbits(63), rng.getrandbits(63), rng.getrandbits(63), k) for k in range(60)]
+    rows += [tuple(flip(p, n) for p, n in zip(rows[k][:3], (8, 2, 5), strict=True)) + (60 + k,) for k in range(20)]
+    rows += [tuple(flip(p, 20) for p in rows[k][:3]) + (80 + k,) for k in range(20)]
+    df = spark.createDataFrame(rows, "fp long, fp1 long, fp2 long, node long").repartition(3)
+    for tile in (4096, 2):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(df, 20, tile, planes=3)).collect()}
+        assert set(roots.items()) <= {(60 + k, k) for k in range(20)} and len(roots) >= 18
+
+
+def test_hot_anchor_is_tiled(spark):
+    """50,000 fingerprints on one anchor: only tiles of homes and members meet, and all links are found."""
+    rng = np.random.default_rng(6)
+    low = int(rng.integers(0, 1 << 20))
+    high = rng.choice(1 << 42, 49_000, replace=False).astype(np.int64)
+    prints = np.unique((high << 21) | low)
+    prints = np.unique(np.r_[prints, prints[:1000] ^ (np.int64(7) << np.int64(30))])
+    df = spark.createDataFrame([(p, k) for k, p in enumerate(prints.tolist())], "fp long, node long").repartition(4)
+    edges = simhash.links(df, 4, planes=1)
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    place = {p: k for k, p in enumerate(prints.tolist())}
+    for p in prints.tolist():
+        q = p ^ 7 << 30
+        if q in place:
+            assert roots.get(place[p], place[p]) == roots.get(place[q], place[q])
+
+
+def test_recall_near_the_bound(spark):
+    """Pairs of texts of similarity 0.8 to 0.85 among many others."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randint(0, 20000)}"
+    texts, pairs = [], []
+    while len(pairs) < 150:
+        t = [word() for _ in range(300)]
+        u = list(t)
+        for k in rng.sample(range(300), 7):
+            u[k] = word()
+        s = simhash.similarity(*(simhash.shingle_set(" ".join(x).encode(), 5) for x in (t, u)))
+        if 0.8 <= s <= 0.85:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [t, u]
+    texts += [[word() for _ in range(300)] for _ in range(600)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept >= set(range(len(texts))) - {b for _, b in pairs}
+    assert sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs)
 
 
 def test_anchors_cover():
@@ -81,11 +122,14 @@ def test_anchors_cover():
         for k in range(300):
             for b in rng.choice(64, threshold, replace=False):
                 y[k] ^= np.uint64(1) << np.uint64(b)
-        rows, keys, homes = simhash.anchors(x, threshold)
-        home = {(r, k) for r, k, h in zip(rows.tolist(), keys.tolist(), homes.tolist(), strict=True) if h}
-        rows, keys, _ = simhash.anchors(y, threshold)
-        met = {r for r, k in zip(rows.tolist(), keys.tolist(), strict=True) if (r, k) in home}
-        assert len(met) == 300
+        for prints in (0, 1 << 25, 1 << 33):  # wider sets of bits for more fingerprints
+            sets = simhash.exact_sets(threshold, prints)
+            rows, keys, homes = simhash.anchors([x], sets)
+            home = {(r, k) for r, k, h in zip(rows.tolist(), keys.tolist(), homes.tolist(), strict=True) if h}
+            rows, keys, _ = simhash.anchors([y], sets)
+            met = {r for r, k in zip(rows.tolist(), keys.tolist(), strict=True) if (r, k) in home}
+            assert len(met) == 300
+    assert [len(simhash.exact_sets(4, n)) for n in (0, 1 << 25, 1 << 33)] == [3, 10, 20]
 
 
 def test_edges(spark):
@@ -119,7 +163,7 @@ def test_ten_classes_in_one_component(spark):
     near = lambda t: " ".join([*t[:75], "changed", *t[76:]])
     rows = [(same + " " + (near(t) if copy == 3 else " ".join(t)), k) for copy in range(6) for k, t in enumerate(tails)]
     docs = spark.createDataFrame([(d, t, k) for d, (t, k) in enumerate(rows)], "doc_id long, text string, c long").repartition(3)
-    assert len({r.component_id for r in simhash.near_duplicate_components(docs, width=5, threshold=7, planes=4).collect()}) == 1
+    assert len({r.component_id for r in simhash.near_duplicate_components(docs, width=5, threshold=36, planes=3).collect()}) == 1
     kept = simhash.one_of_each(docs).collect()
     assert sorted((r.doc_id, r.c) for r in kept) == [(k, k) for k in range(10)]
 
@@ -131,5 +175,7 @@ def test_null_and_repeated_ids(spark):
     near = long.replace(long.split()[200], "changed", 1)
     alone = spark.createDataFrame([(None, other), (None, third), (1, long), (1, long)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(alone).collect()) == sorted([("None", other), ("None", third), ("1", long)])
-    shared = spark.createDataFrame([(1, long), (2, near), (2, other), (3, third), (3, third)], "doc_id long, text string")
-    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(shared).collect()) == [(1, long), (2, other), (3, third)]
+    shared = spark.createDataFrame([(1, long), (2, near), (2, other), (2, third), (3, third), (3, third), (4, "a b"), (4, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(shared).collect()) == sorted([(1, long), (2, other), (2, third), (4, "a b")])
+    twice = spark.createDataFrame([(4, "a b", "z"), (4, "a b", "y"), (4, "a b", None)], "doc_id long, text string, d string")
+    assert [r.d for r in simhash.one_of_each(twice).collect()] == ["y"]

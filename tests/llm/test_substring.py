@@ -73,6 +73,7 @@ def test_cut_words():
 
 def test_repeated_rows_hold_each_window_once(spark, monkeypatch):
     kept, write = {}, substring.stored
+    monkeypatch.setattr(substring, "release", lambda *tables: None)
     monkeypatch.setattr(substring, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
     passage = " ".join(f"p{k * k % 997}" for k in range(120))
     rows = [(1, f"{passage} ends here")] + [(2, f"here begins {passage}")] * 40

@@ -33,6 +33,79 @@ def test_misspellings_share_ngrams():
     assert all(number[w] > usual for w in (b"grumblefixx", b"gruumblefix", b"zokworts", b"zzokwort"))
 
 
+def plain_fit(texts, labels, dim, epochs, size, rate, gain, seed):
+    """The same training word by word and number by number, for texts without clean extracts."""
+    rng = np.random.default_rng(seed)
+    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    lists = [t.decode().split() for t in texts]
+    for words in [w for w, label in zip(lists, labels, strict=True) if not label]:
+        for a, n in zip(rng.integers(0, len(words), len(toxicity.EXTRACTS)).tolist(), toxicity.EXTRACTS, strict=True):
+            lists.append(words[a : a + n])
+    labels = list(labels) + [0] * (len(lists) - len(labels))
+    seen = {}
+    for k, words in enumerate(lists):
+        for g in {g for w in words for g in toxicity.ngrams(w.encode())}:
+            seen.setdefault(g, set()).add(k)
+    emb = rng.normal(0, toxicity.INIT, (toxicity.BUCKETS, dim)).astype(np.float32).astype(float)
+    out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32).astype(float)
+    off = np.array([0, np.log(share / (1 - share))])
+    emb_sum, out_sum, off_sum = np.full_like(emb, 1e-6), np.full_like(out, 1e-6), np.full(2, 1e-6)
+    usual = {g for g, ks in seen.items() if len(ks) >= toxicity.SEEN}
+    emb[[g for g in range(toxicity.BUCKETS) if g not in usual]] = 0
+    clean, toxic = [k for k, y in enumerate(labels) if not y], [k for k, y in enumerate(labels) if y]
+    full = np.array(clean + toxic * max(1, round(len(clean) / (7 * len(toxic)))))
+    full = np.concatenate([clean, np.repeat(toxic, max(1, round(len(clean) / (7 * len(toxic)))))]).astype(int)
+    epochs = max(epochs, -(-toxicity.STEPS * size // len(full)))
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        order = rng.permutation(full)
+        for at in range(0, len(order), size):
+            chosen = order[at : at + size]
+            d_emb, d_out, d_off = {}, np.zeros_like(out), np.zeros(2)
+            for k in chosen:
+                words = lists[k]
+                mean = sum(np.mean([emb[g] for g in toxicity.ngrams(w.encode())], axis=0) for w in words) / len(words)
+                logits = gain * mean @ out + off
+                p = np.exp(logits - logits.max())
+                p /= p.sum()
+                p[labels[k]] -= 1
+                d_off += p / len(chosen)
+                d_out += gain * np.outer(mean, p) / len(chosen)
+                back = gain * out @ p / len(chosen)
+                for w in words:
+                    grams = toxicity.ngrams(w.encode())
+                    for g in grams:
+                        d_emb[g] = d_emb.get(g, 0) + back / len(words) / len(grams)
+            for g, d in d_emb.items():
+                emb_sum[g] += d**2
+                emb[g] -= step * d / np.sqrt(emb_sum[g]) * (g in usual)
+            out_sum += d_out**2
+            out -= step * d_out / np.sqrt(out_sum)
+            off_sum += d_off**2
+            off -= step * d_off / np.sqrt(off_sum)
+    return gain * emb @ (out[:, 1] - out[:, 0]), off[1] - off[0]
+
+
+def test_training_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 256)
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "bad", "worse"][: 4 + 2 * (k % 3 == 0)], k=9)).encode() for k in range(18)]
+    labels = [int(k % 3 == 0) for k in range(18)]
+    model = toxicity.fit(texts, np.array(labels), dim=3, epochs=2, size=8, rate=0.3, gain=5.0, seed=4)
+    weights, bias = plain_fit(texts, labels, 3, 2, 8, 0.3, 5.0, 4)
+    assert np.allclose(model.weights, weights, rtol=1e-3, atol=1e-3) and abs(model.bias - bias) < 1e-3
+
+
+def test_one_id_with_several_texts(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f"{'foul ' if k < 20 else 'nice '}words {j}") for k in range(60) for j in range(3)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(60)], "doc_id long, toxic int")
+    one, two = (toxicity.train(d, labels, F.lit(True)) for d in (docs, docs.repartition(3, "text")))
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 1.0), (3, "a b", None), (None, "c", 2.0), (3, "a b", None)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id long, toxic int")

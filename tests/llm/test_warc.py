@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 from html.parser import HTMLParser
 
 from loomwork.llm import queries, warc
@@ -39,7 +40,7 @@ def test_whole_table_against_parser(spark):
         page = pages[r.page_id]
         plain = Plain()
         plain.feed(page.html)
-        assert headers["WARC-Refers-To"] == r.refers_to == warc.record_id("response", str(page.page_id), page.url)
+        assert headers["WARC-Refers-To"] == r.refers_to == warc.record_id("response", str(page.page_id), page.url, warc.digest(page.html.encode()))
         assert headers["WARC-Block-Digest"] == r.block_digest == warc.digest(block)
         assert headers["WARC-Payload-Digest"] == warc.digest(page.html.encode())
         assert headers["WARC-Target-URI"] == page.url == r.target_uri and int(headers["Content-Length"]) == len(block)
@@ -60,6 +61,27 @@ def test_query_columns(spark):
     assert {r.warc_type for r in rows} == {"metadata", "conversion"} and all(len(r.record_sha256) == 64 for r in rows)
 
 
+def test_two_captures_differ():
+    one, two = (warc.parse(warc.response("7", "http://a/", body))[0]["WARC-Record-ID"] for body in (b"x", b"y"))
+    assert one != two
+
+
+def test_scan():
+    page = '<title>A &amp; B</title><!-- <a href="no"> --><p>1 < 2 <a class=x HREF = "u?a=1&amp;b=2">go</a><a href=\'v>w\'>x</a><a href=plain>y</a><style>p > q</style><script>var a = "</scripty>";</script >end<a name=z>'
+    text, title, links = warc.scan(page)
+    assert title == "A &amp; B" and links == ["u?a=1&b=2", "v>w", "plain"]
+    assert warc.tidy(text) == "A & B\n1 < 2 gow'>xy end"
+    assert warc.scan("a<!-- b")[0].strip() == "a" and warc.tidy(warc.scan("<script>kept")[0]) == "kept" and warc.scan("")[0] == ""
+
+
+def test_hostile_pages_are_linear():
+    for piece in ("<a ", "<script>", "<a href='", '<a href="x>', "<!--", "<title>", "</script", "<script></scripty>", "<a '\">", "<", "&lt", " \n"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        warc.derive(warc.response("1", "http://a/", page.encode()))
+        assert time.process_time() - began < 4, piece
+
+
 def test_edges(spark):
     rows = [(1, None, None, "x"), (None, "http://a/\r\nX: 1", "<p>caf&eacute;<br>two</p><script>no</script>", "y"), (1, None, None, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record string")
