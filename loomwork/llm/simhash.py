@@ -15,7 +15,7 @@ a bucket.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations, count, repeat
 
 import numpy as np
@@ -35,7 +35,7 @@ PAIRS = 1 << 19
 
 
 #: Odd constants that turn a shingle's hash into that of another plane.
-PLANES = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(8))
+PLANES = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(16))
 
 
 def _mix(x: np.ndarray, constant: int) -> np.ndarray:
@@ -330,6 +330,15 @@ def similarity(a: frozenset[int], b: frozenset[int]) -> float:
 
 #: Most centres of a component in one round; each is compared with all that is left of the component.
 CENTRES = 64
+#: Fingerprints that groups are drawn by, and by how many deviations a pair of the least similarity may differ more
+#: than it is expected to. Sharper ones for what is left of a group tell texts apart that share no more than a part.
+LEVELS = ((3, 1.4), (8, 2.0), (16, 2.0))
+
+
+def bits_apart(planes: int, least: float, deviations: float) -> int:
+    """Bits in which texts of that similarity differ at most, up to so many deviations above the expectation."""
+    differ, bits = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi, 64 * planes
+    return math.floor(bits * differ + deviations * math.sqrt(bits * differ * (1 - differ)))
 
 
 def _digest(text: Column) -> list[Column]:
@@ -385,19 +394,29 @@ def _apart(members: DataFrame, found: DataFrame, centres: int, width: int, least
     return gone, left
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 36, planes: int = 3, least: float = 0.8) -> DataFrame:
+def _groups(texts: DataFrame, prints: DataFrame, level: tuple[int, float], least: float) -> DataFrame:
+    """(k, c, d, n, fp, m1, m2) of the texts that are linked to others by the fingerprints of a level."""
+    planes, deviations = level
+    grouped = stored(_with_components(prints, "k", bits_apart(planes, least, deviations), planes, least).select("k", F.col("component_id").alias("c")), "components")
+    large = grouped.groupBy("c").count().where("count > 1").select("c")
+    members = stored(grouped.join(large, "c").join(texts.select("k", "d", "n", "fp", "m1", "m2"), "k"), "groups")
+    release(grouped)
+    return members
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, levels: Sequence[tuple[int, float]] = LEVELS) -> DataFrame:
     """The rows without near copies: all columns as they are, one row left of each group.
 
     A document is an id with a text. Of equal texts the smallest id stays. Groups of the texts left come from
-    ``planes`` fingerprints that differ in at most ``threshold`` bits together. A group's centre is
-    the text whose fingerprint is nearest to the majority of the group's bits; the texts at least ``least``
+    several fingerprints that together differ in no more bits than texts of similarity ``least`` do (``bits_apart``). A
+    group's centre is the text whose fingerprint is nearest to the majority of the group's bits; the texts at least ``least``
     similar to it in shingles are one class with it, and the smallest id of the class stays. What is unlike the
-    centre is a group of its own, until none has two texts; from round to round twice as many centres
-    are taken at once, up to ``CENTRES``. Different texts under one id are documents of their own; of rows with
+    centre is drawn into groups anew, by the more fingerprints of the next of ``levels``; after the last, it is a group of its
+    own, until none has two texts, with twice as many centres from round to round, up to ``CENTRES``. Different texts under one id are documents of their own; of rows with
     equal id and text the least stays, in the order of their JSON. Null and empty texts are equal texts. Rows with a null id stay. An
     empty table gives an empty result.
     """
-    names = _names(planes)
+    planes, names = levels[0][0], _names(levels[0][0])
     d = F.col(id_col).cast("long")
     rows = docs.select(d.alias("d"), F.col(text_col).alias("t")).where("d is not null").select("d", *_digest(F.col("t")), "t")
     prints = fingerprints(rows.select(F.struct("d", "m1", "m2").alias("i"), "t"), "i", "t", width, planes=planes)
@@ -408,18 +427,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copied = stored(texts.where("n > 1").select("m1", "m2", F.col("d").alias("stays")), "copied")
     parts = [stored(prints.join(small(copied), ["m1", "m2"]).where("d > stays").select("d", "m1", "m2"), "copies")]
 
-    grouped = stored(_with_components(texts.select("k", *names), "k", threshold, planes, least).select("k", F.col("component_id").alias("c")), "components")
-    large = grouped.groupBy("c").count().where("count > 1").select("c")
-    members = stored(grouped.join(large, "c").join(texts.select("k", "d", "n", "fp", "m1", "m2"), "k"), "groups")
-    release(copied, grouped)
+    members = _groups(texts, texts.select("k", *names), levels[0], least)
+    release(copied)
     found = rows.join(small(members.select("k", "d", "m1", "m2"), BROADCAST_ROWS * 3 // 4), ["d", "m1", "m2"]).select("k", "t")
     found = stored(found if again.isEmpty() else found.dropDuplicates(["k"]), "members")
-    centres = 1
+    centres, further = 1, list(levels[1:])
     while not members.isEmpty():
         near, left = _apart(members, found, centres, width, least)
         parts.append(near)
         release(members)
-        members, centres = left, min(CENTRES, centres * 2)
+        if further and not left.isEmpty():
+            level = further.pop(0)
+            sharper = stored(fingerprints(found.join(left.select("k"), "k"), "k", "t", width, planes=level[0]), "sharper")
+            members = _groups(left, sharper, level, least)
+            release(left, sharper)
+        else:
+            members, centres = left, min(CENTRES, centres * 2)
     gone = parts[0]
     for part in parts[1:]:
         gone = gone.union(part)
