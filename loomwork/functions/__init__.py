@@ -161,3 +161,92 @@ def word_count(c: Column) -> Column:
 
 def first_usable(*columns: Column) -> Column:
     return F.coalesce(*(usable_id(c) for c in columns))
+
+
+def round_exactly(c: Column, digits: int) -> Column:
+    """The nearest decimal of ``digits`` places, ties of the binary value to the even neighbour.
+
+    Other roundings look at the shortest decimal form of a double, where more ties seem to be. Here the double
+    is split into two halves of 26 bits, whose products with 2 * 10**digits are exact, so that the comparison
+    with the middle of two neighbours is exact for magnitudes below 2**52 / 10**digits.
+    """
+    x, scale = c.cast("double"), float(10**digits)
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    low = x - high
+    base = F.floor(x * F.lit(scale)).cast("double")
+    over = (high * F.lit(2 * scale) - (base * 2 + 1)) + low * F.lit(2 * scale)
+    up = (over > 0) | ((over == 0) & (F.pmod(base, F.lit(2.0)) == 1))
+    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise((base + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
+
+
+def json_safe(c: Column) -> Column:
+    """NaN and infinities, which JSON has no words for, as null."""
+    return F.when(~(F.isnan(c) | F.abs(c).isin(float("inf"))), c)
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with that many decimals, as text."""
+    return F.format_string(f"%.{digits}f", round_exactly(c, digits))
+
+
+def utc_text(c: Column) -> Column:
+    """An instant as ISO text with microseconds; the session's time zone is UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def utc_instant(text: Column) -> Column:
+    """The instant of an ISO text that names UTC; null for any other offset, or none."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|\+00:00)$"), F.try_to_timestamp(text))
+
+
+def canonical_unordered(c: Column) -> Column:
+    """JSON of an array regardless of its order: members' JSON, sorted."""
+    members = F.array_sort(F.transform(c, lambda x: F.regexp_replace(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"^\[|\]$", "")))
+    return F.when(c.isNotNull(), F.concat(F.lit("["), F.concat_ws(",", members), F.lit("]")))
+
+
+def allowed_entries(c: Column, keys: Sequence[str]) -> Column:
+    """A map's entries of those keys."""
+    return F.map_filter(c, lambda k, _: k.isin(*keys))
+
+
+def json_type(text: Column) -> Column:
+    """null, boolean, number, string, array or object: the type of a JSON value."""
+    first = F.substring(F.trim(text), 1, 1)
+    return (
+        F.when(text.isNull() | (F.trim(text) == "null"), "null").when(F.trim(text).isin("true", "false"), "boolean")
+        .when(first == '"', "string").when(first == "[", "array").when(first == "{", "object").otherwise("number")
+    )
+
+
+def gene_id(c: Column) -> Column:
+    """Whether an identifier is a fixed prefix and eleven digits."""
+    return F.coalesce(c.rlike("^ENSG[0-9]{11}$"), F.lit(False))
+
+
+def percent(c: Column) -> Column:
+    """A share as a whole percentage from 0 to 100."""
+    return F.floor(clip01(F.coalesce(c, F.lit(0.0))) * 100 + 0.5).cast("int")
+
+
+def score_bar(c: Column, width: int = 10) -> Column:
+    """A share as a bar of ``width`` places."""
+    full = F.floor(clip01(F.coalesce(c, F.lit(0.0))) * width + 0.5).cast("int")
+    return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), F.lit(width) - full))
+
+
+def sanitized_error(c: Column, longest: int = 500) -> Column:
+    """An error message on one line, without paths and secrets, cut to ``longest``."""
+    hidden = F.regexp_replace(redact_paths(c), r"(?i)(api[_-]?key|token|secret|password|authorization)(\s*[=:]\s*)\S+", "$1$2[hidden]")
+    return F.substring(collapse_spaces(hidden), 1, longest)
+
+
+def names_inside(json: Column) -> Column:
+    """The names of all fields of a JSON text, at any depth."""
+    return F.array_distinct(F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)))
+
+
+def forbidden_names(json: Column, parts: Sequence[str]) -> Column:
+    """Field names, at any depth, that contain one of the parts."""
+    return F.filter(names_inside(json), lambda n: reduce(lambda a, b: a | b, (F.contains(F.lower(n), F.lit(p)) for p in parts)))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from math import comb
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import LOW
+from loomwork.operators.ranking import placed, totals_before
 
-MISSING = "__missing_prediction__"
+MISSING, NONE = "__missing_prediction__", "none"
+#: Columns of a mode.
+MODE_COLUMNS = {"score": "{}_score", "rank": "{}_rank", "shift": "{}_shift", "priority": "{}_priority"}
 
 
 def primary_intent(scores: dict[str, Column], available: Column, least: float = LOW) -> tuple[Column, Column]:
@@ -42,65 +43,203 @@ def classification_metrics(df: DataFrame, expected: str, predicted: str) -> Data
     return rows.agg(F.try_divide(F.sum("tp").cast("double"), F.sum("actual").cast("double")).alias("accuracy"), ordered("p").alias("macro_precision"), ordered("r").alias("macro_recall"), ordered("f").alias("macro_f1"))
 
 
-def ranking_metrics(df: DataFrame, rank: str, positive: Column, by: Sequence[str], ks: Sequence[int]) -> DataFrame:
-    """Recall and precision at k, average precision, reciprocal of the best rank, median rank of the positives."""
-    w = Window.partitionBy(*by).orderBy(F.col(rank))
-    marked = df.withColumn("__pos", F.coalesce(positive, F.lit(False)).cast("long"))
-    run = marked.withColumns({"__hits": F.sum("__pos").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__row": F.row_number().over(w)})
-    hits = F.sum("__pos").cast("double")
-    # terms of the average precision are added in rank order, so that the sum doesn't depend on partitions
-    terms = F.transform(F.array_sort(F.collect_list(F.when(F.col("__pos") == 1, F.struct("__row", "__hits")))), lambda x: x["__hits"] / x["__row"].cast("double"))
-    precision = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    out = [F.count(F.lit(1)).alias("n"), F.sum("__pos").alias("n_positive"), F.try_divide(precision, hits).alias("average_precision"), F.try_divide(F.lit(1.0), F.min(F.when(F.col("__pos") == 1, F.col("__row"))).cast("double")).alias("reciprocal_rank"), F.median(F.when(F.col("__pos") == 1, F.col("__row"))).alias("median_rank")]
+def ranking_metrics(df: DataFrame, rank: str, positive: Column, by: Sequence[str], ks: Sequence[int], negative: Column | None = None) -> DataFrame:
+    """Of each group: recall and precision at k, average precision, reciprocal of the best rank, median and
+    normalised median rank of the positives, and, with ``negative``, the share of the negatives outside the first k."""
+    marked = df.select(*by, F.col(rank).alias("__rank"), F.coalesce(positive, F.lit(False)).cast("long").alias("__pos"), F.coalesce(negative if negative is not None else F.lit(False), F.lit(False)).cast("long").alias("__neg"))
+    rows = placed(marked, [F.col("__rank")], by, "__row")
+    run = totals_before(rows, [F.col("__row")], "__pos", by, "__earlier").withColumn("__hits", F.col("__earlier") + F.col("__pos"))
+    total = run.groupBy(*by).agg(F.sum("__pos").alias("__all")).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & run[c].eqNullSafe(total[f"__{c}"])
+    full = run.join(total, same)
+    hits, n, pos = F.sum("__pos").cast("double"), F.count(F.lit(1)), F.col("__pos") == 1
+    terms = F.sum(F.when(pos, F.round(F.col("__hits") / F.col("__row").cast("double"), 12).cast("decimal(30,12)"))).cast("double")  # a decimal sum doesn't depend on partitions
+    middle = lambda k: F.max(F.when(pos & (F.col("__hits") == k), F.col("__row")))
+    median = (middle(F.floor((F.col("__all") + 1) / 2)) + middle(F.ceil((F.col("__all") + 1) / 2))) / F.lit(2.0)
+    out = [n.alias("n"), F.sum("__pos").alias("n_positive"), F.try_divide(terms, hits).alias("average_precision"), F.try_divide(F.lit(1.0), F.min(F.when(pos, F.col("__row"))).cast("double")).alias("reciprocal_rank"), median.alias("median_rank"), (median / n).alias("normalized_median_rank")]
     for k in ks:
         top = F.sum(F.when(F.col("__row") <= k, F.col("__pos")).otherwise(0)).cast("double")
-        size = F.least(F.lit(k), F.count(F.lit(1))).cast("double")
-        out += [F.try_divide(top, hits).alias(f"recall_{k}"), F.try_divide(top, size).alias(f"precision_{k}")]
-    return run.groupBy(*by).agg(*out)
+        out += [F.try_divide(top, hits).alias(f"recall_{k}"), F.try_divide(top, F.least(F.lit(k), n).cast("double")).alias(f"precision_{k}")]
+        if negative is not None:
+            outside = F.sum(F.when(F.col("__row") > k, F.col("__neg")).otherwise(0)).cast("double")
+            out.append(F.try_divide(outside, F.sum("__neg").cast("double")).alias(f"excluded_{k}"))
+    return full.groupBy(*by).agg(*out)
 
 
-def hypergeometric_tail(df: DataFrame, population: str, positives: str, drawn: str, hits: str, name: str = "p_value") -> DataFrame:
-    """Exact P(X >= hits), null where the counts are impossible; binomials need Python's integers."""
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!: the exact factorial up to 20, Stirling's series beyond."""
+    z = n.cast("double") + 1
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise((z - 0.5) * F.log(z) - z + 0.5 * F.log(2 * F.pi()) + series)
 
-    @F.pandas_udf("double")
-    def tail(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for n, k, d, x in parts:
-            yield pd.Series([_tail(*v) for v in zip(n, k, d, x, strict=True)], dtype="float64")
 
-    return df.withColumn(name, tail(*(F.col(c) for c in (population, positives, drawn, hits))))
+def _log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
-def _tail(n: int, k: int, d: int, x: int) -> float | None:
-    if any(v is None or v != v or v < 0 for v in (n, k, d, x)) or k > n or d > n:
-        return None
-    n, k, d, x = int(n), int(k), int(d), int(x)
-    top = sum(comb(k, i) * comb(n - k, d - i) for i in range(x, min(k, d) + 1))
-    return top / comb(n, d)
+def hypergeometric_tail(population: Column, positives: Column, drawn: Column, hits: Column) -> Column:
+    """P(X >= hits), null where the counts are impossible; terms are added in logarithms, so that no binomial grows."""
+    n, k, d, x = (c.cast("long") for c in (population, positives, drawn, hits))
+    low, high = F.greatest(x, d - (n - k)), F.least(k, d)
+    whole = _log_choose(n, d)
+    term = lambda i: F.exp(_log_choose(k, i) + _log_choose(n - k, d - i) - whole)
+    total = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, i: acc + term(i))
+    possible = (F.least(n, k, d, x) >= 0) & (k <= n) & (d <= n)
+    return F.when(possible, F.when(low > high, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total)))
 
 
 def bonferroni(p: Column, tests: Column) -> Column:
     return F.least(F.lit(1.0), p * tests)
 
 
-def compare_intents(df: DataFrame, expected: str, scores: dict[str, Column]) -> DataFrame:
-    """Score of the expected intent, the best other one, their margin, and whether the expected is ahead."""
-    table = F.create_map(*(x for name, c in scores.items() for x in (F.lit(name), c)))
-    own = F.try_element_at(table, F.col(expected))
-    others = F.array_max(F.map_values(F.map_filter(table, lambda k, _: k != F.col(expected))))
-    with_scores = df.withColumns({"expected_score": own, "best_other": others})
+def compare_intents(df: DataFrame, expected: str, modes: Sequence[str], available: Column, names: Mapping[str, str] = MODE_COLUMNS) -> DataFrame:
+    """Score, rank, shift and priority of the expected intent, the best other score, their margin, whether the
+    expected one is ahead, and the best score of controls (expected ``none``).
+
+    ``names`` gives a mode's columns, with ``{}`` for the mode. Without a prediction all are null.
+    """
+    column = lambda what, mode: F.col(names[what].format(mode))
+    score = {m: F.coalesce(column("score", m), F.lit(0.0)) for m in modes}
+    control = F.col(expected) == NONE
+    own = lambda values: F.when(available & ~control, _choose(F.col(expected), values))
+    others = F.when(available, F.when(control, F.greatest(*score.values())).otherwise(_choose(F.col(expected), {m: F.greatest(*(c for o, c in score.items() if o != m)) for m in modes})))
+    with_scores = df.withColumns({
+        "expected_score": own(score), "best_other": others,
+        "expected_rank": own({m: column("rank", m) for m in modes}), "expected_shift": own({m: column("shift", m) for m in modes}),
+        "expected_priority": F.coalesce(own({m: column("priority", m) for m in modes}), F.lit("")),
+        "control_score": F.when(available & control, F.greatest(*score.values())),
+    })
     margin = F.col("expected_score") - F.col("best_other")
-    return with_scores.withColumns({"margin": margin, "is_top": F.coalesce(margin > 0, F.lit(False))})
+    return with_scores.withColumns({"margin": margin, "is_top": F.coalesce(margin > 0, F.lit(False)) & ~control})
+
+
+def _choose(key: Column, values: Mapping[str, Column]) -> Column:
+    chain = None
+    for name, value in values.items():
+        chain = F.when(key == name, value) if chain is None else chain.when(key == name, value)
+    return chain
+
+
+def acceptable(predicted: Column, expected: Column, accepted: Column) -> Column:
+    """Whether a prediction will do: one of the accepted intents; ``none`` for a control; never a missing one."""
+    return F.when(predicted == MISSING, False).when(expected == NONE, predicted == NONE).otherwise(F.coalesce(F.array_contains(accepted, predicted), F.lit(False)))
+
+
+def all_not_prioritized(priorities: Sequence[Column]) -> Column:
+    """Whether every priority is blank or ``not prioritized``."""
+    return F.forall(F.array(*(F.coalesce(F.lower(F.trim(p)), F.lit("")) for p in priorities)), lambda p: p.isin("", "not prioritized"))
+
+
+def benchmark_predictions(benchmark: DataFrame, ranked: DataFrame, key: str, modes: Sequence[str], threshold: float = LOW, names: Mapping[str, str] = MODE_COLUMNS) -> DataFrame:
+    """Every benchmark row with its prediction: the primary intent and score, whether they are right or
+    acceptable, and the comparison of intents. ``benchmark`` has ``expected`` and ``accepted`` (an array)."""
+    joined = benchmark.join(ranked.withColumn("available", F.lit(True)), key, "left").withColumn("available", F.coalesce("available", F.lit(False)))
+    intent, best = primary_intent({m: F.col(names["score"].format(m)) for m in modes}, F.col("available"), threshold)
+    low = all_not_prioritized([F.col(names["priority"].format(m)) for m in modes])
+    predicted = F.when(F.col("available") & low, NONE).otherwise(intent)
+    compared = compare_intents(joined.withColumns({"predicted": predicted, "predicted_score": best}), "expected", modes, F.col("available"), names)
+    return compared.withColumns({"primary_correct": F.col("predicted") == F.col("expected"), "acceptable_correct": acceptable(F.col("predicted"), F.col("expected"), F.col("accepted"))})
+
+
+def intent_metrics(predictions: DataFrame, ks: Sequence[int] = (10,), digits: int = 4) -> DataFrame:
+    """A row for each expected intent, controls (``none``) included: coverage, accuracies, reciprocal ranks,
+    means of rank, shift, score and margin, specificity, hits and recall among the first k."""
+    n, covered = F.count(F.lit(1)).cast("double"), F.col("available")
+    n_covered = F.count_if(covered).cast("double")
+    mean = lambda c: F.avg(F.when(covered, c))
+    flag = lambda c: F.coalesce(F.try_divide(F.count_if(covered & F.col(c)).cast("double"), n_covered), F.lit(0.0))
+    control = F.col("expected") == NONE
+    rank = F.col("expected_rank")
+    own = lambda c: F.when(F.first("expected") != NONE, c)
+    out = {
+        "expected_count": F.count(F.lit(1)), "covered_count": F.count_if(covered), "coverage": n_covered / n,
+        "primary_accuracy": flag("primary_correct"), "acceptable_accuracy": flag("acceptable_correct"),
+        "mrr_all": own(F.avg(F.coalesce(F.try_divide(F.lit(1.0), rank), F.lit(0.0)))), "mrr_covered": own(F.coalesce(F.avg(F.when(covered, F.try_divide(F.lit(1.0), rank))), F.lit(0.0))),
+        "mean_rank": own(mean(rank)), "mean_shift": own(mean(F.col("expected_shift"))), "mean_score": own(mean(F.col("expected_score"))), "mean_margin": own(mean(F.col("margin"))),
+        "specificity": own(flag("is_top")), "mean_control_score": F.avg(F.when(covered & control, F.col("control_score"))),
+    }
+    for k in ks:
+        hits = F.count_if(F.coalesce(rank <= k, F.lit(False)))
+        inside = F.count_if(covered & F.coalesce(rank <= k, F.lit(False))).cast("double")
+        out |= {f"hits_{k}": own(hits), f"recall_{k}_all": own(hits / n), f"recall_{k}_covered": own(F.coalesce(F.try_divide(inside, n_covered), F.lit(0.0)))}
+    counts = {"expected_count", "covered_count", *(f"hits_{k}" for k in ks)}
+    return predictions.groupBy("expected").agg(*((c if name in counts else F.round(c, digits)).alias(name) for name, c in out.items()))
+
+
+def benchmark_summary(predictions: DataFrame, retrieved: Column, ks: Sequence[int] = (10,), digits: int = 4) -> DataFrame:
+    """One row: coverage, accuracy of intents over all and covered rows, specificity, controls, and the mean over intents
+    of reciprocal ranks and recalls."""
+    covered, control = F.col("available"), F.col("expected") == NONE
+    n, n_covered = F.count(F.lit(1)).cast("double"), F.count_if(covered).cast("double")
+    share = lambda hit, of: F.try_divide(F.count_if(hit).cast("double"), F.count_if(of).cast("double"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    whole = predictions.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(covered).alias("n_covered"), F.count_if(~covered).alias("n_missing"), zero(F.try_divide(n_covered, n)).alias("coverage"),
+        zero(F.try_divide(F.count_if(covered & retrieved).cast("double"), n)).alias("retrieval_coverage"),
+        zero(share(F.col("primary_correct"), F.lit(True))).alias("primary_accuracy_all"), zero(share(covered & F.col("primary_correct"), covered)).alias("primary_accuracy_covered"),
+        zero(share(F.col("acceptable_correct"), F.lit(True))).alias("acceptable_accuracy_all"), zero(share(covered & F.col("acceptable_correct"), covered)).alias("acceptable_accuracy_covered"),
+        zero(share(covered & ~control & F.col("is_top"), covered & ~control)).alias("specificity_covered"),
+        share(covered & control & (F.col("predicted") == NONE), covered & control).alias("controls_not_prioritized"), F.avg(F.when(covered & control, F.col("control_score"))).alias("mean_control_score"),
+    )
+    rows = intent_metrics(predictions, ks, digits).where(F.col("expected") != NONE)
+    means = rows.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in ["mrr_all", "mrr_covered", *(f"recall_{k}_{w}" for k in ks for w in ("all", "covered"))]))
+    joined = whole.join(F.broadcast(means), how="left")
+    counts = {"n", "n_covered", "n_missing"}
+    return joined.select(*(F.col(c) if c in counts else F.round(c, digits).alias(c) for c in joined.columns))
+
+
+def deltas(df: DataFrame, metrics: Sequence[str], baseline: str = "baseline_{}", scenario: str = "scenario_{}", delta: str = "delta_{}") -> DataFrame:
+    """Scenario minus baseline of every metric; null where either is."""
+    return df.withColumns({delta.format(m): F.col(scenario.format(m)) - F.col(baseline.format(m)) for m in metrics})
+
+
+def aggregate_scenarios(df: DataFrame, by: Sequence[str], scenario: str, ks: Sequence[int], changes: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """Stability of groups of scenarios: counts, least and mean correlation, the first scenario with the least, the
+    largest rank changes and absolute deltas, least and mean overlaps of the first k."""
+    out = {
+        "n_scenarios": F.count(F.lit(1)), "min_spearman": F.min("spearman"), "mean_spearman": F.avg("spearman"), "worst_scenario": F.min_by(scenario, F.struct("spearman", scenario)),
+        "max_mean_change": F.max("mean_change"), "max_change": F.max("max_change"),
+    } | {f"max_abs_{c}": F.max(F.abs(c)) for c in changes}
+    for k in ks:
+        out |= {f"min_jaccard_{k}": F.min(f"jaccard_{k}"), f"mean_jaccard_{k}": F.avg(f"jaccard_{k}"), f"min_retention_{k}": F.min(f"retention_{k}")}
+    exact = {"n_scenarios", "worst_scenario", "max_change"}
+    return df.groupBy(*by).agg(*((c if name in exact else F.round(c, digits)).alias(name) for name, c in out.items()))
+
+
+def scenario_accuracy(scores: DataFrame, expected: DataFrame, modes: Sequence[str], key: str, base: str) -> DataFrame:
+    """(profile, scenario, baseline_accuracy, scenario_accuracy, delta_accuracy): how right the primary intent is when one
+    profile's scores are those of a scenario and the others' are as they are. ``scores`` is (profile, scenario, key, score)."""
+    plain = scores.where(F.col("scenario") == base).groupBy(key).agg(*(F.max(F.when(F.col("profile") == m, F.col("score"))).alias(f"__{m}") for m in modes))
+    joined = scores.join(plain, key).join(expected, key)
+    intent, _ = primary_intent({m: F.when(F.col("profile") == m, F.col("score")).otherwise(F.col(f"__{m}")) for m in modes}, F.lit(True))
+    by = joined.groupBy("profile", "scenario").agg((F.count_if(intent == F.col("expected")).cast("double") / F.count(F.lit(1)).cast("double")).alias("scenario_accuracy"))
+    own = Window.partitionBy("profile")  # a row for each scenario
+    rows = by.withColumn("baseline_accuracy", F.max(F.when(F.col("scenario") == base, F.col("scenario_accuracy"))).over(own)).where(F.col("scenario") != base)
+    return deltas(rows, ["accuracy"]).select("profile", "scenario", "baseline_accuracy", "scenario_accuracy", "delta_accuracy")
+
+
+def summarize_targets(df: DataFrame, by: Sequence[str], ks: Sequence[int], digits: int = 4) -> DataFrame:
+    """Over all scenarios of an entity: its base rank and score, best, worst and mean rank, mean and largest changes of rank
+    and score, and how often it is among the first k. A row is (by, base_rank, base_score, rank, score)."""
+    moved, change = F.abs(F.col("rank") - F.col("base_rank")), F.abs(F.col("score") - F.col("base_score"))
+    out = {
+        "base_rank": F.min("base_rank"), "base_score": F.min("base_score"), "n_scenarios": F.count(F.lit(1)), "min_rank": F.min("rank"), "max_rank": F.max("rank"), "mean_rank": F.avg("rank"),
+        "mean_change": F.avg(moved), "max_change": F.max(moved), "mean_score_change": F.avg(F.round(change, 12).cast("decimal(20,12)")).cast("double"), "max_score_change": F.max(change),
+    }
+    for k in ks:
+        out |= {f"base_top_{k}": F.min("base_rank") <= k, f"top_{k}_rate": F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))}
+    exact = {"base_rank", "n_scenarios", "min_rank", "max_rank", "max_change", *(f"base_top_{k}" for k in ks)}
+    return df.groupBy(*by).agg(*((c if name in exact else F.round(c, digits)).alias(name) for name, c in out.items()))
 
 
-def intent_metrics(df: DataFrame, expected: str, predicted: str, rank: str, available: str, ks: Sequence[int] = (10,)) -> DataFrame:
-    """Coverage, accuracy and hits among the first k, for each expected intent."""
-    n = F.count(F.lit(1)).cast("double")
-    hit = lambda k: F.count_if(F.coalesce(F.col(rank) <= k, F.lit(False)))
-    correct = F.count_if(F.col(predicted) == F.col(expected))
-    out = [F.count(F.lit(1)).alias("n"), F.count_if(available).alias("n_covered"), correct.alias("n_correct"), (correct / n).alias("accuracy"), F.min(rank).alias("best_rank")]
-    for k in ks:
-        out += [hit(k).alias(f"hits_{k}"), (hit(k) / n).alias(f"recall_{k}")]
-    return df.groupBy(expected).agg(*out)
+def role_confusion(df: DataFrame, expected: str, predicted: str) -> DataFrame:
+    """(expected, predicted, n) over the union of labels on both sides, zeros filled in."""
+    pairs = df.groupBy(F.col(expected).alias("expected"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    labels = pairs.select(F.col("expected").alias("label")).union(pairs.select("predicted")).distinct()
+    grid = labels.select(F.col("label").alias("expected")).join(F.broadcast(labels.select(F.col("label").alias("predicted"))))
+    return grid.join(pairs, ["expected", "predicted"], "left").select("expected", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def union_of_tops(tops: Sequence[DataFrame], key: str, place: str) -> DataFrame:

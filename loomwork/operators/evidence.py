@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import canonical_json, content_id, first_usable
+from loomwork.operators.ranking import placed
 from loomwork.session import cut_lineage
 
 
@@ -16,22 +17,46 @@ def with_content_id(df: DataFrame, prefix: str, fields: Sequence[str], name: str
 
 
 def exact_duplicates(df: DataFrame, digest: str, key: str) -> DataFrame:
-    """The first key of every digest, whether the row is a duplicate, and how many share it."""
-    same = df.groupBy(F.col(digest).alias("__d")).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n_same"))
-    joined = df.join(same, F.col(digest) == F.col("__d"))
-    return joined.select(*df.columns, "first_key", "n_same", (F.col(key) > F.col("first_key")).alias("is_duplicate"))
+    """The first key of every digest, whether the row is a duplicate, and how many share it. Rows without a
+    digest are nobody's duplicates and have neither."""
+    same = df.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("__d")).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n_same"))
+    joined = df.join(same, F.col(digest) == F.col("__d"), "left")
+    return joined.select(*df.columns, "first_key", "n_same", F.coalesce(F.col(key) > F.col("first_key"), F.lit(False)).alias("is_duplicate"))
 
 
 def classify_append(incoming: DataFrame, store: DataFrame, key: str, digest: str, body: str) -> DataFrame:
-    """What an append of each incoming row is: new, duplicate, collision, or rejected_mutation."""
+    """What an append of each incoming row is, in the order of key, digest and body: ``new``, ``duplicate`` (same
+    digest and body), ``collision`` (same digest, another body) or ``rejected_mutation`` (same key, another digest).
+    Rows of one batch are held against each other as they are against the store."""
     by_digest = store.groupBy(F.col(digest).alias("__d")).agg(F.min(body).alias("__body"))
     by_key = store.groupBy(F.col(key).alias("__k")).agg(F.min(digest).alias("__digest"))
+    # the first row of a digest or a key in the batch speaks for it, as if it were stored; groups are folded before they meet
+    order = F.struct(F.col(key).alias("k"), F.col(digest).alias("g"), F.col(body).alias("b"))
+    first_digest = incoming.groupBy(F.col(digest).alias("__bd")).agg(F.min(order).alias("__one"))
+    first_key = incoming.groupBy(F.col(key).alias("__bk")).agg(F.min(order).alias("__two"))
     joined = incoming.join(by_digest, F.col(digest) == F.col("__d"), "left").join(by_key, F.col(key) == F.col("__k"), "left")
-    again = F.row_number().over(Window.partitionBy(digest).orderBy(key, body)) > 1
-    outcome = F.when(F.col("__d").isNotNull() & (F.col("__body") != F.col(body)), "collision").when(F.col("__d").isNotNull() | again, "duplicate").when(F.col("__k").isNotNull() & (F.col("__digest") != F.col(digest)), "rejected_mutation").otherwise("new")
+    joined = joined.join(first_digest, F.col(digest) == F.col("__bd"), "left").join(first_key, F.col(key) == F.col("__bk"), "left")
+    known = F.coalesce(F.col("__body"), F.col("__one.b"))
+    mine = F.struct(F.col(key).alias("k"), F.col(digest).alias("g"), F.col(body).alias("b"))
+    turn = F.row_number().over(Window.partitionBy(key, digest, body).orderBy(F.lit(1)))
+    first = F.col("__d").isNull() & (F.coalesce(F.col("__one") == mine, F.lit(False))) & (turn == 1)
+    held = F.coalesce(F.col("__digest"), F.col("__two.g"))
+    outcome = (
+        F.when(~known.eqNullSafe(F.col(body)) & F.col(digest).isNotNull(), "collision")
+        .when(~first & F.col(digest).isNotNull(), "duplicate")
+        .when(F.col(key).isNotNull() & (held != F.col(digest)), "rejected_mutation")
+        .otherwise("new")
+    )
     return joined.withColumn("outcome", outcome).select(*incoming.columns, "outcome")
 
 
+def append_audit(classified: DataFrame, key: str, digest: str, first_id: int = 1) -> DataFrame:
+    """(event_id, key, digest, event) for every row that wasn't new, numbered on from ``first_id``."""
+    rows = classified.where("outcome <> 'new'").select(F.col(key).alias("item"), F.col(digest).alias("digest"), F.col("outcome").alias("event"))
+    numbered = placed(rows.withColumn("__row", F.monotonically_increasing_id()), [F.asc("item"), F.asc("digest"), F.asc("event"), F.asc("__row")], (), "event_id")
+    return numbered.select((F.col("event_id") + first_id - 1).alias("event_id"), "item", "digest", "event")
+
+
 def own_family(df: DataFrame, precedence: Sequence[str], source: str, source_id: str, name: str = "family") -> DataFrame:
     """The first usable of the ids in order of precedence, else source and source id, else null (ineligible)."""
     tagged = [F.when(first_usable(F.col(c)).isNotNull(), F.concat(F.lit(c + ":"), first_usable(F.col(c)))) for c in precedence]
@@ -40,21 +65,27 @@ def own_family(df: DataFrame, precedence: Sequence[str], source: str, source_id:
 
 
 def lineage_roots(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(node, root) for every node and each root it descends from, by pointer doubling: a chain of n takes
-    log n joins. Roots are nodes without parents; nodes that only reach a cycle have no row."""
+    """(node, root) for every node and each root it descends from. Round k adds what hops of exactly 2**k links
+    reach, so that a chain of n takes log n joins of n rows. Roots are nodes without parents; nodes that only
+    reach a cycle have no row (``rootless`` lists them)."""
     links = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node is not null and up is not null").distinct()
     tops = links.select(F.col("up").alias("root")).join(links.select(F.col("node").alias("root")), "root", "left_anti").distinct()
-    done = tops.select(F.col("root").alias("node"), "root")
-    now, found, seen = cut_lineage(links), cut_lineage(done), -1
+    now, found, seen = cut_lineage(links), cut_lineage(tops.select(F.col("root").alias("node"), "root")), -1
     while (n := found.count()) != seen:
         seen = n
         reached = now.join(found.withColumnRenamed("node", "up"), "up").select("node", "root")
         found = cut_lineage(found.unionByName(reached).distinct())
         hop = now.select(F.col("node").alias("up"), F.col("up").alias("far"))
-        now = cut_lineage(now.join(hop, "up").select("node", F.col("far").alias("up")).unionByName(now).distinct())
+        now = cut_lineage(now.join(hop, "up").select("node", F.col("far").alias("up")).distinct())
     return found
 
 
+def rootless(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """Nodes that descend from no root: members of cycles, and what hangs below cycles alone."""
+    nodes = edges.select(F.col(child).alias("node")).union(edges.select(F.col(parent))).where("node is not null").distinct()
+    return nodes.join(lineage_roots(edges, child, parent).select("node"), "node", "left_anti")
+
+
 def inherited_family(items: DataFrame, edges: DataFrame, key: str, family: str) -> DataFrame:
     """A root's own family; a descendant takes its roots' single family or a sorted composite of several."""
     roots = lineage_roots(edges)
@@ -83,9 +114,20 @@ def card_metrics(df: DataFrame, by: Sequence[str], distinct: Sequence[str]) -> D
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(F.when(F.trim(c) != "", F.col(c))).alias(f"n_{c}") for c in distinct))
 
 
-def contradictions(df: DataFrame, by: Sequence[str], value: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Groups with more than one distinct value."""
-    return df.groupBy(*by).agg(F.count_distinct(value).alias("n_values"), F.count(F.lit(1)).alias("n")).where("n_values > 1")
+def contradictions(df: DataFrame, by: Sequence[str], value: str, key: str | None = None, conflicting: Column | None = None) -> DataFrame:
+    """Groups with more than one distinct value, or a row marked ``conflicting``; with ``key`` a row for each of their members.
+
+    Nulls of the group's columns are equal. Members come as rows, never as an array.
+    """
+    marked = F.count_if(conflicting if conflicting is not None else F.lit(False))
+    groups = df.groupBy(*by).agg(F.count_distinct(value).alias("n_values"), F.count(F.lit(1)).alias("n"), marked.alias("n_marked")).where("n_values > 1 or n_marked > 0")
+    if key is None:
+        return groups.drop("n_marked")
+    other = groups.select(*(F.col(c).alias(f"__{c}") for c in by))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(other, same).select(*by, key)
 
 
 def state_coverage(df: DataFrame, by: DataFrame, states: Sequence[str], state: str) -> DataFrame:
@@ -96,7 +138,13 @@ def state_coverage(df: DataFrame, by: DataFrame, states: Sequence[str], state: s
     return wide.select(*keys, F.explode(F.array(*(F.struct(F.lit(s).alias(state), F.coalesce(F.col("__m")[s], F.lit(0)).alias("n")) for s in states))).alias("x")).select(*keys, f"x.{state}", "x.n")
 
 
-def conflicting_pairs(df: DataFrame, keys: Sequence[str], stance: str, key: str, opposites: tuple[str, str] = ("supports", "contradicts")) -> DataFrame:
-    """One row per key group with both stances: members of each side. Pairs aren't expanded."""
-    side = lambda s: F.array_sort(F.collect_set(F.when(F.col(stance) == s, F.col(key))))
-    return df.groupBy(*keys).agg(side(opposites[0]).alias("for_ids"), side(opposites[1]).alias("against_ids")).where("size(for_ids) > 0 and size(against_ids) > 0")
+def conflicting_groups(df: DataFrame, keys: Sequence[str], stance: str, opposites: tuple[str, str] = ("supports", "contradicts")) -> DataFrame:
+    """One row per key group with both stances, and how many rows take each. Pairs aren't expanded."""
+    count = lambda s: F.count_if(F.col(stance) == s)
+    return df.groupBy(*keys).agg(count(opposites[0]).alias("n_for"), count(opposites[1]).alias("n_against")).where("n_for > 0 and n_against > 0")
+
+
+def conflicting_members(df: DataFrame, keys: Sequence[str], stance: str, key: str, opposites: tuple[str, str] = ("supports", "contradicts")) -> DataFrame:
+    """The rows of such groups that take one of the two stances."""
+    groups = conflicting_groups(df, keys, stance, opposites).select(*keys)
+    return df.where(F.col(stance).isin(*opposites)).join(groups, list(keys), "left_semi").select(*keys, stance, key)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import usable_id
 
-#: Accepted spellings of modalities.
-MODALITIES = {"SM": "small_molecule", "SMALL MOLECULE": "small_molecule", "SMALL_MOLECULE": "small_molecule", "AB": "antibody", "ANTIBODY": "antibody", "PR": "protac", "PROTAC": "protac", "OC": "other", "OTHER": "other"}
+#: Spellings of modalities; any other has none.
+MODALITIES = {"ANTIBODY": "antibody", "SMALL MOLECULE": "small_molecule", "PROTAC": "protac", "OTHER": "other_clinical", "OTHER CLINICAL": "other_clinical"}
 RECORD = "target string, knownDrugs array<struct<drug:struct<id:string,name:string>,phase:int,status:string>>, tractability array<struct<label:string,modality:string,value:boolean>>, safetyLiabilities array<struct<event:string,datasource:string>>"
 
 
@@ -39,16 +39,116 @@ def observations(records: DataFrame) -> DataFrame:
 
 
 def contradictory(obs: DataFrame) -> DataFrame:
-    """The observations with ``contradictory``: the same factor has another value."""
-    w = Window.partitionBy("target", "dimension", "modality", "factor")
-    differ = F.min("value").over(w) != F.max("value").over(w)
-    return obs.withColumn("contradictory", (F.col("availability") == "observed") & F.coalesce(differ, F.lit(False)))
+    """The observations with ``contradictory``: the same factor has another value, or is marked conflicting."""
+    keys = ("target", "dimension", "modality", "factor")
+    groups = obs.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg((F.min("value") != F.max("value")).alias("__differ"), (F.count_if(F.col("availability") == "conflicting") > 0).alias("__marked"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = obs.join(groups, same, "left")
+    there = F.col("availability").isin("observed", "conflicting")
+    return joined.select(*obs.columns, (there & (F.coalesce("__differ", F.lit(False)) | F.coalesce("__marked", F.lit(False)))).alias("contradictory"))
 
 
-def coverage(obs: DataFrame) -> DataFrame:
-    """Counts and a state for each target, dimension and modality."""
+STATES = ("observed", "not_observed", "not_available", "conflicting", "retrieval_failed")
+
+
+def coverage_state(n: dict[str, Column], conflicting: Column, applicable: Column, unsupported: Column, failed: Column) -> Column:
+    """First of: retrieval failed, conflicting, partial, observed, nothing seen though asked, not available, partial."""
+    gaps = (unsupported > 0) | (n["not_available"] > 0)
+    return (
+        F.when(failed > 0, "retrieval_failed").when(conflicting > 0, "conflicting").when((n["observed"] > 0) & gaps, "partial").when(n["observed"] > 0, "observed")
+        .when((n["not_observed"] > 0) & ~gaps, "observed").when((applicable == 0) | (n["not_available"] > 0), "not_available").otherwise("partial")
+    )
+
+
+def coverage(obs: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
+    """Counts and a state for each target, dimension and modality, and for tractability over all modalities (null).
+
+    ``unsupported`` has (target, dimension, modality, n_unsupported): source values of no known kind.
+    """
+    marked = contradictory(obs)
+    whole = marked.where("dimension = 'tractability' and modality is not null").withColumn("modality", F.lit(None).cast("string"))
+    rows = marked.unionByName(whole)
+    counts = rows.groupBy("target", "dimension", "modality").agg(*(F.count_if(F.col("availability") == s).alias(f"n_{s}") for s in STATES if s != "conflicting"), F.count_if("contradictory").alias("n_conflicting"))
+    if unsupported is None:
+        joined = counts.withColumn("n_unsupported", F.lit(0).cast("long"))
+    else:
+        other = unsupported.select(*(F.col(c).alias(f"__{c}") for c in ("target", "dimension", "modality")), "n_unsupported")
+        same = (F.col("target") == F.col("__target")) & (F.col("dimension") == F.col("__dimension")) & F.col("modality").eqNullSafe(F.col("__modality"))
+        joined = counts.join(other, same, "left").drop("__target", "__dimension", "__modality").withColumn("n_unsupported", F.coalesce("n_unsupported", F.lit(0)))
+    n = {s: F.col(f"n_{s}") for s in STATES}
+    return joined.withColumn("state", coverage_state(n, F.col("n_conflicting"), F.lit(1), F.col("n_unsupported"), F.col("n_retrieval_failed")))
+
+
+def profile_status(requests: DataFrame, resolutions: DataFrame, records: DataFrame, covered: DataFrame) -> DataFrame:
+    """Every request with the status of its profile and what decides it.
+
+    ``requests``: request_id, target, id_type, source_release. ``resolutions``: target, id_type, status, resolved_id; more than
+    one for a request is as none. ``records``: resolved_id, release, verified, shape_ok. ``covered``: target, state.
+    """
+    key = ["target", "id_type"]
+    one = resolutions.groupBy(*key).agg(F.count(F.lit(1)).alias("n_resolutions"), F.first("status").alias("resolution"), F.first("resolved_id").alias("resolved_id"))
+    found = records.groupBy("resolved_id").agg(F.count(F.lit(1)).alias("n_records"), F.first("release").alias("release"), F.first("verified").alias("verified"), F.first("shape_ok").alias("shape_ok"))
+    gaps = covered.groupBy("target").agg((F.count_if(F.col("state") != "observed") > 0).alias("has_gaps"))
+    again = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_requests"))
+    joined = requests.join(one, key, "left").join(found, "resolved_id", "left").join(gaps, "target", "left").join(again, "request_id", "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    status = (
+        F.when(blank("request_id") | blank("target") | ~F.col("id_type").isin("gene_symbol", "ensembl_gene_id") | (F.col("n_requests") > 1), "invalid_request")
+        .when(F.coalesce(F.col("n_resolutions"), F.lit(0)) != 1, "invalid_fetch_result").when(F.col("resolution") == "unresolved", "target_unresolved").when(F.col("resolution") == "ambiguous", "target_ambiguous")
+        .when(F.col("resolution") == "invalid_identifier", "target_invalid").when(F.col("resolution") == "retrieval_failed", "target_retrieval_failed")
+        .when((F.col("id_type") == "ensembl_gene_id") & (F.col("resolved_id") != F.col("target")), "target_invalid").when(F.coalesce(F.col("n_records"), F.lit(0)) != 1, "target_record_missing")
+        .when(~F.col("release").eqNullSafe(F.col("source_release")), "source_release_mismatch").when(~F.coalesce(F.col("shape_ok"), F.lit(True)), "unsupported_source_shape")
+        .when(~F.coalesce(F.col("verified"), F.lit(False)) | F.coalesce(F.col("has_gaps"), F.lit(True)), "built_with_gaps").otherwise("built")
+    )
+    return joined.select(*requests.columns, status.alias("status"))
+
+
+def batch_totals(status: DataFrame, covered: DataFrame) -> DataFrame:
+    """(kind, name, n): requests of each status, and observed facts of each dimension and of each modality of tractability."""
+    by_status = status.groupBy(F.col("status").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("status").alias("kind"), "name", "n")
+    by_dimension = covered.where("modality is null").groupBy(F.col("dimension").alias("name")).agg(F.sum("n_observed").alias("n")).select(F.lit("dimension").alias("kind"), "name", "n")
+    by_modality = covered.where("dimension = 'tractability' and modality is not null").groupBy(F.col("modality").alias("name")).agg(F.sum("n_observed").alias("n")).select(F.lit("modality").alias("kind"), "name", "n")
+    return by_status.unionByName(by_dimension).unionByName(by_modality)
+
+
+def compose(assessments: DataFrame, obs: DataFrame, covered: DataFrame | None, dimensions: tuple[str, ...]) -> DataFrame:
+    """Every assessment (target, modality) and dimension, with its facts of that modality and of the target as a whole,
+    the state that was supplied or follows from these facts alone, and how many contradict each other."""
+    grid = assessments.withColumn("dimension", F.explode(F.array(*map(F.lit, dimensions))))
     marked = contradictory(obs)
-    counts = marked.groupBy("target", "dimension", "modality").agg(F.count_if(F.col("availability") == "observed").alias("n_observed"), F.count_if("contradictory").alias("n_conflicting"), F.count_if(F.col("availability") == "not_observed").alias("n_not_observed"), F.count_if(F.col("availability") == "not_available").alias("n_not_available"))
-    absent = F.col("n_not_observed") + F.col("n_not_available") > 0
-    state = F.when(F.col("n_conflicting") > 0, "conflicting").when((F.col("n_observed") > 0) & absent, "partial").when(F.col("n_observed") > 0, "observed").when(F.col("n_not_observed") > 0, "not_observed").otherwise("not_available")
-    return counts.withColumn("state", state)
+    per = marked.groupBy(F.col("target").alias("__t"), F.col("dimension").alias("__d"), F.col("modality").alias("__m")).agg(F.count(F.lit(1)).alias("n_facts"), *(F.count_if(F.col("availability") == s).alias(f"n_{s}") for s in ("conflicting", "retrieval_failed")), F.count_if("contradictory").alias("n_contradictory"))
+    alone = F.when(F.col("n_retrieval_failed") > 0, "retrieval_failed").when(F.col("n_conflicting") > 0, "conflicting").otherwise("observed")
+    per = per.withColumn("alone", alone)
+    side = lambda p: per.withColumnsRenamed({c: f"{p}_{c}" for c in per.columns})
+    own, context = side("own"), side("context").where("context___m is null")
+    joined = grid.join(own, (F.col("target") == F.col("own___t")) & (F.col("dimension") == F.col("own___d")) & (F.col("modality") == F.col("own___m")), "left")
+    joined = joined.join(context, (F.col("target") == F.col("context___t")) & (F.col("dimension") == F.col("context___d")), "left")
+    supplied = {"own": F.lit(None).cast("string"), "context": F.lit(None).cast("string")}
+    if covered is not None:
+        for p in supplied:
+            c = covered.select(F.col("target").alias(f"__{p}_t"), F.col("dimension").alias(f"__{p}_d"), F.col("modality").alias(f"__{p}_m"), F.col("state").alias(f"__{p}_state"))
+            of = F.col(f"__{p}_m").isNull() if p == "context" else F.col("modality") == F.col(f"__{p}_m")
+            joined = joined.join(c, (F.col("target") == F.col(f"__{p}_t")) & (F.col("dimension") == F.col(f"__{p}_d")) & of, "left")
+            supplied[p] = F.col(f"__{p}_state")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return joined.select(
+        "target", "modality", "dimension", n("own_n_facts").alias("n_own"), n("context_n_facts").alias("n_context"), (n("own_n_contradictory") + n("context_n_contradictory")).alias("n_contradictory"),
+        F.coalesce(supplied["own"], F.col("own_alone"), F.lit("not_available")).alias("own_state"), F.coalesce(supplied["context"], F.col("context_alone"), F.lit("not_available")).alias("context_state"),
+    )
+
+
+def release_check(declared: Column, observed: Column, verified: Column) -> Column:
+    """verified, declared but not verified, mismatch, or not reported."""
+    return F.when(observed.isNull(), "not_reported").when(declared != observed, "mismatch").when(F.coalesce(verified, F.lit(False)), "verified").otherwise("declared_unverified")
+
+
+def observation_issues(obs: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """(target, dimension, factor, issue) of observations that break their contract."""
+    rules = [
+        (F.coalesce(F.trim("target"), F.lit("")) == "", "blank_target"), (~F.col("dimension").isin(*dimensions), "unknown_dimension"), (~F.col("availability").isin(*STATES), "unknown_state"),
+        (F.col("modality").isNotNull() & ~F.col("modality").isin(*set(MODALITIES.values())), "unknown_modality"), ((F.col("availability") == "observed") & F.col("value").isNull(), "observed_without_value"),
+        (F.col("availability").isin("not_available", "not_observed") & F.col("value").isNotNull(), "absent_with_value"),
+    ]
+    return obs.select("target", "dimension", "factor", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(i)) for c, i in rules)))).alias("issue"))

@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions import clip01, is_missing, lookup, safe_bool, safe_double
+from loomwork.functions import clip01, is_missing, lookup, round_exactly, safe_bool, safe_double
 
 #: Components in the order in which they are summed.
 COMPONENTS = ("baseline", "axis", "role", "modality", "confidence", "balance", "novelty")
@@ -75,15 +75,21 @@ def penalty(df: DataFrame, p: Profile) -> Column:
     return poor + against + unmapped + role
 
 
-def score(df: DataFrame, p: Profile, keep_parts: bool = True) -> DataFrame:
-    """``<name>_score``, and with ``keep_parts`` its components and penalty; terms are added in a fixed order."""
+#: Decimals of scores.
+DIGITS = 4
+
+
+def score(df: DataFrame, p: Profile, keep_parts: bool = True, digits: int = DIGITS) -> DataFrame:
+    """``<name>_score``, and with ``keep_parts`` its components and penalty, each rounded; terms are added unrounded
+    in a fixed order."""
     found = components(df, p)
     total = reduce(lambda a, b: a + b, (F.lit(float(p.weights.get(c, 0.0))) * found[c] for c in COMPONENTS))
     parts = {f"{p.name}_{c}": found[c] for c in COMPONENTS} | {f"{p.name}_penalty": penalty(df, p)}
-    return df.withColumns((parts if keep_parts else {}) | {f"{p.name}_score": clip01(total + penalty(df, p))})
+    out = (parts if keep_parts else {}) | {f"{p.name}_score": clip01(total + penalty(df, p))}
+    return df.withColumns({name: round_exactly(c, digits) for name, c in out.items()})
 
 
-def score_long(df: DataFrame, cases: list[tuple[str, Profile]], key: str) -> DataFrame:
+def score_long(df: DataFrame, cases: list[tuple[str, Profile]], key: str, digits: int = DIGITS) -> DataFrame:
     """(case, key, baseline, score) for many profiles at once: components once, weights as a small table.
 
     All profiles must share their lookup tables and penalties, as the scenarios of one profile do.
@@ -92,4 +98,32 @@ def score_long(df: DataFrame, cases: list[tuple[str, Profile]], key: str) -> Dat
     parts = df.select(F.col(key), F.col("baseline").alias("__b"), F.array(*(components(df, p)[c] for c in COMPONENTS)).alias("__c"), penalty(df, p).alias("__p"))
     table = df.sparkSession.createDataFrame([(name, [float(q.weights.get(c, 0.0)) for c in COMPONENTS]) for name, q in cases], "case string, weights array<double>")
     total = reduce(lambda a, b: a + b, (F.col("weights")[k] * F.col("__c")[k] for k in range(len(COMPONENTS))))
-    return parts.join(F.broadcast(table)).select("case", key, F.col("__b").alias("baseline"), clip01(total + F.col("__p")).alias("score"))
+    return parts.join(F.broadcast(table)).select("case", key, F.col("__b").alias("baseline"), round_exactly(clip01(total + F.col("__p")), digits).alias("score"))
+
+
+def scenario_scores(df: DataFrame, profiles: list[Profile], factors: Mapping[str, float], key: str) -> DataFrame:
+    """(profile, scenario, key, baseline, score) of every profile as it is (``none|base``) and with each weight perturbed."""
+    out = None
+    for p in profiles:
+        cases = [("none|base", p), *((f"{w}|{d}", q) for _, w, d, q in scenarios([p], factors))]
+        rows = score_long(df, cases, key).select(F.lit(p.name).alias("profile"), F.col("case").alias("scenario"), key, "baseline", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def profile_issues(config: Mapping[str, object], name: str | None = None) -> list[str]:
+    """What is wrong with a profile as it was loaded: sections that are missing, weights that are none, an id that isn't its own."""
+    need = ("name", "weights", "roles", "confidences", "modalities")
+    issues = [f"missing: {n}" for n in need if n not in config]
+    weights = config.get("weights") or {}
+    issues += [f"unknown weight: {n}" for n in weights if n not in COMPONENTS] + [f"negative weight: {n}" for n, w in weights.items() if w < 0]
+    if name is not None and config.get("name") != name:
+        issues.append("name doesn't agree")
+    return issues
+
+
+def profile_of(config: Mapping[str, object], name: str | None = None) -> Profile:
+    """A profile from a loaded configuration; raises with all that is wrong with it."""
+    if issues := profile_issues(config, name):
+        raise ValueError("; ".join(issues))
+    return Profile(**config)

@@ -26,10 +26,12 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "loomwork") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a session without one gets a temporary folder."""
+    """Use the cluster's shared folder; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 

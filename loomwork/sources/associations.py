@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,76 @@ def flatten(payloads: DataFrame) -> DataFrame:
 
 
 def first_pages(df: DataFrame, page_size: int = 100, pages: int = 3) -> DataFrame:
-    """What the first pages of a list ordered by score hold."""
-    return df.orderBy(F.desc_nulls_last("association_score"), F.asc("target_id")).limit(page_size * pages)
+    """What the first pages of a list ordered by score hold: it ends at the first empty page, or after ``pages``."""
+    return ordered(df).limit(page_size * pages)
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    """By score, the largest first, then by target."""
+    return df.orderBy(F.desc_nulls_last("association_score"), F.asc("target_id"))
+
+
+def complete(payloads: DataFrame) -> DataFrame:
+    """(disease_id, n_rows, declared, complete): whether the landed pages hold as many rows as the payload declares."""
+    by = payloads.groupBy(F.col("disease.id").alias("disease_id")).agg(F.sum(F.coalesce(F.size("associatedTargets.rows"), F.lit(0))).cast("long").alias("n_rows"), F.max("associatedTargets.count").cast("long").alias("declared"))
+    return by.withColumn("complete", F.col("n_rows") >= F.col("declared"))
+
+
+def land(payloads: DataFrame, path: str, source: str, mode: str = "error") -> None:
+    """Payloads written as envelopes (created_at, source, data); ``mode`` ``overwrite`` refreshes what is there."""
+    data = F.struct(*payloads.columns)
+    payloads.select(F.current_timestamp().alias("created_at"), F.lit(source).alias("source"), data.alias("data")).write.mode(mode).json(path)
+
+
+def landed(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], source: str, refresh: bool = False) -> DataFrame:
+    """Payloads read from where they landed; fetched and landed first if they haven't, or with ``refresh``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if refresh or not there:
+        land(fetch(), path, source, "overwrite")
+    return read_payloads(spark, path)
+
+
+def clear(spark: SparkSession, path: str) -> bool:
+    """Delete what landed there; whether there was anything."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+
+
+def resolve_exact(requests: DataFrame, candidates: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """(symbol, state, target_id): resolved if exactly one validated candidate has the exact symbol. If one of the candidates
+    of a request isn't validated, its answer is open."""
+    exact = candidates.groupBy(F.col("query").alias(symbol)).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("validated"), F.lit(False))).alias("n_open"),
+        F.count_distinct(F.when(F.col("approved_symbol") == F.col("query"), F.col("target_id"))).alias("n_exact"), F.min(F.when(F.col("approved_symbol") == F.col("query"), F.col("target_id"))).alias("target_id"),
+    )
+    joined = requests.select(symbol).distinct().join(exact, symbol, "left")
+    state = F.when(F.coalesce(F.trim(symbol), F.lit("")) == "", "invalid_identifier").when(F.col("n").isNull(), "unresolved").when(F.col("n_open") > 0, "retrieval_failed").when(F.col("n_exact") == 1, "resolved_exact").when(F.col("n_exact") > 1, "ambiguous").otherwise("unresolved")
+    return joined.select(symbol, state.alias("state"), F.when(state == "resolved_exact", F.col("target_id")).alias("target_id"))
+
+
+def query_plan(requests: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(request, step, operation): what is to be fetched for each request, in order; with ``done`` (request, operation) only the rest."""
+    steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(o).alias("operation")) for k, o in enumerate(("resolve", "fetch_record", "validate"), 1)))
+    plan = requests.select(F.col("symbol").alias("request"), F.explode(steps).alias("x")).select("request", "x.*")
+    return plan if done is None else plan.join(done, ["request", "operation"], "left_anti").select("request", "step", "operation")
+
+
+def cached(entries: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, payload, state) of a cache keyed by content: one payload whose digest is right, else corrupt or ambiguous."""
+    checked = entries.withColumn("__ok", F.sha2(payload, 256) == F.col("payload_sha256"))
+    by = checked.groupBy(key).agg(F.count_distinct(payload).alias("n"), F.min("__ok").alias("ok"), F.min(payload).alias(payload))
+    state = F.when(~F.coalesce(F.col("ok"), F.lit(False)), "corrupt").when(F.col("n") > 1, "ambiguous").otherwise("found")
+    return by.select(key, F.when(state == "found", F.col(payload)).alias(payload), state.alias("state"))
+
+
+def search_attempts(requests: DataFrame, results: DataFrame, key: str = "query") -> DataFrame:
+    """One attempt for every request: not executed, failed with its category, no results, or success with their number."""
+    by = results.groupBy(key).agg(F.first("status_code").alias("code"), F.max("hit_count").alias("hits"))
+    joined = requests.join(by, key, "left")
+    category = F.when(F.col("code") == 429, "rate_limited").when(F.col("code") >= 500, "server_error").when(F.col("code") >= 400, "client_error").when(F.col("code").isNotNull() & F.col("hits").isNull(), "invalid_response")
+    status = F.when(F.col("code").isNull(), "not_executed").when(category.isNotNull(), "failed").when(F.col("hits") == 0, "success_zero_results").otherwise("success")
+    return joined.select(*requests.columns, status.alias("status"), F.when(status.isin("success", "success_zero_results"), F.col("hits")).alias("result_count"), category.alias("error_category"))
 
 
 def literature(results: DataFrame, column: str = "resultList") -> DataFrame:

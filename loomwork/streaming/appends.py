@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StringType, StructField, StructType
+
+from loomwork.operators.evidence import classify_append
 
 
-def append_new(stream: DataFrame, store: str, key: str, checkpoint: str) -> DataStreamWriter:
-    """Writes rows whose key the store (a Parquet folder) hasn't got; repeats within and across batches are left out.
+def append_new(stream: DataFrame, store: str, key: str, checkpoint: str, digest: str, body: str) -> DataStreamWriter:
+    """Appends the rows that are new to the store, a Parquet folder; the audit of the others goes to ``<store>_audit``.
 
-    A batch writes to a folder of its own number, which a repeated batch overwrites, so a retry adds nothing twice.
+    Every batch is held against the whole store by digest and key (``classify_append``). It is written to a folder
+    that names the stream's checkpoint and the batch, and leaves that folder out of the comparison: a repeated batch
+    overwrites itself and nothing else, and a fresh checkpoint over an existing store adds to it.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if number:
-            have = spark.read.schema(fresh.schema.add("batch", "long")).parquet(store).where(F.col("batch") < number)
-            fresh = fresh.join(have.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        spark, name = batch.sparkSession, f"{run}-{number}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            have = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", StringType())])).parquet(store).where(F.col("batch") != name)
+        else:
+            have = spark.createDataFrame([], batch.schema)
+        found = classify_append(batch, have.select(key, digest, body), key, digest, body).persist()
+        found.where("outcome = 'new'").drop("outcome").write.mode("overwrite").parquet(f"{store}/batch={name}")
+        found.where("outcome <> 'new'").select(key, digest, "outcome").write.mode("overwrite").parquet(f"{store}_audit/batch={name}")
+        found.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -40,6 +40,11 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_enrichment(spark):
-    rows = catalog.enrichment_by_source(spark, SF).collect()
-    assert rows and all(0 <= r.p_value <= r.adjusted <= 1 for r in rows)
+def test_no_task_sees_a_whole_table(spark):
+    """Rows meet in one partition only as aggregates, as counts of partitions, or as the first k."""
+    for name in ("ranked_parts", "midrank_percentile", "bounded_overlay", "benchmark_predictions", "intent_metrics", "ranking_metrics", "group_quantiles", "sensitivity_summary", "lineage_roots", "ontology_annotate"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+        for k, line in enumerate(plan):
+            if "SinglePartition" in line:
+                below = plan[k + 1]
+                assert "Aggregate(keys=[]" in below or "__part" in below or "__p#" in below or "Limit" in below, (name, below)

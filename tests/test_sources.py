@@ -42,8 +42,15 @@ def test_cards(spark):
 
 def test_stream_appends_once(spark, tmp_path):
     source, store, mark = (str(tmp_path / n) for n in ("in", "store", "mark"))
+    fields = "id long, h string, b string"
     for ids in ([1, 2, 2], [2, 3]):
-        spark.createDataFrame([(i,) for i in ids], "id long").write.mode("append").parquet(source)
-        stream = spark.readStream.schema("id long").parquet(source)
-        appends.append_new(stream, store, "id", mark).start().awaitTermination()
+        spark.createDataFrame([(i, f"h{i}", "b") for i in ids], fields).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(fields).parquet(source)
+        appends.append_new(stream, store, "id", mark, "h", "b").start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(store).collect()) == [1, 2, 3]
+    # a fresh checkpoint over the same store adds to it, and audits what it has
+    other = str(tmp_path / "other")
+    spark.createDataFrame([(3, "changed", "b"), (4, "h4", "b"), (5, "h4", "c")], fields).write.parquet(other)
+    appends.append_new(spark.readStream.schema(fields).parquet(other), store, "id", str(tmp_path / "mark2"), "h", "b").start().awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(store).collect()) == [1, 2, 3, 4]
+    assert {(r.id, r.outcome) for r in spark.read.parquet(store + "_audit").collect()} >= {(2, "duplicate"), (3, "rejected_mutation"), (5, "collision")}

@@ -90,7 +90,12 @@ def test_rank_metrics_and_tail(spark):
     m = evaluate.ranking_metrics(df, "r", F.col("p"), ["g"], [2]).first()
     assert math.isclose(m.average_precision, 5 / 6) and (m.recall_2, m.precision_2, m.reciprocal_rank, m.median_rank) == (0.5, 0.5, 1.0, 2.0)
     t = spark.createDataFrame([(3, 2, 2, 1), (2, 3, 1, 1)], "n long, k long, d long, x long")
-    assert [r.p_value for r in evaluate.hypergeometric_tail(t, "n", "k", "d", "x").collect()] == [1.0, None]
+    tail = evaluate.hypergeometric_tail(*(F.col(c) for c in "nkdx"))
+    assert [r[0] for r in t.select(F.round(tail, 12)).collect()] == [1.0, None]
+    cases = [(n, k, d, x) for n, k, d in ((30, 7, 11), (500, 40, 90), (5000, 1200, 300)) for x in (0, 1, 5, 7, 20, 80, 100)]
+    want = [sum(math.comb(k, i) * math.comb(n - k, d - i) for i in range(max(x, d - (n - k)), min(k, d) + 1)) / math.comb(n, d) for n, k, d, x in cases]
+    got = [r[0] for r in spark.createDataFrame(cases, "n long, k long, d long, x long").coalesce(1).select(tail).collect()]
+    assert all(math.isclose(a, b, rel_tol=1e-8, abs_tol=1e-300) for a, b in zip(got, want, strict=True))
 
 
 def test_matrix_profiles(spark):
@@ -107,10 +112,13 @@ def test_matrix_profiles(spark):
 
 
 def test_context(spark):
-    rows = [(1, {"l": "skin"}), (2, {"l": "lung"}), (3, {"l": ""}), (4, None), (5, {"l": "skin"}), (6, {"l": "skin"})]
-    df = spark.createDataFrame(rows, "id int, m map<string,string>")
-    state = matrix.assign_context(F.col("m"), [2], [5], F.col("id"), {"l": "skin"}, {"l": ["bone"]}, F.col("id") != 6)
-    assert [r[0] for r in df.select(state).collect()] == ["in_context", "in_context", "missing_required_metadata", "metadata_unavailable", "explicitly_excluded", "not_reconciled"]
+    rows = [(1, {"l": "skin"}), (2, {"l": "lung"}), (3, {"l": ""}), (4, None), (5, {"l": "skin"}), (6, {"l": "skin"}), (7, {"l": "eye", "s": "no"}), (8, {"l": "bone", "s": "no"}), (9, {"l": "bone"}), (10, {"l": "eye"})]
+    df = spark.createDataFrame(rows, "id int, m map<string,string>").coalesce(1)
+    context = matrix.Context([2], [5], {"l": ["skin", "eye"]}, {"s": ["no"]})
+    found = matrix.assign_context(context, F.col("id"), F.col("m"), F.lit(True), F.col("id") != 6)
+    got = [tuple(r) for r in df.select(*found).collect()]
+    assert [r[0] for r in got] == ["in_context", "explicitly_included", "missing_required_metadata", "metadata_unavailable", "explicitly_excluded", "model_not_reconciled", "ambiguous_context", "out_of_context", "out_of_context", "in_context"]
+    assert got[0][1:] == ("l", "skin") and got[6][1:] == got[7][1:] == ("s", "no") and got[2][1:] == ("l", None) and got[8][1:] == (None, None)
 
 
 def test_families_along_lineage(spark):
@@ -130,6 +138,27 @@ def test_appends(spark):
     assert got == {"k1": "duplicate", "k3": "collision", "k2": "rejected_mutation", "k4": "new", "k5": "duplicate"}
 
 
+def test_appends_within_a_batch(spark):
+    none = spark.createDataFrame([], "k string, h string, b string")
+    rows = [("m", "h1", "x"), ("m", "h2", "y"), ("p", "h3", "x"), ("q", "h3", "y"), ("r", "h4", "z"), ("r", "h4", "z"), ("s", None, "z"), ("t", None, "z")]
+    got = Counter((r.k, r.h, r.outcome) for r in evidence.classify_append(spark.createDataFrame(rows, none.schema), none, "k", "h", "b").collect())
+    assert got == Counter({("m", "h1", "new"): 1, ("m", "h2", "rejected_mutation"): 1, ("p", "h3", "new"): 1, ("q", "h3", "collision"): 1, ("r", "h4", "new"): 1, ("r", "h4", "duplicate"): 1, ("s", None, "new"): 1, ("t", None, "new"): 1})
+    audit = evidence.append_audit(evidence.classify_append(spark.createDataFrame(rows, none.schema), none, "k", "h", "b"), "k", "h", 5).collect()
+    assert sorted(r.event_id for r in audit) == [5, 6, 7]
+
+
+def test_duplicates_without_digest(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "id int, h string")
+    got = {r.id: (r.first_key, r.n_same, r.is_duplicate) for r in evidence.exact_duplicates(df, "h", "id").collect()}
+    assert got == {1: (1, 2, False), 3: (1, 2, True), 2: (None, None, False), 4: (None, None, False)}
+
+
+def test_cycles_and_long_chains(spark):
+    edges = spark.createDataFrame([(f"n{k + 1}", f"n{k}") for k in range(256)] + [("x", "y"), ("y", "x"), ("below", "x")], "child string, parent string")
+    assert evidence.lineage_roots(edges).count() == 257
+    assert {r.node for r in evidence.rootless(edges).collect()} == {"x", "y", "below"}
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "s string, n int")
     table = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early")], "s string, priority int, role string")
@@ -150,10 +179,10 @@ def test_scoring_scenarios(spark):
 
 
 def test_feasibility(spark):
-    rows = [("T1", [(("D", "d"), 2, "x")], [("l", "SM", True), ("l", "small molecule", False)], None), ("T2", [], None, [("e", "s")])]
+    rows = [("T1", [(("D", "d"), 2, "x")], [("l", "Small molecule ", True), ("l", "small molecule", False), ("l2", "SM", True), ("l3", "Other Clinical", True)], None), ("T2", [], None, [("e", "s")])]
     df = spark.createDataFrame(rows, feasibility.RECORD)
     got = {(r.target, r.dimension, r.modality): r.state for r in feasibility.coverage(feasibility.observations(df)).collect()}
-    assert got == {("T1", "known_drug", None): "observed", ("T1", "tractability", "small_molecule"): "conflicting", ("T1", "safety", None): "not_available", ("T2", "known_drug", None): "not_observed", ("T2", "tractability", None): "not_available", ("T2", "safety", None): "observed"}
+    assert got == {("T1", "known_drug", None): "observed", ("T1", "tractability", "small_molecule"): "conflicting", ("T1", "tractability", "other_clinical"): "observed", ("T1", "tractability", None): "conflicting", ("T1", "safety", None): "not_available", ("T2", "known_drug", None): "observed", ("T2", "tractability", None): "not_available", ("T2", "safety", None): "observed"}
 
 
 def test_claims(spark):
