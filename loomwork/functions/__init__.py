@@ -170,14 +170,18 @@ def round_exactly(c: Column, digits: int) -> Column:
     is split into two halves of 26 bits, whose products with 2 * 10**digits are exact, so that the comparison
     with the middle of two neighbours is exact for magnitudes below 2**52 / 10**digits.
     """
-    x, scale = c.cast("double"), float(10**digits)
-    big = x * F.lit(134217729.0)
-    high = big - (big - x)
-    low = x - high
-    base = F.floor(x * F.lit(scale)).cast("double")
-    over = (high * F.lit(2 * scale) - (base * 2 + 1)) + low * F.lit(2 * scale)
-    up = (over > 0) | ((over == 0) & (F.pmod(base, F.lit(2.0)) == 1))
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise((base + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
+    scale = float(10**digits)
+
+    def nearest(x: Column) -> Column:
+        big = x * F.lit(134217729.0)
+        high = big - (big - x)
+        base = F.floor(x * F.lit(scale)).cast("double")
+        over = (high * F.lit(2 * scale) - (base * 2 + 1)) + (x - high) * F.lit(2 * scale)
+        up = (over > 0) | ((over == 0) & (F.pmod(base, F.lit(2.0)) == 1))
+        return F.when(~F.isnan(x), (base + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
+
+    # inside a function of one element, the argument is computed once and not written out for each of its uses
+    return F.get(F.transform(F.array(c.cast("double")), nearest), F.lit(0))
 
 
 def json_safe(c: Column) -> Column:

@@ -68,12 +68,12 @@ SEVERITIES = {
 }
 
 
-def taxonomy(claims: DataFrame, documents: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "source_text", digest: str = "source_hash") -> DataFrame:
+def taxonomy(claims: DataFrame, documents: DataFrame, lexicon: Lexicon, doc: str = "doc_id", text: str = "source_text", digest: str = "source_hash", group: str | None = None) -> DataFrame:
     """The claims with ``findings``, ``severities`` and ``decision`` by all rules.
 
     A claim has claim_id, claim_text, quoted_span, quote_start, quote_end, stance, ``digest``, and arrays target_mentions,
     disease_mentions, species_mentions, model_mentions and the text cohort. A document has its text, digest and ``valid``
-    (whether its extraction succeeded).
+    (whether its extraction succeeded). Contradictions are sought within ``group``, by default the document.
     """
     have = documents.select(F.col(doc).alias("__d"), F.col(text).alias("__t"), F.col(digest).alias("__h"), F.col("valid").alias("__valid"))
     joined = claims.join(have, F.col(doc) == F.col("__d"), "left")
@@ -89,7 +89,7 @@ def taxonomy(claims: DataFrame, documents: DataFrame, lexicon: Lexicon, doc: str
     named = F.filter(limits, lambda m: F.contains(F.concat(quote, F.lit(" "), raw), m))
     anchors = F.filter(F.concat(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists), F.array(F.col("cohort"))), lambda x: F.coalesce(x, F.lit("")) != "")
     loose = F.exists(anchors, lambda x: ~F.contains(F.coalesce(source, F.lit("")), x) & ~F.contains(F.coalesce(F.col("quoted_span"), F.lit("")), x))
-    opposed = _opposed(claims, doc)
+    opposed = _opposed(claims, group or doc)
     joined = joined.join(opposed.select(F.col("claim_id").alias("__o")), F.col("claim_id") == F.col("__o"), "left")
     rules = {
         "candidate_not_audited": F.coalesce(F.col("claim_id").cast("string"), F.lit("")) == "",

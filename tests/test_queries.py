@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomwork.plans import catalog
+from loomwork.plans import catalog, chains
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,9 @@ def database():
     return con
 
 
+assert chains  # registers its queries
+
+
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     key = lambda v: "NULL" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.12g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
