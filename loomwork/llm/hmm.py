@@ -243,9 +243,11 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
     the model is a rough one.
     """
     source = docs.where(where).select(F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"))
-    short = source.where(F.coalesce(F.octet_length("t"), F.lit(0)) <= LONGEST).orderBy("h", "t").limit(sample)
+    short = source.where(F.coalesce(F.octet_length("t"), F.lit(0)) <= LONGEST)
+    least = [r.h for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]  # hashes first: a partition has as many candidates
     model = Model.rough(states, seed)
-    if texts := [bytes(r.t or b"") for r in short.collect()]:
+    if least:
+        texts = [bytes(r.t or b"") for r in short.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
         lengths, symbols = classes(texts)
         for _ in range(warm):
             model = Model.of(expected(model, lengths, symbols)[0], states)
