@@ -23,8 +23,8 @@ def placed(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name:
     rows = cut_lineage(sorted_rows.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
     sizes = rows.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__part", *(F.col(c).alias(f"__{c}") for c in by), "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    same = rows["__part"] == offsets["__part"]
+    offsets = sizes.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__{c}") for c in by), "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    same = rows["__part"] == offsets["__p"]
     for c in by:
         same = same & rows[c].eqNullSafe(offsets[f"__{c}"])
     joined = rows.join(offsets, same)

@@ -39,7 +39,7 @@ def normalized(weights: Mapping[str, float]) -> dict[str, float]:
 
 
 def perturbed(profile: Profile, weight: str, factor: float) -> Profile:
-    return replace(profile, weights=normalized(dict(profile.weights) | {weight: profile.weights[weight] * factor}))
+    return replace(profile, weights=normalized(dict(profile.weights) | {weight: profile.weights.get(weight, 0.0) * factor}))
 
 
 def scenarios(profiles: list[Profile], factors: Mapping[str, float]) -> list[tuple[str, str, str, Profile]]:

@@ -210,7 +210,7 @@ def _case(column: str, levels: dict[str, float]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in levels.items()) + " ELSE 0.0::DOUBLE END"
 
 
-def _score_sql(p: scoring.Profile, weights: dict[str, float] | None = None) -> str:
+def score_sql(p: scoring.Profile, weights: dict[str, float] | None = None) -> str:
     w = weights or p.weights
     fit = f"((1.0::DOUBLE * {_case('fit', p.modalities['fit'])}) / 1.0::DOUBLE)"
     terms = {"baseline": "baseline", "axis": "axis_score", "role": _case("role", p.roles), "modality": fit, "confidence": _case("confidence", p.confidences), "balance": "(1.0::DOUBLE - contradiction)", "novelty": "0.5::DOUBLE"}
@@ -219,7 +219,7 @@ def _score_sql(p: scoring.Profile, weights: dict[str, float] | None = None) -> s
     return round_sql(f"GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, ({total}) + {fine}))")
 
 
-@register(f"WITH {FEATURES_SQL} SELECT s_suppkey, baseline, " + ", ".join(f"{_score_sql(p)} AS {p.name}_score" for p in PROFILES) + " FROM f")
+@register(f"WITH {FEATURES_SQL} SELECT s_suppkey, baseline, " + ", ".join(f"{score_sql(p)} AS {p.name}_score" for p in PROFILES) + " FROM f")
 def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features(spark, sf_dir)
     for p in PROFILES:
@@ -230,7 +230,7 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTORS = {"down": 0.8, "up": 1.2}
 BASE = "none|base"
 SCENARIO_SQL = " UNION ALL ".join(
-    f"SELECT '{p.name}' AS profile, '{name}' AS scenario, s_suppkey, baseline, {_score_sql(p, dict(q.weights))} AS score FROM f" for p in PROFILES for name, q in [(BASE, p), *((f"{w}|{d}", q) for _, w, d, q in scoring.scenarios([p], FACTORS))]
+    f"SELECT '{p.name}' AS profile, '{name}' AS scenario, s_suppkey, baseline, {score_sql(p, dict(q.weights))} AS score FROM f" for p in PROFILES for name, q in [(BASE, p), *((f"{w}|{d}", q) for _, w, d, q in scoring.scenarios([p], FACTORS))]
 )
 SCENARIO_RANKS = f"""{FEATURES_SQL}, s AS ({SCENARIO_SQL}),
 k AS (SELECT profile, scenario, s_suppkey, score, CAST(ROW_NUMBER() OVER (PARTITION BY profile, scenario ORDER BY score DESC NULLS LAST, baseline DESC NULLS LAST, s_suppkey) AS BIGINT) AS rank FROM s),
@@ -298,7 +298,7 @@ def sensitivity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summarize_targets(scenario_ranks(spark, sf_dir), ["profile", "s_suppkey"], KS, 6)
 
 
-@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, {_score_sql(PROFILES[0])} AS a, {_score_sql(PROFILES[1])} AS b, s_suppkey % 7 <> 0 AS ok FROM f)
+@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, {score_sql(PROFILES[0])} AS a, {score_sql(PROFILES[1])} AS b, s_suppkey % 7 <> 0 AS ok FROM f)
 SELECT s_suppkey, CASE WHEN NOT ok THEN '__missing_prediction__' WHEN GREATEST(a, b) <= 0.1 THEN 'none' WHEN a = GREATEST(a, b) THEN 'volume' ELSE 'balance' END AS intent, CASE WHEN ok THEN GREATEST(a, b) ELSE 0.0 END AS intent_score FROM s""")
 def primary_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = weighted_scores(spark, sf_dir)
@@ -541,7 +541,7 @@ _LABELS = "CASE WHEN {0} >= 0.70 THEN 'high' WHEN {0} >= 0.45 THEN 'medium' WHEN
 _PICK = lambda what: "CASE expected " + " ".join(f"WHEN '{m}' THEN {what.format(m)} END".replace(" END", "") for m in MODES) + " END"
 _BEST = "GREATEST(" + ", ".join(MODES) + ")"
 _OTHER = "CASE expected " + " ".join("WHEN '{}' THEN GREATEST({})".format(m, ", ".join(o for o in MODES if o != m)) for m in MODES) + " END"
-_SPEC = f"""{FEATURES_SQL}, s AS (SELECT s_suppkey, baseline, """ + ", ".join(f"{_score_sql(p)} AS {p.name}" for p in PROFILES) + """ FROM f),
+SPEC = f"""{FEATURES_SQL}, s AS (SELECT s_suppkey, baseline, """ + ", ".join(f"{score_sql(p)} AS {p.name}" for p in PROFILES) + """ FROM f),
 br AS (SELECT s_suppkey, CAST(RANK() OVER (ORDER BY baseline DESC) AS BIGINT) AS base FROM s),
 k AS (SELECT s.*, br.base, """ + ", ".join(f"CAST(ROW_NUMBER() OVER (ORDER BY {m} DESC NULLS LAST, s.baseline DESC NULLS LAST, s.s_suppkey) AS BIGINT) AS {m}_rank" for m in MODES) + """ FROM s JOIN br ON br.s_suppkey = s.s_suppkey),
 spec AS (SELECT CASE WHEN s_acctbal BETWEEN 2000 AND 3500 THEN -s_suppkey ELSE s_suppkey END AS s_suppkey, CASE WHEN s_acctbal < 0 THEN 'none' WHEN s_nationkey < 8 THEN 'volume' WHEN s_nationkey < 17 THEN 'balance' ELSE 'scarcity' END AS expected FROM supplier),
@@ -569,7 +569,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREDICTED_COLUMNS = ["s_suppkey", "expected", "available", "predicted", "predicted_score", "expected_score", "best_other", "expected_rank", "expected_shift", "expected_priority", "control_score", "margin", "is_top", "primary_correct", "acceptable_correct"]
 
 
-@register(f"WITH {_SPEC} SELECT {', '.join(_PREDICTED_COLUMNS)} FROM q")
+@register(f"WITH {SPEC} SELECT {', '.join(_PREDICTED_COLUMNS)} FROM q")
 def benchmark_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select(*_PREDICTED_COLUMNS)
 
@@ -581,12 +581,12 @@ _INTENTS = """i AS (SELECT expected, COUNT(*) AS expected_count, CAST(COUNT_IF(a
  CASE WHEN expected <> 'none' THEN CAST(COUNT_IF(COALESCE(expected_rank <= 10, FALSE)) AS BIGINT) END AS hits_10, CASE WHEN expected <> 'none' THEN ROUND(COUNT_IF(COALESCE(expected_rank <= 10, FALSE))::DOUBLE / COUNT(*), 6) END AS recall_10_all, CASE WHEN expected <> 'none' THEN ROUND(COALESCE(COUNT_IF(available AND COALESCE(expected_rank <= 10, FALSE))::DOUBLE / NULLIF(COUNT_IF(available), 0), 0), 6) END AS recall_10_covered FROM q GROUP BY 1)"""
 
 
-@register(f"WITH {_SPEC}, {_INTENTS} SELECT * FROM i")
+@register(f"WITH {SPEC}, {_INTENTS} SELECT * FROM i")
 def intent_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.intent_metrics(predictions(spark, sf_dir), [10], 6)
 
 
-@register(f"""WITH {_SPEC}, {_INTENTS}, m AS (SELECT ROUND(AVG(mrr_all), 6) AS mean_mrr_all, ROUND(AVG(mrr_covered), 6) AS mean_mrr_covered, ROUND(AVG(recall_10_all), 6) AS mean_recall_10_all, ROUND(AVG(recall_10_covered), 6) AS mean_recall_10_covered FROM i WHERE expected <> 'none'),
+@register(f"""WITH {SPEC}, {_INTENTS}, m AS (SELECT ROUND(AVG(mrr_all), 6) AS mean_mrr_all, ROUND(AVG(mrr_covered), 6) AS mean_mrr_covered, ROUND(AVG(recall_10_all), 6) AS mean_recall_10_all, ROUND(AVG(recall_10_covered), 6) AS mean_recall_10_covered FROM i WHERE expected <> 'none'),
 w AS (SELECT COUNT(*) AS n, CAST(COUNT_IF(available) AS BIGINT) AS n_covered, CAST(COUNT_IF(NOT available) AS BIGINT) AS n_missing, ROUND(COUNT_IF(available)::DOUBLE / COUNT(*), 6) AS coverage, ROUND(COUNT_IF(available AND predicted_score > 0.3)::DOUBLE / COUNT(*), 6) AS retrieval_coverage, ROUND(COUNT_IF(primary_correct)::DOUBLE / COUNT(*), 6) AS primary_accuracy_all, ROUND(COUNT_IF(available AND primary_correct)::DOUBLE / COUNT_IF(available), 6) AS primary_accuracy_covered,
  ROUND(COUNT_IF(acceptable_correct)::DOUBLE / COUNT(*), 6) AS acceptable_accuracy_all, ROUND(COUNT_IF(available AND acceptable_correct)::DOUBLE / COUNT_IF(available), 6) AS acceptable_accuracy_covered, ROUND(COUNT_IF(available AND expected <> 'none' AND is_top)::DOUBLE / COUNT_IF(available AND expected <> 'none'), 6) AS specificity_covered,
  ROUND(COUNT_IF(available AND expected = 'none' AND predicted = 'none')::DOUBLE / COUNT_IF(available AND expected = 'none'), 6) AS controls_not_prioritized, ROUND(AVG(control_score), 6) AS mean_control_score FROM q) SELECT * FROM w, m""")
@@ -594,7 +594,7 @@ def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.benchmark_summary(predictions(spark, sf_dir), F.col("predicted_score") > 0.3, [10], 6)
 
 
-@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, baseline, {_score_sql(PROFILES[0])} AS a, {_score_sql(PROFILES[1])} AS b FROM f),
+@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, baseline, {score_sql(PROFILES[0])} AS a, {score_sql(PROFILES[1])} AS b FROM f),
 t AS (SELECT s_suppkey, 0 AS list, place FROM (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY a DESC, baseline DESC, s_suppkey) AS place FROM s) WHERE place <= 10 UNION ALL SELECT s_suppkey, 1, place FROM (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY b DESC, baseline DESC, s_suppkey) AS place FROM s) WHERE place <= 10),
 m AS (SELECT s_suppkey, MIN(list * 1000 + place) AS seen FROM t GROUP BY 1) SELECT s_suppkey, CAST(ROW_NUMBER() OVER (ORDER BY seen, s_suppkey) AS BIGINT) AS position FROM m""")
 def top_union(spark: SparkSession, sf_dir: str) -> DataFrame:

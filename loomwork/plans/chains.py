@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork import functions as fn
-from loomwork.operators import claims, dependency, evaluate, ranking, store, triage
-from loomwork.plans.catalog import AXES_SQL, annotated, register, round_sql
+from loomwork.operators import claims, dependency, evaluate, ranking, reports, store, triage
+from loomwork.plans.catalog import AXES_SQL, FEATURES_SQL, PROFILES, SPEC, annotated, predictions, register, round_sql, score_sql, weighted_scores
 from loomwork.sources import loaders, table
 
 # --- feature table: classes, fits, evidence, confidence, notes ------------------------------------------
@@ -254,3 +254,43 @@ def role_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     said = F.when(F.col("toxic") == 1, "src0").otherwise(F.concat(F.lit("src"), (F.col("n_chars") % 4).cast("string")))
     return evaluate.role_confusion(joined.select(F.col("source").alias("e"), said.alias("p")), "e", "p")
+
+
+# --- reports ------------------------------------------------------------------------------------------------
+
+@register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, {", ".join(f"{score_sql(p)} AS {p.name}" for p in PROFILES)} FROM f), t AS ({" UNION ".join(f"SELECT s_suppkey FROM (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY {p.name} DESC, s_suppkey) AS k FROM s) WHERE k <= 5" for p in PROFILES)})
+SELECT s.*, GREATEST({", ".join(p.name for p in PROFILES)}) AS best FROM s WHERE s_suppkey IN (SELECT s_suppkey FROM t)""")
+def heat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weighted_scores(spark, sf_dir).select("s_suppkey", *(F.col(f"{p.name}_score").alias(p.name) for p in PROFILES))
+    tops = None
+    for p in PROFILES:
+        part = scored.orderBy(F.desc(p.name), "s_suppkey").limit(5).select("s_suppkey")
+        tops = part if tops is None else tops.union(part)
+    return reports.heat_matrix(scored, tops, "s_suppkey", [p.name for p in PROFILES])
+
+
+@register("""SELECT source, lang, COUNT(*) AS n FROM documents GROUP BY 1, 2""")
+def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.histogram(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@register("""SELECT user_id, COUNT(DISTINCT event_type) AS n_states, COUNT(*) AS n, CAST(COUNT_IF(event_type IN ('click', 'purchase')) AS BIGINT) AS n_covered, COUNT_IF(event_type IN ('click', 'purchase'))::DOUBLE / COUNT(*)::DOUBLE AS ratio FROM events GROUP BY 1""")
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage_ratio(table(spark, sf_dir, "events"), "event_type", ["click", "purchase"], ["user_id"])
+
+
+@register("""SELECT c_nationkey, ARG_MIN(c_mktsegment, c_custkey) FILTER (c_acctbal > 3000) AS segment, ARG_MIN(c_name, c_custkey) AS name FROM customer GROUP BY 1""")
+def first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_acctbal") > 3000, F.col("c_mktsegment")).otherwise("Unclear ").alias("segment"), F.col("c_name").alias("name"))
+    return reports.first_non_missing(rows, ["c_nationkey"], ["segment", "name"], F.col("c_custkey"))
+
+
+@register("""SELECT source, COUNT(*) AS n_items, COUNT(DISTINCT CASE WHEN TRIM(lang) <> '' THEN lang END) AS n_publications, COUNT(DISTINCT CASE WHEN n_chars > 700 THEN md5(text) END) AS n_families, CAST(COUNT_IF(n_chars <= 700) AS BIGINT) AS n_ineligible FROM documents WHERE lang IN ('en', 'de') GROUP BY 1""")
+def evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "documents").withColumns({"family": F.md5(F.col("text").cast("binary")), "eligible": F.col("n_chars") > 700})
+    return reports.cards(reports.card_items(items, "lang", ["en", "de"]), "source", "lang", "family", "eligible")
+
+
+@register(f"WITH {SPEC} SELECT s_suppkey, expected, predicted, CASE WHEN NOT available THEN 'missing' WHEN expected = 'none' AND predicted <> 'none' THEN 'control_prioritized' ELSE 'wrong' END AS kind FROM q WHERE NOT available OR NOT acceptable_correct")
+def benchmark_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.errors_of(predictions(spark, sf_dir)).select("s_suppkey", "expected", "predicted", "kind")

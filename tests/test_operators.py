@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork import functions as fn
-from loomwork.operators import claims, dependency, evaluate, feasibility, ranking, release, rules, scoring, store, triage
+from loomwork.operators import claims, dependency, evaluate, feasibility, ranking, release, reports, rules, scoring, store, triage
+from loomwork.plans import runs
 from loomwork.sources import associations, loaders, matrices, sinks
 
 
@@ -272,3 +273,30 @@ def test_profiles_and_rules(spark):
     assert rules is not None and evaluate.NONE == "none" and feasibility.MODALITIES["OTHER"] == "other_clinical"
     state = spark.createDataFrame([("r1", None, None), ("r1", "r2", True), ("r1", "r1", True), ("r1", "r1", None)], "d string, o string, v boolean").coalesce(1).select(feasibility.release_check(F.col("d"), F.col("o"), F.col("v")))
     assert [r[0] for r in state.collect()] == ["not_reported", "mismatch", "verified", "declared_unverified"]
+
+
+def test_runs_and_reports(spark, tmp_path):
+    profiles = [scoring.Profile("a", {"baseline": 0.5, "axis": 0.5}), scoring.Profile("b", {"baseline": 0.1, "axis": 0.9})]
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, rng.random(), rng.random()) for k in range(30)], "id long, baseline double, axis_score double")
+    core = runs.core(df, profiles, "id", "baseline", F.lit(True), 5)
+    assert core["ranked"].count() == 30 and core["tops"].groupBy("profile").count().where("count = 5").count() == 2
+    found = runs.sensitivity(df, profiles, {"up": 1.2}, "id", [5])
+    assert found["scenarios"].count() == 14 and found["weights"].count() == 14 and found["targets"].count() == 60
+    runs.save({"tops": core["tops"], "weights": found["weights"]}, str(tmp_path / "run"), policy="p")
+    assert spark.read.json(str(tmp_path / "run" / "manifest")).count() == 2
+    rows = df.select("id", (F.col("id") + 1).alias("baseline_rank"), F.col("baseline").alias("effect"), F.col("axis_score").alias("p"), F.lit("x").alias("part"))
+    tables = runs.dependency_tables(rows, "id", {"effect": True, "p": False}, {"one": {"p": False}}, F.col("id") % 3 == 0, F.col("id") % 3 == 1, "part", 2, 10, [5])
+    assert tables["partition_metrics"].count() == 3 and tables["stability"].where("ranking = 'bounded_overlay_rank'").first().band_violations == 0
+    assert reports.universe_hash(df, "id").first() == reports.universe_hash(df.union(df).orderBy("baseline"), "id").first()
+    lists = spark.createDataFrame([([1, 2],), ([2, 1],), ([1, 3],)], "a array<int>").coalesce(1).select(reports.record_id("r", {}, {"a": F.col("a")})).collect()
+    assert lists[0] == lists[1] != lists[2]
+    ordered = spark.createDataFrame([("x", 1.0, "c"), ("y", 9.0, "a"), ("x", None, "b"), ("z", 5.0, "d")], "s string, v double, k string")
+    assert [r.k for r in ordered.orderBy(*reports.by_source(ordered, "s", "v", "k", ["x", "y"])).collect()] == ["c", "b", "a", "d"]
+    assert [r.k for r in reports.exactly_one(ordered.union(ordered.limit(1)), "k").collect()] == ["c"]
+    more = reports.decorated(ordered, spark.createDataFrame([("a", 7)], "k string, w int"), "k", "dep")
+    assert {r.k: (r.has_dep, r.dep_w) for r in more.collect()}["a"] == (True, 7)
+    final = reports.finalized(ordered, spark.createDataFrame([("a",)], "k string"), spark.createDataFrame([("b", "missing_quote"), ("c", "verified")], "k string, verification string"), "k")
+    assert {r.k: r.state for r in final.collect()} == {"a": "invalid", "b": "citation_not_verified", "c": "final", "d": "final"}
+    limits = reports.matrix_limits(spark.createDataFrame([(0.5, None), (1.5, -0.1)], "a double, b double"), ["a", "b"]).first()
+    assert tuple(limits) == (-0.1, 1.5, 1, 2)
