@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomwork import functions as fn
 from loomwork.operators import claims, dependency, evaluate, feasibility, ranking, release, reports, rules, scoring, store, triage
 from loomwork.plans import runs
-from loomwork.sources import associations, loaders, matrices, sinks
+from loomwork.sources import associations, ingest, loaders, matrices, sinks
 
 
 def test_round_exactly(spark):
@@ -300,3 +300,22 @@ def test_runs_and_reports(spark, tmp_path):
     assert {r.k: r.state for r in final.collect()} == {"a": "invalid", "b": "citation_not_verified", "c": "final", "d": "final"}
     limits = reports.matrix_limits(spark.createDataFrame([(0.5, None), (1.5, -0.1)], "a double, b double"), ["a", "b"]).first()
     assert tuple(limits) == (-0.1, 1.5, 1, 2)
+
+
+def test_ingestion(spark, tmp_path):
+    root = tmp_path / "release"
+    root.mkdir()
+    texts = {"effect.csv": "ModelID,AAA (1),BBB (2),odd label\nm1,0.1,,1\nm2,x,0.3,1\n", "probability.csv": "ModelID,AAA (1),CCC (3)\nm1,0.9,0.8\nm3,0.7,\n", "models.csv": "ModelID,lineage\nm1,skin\nm3,lung\nm9,skin\n"}
+    for name, text in texts.items():
+        (root / name).write_text(text)
+    manifest = spark.createDataFrame([(n, len(t), hashlib.sha256(t.encode()).hexdigest()) for n, t in texts.items()], "name string, length long, sha256 string")
+    found = ingest.ingest(spark, str(root), manifest, "effect.csv", "probability.csv", "models.csv", "ModelID", ["aaa", "3", "none", "AAA"])
+    assert {r.state for r in found["files"].collect()} == {"verified"}
+    assert {(r["where"], r.issue) for r in found["issues"].collect()} == {("m2", "not_numeric")}
+    assert tuple(found["coverage"].first()) == (1, 1, 1, 1, 1)
+    assert {r.request: (r.label, r.state) for r in found["targets"].collect()} == {"aaa": ("AAA (1)", "resolved"), "3": ("CCC (3)", "resolved"), "none": (None, "unresolved"), "AAA": ("AAA (1)", "duplicate")}
+    assert found["effect_subset"].columns == ["ModelID", "AAA (1)"] and found["probability_subset"].columns == ["ModelID", "AAA (1)", "CCC (3)"]
+    ingest.save({k: v for k, v in found.items() if k in ("files", "models", "targets")}, str(tmp_path / "out"), release="r")
+    (root / "effect.csv").write_text("changed")
+    with pytest.raises(ValueError):
+        ingest.save({"files": matrices.release_state(matrices.file_digests(spark, str(root)), manifest)}, str(tmp_path / "no"))
