@@ -114,11 +114,26 @@ def _in_groups(texts: list[bytes | None], limit: int = 1 << 17):
         yield first, lists
 
 
-def _quarters(docs: DataFrame, width: int) -> DataFrame:
+#: Repeated quarter windows (longs) that go to all tasks, so that others needn't leave theirs; beyond it, a join does it.
+KEYS = 1 << 20
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _quarters(docs: DataFrame, width: int, known: np.ndarray | None = None) -> DataFrame:
+    """Selected quarter windows of all documents; with ``known`` (sorted keys) those alone."""
+    shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+
     def work(batch: pa.RecordBatch) -> dict:
         parts: list[dict] = []
         for first, lists in _in_groups(byte_rows(batch.column("t"))):
             found = select(lists, width)
+            if shared is not None and len(found["row"]):
+                keep = _among(found["key"], shared.value)
+                found = {k: v[keep] for k, v in found.items()}
             if len(found["row"]):
                 found["row"] = found["row"] + first
                 parts.append(found)
@@ -182,7 +197,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     quarters = _quarters(base, width)
     quarter = stored(_repeated(quarters.select("key", "d"), "key").select("key"), "quarter")
-    alive = stored(quarters.join(quarter, "key"), "alive")
+    if quarter.count() <= KEYS:
+        alive = stored(_quarters(base, width, np.sort(quarter.toArrow().column("key").to_numpy())), "alive")
+    else:
+        alive = stored(quarters.join(quarter, "key"), "alive")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h")))).alias("x")
     halves = alive.select("key", "d", "tk", "pos", "far", "near", sides).where("x.h is not null").select("key", "d", "tk", "pos", "far", "near", "x.side", "x.h")
     again = stored(_repeated(halves, "key", "side", "h").select("key", "side", "h"), "half")

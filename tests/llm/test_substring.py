@@ -65,6 +65,16 @@ def test_edges(spark):
     assert (out[2].d, out[2].tk) == (8, None)
 
 
+def test_many_repeated_keys_are_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    shared = [[f"s{rng.randint(0, 30)}" for _ in range(70)] for _ in range(6)]
+    rows = [(d, " ".join([f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 60))] + rng.choice(shared) + [f"w{rng.randint(0, 400)}" for _ in range(20)])) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    few = result(substring.substring_dedup(docs))
+    monkeypatch.setattr(substring, "KEYS", 0)
+    assert result(substring.substring_dedup(docs)) == few == brute(rows, 50)
+
+
 def test_cut_words():
     import numpy as np
 
