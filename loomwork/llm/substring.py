@@ -201,8 +201,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         alive = stored(_quarters(base, width, np.sort(quarter.toArrow().column("key").to_numpy())), "alive")
     else:
         alive = stored(quarters.join(quarter, "key"), "alive")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h")))).alias("x")
-    halves = alive.select("key", "d", "tk", "pos", "far", "near", sides).where("x.h is not null").select("key", "d", "tk", "pos", "far", "near", "x.side", "x.h")
+    columns = ("key", "d", "tk", "pos", "far", "near")
+    side = lambda n, c: alive.where(F.col(c).isNotNull()).select(*columns, F.lit(n).alias("side"), F.col(c).alias("h"))
+    halves = side(0, "left").unionByName(side(1, "right"))
     again = stored(_repeated(halves, "key", "side", "h").select("key", "side", "h"), "half")
     found = stored(halves.join(again, ["key", "side", "h"]).groupBy("d", "tk").agg(F.collect_set(F.struct("pos", "far", "near", "side")).alias("found")), "found")
     release(alive, again, quarter)
