@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomwork.session import cut_lineage, ensure_checkpoint_dir
 from loomwork.sources import table
@@ -79,12 +80,12 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | d
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the checkpoint folder and read again: smaller than a checkpoint."""
+def stored(df: DataFrame, name: str, schema: StructType | str | None = None) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again, by ``schema`` if there is one: smaller than a checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(schema or df.schema).parquet(path)
     _PATHS[out] = path
     return out
 

@@ -33,3 +33,38 @@ t AS (SELECT doc_id, COUNT(*) AS n_items, STRING_AGG(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(COALESCE(n_words, 0) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, len(t)::HUGEINT AS n FROM doc WHERE len(t) > 0),
+totals AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS terms FROM sized),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+tf AS (SELECT doc_id, t, count(*)::HUGEINT AS tf FROM (SELECT doc_id, unnest(t) AS t FROM doc) WHERE t IN (SELECT t FROM item) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::HUGEINT AS w FROM (SELECT t, count(*)::HUGEINT AS df FROM tf GROUP BY t), totals),
+part AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS s FROM tf JOIN weight USING (t) JOIN sized USING (doc_id), totals),
+score AS (SELECT item_id, doc_id, sum(s) AS score FROM part JOIN item USING (t) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 10
+"""
+
+DIVERGENCE = f"""
+WITH doc AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+word AS (SELECT i, lang, source, unnest(t) AS t FROM doc),
+kept AS (SELECT lang, t FROM word GROUP BY lang, t HAVING count(DISTINCT i) >= 30),
+terms AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, t, count(*)::HUGEINT AS c FROM word JOIN kept USING (lang, t) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+total AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM grp LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, t, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p
+      FROM total JOIN terms USING (lang) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, t)),
+q AS (SELECT lang, t, 1 + (1000000000 * (c + 5)) // (n + 5 * v) AS q
+      FROM (SELECT lang, t, sum(c)::HUGEINT AS c FROM counts GROUP BY ALL) JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM total GROUP BY ALL) USING (lang) JOIN terms USING (lang)),
+differ AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+         FROM grp AS a JOIN grp AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN differ AS d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary") AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, hmm, language, media, oracles, packing, quality, simhash, substring, toxicity, warc
+from loomwork.llm import decontaminate, divergence, embeddings, hmm, language, media, oracles, packing, quality, search, simhash, substring, toxicity, warc
 from loomwork.llm.common import remainder, small_batches, table
 
 
@@ -65,6 +65,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(run)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +88,11 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: _query(run)
-    for run in (op1_simhash, op2_quality, op3_substring, op4_toxicity, op5_decontaminate, op6_media, op7_packing, op8_warc, op9_language, op10_hmm)
+    for run in (op1_simhash, op2_quality, op3_substring, op4_toxicity, op5_decontaminate, op6_media, op7_packing, op8_warc, op9_language, op10_hmm, op11_embeddings, op12_search, op13_divergence)
 }
 ORACLES: dict[str, str] = {
     "op3_substring": oracles.SUBSTRING,
     "op5_decontaminate": oracles.DECONTAMINATE,
+    "op12_search": oracles.SEARCH,
+    "op13_divergence": oracles.DIVERGENCE,
 }
