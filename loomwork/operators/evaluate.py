@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import LOW
 from loomwork.operators.ranking import placed, totals_before
+from loomwork.session import cut_lineage
 
 MISSING, NONE = "__missing_prediction__", "none"
 #: Columns of a mode.
@@ -44,28 +45,54 @@ def classification_metrics(df: DataFrame, expected: str, predicted: str) -> Data
 
 
 def ranking_metrics(df: DataFrame, rank: str, positive: Column, by: Sequence[str], ks: Sequence[int], negative: Column | None = None) -> DataFrame:
-    """Of each group: recall and precision at k, average precision, reciprocal of the best rank, median and
-    normalised median rank of the positives, and, with ``negative``, the share of the negatives outside the first k."""
-    marked = df.select(*by, F.col(rank).alias("__rank"), F.coalesce(positive, F.lit(False)).cast("long").alias("__pos"), F.coalesce(negative if negative is not None else F.lit(False), F.lit(False)).cast("long").alias("__neg"))
-    rows = placed(marked, [F.col("__rank")], by, "__row")
+    """Of each group of eligible rows: recall and precision at k, average precision, reciprocal of the best rank, median
+    and normalised median rank of the positives, coverage, the positives and negatives among the first k, and the
+    share of the negatives outside them.
+
+    Eligible are positives and negatives, or all rows without ``negative``. A row without a rank takes no place, but counts
+    among the positives or negatives that recall, average precision and exclusion are measured by.
+    """
+    pos, neg = F.coalesce(positive, F.lit(False)), F.coalesce(negative if negative is not None else F.lit(False), F.lit(False))
+    eligible = df if negative is None else df.where(pos | neg)
+    marked = cut_lineage(eligible.select(*by, F.col(rank).alias("__rank"), pos.cast("long").alias("__pos"), neg.cast("long").alias("__neg")))
+    totals = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count("__rank").alias("n_ranked"), F.sum("__pos").alias("n_positive"), F.sum("__neg").alias("n_negative"), F.sum(F.when(F.col("__rank").isNotNull(), F.col("__pos"))).alias("__found"))
+    rows = placed(marked.where("__rank is not null"), [F.col("__rank")], by, "__row")
     run = totals_before(rows, [F.col("__row")], "__pos", by, "__earlier").withColumn("__hits", F.col("__earlier") + F.col("__pos"))
-    total = run.groupBy(*by).agg(F.sum("__pos").alias("__all")).withColumnsRenamed({c: f"__{c}" for c in by})
+    known = totals.withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & run[c].eqNullSafe(known[f"__{c}"])
+    hit, row = F.col("__pos") == 1, F.col("__row")
+    middle = lambda k: F.max(F.when(hit & (F.col("__hits") == k), F.col("__rank")))
+    sums = [
+        F.sum(F.when(hit, F.round(F.col("__hits") / row.cast("double"), 12).cast("decimal(30,12)"))).cast("double").alias("__terms"),  # a decimal sum doesn't depend on partitions
+        F.min(F.when(hit, F.col("__rank"))).alias("__best"),
+        ((middle(F.floor((F.col("__found") + 1) / 2)) + middle(F.ceil((F.col("__found") + 1) / 2))) / F.lit(2.0)).alias("median_rank"),
+    ]
+    for k in ks:
+        sums += [F.sum(F.when(row <= k, F.col(c)).otherwise(0)).alias(f"{word}_{k}") for word, c in (("positive", "__pos"), ("negative", "__neg"))]
+    found = run.join(known, same).groupBy(*by).agg(*sums).withColumnsRenamed({c: f"__{c}" for c in by})
     same = F.lit(True)
     for c in by:
-        same = same & run[c].eqNullSafe(total[f"__{c}"])
-    full = run.join(total, same)
-    hits, n, pos = F.sum("__pos").cast("double"), F.count(F.lit(1)), F.col("__pos") == 1
-    terms = F.sum(F.when(pos, F.round(F.col("__hits") / F.col("__row").cast("double"), 12).cast("decimal(30,12)"))).cast("double")  # a decimal sum doesn't depend on partitions
-    middle = lambda k: F.max(F.when(pos & (F.col("__hits") == k), F.col("__row")))
-    median = (middle(F.floor((F.col("__all") + 1) / 2)) + middle(F.ceil((F.col("__all") + 1) / 2))) / F.lit(2.0)
-    out = [n.alias("n"), F.sum("__pos").alias("n_positive"), F.try_divide(terms, hits).alias("average_precision"), F.try_divide(F.lit(1.0), F.min(F.when(pos, F.col("__row"))).cast("double")).alias("reciprocal_rank"), median.alias("median_rank"), (median / n).alias("normalized_median_rank")]
+        same = same & totals[c].eqNullSafe(found[f"__{c}"])
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    out = [F.col(c) for c in ("n", "n_ranked", "n_positive", *(["n_negative"] if negative is not None else []))]
+    out += [
+        ratio(F.col("n_ranked"), F.col("n")).alias("coverage"), ratio(F.coalesce("__terms", F.lit(0.0)), F.col("n_positive")).alias("average_precision"),
+        ratio(F.lit(1.0), F.col("__best")).alias("reciprocal_rank"), F.col("median_rank"), ratio(F.col("median_rank"), F.col("n_ranked")).alias("normalized_median_rank"),
+    ]
     for k in ks:
-        top = F.sum(F.when(F.col("__row") <= k, F.col("__pos")).otherwise(0)).cast("double")
-        out += [F.try_divide(top, hits).alias(f"recall_{k}"), F.try_divide(top, F.least(F.lit(k), n).cast("double")).alias(f"precision_{k}")]
+        top, bad = (F.coalesce(f"{word}_{k}", F.lit(0)) for word in ("positive", "negative"))
+        out += [top.alias(f"positive_{k}"), ratio(top, F.col("n_positive")).alias(f"recall_{k}"), ratio(top, F.least(F.lit(k), F.col("n_ranked"))).alias(f"precision_{k}")]
         if negative is not None:
-            outside = F.sum(F.when(F.col("__row") > k, F.col("__neg")).otherwise(0)).cast("double")
-            out.append(F.try_divide(outside, F.sum("__neg").cast("double")).alias(f"excluded_{k}"))
-    return full.groupBy(*by).agg(*out)
+            out += [bad.alias(f"negative_{k}"), ratio(F.col("n_negative") - bad, F.col("n_negative")).alias(f"excluded_{k}")]
+    joined = totals.join(found, same, "left") if by else totals.join(F.broadcast(found), how="left")
+    return joined.select(*by, *out)
+
+
+def with_combined(df: DataFrame, partition: str, combined: str = "combined") -> DataFrame:
+    """Every row once in its partition and once in that of all rows."""
+    return df.withColumn(partition, F.explode(F.array(F.col(partition).cast("string"), F.lit(combined))))
 
 
 def log_factorial(n: Column) -> Column:
@@ -195,9 +222,7 @@ def deltas(df: DataFrame, metrics: Sequence[str], baseline: str = "baseline_{}",
     return df.withColumns({delta.format(m): F.col(scenario.format(m)) - F.col(baseline.format(m)) for m in metrics})
 
 
-def aggregate_scenarios(df: DataFrame, by: Sequence[str], scenario: str, ks: Sequence[int], changes: Sequence[str] = (), digits: int = 4) -> DataFrame:
-    """Stability of groups of scenarios: counts, least and mean correlation, the first scenario with the least, the
-    largest rank changes and absolute deltas, least and mean overlaps of the first k."""
+def _scenario_aggregates(scenario: str, ks: Sequence[int], changes: Sequence[str], digits: int) -> list[Column]:
     out = {
         "n_scenarios": F.count(F.lit(1)), "min_spearman": F.min("spearman"), "mean_spearman": F.avg("spearman"), "worst_scenario": F.min_by(scenario, F.struct("spearman", scenario)),
         "max_mean_change": F.max("mean_change"), "max_change": F.max("max_change"),
@@ -205,7 +230,20 @@ def aggregate_scenarios(df: DataFrame, by: Sequence[str], scenario: str, ks: Seq
     for k in ks:
         out |= {f"min_jaccard_{k}": F.min(f"jaccard_{k}"), f"mean_jaccard_{k}": F.avg(f"jaccard_{k}"), f"min_retention_{k}": F.min(f"retention_{k}")}
     exact = {"n_scenarios", "worst_scenario", "max_change"}
-    return df.groupBy(*by).agg(*((c if name in exact else F.round(c, digits)).alias(name) for name, c in out.items()))
+    return [(c if name in exact else F.round(c, digits)).alias(name) for name, c in out.items()]
+
+
+def aggregate_scenarios(df: DataFrame, by: Sequence[str], scenario: str, ks: Sequence[int], changes: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """Stability of groups of scenarios: counts, least and mean correlation, the first scenario with the least, the
+    largest rank changes and absolute deltas, least and mean overlaps of the first k."""
+    return df.groupBy(*by).agg(*_scenario_aggregates(scenario, ks, changes, digits))
+
+
+def aggregate_levels(df: DataFrame, outer: str, inner: str, scenario: str, ks: Sequence[int], changes: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """``aggregate_scenarios`` by (outer, inner) and by outer alone in one grouping-sets pass; ``level`` names the finer key
+    of a row, and the inner key of the outer level is null."""
+    found = df.groupingSets([[outer, inner], [outer]], outer, inner).agg(F.grouping(inner).alias("__whole"), *_scenario_aggregates(scenario, ks, changes, digits))
+    return found.withColumn("level", F.when(F.col("__whole") == 1, outer).otherwise(inner)).drop("__whole")
 
 
 def scenario_accuracy(scores: DataFrame, expected: DataFrame, modes: Sequence[str], key: str, base: str) -> DataFrame:

@@ -86,12 +86,16 @@ def contrast(df: DataFrame, by: Sequence[str], inside: Column, value: str, least
     return both.withColumns({"difference": F.when(enough, F.col("median_in") - F.col("median_out")), "mean_difference": F.when(enough, F.col("mean_in") - F.col("mean_out"))})
 
 
-def position(df: DataFrame, group: str, value: str, least: int = 1, by: Sequence[str] = ()) -> DataFrame:
-    """Of each group with enough values: 100 * (groups with a smaller median + half the ties) / (groups - 1)."""
+def position(df: DataFrame, group: str, value: str, least: int = 1, by: Sequence[str] = (), least_groups: int = 1) -> DataFrame:
+    """Of each group with enough values: 100 * (groups with a larger median + half the ties) / (groups - 1).
+
+    100 is the most negative median. With fewer than ``least_groups`` such groups there is no position.
+    """
     sizes = df.groupBy(*by, group).agg(F.count(value).alias("n")).where(F.col("n") >= least)
     medians = _beside(sizes, quantiles(df, [*by, group], value, {"median": 0.5}), [*by, group])
     w = Window.partitionBy(*by)  # a row for each group
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "median"))
-    smaller = F.rank().over(w.orderBy(F.col("median"))) - 1
+    larger = F.rank().over(w.orderBy(F.col("median").desc())) - 1
     groups = F.count(F.lit(1)).over(w)
-    return medians.withColumn("position", F.lit(100.0) * (smaller + (ties - 1) / F.lit(2.0)) / F.greatest(F.lit(1), groups - 1))
+    place = F.lit(100.0) * (larger + (ties - 1) / F.lit(2.0)) / F.greatest(F.lit(1), groups - 1)
+    return medians.withColumn("position", F.when(groups >= least_groups, place))

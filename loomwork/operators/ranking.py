@@ -119,6 +119,11 @@ def midrank_percentile(df: DataFrame, value: str, name: str = "percentile", by:
 def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
     """A row for each group: exact linear quantiles of the values there are, picked by rank from counts of values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    return quantiles_of_counts(counts, by, shares)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """``quantiles`` of values ``__v`` that each occur ``__n`` times."""
     ranks = totals_before(counts, [F.asc("__v")], "__n", by)
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__all")).withColumnsRenamed({c: f"__{c}" for c in by})
     same = F.lit(True)

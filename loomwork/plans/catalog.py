@@ -367,11 +367,11 @@ def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""WITH r AS (SELECT d.lang, l.quality = 0 AS pos, ROW_NUMBER() OVER (PARTITION BY d.lang ORDER BY d.n_chars, d.doc_id) AS k FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 h AS (SELECT *, SUM(CASE WHEN pos THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY k) AS hits FROM r)
-SELECT lang, COUNT(*) AS n, CAST(COUNT_IF(pos) AS BIGINT) AS n_positive, ROUND(SUM(CAST(ROUND(hits::DOUBLE / k::DOUBLE, 12) AS DECIMAL(30,12))) FILTER (pos)::DOUBLE / COUNT_IF(pos)::DOUBLE, 9) AS average_precision, 1.0::DOUBLE / MIN(k) FILTER (pos) AS reciprocal_rank, MEDIAN(k) FILTER (pos) AS median_rank, MEDIAN(k) FILTER (pos) / COUNT(*)::DOUBLE AS normalized_median_rank,
+SELECT lang, COUNT(*) AS n, COUNT(*) AS n_ranked, CAST(COUNT_IF(pos) AS BIGINT) AS n_positive, CAST(COUNT_IF(NOT pos) AS BIGINT) AS n_negative, 1.0::DOUBLE AS coverage, CAST(COUNT_IF(pos AND k <= 10) AS BIGINT) AS positive_10, CAST(COUNT_IF(NOT pos AND k <= 10) AS BIGINT) AS negative_10, ROUND(SUM(CAST(ROUND(hits::DOUBLE / k::DOUBLE, 12) AS DECIMAL(30,12))) FILTER (pos)::DOUBLE / COUNT_IF(pos)::DOUBLE, 9) AS average_precision, 1.0::DOUBLE / MIN(k) FILTER (pos) AS reciprocal_rank, MEDIAN(k) FILTER (pos) AS median_rank, MEDIAN(k) FILTER (pos) / COUNT(*)::DOUBLE AS normalized_median_rank,
  COUNT_IF(pos AND k <= 10)::DOUBLE / COUNT_IF(pos)::DOUBLE AS recall_10, COUNT_IF(pos AND k <= 10)::DOUBLE / LEAST(10, COUNT(*))::DOUBLE AS precision_10, COUNT_IF(NOT pos AND k > 10)::DOUBLE / COUNT_IF(NOT pos)::DOUBLE AS excluded_10 FROM h GROUP BY 1""")
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    order = joined.withColumn("rank", F.struct("n_chars", "doc_id"))
+    order = ranking.placed(joined.select("lang", "n_chars", "doc_id", "quality"), [F.col("n_chars"), F.col("doc_id")], ["lang"], "rank")
     found = evaluate.ranking_metrics(order, "rank", F.col("quality") == 0, ["lang"], [10], F.col("quality") == 1)
     return found.withColumn("average_precision", F.round("average_precision", 9))
 
@@ -404,7 +404,7 @@ def context_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH m AS (SELECT c_nationkey, MEDIAN(c_acctbal) AS median, COUNT(c_acctbal) AS n FROM customer GROUP BY 1 HAVING COUNT(c_acctbal) >= 2)
-SELECT *, 100.0::DOUBLE * (RANK() OVER (ORDER BY median) - 1 + (COUNT(*) OVER (PARTITION BY median) - 1) / 2.0::DOUBLE) / GREATEST(1, COUNT(*) OVER () - 1) AS position FROM m""")
+SELECT *, 100.0::DOUBLE * (RANK() OVER (ORDER BY median DESC) - 1 + (COUNT(*) OVER (PARTITION BY median) - 1) / 2.0::DOUBLE) / GREATEST(1, COUNT(*) OVER () - 1) AS position FROM m""")
 def lineage_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.position(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 2)
 

@@ -49,7 +49,7 @@ def dependency_tables(rows: DataFrame, key: str, components: Mapping[str, bool],
     ranked = dependency.candidate_rankings(rows, key, components, minimum, band)
     metrics = stable = None
     for name in ("baseline_rank", "dependency_only_rank", "bounded_overlay_rank"):
-        part = evaluate.ranking_metrics(ranked.where((positive | negative) & F.col(name).isNotNull()), name, positive, [partition], ks, negative).withColumn("ranking", F.lit(name))
+        part = evaluate.ranking_metrics(evaluate.with_combined(ranked, partition), name, positive, [partition], ks, negative).withColumn("ranking", F.lit(name))
         metrics = part if metrics is None else metrics.unionByName(part)
         if name != "baseline_rank":
             own = ranking.membership_changes(ranked, [], "baseline_rank", name, ks[0], band).withColumn("ranking", F.lit(name))

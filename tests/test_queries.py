@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomwork.plans import catalog, chains
+from loomwork.plans import catalog, chains, targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def database():
     return con
 
 
-assert chains  # registers its queries
+assert chains and targets  # register their queries
 
 
 def plain(rows, columns):
