@@ -8,21 +8,25 @@ from sums by group.
 
 from __future__ import annotations
 
-import string
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import release, small, stored
+from loomwork.llm.common import byte_rows, map_arrow, release, small, stored
 
-#: Terms: letters and all that isn't ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Byte table that lower-cases A-Z and turns all ASCII characters but letters into spaces: what is left between them are the terms.
+FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Between a lang and a term; no term holds it.
 MARK = "\x00"
 #: Terms of one fit: its vocabulary goes through the driver and to every task. More are fitted in blocks dealt by their hash.
 BLOCK_TERMS = 1 << 20
+#: One part in so many of all terms is counted to tell how many blocks there must be.
+SHARE = 16
 #: As many terms as a fit can hold.
 MOST_TERMS = (1 << 31) - 1
 #: What a probability is multiplied by, and what is added to a count.
@@ -33,22 +37,36 @@ _VECTOR = "lang string, source string, features struct<type: tinyint, size: int,
 
 def tagged_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, terms) of every document; each term follows its lang. Nulls are empty texts."""
-    text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
-    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    terms = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
-    rows = docs.select(lang.alias("lang"), source.alias("source"), terms.alias("terms"))
-    return rows.withColumn("terms", F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(MARK), t)))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        lists = [text.translate(FOLD).split() for text in byte_rows(batch.column("t"))]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        terms = pa.array(list(chain.from_iterable(lists)), pa.binary()).cast(pa.string())
+        langs = batch.column("lang").take(pa.array(np.repeat(np.arange(len(lists)), sizes)))
+        tagged = pc.binary_join_element_wise(langs, terms, MARK)
+        return {"lang": batch.column("lang"), "source": batch.column("source"), "terms": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), tagged)}
+
+    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "t"))))
+    return map_arrow(rows, work, "lang string, source string, terms array<string>")
+
+
+def blocks_for(rows: DataFrame, least_docs: int, block_terms: int) -> int:
+    """Blocks that hold ``block_terms`` kept terms each, about; from the count of those in a part of all hashes that occur often enough."""
+    every = F.explode("terms").alias("t")
+    some = rows.select(every).where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(SHARE)) == 0).groupBy("t").count()
+    return max(1, -(-SHARE * some.where(F.col("count") >= least_docs).count() // block_terms))
 
 
 def group_counts(rows: DataFrame, least_docs: int = 30, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, id, count) of the kept terms that a group holds, and their (id, term)."""
     spark = rows.sparkSession
-    held = rows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().where(F.col("count") >= least_docs).count()
-    blocks = -(-held // block_terms)
+    blocks = blocks_for(rows, least_docs, block_terms)
     counts = names = None
     for block in range(blocks):
-        own = rows if blocks == 1 else rows.withColumn("terms", F.filter("terms", lambda t, b=block: F.pmod(F.xxhash64(t), F.lit(blocks)) == b))
+        own = rows if blocks == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(blocks)) == block))  # noqa: B023
         model = CountVectorizer(inputCol="terms", outputCol="features", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(own)
+        if not model.vocabulary:
+            continue
         vectors = stored(model.transform(own).select("lang", "source", "features"), "vectors", _VECTOR)
         each = vectors.select("lang", "source", F.explode(F.arrays_zip("features.indices", "features.values")).alias("x"))
         number = F.shiftleft(F.lit(block).cast("long"), 32) + F.col("x.indices")
