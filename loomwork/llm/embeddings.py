@@ -36,7 +36,8 @@ SKETCH, DEVIATIONS = 256, 4.5
 #: Bits of a bucket's code, of its table and of the vectors' dimension.
 CODE_BITS, TABLE_BITS, DIM_BITS = 40, 8, 15
 
-_HOME, _MEMBER = 1, 2
+#: What a row is in a cell, and whether the bucket is its home.
+_HOME, _MEMBER, _AT_HOME = 1, 2, 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ class Scheme:
     def sketches(self, x: np.ndarray) -> np.ndarray:
         """(row, word): sign bits of further rotations."""
         turns = [rotate(x, -1 - k & 0xFFFF) > 0 for k in range(-(-SKETCH // x.shape[1]))]
-        return np.packbits(np.concatenate(turns, axis=1)[:, :SKETCH], axis=1).view(np.int64)
+        return np.packbits(np.concatenate(turns, axis=1)[:, :SKETCH], axis=1).view(np.uint64)
 
     def sketch_bits(self) -> int:
         """Bits that the sketches of linked vectors differ in at most, but for ``DEVIATIONS`` deviations."""
@@ -179,7 +180,7 @@ def _spread(distinct: DataFrame, scheme: Scheme, sketched: bool) -> DataFrame:
                         words = scheme.sketches(x)
                         home = np.broadcast_to(np.arange(bucket.shape[2]) == 0, bucket.shape)
                         out |= {"k": pa.array(np.repeat(key[rows], copies)), "home": pa.array(home.ravel())}
-                        out |= {n: pa.array(np.repeat(words[:, i], copies)) for i, n in enumerate(_WORDS)}
+                        out |= {n: pa.array(np.repeat(np.ascontiguousarray(words[:, i]).view(np.int64), copies)) for i, n in enumerate(_WORDS)}
                     yield pa.RecordBatch.from_pydict(out)
 
     more = "".join(f", {n} long" for n in ("k", *_WORDS)).replace("k long", "k long, home boolean") if sketched else ""
@@ -188,15 +189,16 @@ def _spread(distinct: DataFrame, scheme: Scheme, sketched: bool) -> DataFrame:
 
 def _tiled(spread: DataFrame, hot: DataFrame | None, tile: int) -> DataFrame:
     """Cells (bucket, i, j) of part i of a bucket's homes and part j of its members: each home meets each member in one."""
-    home = F.when(F.col("home"), _HOME | _MEMBER).otherwise(_MEMBER)
+    member = F.when(F.col("home"), _MEMBER | _AT_HOME).otherwise(_MEMBER)
+    home = F.when(F.col("home"), _HOME | _MEMBER | _AT_HOME).otherwise(_MEMBER)
     if hot is None:
         return spread.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), home.alias("role"), "k", *_WORDS)
     parts = F.ceil(F.coalesce(F.col("members"), F.lit(1)) / tile).cast("int")
     placed = spread.join(hot, "bucket", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts").cast("long")).cast("int"))
     cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
     own, each = F.col("own"), F.sequence(F.lit(0), F.col("parts") - 1)
-    as_member = F.transform(each, lambda p: cell(p, own, F.when(p == own, home).otherwise(_MEMBER)))
-    as_home = F.transform(F.filter(each, lambda p: F.col("home") & (p != own)), lambda p: cell(own, p, F.lit(_HOME)))
+    as_member = F.transform(each, lambda p: cell(p, own, F.when(p == own, home).otherwise(member)))
+    as_home = F.transform(F.filter(each, lambda p: F.col("home") & (p != own)), lambda p: cell(own, p, F.lit(_HOME | _AT_HOME)))
     return placed.withColumn("cell", F.explode(F.concat(as_member, as_home))).select("bucket", "cell.i", "cell.j", "cell.role", "k", *_WORDS)
 
 
@@ -249,7 +251,7 @@ def _near(cells: DataFrame, scheme: Scheme) -> DataFrame:
 
     def work(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
         column = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
-        key, words = column("k"), [column(n) for n in _WORDS]
+        key, words = column("k"), [column(n).view(np.uint64) for n in _WORDS]
         found = np.zeros(batch.num_rows, bool)
         for left, right in _pairs(starts, column("role"), PAIRS):
             apart = np.bitwise_count(words[0][left] ^ words[0][right]).astype(np.uint16)
@@ -280,7 +282,7 @@ def _verified(near: DataFrame, scheme: Scheme) -> DataFrame:
         table = bucket >> CODE_BITS & (1 << TABLE_BITS) - 1
         for left, right in _pairs(starts, role, max(1, PAIR_BYTES // (8 * max(x.shape[1] for x in units.values())))):
             # two homes of one bucket meet twice
-            once = (dims[left] == dims[right]) & (key[left] != key[right]) & (((role[left] & role[right] & _HOME) == 0) | (key[left] < key[right]))
+            once = (dims[left] == dims[right]) & (key[left] != key[right]) & (((role[right] & _AT_HOME) == 0) | (key[left] < key[right]))
             left, right = left[once], right[once]
             for dim, x in units.items():
                 own = dims[left] == dim
