@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import byte_rows, map_arrow, release, small, stored
+from loomwork.llm.common import arrow_map, byte_rows, map_arrow, release, small, stored
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BITS = 32  # low bits of an ordering key that hold a position
@@ -114,7 +114,7 @@ def _in_groups(texts: list[bytes | None], limit: int = 1 << 17):
         yield first, lists
 
 
-#: Repeated quarter windows (longs) that go to all tasks, so that others needn't leave theirs; beyond it, a join does it.
+#: Repeated quarter windows, and half windows (longs), that go to all tasks, so that others needn't leave theirs; beyond it, a join does it.
 KEYS = 1 << 20
 
 
@@ -147,6 +147,78 @@ def _quarters(docs: DataFrame, width: int, known: np.ndarray | None = None) -> D
     return map_arrow(docs, work, "d long, tk long, pos int, far short, near short, key long, left long, right long")
 
 
+def _both(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row, side, key, h) of the half windows to the left (0) and right (1) of quarter windows."""
+    rows, sides, values = [], [], []
+    for side, name in enumerate(("left", "right")):
+        column = batch.column(name)
+        row = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        rows.append(row)
+        sides.append(np.full(len(row), side, np.int32))
+        values.append(column.fill_null(0).to_numpy(zero_copy_only=False)[row])
+    row = np.concatenate(rows)
+    return row, np.concatenate(sides), batch.column("key").to_numpy(zero_copy_only=False)[row], np.concatenate(values)
+
+
+#: Quarter windows whose halves a task folds at once.
+FOLD = 1 << 17
+
+
+def _folded_halves(alive: DataFrame) -> DataFrame:
+    """Half windows (key, side, h) with the least and the largest document that has them, folded within tasks."""
+
+    def fold(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.concat_batches(held)
+        row, side, key, h = _both(batch)
+        order = np.lexsort((h, side, key))
+        side, key, h, d = side[order], key[order], h[order], batch.column("d").to_numpy(zero_copy_only=False)[row][order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]) | (h[1:] != h[:-1])]) if len(key) else np.empty(0, np.int64)
+        low, high = (f.reduceat(d, first) if len(d) else d for f in (np.minimum, np.maximum))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key[first]), "side": pa.array(side[first]), "h": pa.array(h[first]), "low": pa.array(low), "high": pa.array(high)})
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FOLD:
+                yield fold(held)
+                held, n = [], 0
+        if n:
+            yield fold(held)
+
+    return arrow_map(alive.select("d", "key", "left", "right"), run, "key long, side int, h long, low long, high long")
+
+
+def _one_hash(key: np.ndarray, side: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One long for a half window; two that share it cost a comparison of full windows, no more."""
+    return _mix(key.view(np.uint64) ^ _mix(h.view(np.uint64) + side.astype(np.uint64))).view(np.int64)
+
+
+def _found_halves(alive: DataFrame, known: np.ndarray) -> DataFrame:
+    """(d, tk, found): the half windows among the known ones (sorted), once each; one row for a document and batch."""
+    shared = alive.sparkSession.sparkContext.broadcast(known)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        row, side, key, h = _both(batch)
+        keep = _among(_one_hash(key, side, h), shared.value)
+        row, side = row[keep], side[keep]
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        order = np.lexsort((side, column("pos")[row], column("tk")[row], column("d")[row]))
+        row, side = row[order], side[order]
+        own = np.stack([column("d")[row], column("tk")[row], column("pos")[row], side])
+        once = np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)] if len(row) else np.empty(0, bool)  # rows may repeat
+        row, side = row[once], side[once]
+        d, tk = column("d")[row], column("tk")[row]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (tk[1:] != tk[:-1])]) if len(d) else np.empty(0, np.int64)
+        at = pa.array(row)
+        found = pa.StructArray.from_arrays([*(batch.column(c).take(at) for c in ("pos", "far", "near")), pa.array(side)], names=["pos", "far", "near", "side"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(d)], pa.int32()), found)
+        return {"d": pa.array(d[first]), "tk": pa.array(tk[first]), "found": lists}
+
+    return map_arrow(alive, work, "d long, tk long, found array<struct<pos:int,far:short,near:short,side:int>>")
+
+
 def _windows(docs: DataFrame, width: int) -> DataFrame:
     """Full windows around the half windows in ``found``: document, start and a 128-bit hash."""
     quarter, half = levels(width)
@@ -201,11 +273,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         alive = stored(_quarters(base, width, np.sort(quarter.toArrow().column("key").to_numpy())), "alive")
     else:
         alive = stored(quarters.join(quarter, "key"), "alive")
-    columns = ("key", "d", "tk", "pos", "far", "near")
-    side = lambda n, c: alive.where(F.col(c).isNotNull()).select(*columns, F.lit(n).alias("side"), F.col(c).alias("h"))
-    halves = side(0, "left").unionByName(side(1, "right"))
-    again = stored(_repeated(halves, "key", "side", "h").select("key", "side", "h"), "half")
-    found = stored(halves.join(again, ["key", "side", "h"]).groupBy("d", "tk").agg(F.collect_set(F.struct("pos", "far", "near", "side")).alias("found")), "found")
+    halves = _folded_halves(alive).groupBy("key", "side", "h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    again = stored(halves.where("low < high").select("key", "side", "h"), "half")
+    if again.count() <= KEYS:
+        known = again.toArrow()
+        found = _found_halves(alive, np.sort(_one_hash(*(known.column(c).to_numpy() for c in ("key", "side", "h")))))
+        found = found.distinct().groupBy("d", "tk").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    else:
+        columns = ("key", "d", "tk", "pos", "far", "near")
+        side = lambda n, c: alive.where(F.col(c).isNotNull()).select(*columns, F.lit(n).alias("side"), F.col(c).alias("h"))
+        found = side(0, "left").unionByName(side(1, "right")).join(again, ["key", "side", "h"])
+        found = found.groupBy("d", "tk").agg(F.collect_set(F.struct("pos", "far", "near", "side")).alias("found"))
+    found = stored(found, "found")
     release(alive, again, quarter)
     wanted = rows.join(small(found.select("d", "tk")), ["d", "tk"], "left_semi").dropDuplicates(["d", "tk"])
     windows = stored(_windows(wanted.join(found, ["d", "tk"]), width), "windows")
