@@ -276,9 +276,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges a > b that are not the smallest of their component.
 
     Alternating star contraction: every node hands its larger neighbours to its smallest one, then its
-    smaller neighbours, until nothing moves. Each round is cut off in the checkpoint folder.
+    smaller neighbours, until nothing moves. Each round is written, and the one before it deleted.
     """
-    now = cut_lineage(edges.select("a", "b").distinct())
+    now = stored(edges.select("a", "b").distinct(), "edges")
     before = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -286,7 +286,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(moved.union(low.select("a", F.col("m").alias("b"))).distinct())
+        last, now = now, stored(moved.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -369,7 +370,7 @@ def _majority(fp: str, n: str) -> Column:
     return bits[0]
 
 
-def _apart(members: DataFrame, found: DataFrame, centres: int, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+def _apart(members: DataFrame, found: DataFrame, centres: int, width: int, least_similar: float) -> tuple[DataFrame, DataFrame]:
     """One round over groups (k, c, d, n, fp, m1, m2) with the texts ``found`` (k, t): the documents
     (d, m1, m2) that go, and the groups that are left with two texts or more."""
     major = stored(members.groupBy("c").agg(_majority("fp", "n").alias("major")), "majority")
@@ -378,7 +379,7 @@ def _apart(members: DataFrame, found: DataFrame, centres: int, width: int, least
     first = stored(members.join(major, "c").groupBy("c", part.alias("part")).agg(F.min(order).alias("at")).select("c", "at", F.col("at.k").alias("rep")), "centres")
     pairs = stored(members.join(first.select("c", "rep"), "c").where("k <> rep").select("k", "rep"), "pairs")
     with_text = pairs.join(found, "k").join(found.select(F.col("k").alias("rep"), F.col("t").alias("rt")), "rep")
-    alike = stored(_alike(with_text, width, least), "alike")
+    alike = stored(_alike(with_text, width, least_similar), "alike")
     # a centre like one before it in the order isn't one
     ranks = first.select("rep", "at")
     like = alike.join(ranks, "rep").join(first.select(F.col("rep").alias("k"), F.col("at").alias("own")), "k").where("own > at").select(F.col("k").alias("rep")).distinct()
@@ -386,11 +387,18 @@ def _apart(members: DataFrame, found: DataFrame, centres: int, width: int, least
     taken = alike.join(valid, "rep").groupBy("k").agg(F.min("at").alias("at")).select("k", F.col("at.k").alias("rep"))
     taken = stored(taken.union(valid.select(F.col("rep").alias("k"), "rep")), "taken")
     classes = stored(taken.join(members, "k").select("k", "rep", "d", "m1", "m2"), "classes")
-    stays = stored(classes.groupBy("rep").agg(F.min(F.struct("d", "k")).alias("stays")), "stays")
-    gone = stored(classes.join(stays, "rep").where("k <> stays.k").select("d", "m1", "m2"), "near")
+    # the smallest id of a class stays, unless a text outside the class is like it; then the centre does
+    least = classes.groupBy("rep").agg(F.min(F.struct("d", "k")).alias("least")).select("rep", F.col("least.k").alias("least"))
+    least = stored(least.where("rep <> least").join(members.select(F.col("k").alias("rep"), "c"), "rep"), "least")
+    outside = members.select("k", "c").join(taken.withColumnRenamed("rep", "own"), "k", "left").join(least, "c").where("own is null or own <> rep")
+    outside = stored(outside.select("k", F.col("least").alias("rep")), "outside")
+    texts_outside = outside.join(found, "k").join(found.select(F.col("k").alias("rep"), F.col("t").alias("rt")), "rep")
+    unlike = least.join(_alike(texts_outside, width, least_similar).select(F.col("rep").alias("least")).distinct(), "least", "left_anti")
+    stays = stored(valid.select("rep").join(unlike, "rep", "left").select("rep", F.coalesce("least", "rep").alias("stays")), "stays")
+    gone = stored(classes.join(stays, "rep").where("k <> stays").select("d", "m1", "m2"), "near")
     rest = stored(members.join(taken.select("k"), "k", "left_anti"), "rest")
     left = stored(rest.join(rest.groupBy("c").count().where("count > 1").select("c"), "c").select(*members.columns), "left")
-    release(major, first, pairs, alike, valid, taken, classes, stays, rest)
+    release(major, first, pairs, alike, valid, taken, classes, least, outside, stays, rest)
     return gone, left
 
 
@@ -410,7 +418,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document is an id with a text. Of equal texts the smallest id stays. Groups of the texts left come from
     several fingerprints that together differ in no more bits than texts of similarity ``least`` do (``bits_apart``). A
     group's centre is the text whose fingerprint is nearest to the majority of the group's bits; the texts at least ``least``
-    similar to it in shingles are one class with it, and the smallest id of the class stays. What is unlike the
+    similar to it in shingles are one class with it, and the smallest id of the class stays, or the centre if a text
+    outside the class is like that of the smallest id: no two texts of a group stay that are alike. What is unlike the
     centre is drawn into groups anew, by the more fingerprints of the next of ``levels``; after the last, it is a group of its
     own, until none has two texts, with twice as many centres from round to round, up to ``CENTRES``. Different texts under one id are documents of their own; of rows with
     equal id and text the least stays, in the order of their JSON. Null and empty texts are equal texts. Rows with a null id stay. An

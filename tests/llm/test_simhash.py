@@ -179,3 +179,30 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(shared).collect()) == sorted([(1, long), (2, other), (2, third), (4, "a b")])
     twice = spark.createDataFrame([(4, "a b", "z"), (4, "a b", "y"), (4, "a b", None)], "doc_id long, text string, d string")
     assert [r.d for r in simhash.one_of_each(twice).collect()] == ["y"]
+
+
+def test_no_kept_pair_is_alike(spark):
+    """A is like C, variants of C and B, but B isn't like C; and mixed groups at random."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 20000)}"
+
+    def changed(words, at):
+        return [word() if k in at else w for k, w in enumerate(words)]
+
+    a = [word() for _ in range(300)]
+    b, c = changed(a, range(270, 300)), changed(a, range(30))
+    texts = [a, c, *(changed(c, {100 + k}) for k in range(4)), b]
+    for _ in range(12):
+        chain = [[word() for _ in range(300)]]
+        for _ in range(6):
+            at = rng.randint(0, 270)
+            chain.append(changed(rng.choice(chain), range(at, at + 20)))
+        texts += chain
+    sets = [simhash.shingle_set(" ".join(t).encode(), 5) for t in texts]
+    assert simhash.similarity(sets[0], sets[1]) >= 0.8 and simhash.similarity(sets[0], sets[6]) >= 0.8 > simhash.similarity(sets[1], sets[6])
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    linked = [(i, j) for j in range(len(texts)) for i in range(j) if simhash.similarity(sets[i], sets[j]) >= 0.8]
+    left = [(i, j) for i, j in linked if i in kept and j in kept]
+    assert not [p for p in left if p[1] < 7] and len(left) <= 0.1 * len(linked)
+    assert {d for d in range(len(texts)) if not any(d in p for p in linked)} <= set(kept)
