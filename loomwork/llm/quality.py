@@ -66,10 +66,11 @@ def weigh(texts: list[bytes | None], ratio: np.ndarray) -> tuple[np.ndarray, np.
     counts, sums = [], []
     for a, b in _groups(texts):
         n, found = buckets(texts[a:b])
-        total = np.r_[0.0, np.cumsum(ratio[found])]
-        ends = np.cumsum(n)
+        total = np.zeros(len(n))
+        if len(found):  # each text's sum is its own, whatever texts are beside it
+            total[n > 0] = np.add.reduceat(ratio[found], (np.cumsum(n) - n)[n > 0])
         counts.append(n)
-        sums.append(total[ends] - total[ends - n])
+        sums.append(total)
     return (np.concatenate(counts), np.concatenate(sums)) if counts else (np.empty(0, np.int64), np.empty(0))
 
 
@@ -164,11 +165,11 @@ def top_cut(keys: DataFrame, k: int, few: int = 20_000, bins: int = 1024) -> flo
     while True:
         inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
         width = (high - low) / bins
-        if n <= few or width <= 0 or low + width == low:
-            values = np.sort([r.key for r in inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("key")).limit(few).selectExpr("explode(array_repeat(key, int(n))) as key").collect()])[::-1]
-            mine = values[k - above - 1]
-            rest = values[values < mine]
-            return float((mine + rest[0]) / 2) if len(rest) else float(mine)
+        if n <= few or width <= 0 or low + width == low:  # equal keys are counted, not repeated
+            rows = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("key")).limit(few).collect()
+            values = np.array([r.key for r in rows])
+            at = int(np.searchsorted(np.cumsum([r.n for r in rows]), k - above))
+            return float((values[at] + values[at + 1]) / 2) if at + 1 < len(values) else float(values[at])
         rows = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
         for r in sorted(rows, key=lambda r: -r.bin):
             if above + r.n >= k:

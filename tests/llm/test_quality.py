@@ -54,3 +54,25 @@ def test_edges(spark):
     kept = quality.selected_rows(docs, none)
     assert kept.columns == docs.columns and kept.count() == 3
     assert quality.resample(docs.where(F.lit(False)), none).count() == 0
+
+
+def test_equal_rows_weigh_the_same_in_any_batch(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 400))).encode() for _ in range(300)] + [None, b""]
+    texts += texts[:20] * 3
+    ratio = rng.normal(size=quality.BUCKETS)
+    _, together = quality.weigh(texts, ratio)
+    assert together.tolist() == [quality.weigh([t], ratio)[1][0] for t in texts]
+    docs = spark.createDataFrame([(k % 40, (t or b"").decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = []
+    for size in ("1048576b", "65536b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        found.append(sorted(map(tuple, quality.keyed(docs, quality.Model(ratio, 0.0)).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert found[0] == found[1]
+
+
+def test_ties_at_the_cut_are_counted(spark):
+    keys = spark.range(50_000).selectExpr("if(id < 20000, 2.0D, if(id < 49990, 1.0D, 0.0D)) as key")
+    assert 0.0 < quality.top_cut(keys, 30_000, few=100, bins=8) <= 1.0
+    assert 1.0 < quality.top_cut(keys, 20_000, few=10) <= 2.0
