@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwork.functions import nested
+
 #: What counts as uninformative, as a generic identifier, and as true.
 UNINFORMATIVE = ("", "nan", "none", "null", "unclear", "unmapped", "not assessed")
 GENERIC_IDS = ("", "unknown", "none", "null", "missing", "n/a", "na", "unspecified", "unavailable", "not_applicable", "not available")
@@ -216,12 +218,8 @@ def allowed_entries(c: Column, keys: Sequence[str]) -> Column:
 
 
 def json_type(text: Column) -> Column:
-    """null, boolean, number, string, array or object: the type of a JSON value."""
-    first = F.substring(F.trim(text), 1, 1)
-    return (
-        F.when(text.isNull() | (F.trim(text) == "null"), "null").when(F.trim(text).isin("true", "false"), "boolean")
-        .when(first == '"', "string").when(first == "[", "array").when(first == "{", "object").otherwise("number")
-    )
+    """null, boolean, number, string, array or object: the type of a JSON value; null if the text isn't one, or is null."""
+    return F.coalesce(nested.type_of(nested.parsed(text)), F.lit("null"))
 
 
 def gene_id(c: Column) -> Column:
