@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import canonical_json, content_id, first_usable
@@ -24,22 +24,22 @@ def exact_duplicates(df: DataFrame, digest: str, key: str) -> DataFrame:
     return joined.select(*df.columns, "first_key", "n_same", F.coalesce(F.col(key) > F.col("first_key"), F.lit(False)).alias("is_duplicate"))
 
 
-def classify_append(incoming: DataFrame, store: DataFrame, key: str, digest: str, body: str) -> DataFrame:
+def classify_append(incoming: DataFrame, store: DataFrame, key: str, digest: str, body: str, keys: DataFrame | None = None) -> DataFrame:
     """What an append of each incoming row is, in the order of key, digest and body: ``new``, ``duplicate`` (same
     digest and body), ``collision`` (same digest, another body) or ``rejected_mutation`` (same key, another digest).
-    Rows of one batch are held against each other as they are against the store."""
+    Rows of one batch are held against each other as they are against the store. ``keys`` (key, digest) serves where the
+    store's rows were looked up by digest alone."""
     by_digest = store.groupBy(F.col(digest).alias("__d")).agg(F.min(body).alias("__body"))
-    by_key = store.groupBy(F.col(key).alias("__k")).agg(F.min(digest).alias("__digest"))
+    by_key = (store if keys is None else keys).groupBy(F.col(key).alias("__k")).agg(F.min(digest).alias("__digest"))
     # the first row of a digest or a key in the batch speaks for it, as if it were stored; groups are folded before they meet
-    order = F.struct(F.col(key).alias("k"), F.col(digest).alias("g"), F.col(body).alias("b"))
-    first_digest = incoming.groupBy(F.col(digest).alias("__bd")).agg(F.min(order).alias("__one"))
-    first_key = incoming.groupBy(F.col(key).alias("__bk")).agg(F.min(order).alias("__two"))
-    joined = incoming.join(by_digest, F.col(digest) == F.col("__d"), "left").join(by_key, F.col(key) == F.col("__k"), "left")
+    rows = cut_lineage(incoming.withColumn("__row", F.monotonically_increasing_id()))
+    order = F.struct(F.col(key).alias("k"), F.col(digest).alias("g"), F.col(body).alias("b"), "__row")
+    first_digest = rows.groupBy(F.col(digest).alias("__bd")).agg(F.min(order).alias("__one"))
+    first_key = rows.groupBy(F.col(key).alias("__bk")).agg(F.min(order).alias("__two"))
+    joined = rows.join(by_digest, F.col(digest) == F.col("__d"), "left").join(by_key, F.col(key) == F.col("__k"), "left")
     joined = joined.join(first_digest, F.col(digest) == F.col("__bd"), "left").join(first_key, F.col(key) == F.col("__bk"), "left")
     known = F.coalesce(F.col("__body"), F.col("__one.b"))
-    mine = F.struct(F.col(key).alias("k"), F.col(digest).alias("g"), F.col(body).alias("b"))
-    turn = F.row_number().over(Window.partitionBy(key, digest, body).orderBy(F.lit(1)))
-    first = F.col("__d").isNull() & (F.coalesce(F.col("__one") == mine, F.lit(False))) & (turn == 1)
+    first = F.col("__d").isNull() & F.coalesce(F.col("__one.__row") == F.col("__row"), F.lit(False))
     held = F.coalesce(F.col("__digest"), F.col("__two.g"))
     outcome = (
         F.when(~known.eqNullSafe(F.col(body)) & F.col(digest).isNotNull(), "collision")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import canonical_unordered, is_missing, safe_str
+from loomwork.operators.merkle import identity
 
 #: States of evidence that a card shows, and that an audit shows.
 CARD_STATES = ("citation_verified", "manually_curated")
@@ -79,10 +80,9 @@ def exactly_one(df: DataFrame, key: str) -> DataFrame:
 
 
 def universe_hash(df: DataFrame, key: str) -> DataFrame:
-    """One row: how many distinct members a universe has, and a digest of them that no order changes."""
-    members = df.select(safe_str(F.col(key)).alias("m")).where("m <> ''").distinct()
-    part = F.conv(F.substring(F.sha2("m", 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return members.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.coalesce(F.sum(part), F.lit(0)).cast("string"), 256).alias("universe_id"))
+    """One row: how many distinct members a universe has, and the root of a tree over them, which no order changes."""
+    members = df.select(safe_str(F.col(key)).alias("m")).where("m <> ''").distinct().withColumn("d", F.sha2("m", 256))
+    return identity(members, "m", "d").select(F.col("n_rows").alias("n"), F.col("hash").alias("universe_id"))
 
 
 def record_id(prefix: str, fields: Mapping[str, Column], lists: Mapping[str, Column]) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import GENERIC_IDS, safe_str, strip
+from loomwork.operators.merkle import identity, issues, stable_identity
 from loomwork.operators.ranking import placed
 
 #: States of a retrieval attempt.
@@ -154,11 +155,19 @@ def selector(rules: Mapping[str, object], ids: Sequence[str] | None = None, key:
 
 def snapshot(items: DataFrame, chosen: Column, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
     """(references, manifest): ids and digests of the chosen records in order of id, and one row with their number and an
-    identity. The identity is the digest of a sum over positions and digests, so that no list of all records is built."""
-    rows = placed(items.where(chosen).select(key, digest), [F.col(key), F.col(digest)], (), "position")
-    part = F.conv(F.substring(F.sha2(F.concat_ws("|", "position", key, digest), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    total = rows.agg(F.count(F.lit(1)).alias("n_items"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("__sum"))
-    return rows, total.select("n_items", F.sha2(F.concat_ws("|", F.col("n_items").cast("string"), "__sum"), 256).alias("snapshot_id"))
+    identity: the root of a tree of digests over ids and digests, so that no list of all records is built."""
+    own = items.where(chosen).select(key, digest)
+    rows = placed(own, [F.col(key), F.col(digest)], (), "position")
+    return rows, identity(own, key, digest).select(F.col("n_rows").alias("n_items"), F.col("hash").alias("snapshot_id"))
+
+
+def reviewed_snapshot(read: Callable[[], DataFrame], chosen: Column, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
+    """``snapshot`` of what ``read`` gives: its records are validated, and it is read a second time and compared; what is wrong is an error."""
+    if wrong := issues(read().where(chosen), key, digest).take(5):
+        raise ValueError(f"records that can't be listed: {[tuple(r) for r in wrong]}")
+    manifest = stable_identity(lambda: read().where(chosen), key, digest)
+    rows, _ = snapshot(read(), chosen, key, digest)
+    return rows, manifest.select(F.col("n_rows").alias("n_items"), F.col("hash").alias("snapshot_id"))
 
 
 def persistence_state(requests: DataFrame, store: DataFrame, reviews: DataFrame, key: str, digest: str) -> DataFrame:

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import escape_html, escape_markdown
+from loomwork.operators import merkle
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=separator)
 
 
-def row_digest(df: DataFrame) -> Column:
-    return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+def table_tree(df: DataFrame, depth: int | None = None) -> DataFrame:
+    """The tree of digests over all rows and columns of a table (``merkle.tree``)."""
+    marked = df.select(merkle.row_digest(df).alias("digest"))
+    return merkle.tree(marked, "digest", "digest", depth)
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """(n_rows, digest): an order-free digest of the rows, a sum of their hashes."""
-    low = F.conv(F.substring(row_digest(df), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(low), F.lit(0)).cast("string").alias("digest"))
+    """(n_rows, digest): the root of a table's tree, which no order or partitioning changes."""
+    return merkle.root(table_tree(df)).select("n_rows", F.col("hash").alias("digest"))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

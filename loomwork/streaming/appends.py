@@ -5,32 +5,21 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StringType, StructField, StructType
 
-from loomwork.operators.evidence import classify_append
+from loomwork.sources.store import RecordStore
 
 
-def append_new(stream: DataFrame, store: str, key: str, checkpoint: str, digest: str, body: str) -> DataStreamWriter:
-    """Appends the rows that are new to the store, a Parquet folder; the audit of the others goes to ``<store>_audit``.
+def append_new(stream: DataFrame, store: str, key: str, checkpoint: str, digest: str, body: str, version: str = "1", digits: int = 2) -> DataStreamWriter:
+    """Appends the rows that are new to the ``RecordStore`` at ``store``, which is created if it isn't there; its audit has the others.
 
-    Every batch is held against the whole store by digest and key (``classify_append``). It is written to a folder
-    that names the stream's checkpoint and the batch, and leaves that folder out of the comparison: a repeated batch
-    overwrites itself and nothing else, and a fresh checkpoint over an existing store adds to it.
+    A batch reads the partitions of its own digests and keys alone. It is written under a name made of the stream's checkpoint and
+    the batch: a repeated batch overwrites itself and nothing else, and a fresh checkpoint over an existing store adds to it.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
     def put(batch: DataFrame, number: int) -> None:
-        spark, name = batch.sparkSession, f"{run}-{number}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            have = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", StringType())])).parquet(store).where(F.col("batch") != name)
-        else:
-            have = spark.createDataFrame([], batch.schema)
-        found = classify_append(batch, have.select(key, digest, body), key, digest, body).persist()
-        found.where("outcome = 'new'").drop("outcome").write.mode("overwrite").parquet(f"{store}/batch={name}")
-        found.where("outcome <> 'new'").select(key, digest, "outcome").write.mode("overwrite").parquet(f"{store}_audit/batch={name}")
-        found.unpersist()
+        RecordStore.create(batch.sparkSession, store, fields, key, digest, body, version, digits=digits).append(batch, f"{run}-{number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -287,7 +287,7 @@ def test_runs_and_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "run" / "manifest")).count() == 2
     rows = df.select("id", (F.col("id") + 1).alias("baseline_rank"), F.col("baseline").alias("effect"), F.col("axis_score").alias("p"), F.lit("x").alias("part"))
     tables = runs.dependency_tables(rows, "id", {"effect": True, "p": False}, {"one": {"p": False}}, F.col("id") % 3 == 0, F.col("id") % 3 == 1, "part", 2, 10, [5])
-    assert tables["partition_metrics"].count() == 3 and tables["stability"].where("ranking = 'bounded_overlay_rank'").first().band_violations == 0
+    assert tables["partition_metrics"].count() == 6 and tables["stability"].where("ranking = 'bounded_overlay_rank'").first().band_violations == 0
     assert reports.universe_hash(df, "id").first() == reports.universe_hash(df.union(df).orderBy("baseline"), "id").first()
     lists = spark.createDataFrame([([1, 2],), ([2, 1],), ([1, 3],)], "a array<int>").coalesce(1).select(reports.record_id("r", {}, {"a": F.col("a")})).collect()
     assert lists[0] == lists[1] != lists[2]
