@@ -172,11 +172,3 @@ def synthesis_issues(statements: DataFrame, evidence: DataFrame, lexicon: Lexico
         (said(F.col("text"), lexicon.certain) & F.coalesce(F.col("unsure"), F.lit(False)), "more_certain_than_cited"),
     ]
     return rows.select("statement_id", F.explode(collect_reasons(*rules)).alias("issue"))
-
-
-def promotion(candidates: DataFrame, reviews: DataFrame, key: str = "claim_id") -> DataFrame:
-    """What a reviewed candidate may become; warnings must be answered exactly, none left and none invented."""
-    joined = candidates.join(reviews.select(key, "verdict", "content_hash", "answered").withColumnsRenamed({"content_hash": "__h", "answered": "__a"}), key, "left")
-    left, extra = F.size(F.array_except("findings", "__a")) > 0, F.size(F.array_except("__a", "findings")) > 0
-    status = F.when(F.col("decision") == "block", "blocked").when(F.col("verdict").isNull(), "awaiting_review").when(F.col("__h") != F.col("content_hash"), "content_changed").when(F.col("verdict") != "approve", "rejected").when(left, "warnings_open").when(extra, "warnings_unknown").otherwise("promoted")
-    return joined.withColumn("status", status).drop("__h", "__a")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions import GENERIC_IDS, safe_str, strip
+from loomwork.functions import GENERIC_IDS, strip
 from loomwork.operators.merkle import identity, issues, stable_identity
 from loomwork.operators.ranking import placed
 
@@ -170,23 +170,6 @@ def reviewed_snapshot(read: Callable[[], DataFrame], chosen: Column, key: str, d
     return rows, manifest.select(F.col("n_rows").alias("n_items"), F.col("hash").alias("snapshot_id"))
 
 
-def persistence_state(requests: DataFrame, store: DataFrame, reviews: DataFrame, key: str, digest: str) -> DataFrame:
-    """What becomes of a request to persist promoted evidence. First of: no identity, no review, review of other
-    content, not approved, warnings open, not eligible, dangling parents, known digest of another id, repeated request, known, changed, persisted."""
-    seen = store.groupBy(F.col(key).alias("__k")).agg(F.min(digest).alias("__digest"))
-    other = store.groupBy(F.col(digest).alias("__d")).agg(F.min(key).alias("__key"))
-    decided = reviews.groupBy(F.col(key).alias("__r")).agg(F.max_by(F.struct("verdict", "content_hash", "open_warnings"), "reviewed_at").alias("v"))
-    first = requests.groupBy(F.col(key).alias("__q"), F.col(digest).alias("__h")).agg(F.min("request_id").alias("__first"))
-    joined = requests.join(seen, F.col(key) == F.col("__k"), "left").join(other, F.col(digest) == F.col("__d"), "left").join(decided, F.col(key) == F.col("__r"), "left").join(first, (F.col(key) == F.col("__q")) & (F.col(digest) == F.col("__h")), "left")
-    status = (
-        F.when((safe_str(F.col(key)) == "") | F.col(digest).isNull(), "invalid_identity").when(F.col("v").isNull(), "review_missing").when(~F.col("v.content_hash").eqNullSafe(F.col(digest)), "content_changed")
-        .when(~F.col("v.verdict").eqNullSafe("approve"), "not_approved").when(F.coalesce(F.col("v.open_warnings"), F.lit(0)) > 0, "warnings_open").when(~F.coalesce(F.col("eligible"), F.lit(False)), "not_eligible")
-        .when(F.coalesce(F.col("n_missing_parents"), F.lit(0)) > 0, "parents_missing").when(F.col("__key").isNotNull() & (F.col("__key") != F.col(key)), "duplicate_content")
-        .when(F.col("request_id") != F.col("__first"), "repeated_request").when(F.col("__digest") == F.col(digest), "already_persisted").when(F.col("__k").isNotNull(), "rejected_mutation").otherwise("persisted")
-    )
-    return joined.withColumn("status", status).select(*requests.columns, "status")
-
-
 def schema_issues(df: DataFrame, wanted: str) -> list[tuple[str, str]]:
     """(field, issue): fields that are missing, of another type, or not wanted; ``wanted`` is a DDL schema."""
     want = {f.name: f.dataType.simpleString() for f in df.sparkSession.createDataFrame([], wanted).schema}

@@ -153,11 +153,6 @@ def test_snapshots_and_persistence(spark):
     assert manifest.first() == again != other
     with pytest.raises(ValueError):
         store.selector({"secret": 1}, allowed=["lang"])
-    requests = spark.createDataFrame([("r1", "e1", "h1", True, 0), ("r2", "e1", "h1", True, 0), ("r3", "e2", "h2", True, 0), ("r4", "e3", "h0", True, 0), ("r5", "e4", "h4", False, 0), ("r6", "e5", "h5", True, 1), ("r7", "e6", "hx", True, 0), ("r8", "e7", "h7", True, 0), ("r9", "", "h", True, 0)], "request_id string, id string, h string, eligible boolean, n_missing_parents int")
-    have = spark.createDataFrame([("e2", "h2"), ("e0", "h0"), ("e7", "old")], "id string, h string")
-    reviews = spark.createDataFrame([(e, "approve", h, 0, 1) for e, h in (("e1", "h1"), ("e2", "h2"), ("e3", "h0"), ("e4", "h4"), ("e5", "h5"), ("e6", "h6"), ("e7", "h7"))], "id string, verdict string, content_hash string, open_warnings int, reviewed_at int")
-    got = {r.request_id: r.status for r in store.persistence_state(requests, have, reviews, "id", "h").collect()}
-    assert got == {"r1": "persisted", "r2": "repeated_request", "r3": "already_persisted", "r4": "duplicate_content", "r5": "not_eligible", "r6": "parents_missing", "r7": "content_changed", "r8": "rejected_mutation", "r9": "invalid_identity"}
     families = store.independent_families(spark.createDataFrame([("f1", True), ("f1", True), ("composite:f1+f2", True), ("f2", False)], "family string, eligible boolean"), []).first()
     assert tuple(families) == (4, 3, 1)
 

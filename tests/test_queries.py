@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomwork.plans import catalog, chains, records, stores, targets
+from loomwork.plans import catalog, chains, records, reviews, stores, targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def database():
     return con
 
 
-assert chains and records and stores and targets  # register their queries
+assert chains and records and reviews and stores and targets  # register their queries
 
 
 def plain(rows, columns):
