@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import criterion
 from loomwork.operators.matrix import summarize
-from loomwork.operators.ranking import bounded_overlay, membership_changes, reversed_signal, signal_rank
+from loomwork.operators.ranking import bounded_overlay, membership_changes, midrank_percentile, placed, reversed_signal, signal_rank
+from loomwork.session import cut_lineage
 
 
 def group_summaries(values: DataFrame, target: str, value: str, inside: Column, thresholds: Sequence[float] = ()) -> DataFrame:
@@ -128,16 +129,24 @@ def candidate_rankings(rows: DataFrame, key: str, components: Mapping[str, bool]
 
 
 def ablations(rows: DataFrame, key: str, variants: Mapping[str, Mapping[str, bool]], minimum: int, k: int) -> DataFrame:
-    """A row for each subset of components: eligible rows, and how far its ranking keeps the baseline."""
-    out = None
-    for name, components in variants.items():
-        signed = reversed_signal(rows, key, components, minimum, "dependency_signal")
-        ranked = signal_rank(signed, "dependency_signal", "baseline_rank", key, "ablation_rank")
-        eligible = ranked.agg(F.count_if(F.col("dependency_signal").isNotNull() & F.col("baseline_rank").isNotNull()).alias("eligible"))
-        stable = membership_changes(ranked, [], "baseline_rank", "ablation_rank", k).select("spearman", "jaccard")
-        row = eligible.join(F.broadcast(stable), how="left").select(F.lit(name).alias("ablation"), F.lit("|".join(components)).alias("components"), "eligible", "spearman", "jaccard")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row for each subset of components: eligible rows, and how far its ranking keeps the baseline.
+
+    Components are scored once, all subsets are ranked as groups of one table: their number doesn't change the number of jobs.
+    """
+    sides = {(c, down): f"{'-' if down else '+'}{c}" for components in variants.values() for c, down in components.items()}
+    values = F.array(*(F.struct(F.lit(name).alias("component"), (-F.col(c) if down else F.col(c)).cast("double").alias("value")) for (c, down), name in sides.items()))
+    scored = midrank_percentile(rows.select(key, F.explode(values).alias("x")).select(key, "x.*").where("value is not null"), "value", by=["component"])
+    spark = rows.sparkSession
+    subsets = spark.createDataFrame([(name, sides[c, down]) for name, components in variants.items() for c, down in components.items()], "ablation string, component string")
+    means = scored.join(F.broadcast(subsets), "component").groupBy("ablation", key).agg(F.when(F.count("percentile") >= minimum, F.avg("percentile")).alias("signal"))
+    names = spark.createDataFrame([(name, "|".join(components)) for name, components in variants.items()], "ablation string, components string")
+    based = rows.where(F.col("baseline_rank").isNotNull()).select(key, "baseline_rank", F.explode(F.array(*map(F.lit, variants))).alias("ablation"))
+    signed = cut_lineage(based.join(means, ["ablation", key], "left"))
+    ranked = placed(signed, [F.col("signal").desc_nulls_last(), F.col("baseline_rank"), F.col(key)], ["ablation"], "ablation_rank")
+    stable = membership_changes(ranked, ["ablation"], "baseline_rank", "ablation_rank", k).select("ablation", "spearman", "jaccard")
+    eligible = signed.groupBy("ablation").agg(F.count_if(F.col("signal").isNotNull()).alias("eligible"))
+    joined = names.join(eligible, "ablation", "left").join(stable, "ablation", "left")
+    return joined.select("ablation", "components", F.coalesce("eligible", F.lit(0)).alias("eligible"), "spearman", "jaccard")
 
 
 def gate(criteria: DataFrame, ladder: Sequence[tuple[Sequence[str], str]], passed: str) -> DataFrame:

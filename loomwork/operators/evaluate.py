@@ -272,11 +272,17 @@ def summarize_targets(df: DataFrame, by: Sequence[str], ks: Sequence[int], digit
     return df.groupBy(*by).agg(*((c if name in exact else F.round(c, digits)).alias(name) for name, c in out.items()))
 
 
+#: Labels that go to all tasks; more are joined without a hint.
+MOST_LABELS = 10_000
+
+
 def role_confusion(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     """(expected, predicted, n) over the union of labels on both sides, zeros filled in."""
     pairs = df.groupBy(F.col(expected).alias("expected"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     labels = pairs.select(F.col("expected").alias("label")).union(pairs.select("predicted")).distinct()
-    grid = labels.select(F.col("label").alias("expected")).join(F.broadcast(labels.select(F.col("label").alias("predicted"))))
+    labels = cut_lineage(labels)  # the result has a row for each pair of labels
+    other = labels.select(F.col("label").alias("predicted"))
+    grid = labels.select(F.col("label").alias("expected")).join(F.broadcast(other) if labels.count() <= MOST_LABELS else other)
     return grid.join(pairs, ["expected", "predicted"], "left").select("expected", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -86,6 +86,54 @@ def rootless(edges: DataFrame, child: str = "child", parent: str = "parent") ->
     return nodes.join(lineage_roots(edges, child, parent).select("node"), "node", "left_anti")
 
 
+def cycle_members(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, cycle): the nodes of each cycle (its name is its largest node), apart from what hangs below or leads to it.
+
+    Nodes without parents, or without children, among those left are trimmed in turn, as many rounds as the longest chain. In what is
+    left every node takes the largest name among those it can be reached from; the nodes of a name that also lead to their
+    namesake are one cycle. These go, and the rest is trimmed and named anew.
+    """
+    links = cut_lineage(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct())
+
+    def trimmed(nodes: DataFrame) -> DataFrame:
+        now, n = nodes, nodes.count()
+        while n:
+            inside = links.join(now.select(F.col("node").alias("c")), "c", "left_semi").join(now.select(F.col("node").alias("p")), "p", "left_semi")
+            now = cut_lineage(inside.select(F.col("c").alias("node")).distinct().join(inside.select(F.col("p").alias("node")).distinct(), "node", "left_semi"))
+            if (left := now.count()) == n:
+                break
+            n = left
+        return now
+
+    core = trimmed(links.select(F.col("c").alias("node")).union(links.select("p")).distinct())
+    found = core.select("node", F.col("node").alias("cycle")).limit(0)
+    while not core.isEmpty():
+        inside = links.join(core.select(F.col("node").alias("c")), "c", "left_semi").join(core.select(F.col("node").alias("p")), "p", "left_semi")
+        inside = cut_lineage(inside.select("c", "p"))
+        named = cut_lineage(core.select("node", F.col("node").alias("name")))
+        while True:
+            above = inside.join(named, F.col("p") == F.col("node")).groupBy("c").agg(F.max("name").alias("above"))
+            new = cut_lineage(named.join(above, F.col("node") == F.col("c"), "left").select("node", F.greatest("name", F.coalesce("above", "name")).alias("name"), (F.col("above") > F.col("name")).alias("moved")))
+            still = new.where("moved").isEmpty()
+            named = new.select("node", "name")
+            if still:
+                break
+        own = inside.join(named.withColumnsRenamed({"node": "c", "name": "cn"}), "c").join(named.withColumnsRenamed({"node": "p", "name": "pn"}), "p").where("cn = pn").select("c", "p")
+        own = cut_lineage(own)
+        reached, n = cut_lineage(named.where("node = name")), -1
+        while (now := reached.count()) != n:
+            n = now
+            more = own.join(reached.withColumnRenamed("node", "c"), "c").select(F.col("p").alias("node"), "name")
+            reached = cut_lineage(reached.unionByName(more).distinct())
+        # a single node is a cycle only with a link to itself
+        sizes = reached.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        loops = links.where("c = p").select(F.col("c").alias("name")).withColumn("loop", F.lit(True))
+        real = reached.join(sizes.join(loops, "name", "left").where("n > 1 or loop"), "name", "left_semi").select("node", F.col("name").alias("cycle"))
+        found = cut_lineage(found.unionByName(real))
+        core = trimmed(cut_lineage(core.join(reached.select("node"), "node", "left_anti")))
+    return found
+
+
 def inherited_family(items: DataFrame, edges: DataFrame, key: str, family: str) -> DataFrame:
     """A root's own family; a descendant takes its roots' single family or a sorted composite of several."""
     roots = lineage_roots(edges)

@@ -81,25 +81,41 @@ def coverage(obs: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
     return joined.withColumn("state", coverage_state(n, F.col("n_conflicting"), F.lit(1), F.col("n_unsupported"), F.col("n_retrieval_failed")))
 
 
-def profile_status(requests: DataFrame, resolutions: DataFrame, records: DataFrame, covered: DataFrame) -> DataFrame:
+#: What becomes of a request for a profile.
+PROFILE_STATES = (
+    "built", "built_with_gaps", "invalid_request", "invalid_fetch_result", "source_release_mismatch", "target_unresolved", "target_ambiguous", "target_invalid", "target_retrieval_failed",
+    "target_record_missing", "unsupported_source_shape", "normalization_failed", "invalid_profile",
+)
+
+
+def profile_status(requests: DataFrame, resolutions: DataFrame, records: DataFrame, covered: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
     """Every request with the status of its profile and what decides it.
 
     ``requests``: request_id, target, id_type, source_release. ``resolutions``: target, id_type, status, resolved_id; more than
-    one for a request is as none. ``records``: resolved_id, release, verified, shape_ok. ``covered``: target, state.
+    one for a request is as none. ``records``: resolved_id, release, verified, shape_ok, and, if they are there, normalized and profile_ok.
+    ``covered``: target, state. ``fetches``: target, id_type, fetch_ok, release_state; a fetch that isn't valid, or of another release,
+    is told before its resolutions are looked at.
     """
     key = ["target", "id_type"]
-    one = resolutions.groupBy(*key).agg(F.count(F.lit(1)).alias("n_resolutions"), F.first("status").alias("resolution"), F.first("resolved_id").alias("resolved_id"))
-    found = records.groupBy("resolved_id").agg(F.count(F.lit(1)).alias("n_records"), F.first("release").alias("release"), F.first("verified").alias("verified"), F.first("shape_ok").alias("shape_ok"))
+    one = resolutions.groupBy(*key).agg(F.count(F.lit(1)).alias("n_resolutions"), F.min("status").alias("resolution"), F.min("resolved_id").alias("resolved_id"))
+    flags = {c: F.min(c) if c in records.columns else F.lit(True) for c in ("normalized", "profile_ok")}
+    found = records.groupBy("resolved_id").agg(F.count(F.lit(1)).alias("n_records"), F.min("release").alias("release"), F.min("verified").alias("verified"), F.min("shape_ok").alias("shape_ok"), *(c.alias(n) for n, c in flags.items()))
     gaps = covered.groupBy("target").agg((F.count_if(F.col("state") != "observed") > 0).alias("has_gaps"))
     again = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_requests"))
     joined = requests.join(one, key, "left").join(found, "resolved_id", "left").join(gaps, "target", "left").join(again, "request_id", "left")
+    if fetches is None:
+        joined = joined.withColumns({"fetch_ok": F.lit(True), "release_state": F.lit("verified")})
+    else:
+        joined = joined.join(fetches.groupBy(*key).agg(F.min("fetch_ok").alias("fetch_ok"), F.min(F.when(F.col("release_state") == "mismatch", "a mismatch").otherwise(F.col("release_state"))).alias("release_state")), key, "left")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    lacks = lambda c: ~F.coalesce(F.col(c), F.lit(True))
     status = (
         F.when(blank("request_id") | blank("target") | ~F.col("id_type").isin("gene_symbol", "ensembl_gene_id") | (F.col("n_requests") > 1), "invalid_request")
+        .when(~F.coalesce(F.col("fetch_ok"), F.lit(False)), "invalid_fetch_result").when(F.col("release_state") == "a mismatch", "source_release_mismatch")
         .when(F.coalesce(F.col("n_resolutions"), F.lit(0)) != 1, "invalid_fetch_result").when(F.col("resolution") == "unresolved", "target_unresolved").when(F.col("resolution") == "ambiguous", "target_ambiguous")
         .when(F.col("resolution") == "invalid_identifier", "target_invalid").when(F.col("resolution") == "retrieval_failed", "target_retrieval_failed")
         .when((F.col("id_type") == "ensembl_gene_id") & (F.col("resolved_id") != F.col("target")), "target_invalid").when(F.coalesce(F.col("n_records"), F.lit(0)) != 1, "target_record_missing")
-        .when(~F.col("release").eqNullSafe(F.col("source_release")), "source_release_mismatch").when(~F.coalesce(F.col("shape_ok"), F.lit(True)), "unsupported_source_shape")
+        .when(~F.col("release").eqNullSafe(F.col("source_release")), "source_release_mismatch").when(lacks("shape_ok"), "unsupported_source_shape").when(lacks("normalized"), "normalization_failed").when(lacks("profile_ok"), "invalid_profile")
         .when(~F.coalesce(F.col("verified"), F.lit(False)) | F.coalesce(F.col("has_gaps"), F.lit(True)), "built_with_gaps").otherwise("built")
     )
     return joined.select(*requests.columns, status.alias("status"))

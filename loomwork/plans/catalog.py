@@ -528,10 +528,11 @@ def gate_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("criterion", fn.criterion(F.col("observed"), F.col("op"), F.col("bound")).alias("state"))
 
 
-@register("""SELECT axis, COUNT(*) AS n, MEDIAN(p_retailprice) AS median_price FROM (SELECT UNNEST(LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(p_type, ' '), lambda x: TRIM(x)), lambda x: x <> '')) AS axis, p_retailprice FROM part) GROUP BY 1""")
+@register("""SELECT axis, COUNT(*) AS n, ROUND(MEDIAN(p_retailprice), 6) AS median_price FROM (SELECT UNNEST(LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(p_type, ' '), lambda x: TRIM(x)), lambda x: x <> '')) AS axis, p_retailprice FROM part) GROUP BY 1""")
 def axis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     exploded = table(spark, sf_dir, "part").select(F.explode(fn.pipe_list(F.col("p_type"), " ")).alias("axis"), "p_retailprice")
-    return exploded.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.median("p_retailprice").alias("median_price"))
+    found = matrix.summarize(exploded, ["axis"], "p_retailprice")
+    return found.select("axis", "n", F.round("median", 6).alias("median_price"))
 
 
 # --- benchmark of intents, unions of tops, feasibility, audits ----------------------------------------

@@ -104,8 +104,10 @@ def cached(entries: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def search_attempts(requests: DataFrame, results: DataFrame, key: str = "query") -> DataFrame:
-    """One attempt for every request: not executed, failed with its category, no results, or success with their number."""
-    by = results.groupBy(key).agg(F.first("status_code").alias("code"), F.max("hit_count").alias("hits"))
+    """One attempt for every request: not executed, failed with its category, no results, or success with their number.
+
+    Of several results of a request the largest status code counts, so that a failure isn't hidden by a success."""
+    by = results.groupBy(key).agg(F.max("status_code").alias("code"), F.max("hit_count").alias("hits"))
     joined = requests.join(by, key, "left")
     category = F.when(F.col("code") == 429, "rate_limited").when(F.col("code") >= 500, "server_error").when(F.col("code") >= 400, "client_error").when(F.col("code").isNotNull() & F.col("hits").isNull(), "invalid_response")
     status = F.when(F.col("code").isNull(), "not_executed").when(category.isNotNull(), "failed").when(F.col("hits") == 0, "success_zero_results").otherwise("success")

@@ -21,18 +21,23 @@ def header(spark: SparkSession, path: str, separator: str = ",") -> list[str]:
 
 def read_wide(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """All columns as strings; a blank cell is null. Columns of repeated labels are named ``label``, ``label#2``, ``label#3``, so that
-    none is lost; ``label_index`` marks them."""
-    labels, seen, names = header(spark, path, separator), {}, []
+    none is lost; the label as the file has it stays with the column's metadata, and ``label_index`` marks repeats."""
+    labels, taken, names = header(spark, path, separator), set(), []
+    real = set(labels)
     for label in labels:
-        seen[label] = seen.get(label, 0) + 1
-        names.append(label if seen[label] == 1 else f"{label}#{seen[label]}")
+        name, k = label, 2
+        while name in taken or (name != label and name in real):
+            name, k = f"{label}#{k}", k + 1
+        taken.add(name)
+        names.append(name)
     schema = ", ".join(f"`c{k}` string" for k in range(len(names)))
-    return spark.read.csv(path, sep=separator, header=True, enforceSchema=True, schema=schema, mode="FAILFAST", nullValue="", emptyValue="").toDF(*names)
+    return spark.read.csv(path, sep=separator, header=True, enforceSchema=True, schema=schema, mode="FAILFAST", nullValue="", emptyValue="").select(*(F.col(f"c{k}").alias(name, metadata={"label": label}) for k, (name, label) in enumerate(zip(names, labels, strict=True))))
 
 
 def label_index(df: DataFrame, key: str) -> DataFrame:
     """One row per column label with its parts; identities that occur twice are marked, never merged."""
-    labels = df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(c for c in df.columns if c != key)], "place int, name string").withColumn("label", F.regexp_replace("name", r"#\d+$", ""))
+    fields = [f for f in df.schema if f.name != key]
+    labels = df.sparkSession.createDataFrame([(k, f.name, f.metadata.get("label", f.name)) for k, f in enumerate(fields)], "place int, name string, label string")
     symbol, number, state = parse_label(F.col("label"))
     parsed = labels.select("place", "name", "label", symbol.alias("symbol"), number.alias("number"), state.alias("state")).withColumn("identity", identity(F.col("symbol"), F.col("number")))
     twice = parsed.where("identity is not null").groupBy("identity").count().where("count > 1").select("identity", F.lit(True).alias("twice"))
