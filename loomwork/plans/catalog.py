@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwork import functions as fn
 from loomwork.operators import claims, evaluate, evidence, feasibility, matrix, ontology, ranking, rules, scoring, store, universe
+from loomwork.session import cut_lineage
 from loomwork.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,9 +239,13 @@ j AS (SELECT a.profile, a.scenario, a.s_suppkey, b.rank AS base_rank, b.score AS
 KS = (5, 10, 20)
 
 
-def scenario_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All profiles times weights times factors: rank and score of every supplier beside those of the profile as it is."""
-    scored = scoring.scenario_scores(features(spark, sf_dir), PROFILES, FACTORS, "s_suppkey")
+def scenario_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of all profiles times weights times factors, from features that are read once."""
+    return cut_lineage(scoring.scenario_scores(cut_lineage(features(spark, sf_dir)), PROFILES, FACTORS, "s_suppkey"))
+
+
+def scenario_ranks(scored: DataFrame) -> DataFrame:
+    """Rank and score of every supplier in every scenario beside those of the profile as it is."""
     ranked = ranking.unique_rank(scored, "score", "baseline", "s_suppkey", by=["profile", "scenario"])
     of = Window.partitionBy("profile", "s_suppkey")  # a row for each scenario
     base = lambda c: F.max(F.when(F.col("scenario") == BASE, F.col(c))).over(of)
@@ -249,7 +254,7 @@ def scenario_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {SCENARIO_RANKS} SELECT * FROM j")
 def sensitivity_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario_ranks(spark, sf_dir)
+    return scenario_ranks(scenario_scores(spark, sf_dir))
 
 
 _STABLE = """SELECT profile, scenario, COUNT(*) AS n, (COUNT(*)::DOUBLE * SUM(base_rank * rank)::DOUBLE - SUM(base_rank)::DOUBLE * SUM(rank)::DOUBLE) / NULLIF(SQRT((COUNT(*)::DOUBLE * SUM(base_rank * base_rank)::DOUBLE - SUM(base_rank)::DOUBLE * SUM(base_rank)::DOUBLE) * (COUNT(*)::DOUBLE * SUM(rank * rank)::DOUBLE - SUM(rank)::DOUBLE * SUM(rank)::DOUBLE)), 0) AS spearman,
@@ -258,7 +263,11 @@ _STABLE = """SELECT profile, scenario, COUNT(*) AS n, (COUNT(*)::DOUBLE * SUM(ba
 
 @register(f"WITH {SCENARIO_RANKS} {_STABLE}")
 def sensitivity_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.rank_stability(scenario_ranks(spark, sf_dir), ["profile", "scenario"], "base_rank", "rank", KS)
+    return stability(scenario_scores(spark, sf_dir))
+
+
+def stability(scored: DataFrame) -> DataFrame:
+    return ranking.rank_stability(scenario_ranks(scored), ["profile", "scenario"], "base_rank", "rank", KS)
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,21 +281,21 @@ u AS (SELECT profile, scenario, COUNT_IF(expected = CASE WHEN GREATEST(volume, b
 """ + f"d AS (SELECT a.profile, a.scenario, b.scenario_accuracy AS baseline_accuracy, a.scenario_accuracy, a.scenario_accuracy - b.scenario_accuracy AS delta_accuracy FROM u a JOIN u b ON a.profile = b.profile AND b.scenario = '{BASE}' WHERE a.scenario <> '{BASE}')"
 
 
-def scenario_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.scenario_scores(features(spark, sf_dir), PROFILES, FACTORS, "s_suppkey")
+def scenario_deltas(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
     return evaluate.scenario_accuracy(scored, _expected(spark, sf_dir), [p.name for p in PROFILES], "s_suppkey", BASE)
 
 
 @register(f"WITH {SCENARIO_RANKS}, {_ACCURACY} SELECT * FROM d")
 def sensitivity_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario_deltas(spark, sf_dir)
+    return scenario_deltas(spark, sf_dir, scenario_scores(spark, sf_dir))
 
 
 @register(f"""WITH {SCENARIO_RANKS}, {_ACCURACY}, t AS ({_STABLE}), x AS (SELECT SPLIT_PART(t.scenario, '|', 1) AS weight, t.*, d.delta_accuracy FROM t JOIN d ON t.profile = d.profile AND t.scenario = d.scenario)
 SELECT profile, weight, COUNT(*) AS n_scenarios, ROUND(MIN(spearman), 6) AS min_spearman, ROUND(AVG(spearman), 6) AS mean_spearman, ARG_MIN(scenario, (spearman, scenario)) AS worst_scenario, ROUND(MAX(mean_change), 6) AS max_mean_change, MAX(max_change) AS max_change, ROUND(MAX(ABS(delta_accuracy)), 6) AS max_abs_delta_accuracy"""
  + "".join(f", ROUND(MIN(jaccard_{k}), 6) AS min_jaccard_{k}, ROUND(AVG(jaccard_{k}), 6) AS mean_jaccard_{k}, ROUND(MIN(retention_{k}), 6) AS min_retention_{k}" for k in KS) + " FROM x GROUP BY 1, 2")
 def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stable = sensitivity_stability(spark, sf_dir).join(scenario_deltas(spark, sf_dir).select("profile", "scenario", "delta_accuracy"), ["profile", "scenario"])
+    scored = scenario_scores(spark, sf_dir)
+    stable = stability(scored).join(scenario_deltas(spark, sf_dir, scored).select("profile", "scenario", "delta_accuracy"), ["profile", "scenario"])
     rows = stable.withColumn("weight", F.split_part("scenario", F.lit("|"), F.lit(1)))
     return evaluate.aggregate_scenarios(rows, ["profile", "weight"], "scenario", KS, ["delta_accuracy"], 6)
 
@@ -295,7 +304,7 @@ def sensitivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
  ROUND(SUM(CAST(ROUND(ABS(score - base_score), 12) AS DECIMAL(20,12)))::DOUBLE / COUNT(*), 6) AS mean_score_change, ROUND(MAX(ABS(score - base_score)), 6) AS max_score_change"""
  + "".join(f", MIN(base_rank) <= {k} AS base_top_{k}, ROUND(AVG(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS top_{k}_rate" for k in KS) + " FROM j GROUP BY 1, 2")
 def sensitivity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.summarize_targets(scenario_ranks(spark, sf_dir), ["profile", "s_suppkey"], KS, 6)
+    return evaluate.summarize_targets(scenario_ranks(scenario_scores(spark, sf_dir)), ["profile", "s_suppkey"], KS, 6)
 
 
 @register(f"""WITH {FEATURES_SQL}, s AS (SELECT s_suppkey, {score_sql(PROFILES[0])} AS a, {score_sql(PROFILES[1])} AS b, s_suppkey % 7 <> 0 AS ok FROM f)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import merkle
 from loomwork.plans.catalog import _APPENDS as APPENDS
 from loomwork.plans.catalog import register
 from loomwork.session import ensure_checkpoint_dir
-from loomwork.sources import table
+from loomwork.sources import associations, table
 from loomwork.sources.store import RecordStore
 
 # --- the record store -----------------------------------------------------------------------------------
@@ -74,3 +74,31 @@ def run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = one.where("doc_id % 97 <> 5").withColumn("source", F.when(F.col("doc_id") % 101 == 7, F.concat("source", F.lit("!"))).otherwise(F.col("source")))
     other = changed.unionByName(one.where("doc_id % 89 = 3").withColumn("doc_id", -F.col("doc_id") - 1))
     return merkle.changed_rows(one, other, "doc_id")
+
+
+# --- landed pages -------------------------------------------------------------------------------------------
+
+_PAGES = """r AS (SELECT s_nationkey AS k, s_suppkey, (ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) AS pos, COUNT(*) OVER (PARTITION BY s_nationkey) AS total FROM supplier)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each nation in pages of three; some nations declare more than there are, some have an empty page."""
+    own = Window.partitionBy("s_nationkey")
+    placed = table(spark, sf_dir, "supplier").withColumns({"at": F.row_number().over(own.orderBy("s_suppkey")) - 1, "total": F.count(F.lit(1)).over(own)})
+    pages = placed.groupBy(F.col("s_nationkey").alias("k"), F.floor(F.col("at") / 3).cast("int").alias("page")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("rows"), F.max("total").alias("declared"))
+    empty = (F.col("k") % 4 == 1) & (F.col("page") == 1)
+    return pages.withColumns({"rows": F.when(empty, F.slice("rows", 1, 0)).otherwise(F.col("rows")), "declared": F.col("declared") + F.when(F.col("k") % 5 == 0, 5).otherwise(0)})
+
+
+@register(f"WITH {_PAGES} SELECT k, CAST(pos // 3 AS INT) AS page, CAST(pos % 3 AS INT) AS place, s_suppkey AS member FROM r WHERE pos < 9 AND (k % 4 <> 1 OR pos < 3)")
+def page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read page by page."""
+    return associations.pages_read(_pages(spark, sf_dir), "k", "page", "rows", "declared", 3)[0]
+
+
+@register(f"""WITH {_PAGES}, n AS (SELECT k, MAX(total) AS t, MAX(total) + CASE WHEN k % 5 = 0 THEN 5 ELSE 0 END AS d FROM r GROUP BY k)
+SELECT k, CASE WHEN k % 4 = 1 THEN LEAST(2, CEIL(t / 3.0)) ELSE LEAST(3, CEIL(t / 3.0)) END::BIGINT AS n_pages, CASE WHEN k % 4 = 1 THEN LEAST(t, 3) ELSE LEAST(t, 9) END::BIGINT AS n_rows, d::BIGINT AS declared,
+ CASE WHEN LEAST(t, CASE WHEN k % 4 = 1 THEN 3 ELSE 9 END) >= d THEN 'count_reached' WHEN k % 4 = 1 AND t > 3 THEN 'empty_page' WHEN k % 4 <> 1 AND t > 6 THEN 'page_limit' ELSE 'page_missing' END AS ended, LEAST(t, CASE WHEN k % 4 = 1 THEN 3 ELSE 9 END) >= d AS complete FROM n""")
+def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the reading of each request's pages ended."""
+    return associations.pages_read(_pages(spark, sf_dir), "k", "page", "rows", "declared", 3)[1]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.session import cut_lineage
+
 _SCORES = "array<struct<id:string,score:double>>"
 PAYLOAD = f"disease struct<id:string,name:string>, associatedTargets struct<count:int,rows:array<struct<score:double,datatypeScores:{_SCORES},datasourceScores:{_SCORES},target:struct<id:string,approvedSymbol:string,approvedName:string,biotype:string>>>>"
 
@@ -44,6 +46,29 @@ def first_pages(df: DataFrame, page_size: int = 100, pages: int = 3) -> DataFram
     return ordered(df).limit(page_size * pages)
 
 
+def pages_read(pages: DataFrame, key: str, page: str, rows: str, declared: str, most_pages: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members, states): what reading the landed pages of each request one after the other gives.
+
+    Pages are numbered from 0. Reading ends behind the page with which the declared count is reached, behind the first empty
+    page, after ``most_pages``, or before a page that isn't there. ``members`` has (key, page, place, member); ``states`` has (key, n_pages, n_rows, declared,
+    ended, complete), a row for each request, ``complete`` telling whether as many rows as declared were read. Of a page that is landed twice
+    one copy is read: the least as JSON. Only sizes go through the windows, a row a page.
+    """
+    one = pages.groupBy(key, page).agg(F.min_by(F.struct(F.col(rows).alias("rows"), F.col(declared).cast("long").alias("declared")), F.to_json(F.struct(rows, declared))).alias("p")).select(key, page, "p.*")
+    one = cut_lineage(one.withColumn("n", F.coalesce(F.size("rows"), F.lit(0))))
+    by = Window.partitionBy(key).orderBy(page)  # the pages of one request
+    sized = one.select(key, page, "n", "declared").withColumns({"read": F.sum("n").over(by), "turn": F.row_number().over(by) - 1})
+    why = F.when(F.col("read") >= F.coalesce("declared", F.lit(0)), "count_reached").when(F.col("n") == 0, "empty_page").when(F.col(page) + 1 >= most_pages, "page_limit")
+    sized = sized.withColumn("why", why)
+    earlier = F.count("why").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    kept = cut_lineage(sized.withColumn("earlier", earlier).where((F.col(page) == F.col("turn")) & (F.col("earlier") == 0) & (F.col(page) < most_pages)))
+    found = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_rows"), F.max_by("declared", page).alias("declared"), F.max("why").alias("ended"))
+    states = one.select(key).distinct().join(found, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_pages", "n_rows")})
+    states = states.withColumns({"ended": F.coalesce("ended", F.lit("page_missing")), "complete": F.coalesce(F.col("n_rows") >= F.col("declared"), F.lit(False))})
+    members = one.join(kept.select(key, page), [key, page], "left_semi").select(key, page, F.posexplode("rows").alias("place", "member"))
+    return members, states
+
+
 def ordered(df: DataFrame) -> DataFrame:
     """By score, the largest first, then by target."""
     return df.orderBy(F.desc_nulls_last("association_score"), F.asc("target_id"))

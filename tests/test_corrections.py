@@ -108,3 +108,12 @@ def test_ablations_rank_all_subsets_at_once(spark):
 def test_confusion_has_all_pairs(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "a"), ("c", "a")], "x string, y string")
     assert sorted(map(tuple, evaluate.role_confusion(df, "x", "y").collect())) == [("a", "a", 1), ("a", "b", 1), ("a", "c", 0), ("b", "a", 0), ("b", "b", 0), ("b", "c", 0), ("c", "a", 1), ("c", "b", 0), ("c", "c", 0)]
+
+
+def test_pages_end_where_a_reader_would(spark):
+    pages = [("short", 0, [1, 2], 3), ("short", 1, [3], 3), ("short", 2, [9], 3), ("empty", 0, [1], 9), ("empty", 1, [], 9), ("empty", 2, [5], 9), ("gap", 0, [1], 9), ("gap", 2, [5], 9), ("late", 1, [1], 1), ("many", 0, [1], 9), ("many", 1, [2], 9), ("many", 2, [3], 9), ("many", 3, [4], 9), ("twice", 0, [2], 1), ("twice", 0, [1], 1), ("none", 0, None, 0)]
+    df = spark.createDataFrame(pages, "q string, page int, rows array<int>, declared int")
+    members, states = associations.pages_read(df, "q", "page", "rows", "declared", 3)
+    got = {r.q: (r.n_pages, r.n_rows, r.ended, r.complete) for r in states.collect()}
+    assert got == {"short": (2, 3, "count_reached", True), "empty": (2, 1, "empty_page", False), "gap": (1, 1, "page_missing", False), "late": (0, 0, "page_missing", False), "many": (3, 3, "page_limit", False), "twice": (1, 1, "count_reached", True), "none": (1, 0, "count_reached", True)}
+    assert sorted((r.q, r.page, r.place, r.member) for r in members.collect()) == [("empty", 0, 0, 1), ("gap", 0, 0, 1), ("many", 0, 0, 1), ("many", 1, 0, 2), ("many", 2, 0, 3), ("short", 0, 0, 1), ("short", 0, 1, 2), ("short", 1, 0, 3), ("twice", 0, 0, 1)]
