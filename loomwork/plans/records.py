@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import nested
-from loomwork.operators import extraction
+from loomwork.operators import extraction, lexicons
 from loomwork.plans.catalog import register
 from loomwork.sources import table
 
@@ -145,3 +145,20 @@ def _pick(case: Column, usual: str, other: dict[str, str]) -> Column:
     for name, text in other.items():
         out = F.when(case == int(name[1:]), text).otherwise(out)
     return out
+
+
+# --- lexicons ------------------------------------------------------------------------------------------------
+
+_WORDS = "w AS (SELECT DISTINCT LOWER(word) AS marker FROM (SELECT UNNEST(STRING_SPLIT(text, ' ')) AS word FROM benchmark) WHERE LENGTH(word) >= 6)"
+
+
+@register(f"""WITH {_WORDS}, l AS (SELECT marker, 'c' || (LENGTH(marker) % 7) AS code, CASE LENGTH(marker) % 9 WHEN 0 THEN 'blocker' WHEN 1 THEN 'warning' ELSE 'note' END AS severity FROM w),
+h AS (SELECT d.doc_id, l.* FROM documents d JOIN l ON CONTAINS(LOWER(d.text), l.marker))
+SELECT d.doc_id, COUNT(DISTINCT h.marker) AS n_markers, '[' || COALESCE(STRING_AGG(DISTINCT '"' || h.code || '"', ',' ORDER BY '"' || h.code || '"'), '') || ']' AS findings,
+ CASE WHEN COUNT_IF(h.severity = 'blocker') > 0 THEN 'block' WHEN COUNT_IF(h.severity = 'warning') > 0 THEN 'review' ELSE 'pass' END AS decision FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY 1""")
+def lexicon_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against a lexicon of all longer words of the benchmark."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.length("word") >= 6).select(F.lower("word").alias("marker")).distinct()
+    size = F.length("marker")
+    lexicon = words.select("marker", F.concat(F.lit("c"), (size % 7).cast("string")).alias("code"), F.when(size % 9 == 0, "blocker").when(size % 9 == 1, "warning").otherwise("note").alias("severity"))
+    return lexicons.lexicon_audit(table(spark, sf_dir, "documents"), "doc_id", "text", lexicon)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import dependency, evaluate, evidence, feasibility, ranking, universe
+from loomwork.operators import dependency, evaluate, evidence, feasibility, lexicons, ranking, universe
 from loomwork.sources import associations, matrices
 
 
@@ -117,3 +117,20 @@ def test_pages_end_where_a_reader_would(spark):
     got = {r.q: (r.n_pages, r.n_rows, r.ended, r.complete) for r in states.collect()}
     assert got == {"short": (2, 3, "count_reached", True), "empty": (2, 1, "empty_page", False), "gap": (1, 1, "page_missing", False), "late": (0, 0, "page_missing", False), "many": (3, 3, "page_limit", False), "twice": (1, 1, "count_reached", True), "none": (1, 0, "count_reached", True)}
     assert sorted((r.q, r.page, r.place, r.member) for r in members.collect()) == [("empty", 0, 0, 1), ("gap", 0, 0, 1), ("many", 0, 0, 1), ("many", 1, 0, 2), ("many", 2, 0, 3), ("short", 0, 0, 1), ("short", 0, 1, 2), ("short", 1, 0, 3), ("twice", 0, 0, 1)]
+
+
+def test_thousands_of_markers(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    markers = sorted({word(rng.randint(2, 7)) for _ in range(9000)})[:5000]
+    table = [(m if k % 2 else m.upper(), f"c{k % 50}", rng.choice(["blocker", "warning", None])) for k, m in enumerate(markers)] + [(markers[0], "other", "note"), ("", "x", "y"), (None, "x", "y")]
+    texts = [" ".join(word(rng.randint(1, 12)).upper() for _ in range(30)) for _ in range(60)] + [None, "", "zzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    lexicon = spark.createDataFrame(table, "marker string, code string, severity string")
+    want = sorted((k, m.lower(), c, s or "") for k, t in enumerate(texts) for m, c, s in table if m and t and m.lower() in t.lower())
+    for block in (lexicons.BLOCK_BYTES, 100_000):
+        got = sorted((r.k, r.marker, r.code, r.severity or "") for r in lexicons.marker_hits(df, ["k"], "t", lexicon, block).collect())
+        assert got == want and len(want) > 10_000
+    audit = {r.k: (r.n_markers, r.decision) for r in lexicons.lexicon_audit(df, "k", "t", lexicon).collect()}
+    assert len(audit) == len(texts) and audit[60] == audit[61] == audit[62] == (0, "pass")
+    assert lexicons.marker_hits(df, ["k"], "t", lexicon.limit(0)).count() == 0
