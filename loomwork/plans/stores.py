@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import merkle
+from loomwork.plans import closure
 from loomwork.plans.catalog import _APPENDS as APPENDS
 from loomwork.plans.catalog import register
 from loomwork.session import ensure_checkpoint_dir
@@ -102,3 +103,24 @@ SELECT k, CASE WHEN k % 4 = 1 THEN LEAST(2, CEIL(t / 3.0)) ELSE LEAST(3, CEIL(t
 def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the reading of each request's pages ended."""
     return associations.pages_read(_pages(spark, sf_dir), "k", "page", "rows", "declared", 3)[1]
+
+
+# --- closed runs ---------------------------------------------------------------------------------------------
+
+def _stages(spark: SparkSession, sf_dir: str, changed: int) -> list[closure.Stage]:
+    """Documents, their words by source, and the larger sources; ``changed`` gives one document another source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") == changed, "elsewhere").otherwise(F.col("source")).alias("source"), "n_chars")
+    by = lambda r: r["documents"].groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return [closure.Stage("documents", lambda r: docs, "doc_id"), closure.Stage("sources", by, "source"), closure.Stage("named", lambda r: r["sources"].select("source").where("source like 'src%'"), "source")]
+
+
+@register("""WITH c AS (SELECT COUNT(*) AS n, MAX(CASE WHEN doc_id = 7 THEN source END) AS own FROM documents), o AS (SELECT COUNT(*) AS n FROM documents, c WHERE source = c.own)
+SELECT 'documents' AS stage, 'different' AS state, 0::BIGINT AS n_added, 0::BIGINT AS n_removed, 1::BIGINT AS n_changed UNION ALL SELECT 'sources', 'different', 1, CASE WHEN o.n = 1 THEN 1 ELSE 0 END, CASE WHEN o.n = 1 THEN 0 ELSE 1 END FROM o
+UNION ALL SELECT 'named', CASE WHEN o.n = 1 THEN 'different' ELSE 'same' END, 0, CASE WHEN o.n = 1 THEN 1 ELSE 0 END, 0 FROM o""")
+def closed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a chain of stages, one document changed: the stages and rows that differ."""
+    ensure_checkpoint_dir(spark)
+    paths = [f"{spark.sparkContext.getCheckpointDir()}/closed-{uuid.uuid4().hex}" for _ in range(2)]
+    for path, changed in zip(paths, (-1, 7), strict=True):
+        closure.run_closed(spark, path, _stages(spark, sf_dir, changed), f"documents {changed}")
+    return closure.compare_closed(spark, *paths, _stages(spark, sf_dir, -1))

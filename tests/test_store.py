@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import merkle, store
+from loomwork.plans import closure
 from loomwork.sources import sinks
 from loomwork.sources.store import RecordStore, StoreError
 
@@ -123,3 +124,32 @@ def test_reviewed_snapshot_validates_and_reads_twice(spark):
     reads = iter([good, good, good.where("id <> 'a'"), good])
     with pytest.raises(ValueError, match="changed between two reads"):
         store.reviewed_snapshot(lambda: next(reads), F.col("lang") == "x", "id", "h")
+
+
+def test_closed_runs_restart_behind_the_last_stage(spark, tmp_path):
+    calls = []
+    base = spark.range(50).select("id", (F.col("id") % 7).alias("v"))
+
+    def stages(fail):
+        def second(results):
+            calls.append("second")
+            if fail:
+                raise RuntimeError("no space on /var/tmp/x/y, token=abc")
+            return results["first"].groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+        return [closure.Stage("first", lambda r: calls.append("first") or base, "id"), closure.Stage("second", second, "v"), closure.Stage("third", lambda r: calls.append("third") or r["second"].where("v > 2"), "v")]
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    broken = {r.stage: r for r in closure.run_closed(spark, a, stages(True), "x").collect()}
+    assert [broken[s].state for s in ("first", "second", "third")] == ["completed", "failed", "not_run"] and "abc" not in broken["second"].error
+    states = closure.run_closed(spark, a, stages(False), "x")
+    assert [r.state for r in states.orderBy("position").collect()] == ["reused", "completed", "completed"] and calls == ["first", "second", "second", "third"]
+    assert [r.state for r in closure.run_closed(spark, a, stages(False), "x").collect()] == ["reused"] * 3
+    closure.run_closed(spark, b, stages(False), "y")
+    compared = closure.compare_closed(spark, a, b, stages(False))
+    assert closure.decision(states, compared).first().state == "closed" and {r.state for r in compared.collect()} == {"same"}
+    base = base.withColumn("v", F.when(F.col("id") == 3, 6).otherwise(F.col("v")))
+    closure.run_closed(spark, b, stages(False), "z")
+    found = {r.stage: (r.state, r.n_added, r.n_removed, r.n_changed) for r in closure.compare_closed(spark, a, b, stages(False)).collect()}
+    assert found == {"first": ("different", 0, 0, 1), "second": ("different", 0, 0, 2), "third": ("different", 0, 0, 2)}
+    assert [r.state for r in closure.run_closed(spark, str(tmp_path / "c"), stages(False), "x", ["release is missing"]).collect()] == ["not_run"] * 3
