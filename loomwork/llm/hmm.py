@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: Model, where: Column, id_col: str = "doc_id",
     Tokens are words and one end. ``base_score`` is the add-one unigram score and ``score`` the model's log10
     probability; words are counted over all rows that ``where`` admits (``train``), by their 64-bit hashes. A word that no
     such row has shares the one place its class keeps for unknown words. Null texts are empty. Rows with a null id
-    are scored as any other, and rows that repeat more than ``REPEATED`` times are counted in full but computed once. An empty
+    are scored as any other, and rows that repeat more than ``REPEATED`` times, or fill a block, are counted in full but computed once. An empty
     table gives an empty result; without training rows N is 0.
     """
     spark = docs.sparkSession
@@ -320,7 +320,8 @@ def score(docs: DataFrame, model: Model, where: Column, id_col: str = "doc_id",
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count_if("train")).first()
     count = max(blocks, -(-size // block))
     content = F.xxhash64("__id", "t")
-    often = stored(rows.groupBy(content.alias("h")).count().where(F.col("count") > REPEATED).select("h"), "often")
+    copies = rows.groupBy(content.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("size"))
+    often = stored(copies.where((F.col("n") > REPEATED) | ((F.col("n") > 1) & (F.col("n") * F.col("size") > block))).select("h"), "often")
     repeated = not often.isEmpty()
     if not repeated:
         dealt = rows.withColumn("times", F.lit(1).cast("long"))
@@ -353,8 +354,15 @@ def score(docs: DataFrame, model: Model, where: Column, id_col: str = "doc_id",
         counts = np.empty(len(own), np.int64)
         counts[reply.column("place").to_numpy()] = reply.column("total").to_numpy()
         found = counts[inverse]
-        bounds = np.r_[0, np.cumsum(n)]
-        total = lambda values: np.diff(np.r_[0.0, np.cumsum(values)][bounds])
+        first = (np.cumsum(n) - n)[n > 0]
+
+        def total(values: np.ndarray) -> np.ndarray:
+            """Each text's own sum, whatever texts are beside it."""
+            out = np.zeros(len(n))
+            if len(values):
+                out[n > 0] = np.add.reduceat(values, first)
+            return out
+
         up = np.log(found + 1.0)
         base = (total(up) + np.log(ends + 1.0)) / np.log(10) - lengths * floor
         known = total((found > 0).astype(float)).astype(np.int64) + (ends > 0)

@@ -95,6 +95,18 @@ def test_null_and_repeated_ids(spark, monkeypatch):
     assert {r.train_tokens for r in got} == {n} and sum(r.doc_id is None for r in got) == 2000
 
 
+def test_repeated_long_rows_are_computed_once(spark):
+    long = " ".join(f"w{k % 91}" for k in range(900))
+    rows = [(1, long)] * 40 + [(2, long), (3, "short one"), (3, "short one"), (4, None)] + [(k, f"w{k} w{k + 1}") for k in range(5, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = hmm.train(docs, F.lit(True), sample=10, warm=1, rounds=1)
+    found = [sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in hmm.score(docs, model, F.lit(True), block=size, blocks=4).collect()) for size in (1000, 1 << 24)]
+    assert len(found[0]) == len(rows) and np.allclose(np.array(found[0], float), np.array(found[1], float), rtol=1e-12)
+    assert len({r for f in found[:1] for r in f if r[0] == 1}) == 1
+    n, want = base(list(enumerate(t for _, t in rows)), lambda d: True)
+    assert sorted((a, b, round(c, 6)) for a, b, c in want.values()) == sorted((r[1], r[2], round(r[3], 6)) for r in found[0])
+
+
 def test_million_words():
     words = np.random.default_rng(1).integers(0, 5000, 1_000_000)
     text = " ".join(f"w{w}" for w in words).encode()
