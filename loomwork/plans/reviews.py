@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.nested import canonical
-from loomwork.operators import persistence
+from loomwork.operators import evidence, persistence
 from loomwork.plans.catalog import register
 from loomwork.session import cut_lineage, ensure_checkpoint_dir
 from loomwork.sources import table
@@ -138,3 +138,15 @@ def citation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = persistence.verify_records(records, docs.select(F.lit("files").alias("source"), name.alias("source_id"), "text"))
     return found.select("evidence_id", "reason", (F.col("validation_status") == "citation_verified").alias("verified"))
+
+
+# --- lineage --------------------------------------------------------------------------------------------------------------
+
+@register("WITH t AS (SELECT conv_id, turn, MAX(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + last AS cycle FROM t WHERE conv_id % 5 = 0")
+def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns descend from the turn before; the first of some conversations from their last, and of some others from another conversation's first."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    node, first = F.col("conv_id") * 1000 + F.col("turn"), F.col("turn") == 0
+    parent = F.when(~first, node - 1).when(F.col("conv_id") % 5 == 0, F.col("conv_id") * 1000 + F.col("last")).when(F.col("conv_id") % 5 == 1, (F.col("conv_id") - 1) * 1000)
+    return evidence.cycle_members(turns.join(last, "conv_id").select(node.alias("child"), parent.alias("parent")))
