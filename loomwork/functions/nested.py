@@ -7,7 +7,7 @@ trailing text and NaN aren't JSON. Numbers are printed in plain form, without tr
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from loomwork.session import cut_lineage
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parsed(json: Column) -> Column:
     """The text as a VARIANT; null if it isn't one JSON value."""
     values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    return once(values, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def canonical(json: Column) -> Column:
@@ -28,11 +33,10 @@ def canonical(json: Column) -> Column:
 
 def type_of(value: Column) -> Column:
     """null, boolean, number, string, array or object: the type of a VARIANT."""
-    kind = F.schema_of_variant(value)
-    return (
+    return once(F.schema_of_variant(value), lambda kind: (
         F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.isNotNull(), "number")
-    )
+    ))
 
 
 def is_whole(value: Column) -> Column:
@@ -47,17 +51,17 @@ def member(value: Column, name: str) -> Column:
 
 def text_of(value: Column) -> Column:
     """A string's text; null for any other type."""
-    return F.when(type_of(value) == "string", F.try_variant_get(value, "$", "string"))
+    return once(value, lambda v: F.when(type_of(v) == "string", F.try_variant_get(v, "$", "string")))
 
 
 def names_of(value: Column) -> Column:
     """The names of an object's fields; null for any other type."""
-    return F.when(type_of(value) == "object", F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
 def items_of(value: Column) -> Column:
     """An array's members as VARIANTs; null for any other type."""
-    return F.when(type_of(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def list_field(value: Column, name: str, page: str = "rows") -> tuple[Column, Column]:

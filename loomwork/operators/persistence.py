@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import GENERIC_IDS, strip
-from loomwork.functions.nested import canonical, items_of, member, names_of, parsed, quoted, text_of
+from loomwork.functions.nested import canonical, items_of, member, names_of, once, parsed, quoted, text_of
 from loomwork.session import cut_lineage
 
 # What a promotion comes to, and what becomes of a request to persist.
@@ -46,15 +46,18 @@ def _same(*pairs: tuple[Column, Column]) -> Column:
 def record_payload(json: Column) -> Column:
     """The canonical JSON of what a record's hash covers: all but its id and hash, parents sorted, and the times of
     operational steps left out."""
-    value = parsed(json)
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    kept = F.map_filter(fields, lambda k, _: ~k.isin("evidence_id", "record_hash", "derived_from", "provenance_history"))
-    parents = F.to_json(F.array_sort(F.coalesce(F.try_variant_get(member(value, "derived_from"), "$", "array<string>"), F.array().cast("array<string>"))))
     operational = lambda step: _true(F.try_variant_get(step, "$.is_operational", "boolean"))
     step = lambda s: F.to_json(F.map_filter(F.try_variant_get(s, "$", "map<string,variant>"), lambda k, _: ~((k == "recorded_at") & operational(s))))
-    steps = F.array_join(F.transform(F.coalesce(items_of(member(value, "provenance_history")), F.array().cast("array<variant>")), step), ",")
-    whole = F.concat(F.lit('{"derived_from":'), parents, F.lit(',"provenance_history":['), steps, F.lit("]"), F.when(F.size(kept) > 0, F.concat(F.lit(","), F.substring(F.to_json(kept), 2, 2**30))).otherwise("}"))
-    return F.when(fields.isNotNull(), canonical(whole))
+
+    def whole(value: Column) -> Column:
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        kept = F.map_filter(fields, lambda k, _: ~k.isin("evidence_id", "record_hash", "derived_from", "provenance_history"))
+        parents = F.to_json(F.array_sort(F.coalesce(F.try_variant_get(member(value, "derived_from"), "$", "array<string>"), F.array().cast("array<string>"))))
+        steps = F.array_join(F.transform(F.coalesce(items_of(member(value, "provenance_history")), F.array().cast("array<variant>")), step), ",")
+        rest = once(kept, lambda m: F.when(F.size(m) > 0, F.concat(F.lit(","), F.substring(F.to_json(m), 2, 2**30))).when(m.isNotNull(), "}"))
+        return F.concat(F.lit('{"derived_from":'), parents, F.lit(',"provenance_history":['), steps, F.lit("]"), rest)  # null if it has no fields
+
+    return canonical(once(parsed(json), whole))
 
 
 def record_hash(json: Column) -> Column:
@@ -180,13 +183,15 @@ class Store(Protocol):
 
 def provenance_valid(json: Column) -> Column:
     """Whether a record has one manual review step that names what the promotion does. Other columns: the promotion's ids."""
-    steps = F.filter(F.coalesce(items_of(member(parsed(json), "provenance_history")), F.array().cast("array<variant>")), lambda s: _true(text_of(member(s, "step_type")) == "manual_review"))
-    details = member(F.get(steps, F.lit(0)), "details")
-    said = reduce(lambda a, b: a & b, (_said(text_of(member(details, n))) for n in REVIEW_DETAILS))
     of = {"human_review_packet_id": "promotion_packet_id", "human_review_decision_id": "promotion_decision_id", "candidate_id": "promotion_candidate_id", "card_id": "promotion_card_id", "audit_result_id": "promotion_audit_id", "curator_id": "promotion_reviewer_id"}
-    matching = reduce(lambda a, b: a & b, (_true(text_of(member(details, n)) == F.col(p)) for n, p in of.items()))
-    digest = _true(text_of(member(details, "source_content_hash")).rlike("^[0-9a-f]{64}$"))
-    return _true((F.size(steps) == 1) & said & matching & digest)
+
+    def named(details: Column) -> Column:
+        said = reduce(lambda a, b: a & b, (_said(text_of(member(details, n))) for n in REVIEW_DETAILS))
+        matching = reduce(lambda a, b: a & b, (_true(text_of(member(details, n)) == F.col(p)) for n, p in of.items()))
+        return said & matching & _true(text_of(member(details, "source_content_hash")).rlike("^[0-9a-f]{64}$"))
+
+    steps = F.filter(F.coalesce(items_of(member(parsed(json), "provenance_history")), F.array().cast("array<variant>")), lambda s: _true(text_of(member(s, "step_type")) == "manual_review"))
+    return _true(once(steps, lambda found: (F.size(found) == 1) & once(member(F.get(found, F.lit(0)), "details"), named)))
 
 
 def item_identity_valid() -> Column:
@@ -196,7 +201,7 @@ def item_identity_valid() -> Column:
 
 
 def request_state(store_id: str, version: str) -> Column:
-    """Why a request doesn't reach the store, or null."""
+    """Why a request doesn't reach the store, or null; ``payload`` is the record's."""
     c = F.col
     mine = _same((c("promotion_result_id"), c("request_promotion_id")), (c("item_id"), c("request_item_id")), (c("promotion_decision_id"), c("request_decision_id")), (c("promotion_audit_id"), c("request_audit_id")), (c("promotion_candidate_id"), c("request_candidate_id")))
     chain = reduce(lambda a, b: a & b, (_said(c(f"promotion_{n}_id")) for n in ("decision", "packet", "audit", "card", "candidate", "reviewer")))
@@ -204,7 +209,7 @@ def request_state(store_id: str, version: str) -> Column:
         F.when(~c("logical_store_id").eqNullSafe(F.lit(store_id)), "invalid_request").when(_true(c("expected_version") != version), "store_schema_mismatch").when(c("promotion_result_id").isNull(), "invalid_promotion")
         .when(~F.sha2(canonical(c("promotion_json")), 256).eqNullSafe(c("promotion_result_id")), "identity_mismatch").when(~c("promotion_status").eqNullSafe(F.lit("promoted")), "not_promoted")
         .when(_true(c("promotion_persisted")), "invalid_promotion").when(c("item_json").isNull(), "missing_evidence_item").when(~c("item_id").eqNullSafe(c("promotion_item_id")) | ~mine | ~chain | ~provenance_valid(c("item_json")), "identity_mismatch")
-        .when((F.coalesce("n_issues", F.lit(0)) > 0) | record_payload(c("item_json")).isNull(), "evidence_validation_failed")
+        .when((F.coalesce("n_issues", F.lit(0)) > 0) | c("payload").isNull(), "evidence_validation_failed")
     )
 
 
@@ -217,7 +222,7 @@ def persist(requests: DataFrame, store: Store, store_id: str, batch: str) -> Dat
     promotion_{result,item,decision,packet,audit,card,candidate,reviewer}_id, promotion_json, promotion_status, promotion_persisted, item_id, item_json, item_mapping, n_issues.
     """
     version = store.meta["version"]
-    judged = cut_lineage(requests.withColumns({"status": request_state(store_id, version), "payload": record_payload(F.col("item_json"))}).withColumn("payload_hash", F.sha2("payload", 256)))
+    judged = cut_lineage(requests.withColumn("payload", record_payload(F.col("item_json"))).withColumns({"status": request_state(store_id, version), "payload_hash": F.sha2("payload", 256)}))
     hit = lambda df, name: df.groupBy(F.col("evidence_id").alias(f"__{name}_id")).agg(F.min("record_hash").alias(f"__{name}"))
     asking = judged.where("status is null")
     have = cut_lineage(hit(store.lookup(asking.select(F.col("item_id").alias("evidence_id"))), "have"))

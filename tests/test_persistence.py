@@ -78,3 +78,11 @@ def test_dispositions(spark):
     df = spark.createDataFrame([(r,) for r, _ in rows], "r array<string>").coalesce(1)
     words = lambda *x: F.array(*map(F.lit, x))
     assert [r[0] for r in df.select(persistence.dispositions_valid(F.col("r"), words("a", "b"), words("c"))).collect()] == [ok for _, ok in rows]
+
+
+def test_each_text_is_parsed_once_per_use(spark):
+    """A VARIANT that is named again is not parsed again: the plan holds a parser for each text, not for each field."""
+    ids = ("packet", "decision", "candidate", "card", "audit", "reviewer")
+    df = spark.createDataFrame([("{}", *ids)], "j string, " + ", ".join(f"promotion_{n}_id string" for n in ids))
+    plan = df.select(persistence.record_payload(F.col("j")).alias("a"), persistence.provenance_valid(F.col("j")).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("try_parse_json(") <= 3
