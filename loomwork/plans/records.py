@@ -47,10 +47,9 @@ _SORTED = """'{"list":[' || ARRAY_TO_STRING(LIST_SORT(['"' || event_type || '"',
 @register(f"SELECT event_id, {_PLAIN} AS canonical, 'record_' || SHA256({_PLAIN}) AS content_id, {_SORTED} AS unordered FROM events")
 def nested_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical texts with sorted keys, their ids, and texts that no order of a list changes."""
-    rows = _events(spark, sf_dir).select("event_id", "json")
-    free = nested.canonical_unordered(rows, ["event_id"], "json", "unordered")
-    text = nested.canonical(F.col("json"))
-    return rows.select("event_id", text.alias("canonical"), F.concat(F.lit("record_"), F.sha2(text, 256)).alias("content_id")).join(free, "event_id")
+    rows = _events(spark, sf_dir).select("event_id", "json").withColumn("canonical", nested.canonical(F.col("json")))
+    rows = rows.withColumn("content_id", F.concat(F.lit("record_"), F.sha2("canonical", 256)))
+    return nested.canonical_unordered(rows, ["event_id", "canonical", "content_id"], "json", "unordered")
 
 
 @register(f"""WITH n AS (SELECT conv_id, turn, fullkey AS path, key, type, value->>'$' AS v FROM (SELECT conv_id, turn, {_TURN} AS j FROM conversations) c, json_tree(c.j) t)

@@ -124,3 +124,26 @@ def test_synthesis_needs_each_field(spark):
     assert extraction.parse_synthesis(df, SYNTHESIS).where("issue is null").first().response == json.dumps(good, sort_keys=True, separators=(",", ":"))
     with pytest.raises(AttributeError):
         SYNTHESIS.sections = ()
+
+
+def test_shallow_texts_are_neither_written_nor_shuffled(spark):
+    """Walks and folds of usual depth are one pass over the texts."""
+    df = spark.range(20).selectExpr("id as k", """'{"z":[' || id || ',{"b":null,"a":[3,1]}],"m n":true}' as j""")
+    for found in (nested.walk(df, ["k"], "j"), nested.canonical_unordered(df, ["k"], "j", "c")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_any_depth(spark):
+    """Around the number of levels of a round, and far beyond it; brackets in strings don't nest."""
+    texts = {}
+    for depth in (0, 1, nested.ROW_LEVELS - 1, nested.ROW_LEVELS, nested.ROW_LEVELS + 1, 2 * nested.ROW_LEVELS + 1):
+        value = '\\"[[{{'
+        for k in range(depth):
+            value = {"b": [3, k, "]"], "a": value} if k % 2 else ["x", value, "b"]
+        texts[depth] = value
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()], "k int, j string")
+    nodes = {(r.k, r.path) for r in nested.walk(df, ["k"], "j").collect()}
+    assert nodes == {(k, p) for k, v in texts.items() for p, _ in plain_nodes(v)}
+    free = {r.k: r.c for r in nested.canonical_unordered(df, ["k"], "j", "c").collect()}
+    assert free == {k: json.dumps(unordered(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for k, v in texts.items()}
