@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import CountVectorizer
+from pyspark.sql import functions as F
 
 from loomwork.llm import divergence
 
@@ -51,3 +53,42 @@ def test_no_kept_terms_and_empty_table(spark):
     df = spark.createDataFrame([("en", "b", "x y"), ("en", "a", None), (None, None, None)], "lang string, source string, text string")
     assert sorted(map(tuple, divergence.audit(df).collect())) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
     assert divergence.audit(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 500, divergence.CHUNK_BYTES])
+def test_chunks_do_not_change_counts(spark, chunk_bytes):
+    rng = np.random.default_rng(9)
+    docs = [(["en", "de", None][k % 3], ["s1", "s2", None][rng.integers(0, 3)], " ".join(rng.choice([f"{a}é{b}" for a in "abc" for b in "wxyz"], rng.integers(0, 6)))) for k in range(200)]
+    docs += [("en", "no words", "12 !!"), ("fr", "x", None), ("fr", "y", " a  a "), ("en", "long", "longer " * 300), *[("de", "s1", f"often {k}") for k in range(8)], *[("de", "s2", "rare") for _ in range(7)]]
+    df = spark.createDataFrame(docs, "lang string, source string, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert sorted(map(tuple, divergence.audit(df, least_docs=8, top=4, chunk_bytes=chunk_bytes).collect())) == plain(docs, 8, 4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repeats_are_counted_before_the_vectoriser(spark, monkeypatch):
+    """Ten times as many documents over the same words: it is given no more terms, by either of its steps."""
+    given = []
+
+    def seen(df):
+        given.append(df.select(F.sum(F.size("terms"))).first()[0])
+        return df
+
+    class Spy:
+        def __init__(self, **params):
+            self.own = CountVectorizer(**params)
+
+        def fit(self, df):
+            model = self.own.fit(seen(df))
+            transform = model.transform
+            model.transform = lambda rows: transform(seen(rows))
+            return model
+
+    monkeypatch.setattr(divergence, "CountVectorizer", Spy)
+    for repeats in (1, 10):
+        docs = [("en", f"s{k % 2}", "one two two three " + "four " * (k % 4)) for k in range(40)] * repeats
+        df = spark.createDataFrame(docs, "lang string, source string, text string").coalesce(1)
+        assert sorted(map(tuple, divergence.audit(df, least_docs=8).collect())) == plain(docs, 8, 50)
+    assert len(given) == 4 and given[:2] == given[2:]
